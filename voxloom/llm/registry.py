@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "mixing", "token_planes", "warc_zip")
+MODULES = ("exact_dedup", "minhash", "mixing", "token_planes", "toxicity", "warc_zip")
 
 QUERIES: dict = {}
 SQL: dict = {}
