@@ -28,7 +28,7 @@ TRAIN_ROWS = 12_000
 #: At most so many entries, the surest first, are kept.
 LEXICON_SIZE = 3_000
 BEGINNINGS = (4, 5, 6, 7)
-LEAST_DOCS, LEAST_Z = 3, 2.4
+LEAST_DOCS, LEAST_Z = 4, 2.8
 FOLDS = 5
 
 #: Harmless phrases around words that may be in the lexicon.
@@ -110,7 +110,7 @@ def features(total: float, hits: int, words: int) -> list[float]:
     return [1.0, math.log1p(total), math.log1p(100 * total / words), min(hits, 20) ** 0.5, math.log1p(words)]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
     """Newton steps on the ridge-penalised likelihood; few features, so it is a small solve."""
     beta, penalty = np.zeros(x.shape[1]), np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
     for _ in range(rounds):
