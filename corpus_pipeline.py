@@ -4,13 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import exact_dedup, mixing
+from voxloom.llm import exact_dedup, minhash, mixing, packing, toxicity
 from voxloom.llm.shared import documents, written
 
+#: The mix keeps most of what it is given: shares move only a little towards even ones.
+MIX_ALPHA = 0.9
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity 0.8."""
+    return minhash.drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, alpha=MIX_ALPHA)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.best_fit(docs)
+
+
 STAGES = [
-    ("exact dedup", lambda spark, docs, sf_dir: exact_dedup.drop_exact_copies(docs)),
-    ("mixing", lambda spark, docs, sf_dir: mixing.mix(docs)),
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("minhash near-dedup", drop_near_copies),
+    ("mixing", mix),
+    ("best-fit packing", pack),
 ]
+
+#: Toxicity scores, MinHash groups and best-fit bins can't be had in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
