@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from voxloom.plans import volumes
+
+QUERIES: dict = {**volumes.QUERIES}
+SQL: dict = {**volumes.SQL}
