@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def normal_sf2(z: float) -> float:
@@ -76,16 +77,16 @@ def _each(f):
     return run
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_normal(z: pd.Series) -> pd.Series:
     return _each(normal_sf2)(z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_student(t: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_sf2)(t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_chi2(x: pd.Series, df: pd.Series) -> pd.Series:
     return _each(chi2_sf)(x, df)

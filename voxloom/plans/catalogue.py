@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxloom.plans import volumes
+from voxloom.plans import experiments, tasks, volumes
 
-QUERIES: dict = {**volumes.QUERIES}
-SQL: dict = {**volumes.SQL}
+QUERIES: dict = volumes.QUERIES | experiments.QUERIES | tasks.QUERIES
+SQL: dict = volumes.SQL | experiments.SQL | tasks.SQL
