@@ -260,16 +260,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     signed = written(_signed(docs, shingle), "signed")
     classes = written(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     keys = classes.select("rep", "sig").mapInArrow(_keyed(bound), "key long, id long")
-    multiple = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    hits = keys.join(multiple, "key").join(classes.select(F.col("rep").alias("id"), "sig"), "id").select("key", "id", "sig", "n")
+    multiple = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    # sorted and merged at every size: none of these sides has a bound that would let it be broadcast
+    hits = keys.join(multiple.hint("merge"), "key").join(classes.select(F.col("rep").alias("id"), "sig").hint("merge"), "id").select("key", "id", "sig", "n")
     near = in_blocks(hits, "n", ["key"], "id", BLOCK).select("key", "bi", "bj", "id", "sig").mapInArrow(_near(bound), "a long, b long")
     families = written(connected_components(near), "families")
     sizes = families.groupBy("root").agg(F.count("*").alias("n"))
-    members = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty("text").alias("text")).join(families.join(sizes, "root"), "node")
+    members = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty("text").alias("text")).join(families.join(sizes, "root").hint("merge"), "node")
     linked = in_blocks(members, "n", ["root"], "node", BLOCK).select("root", "bi", "bj", "node", "text").mapInArrow(_linked(shingle, num, den), "a long, b long")
     components = connected_components(linked).select(F.col("node").alias("rep"), "root")
     of_class = classes.select("digest", "rep").join(components, "rep", "left").select("digest", F.coalesce("root", "rep").alias("c"))
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(of_class, "digest", "left")
+    out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(of_class.hint("merge"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -81,7 +81,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     for _ in range(max_rounds):
         # large star: larger neighbours of a node link to the smallest of its neighbours and itself
         near = both(e)
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = written(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")  # a plain side, so that a hot node's join can be split
         e = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: a node and its smaller neighbours link to the smallest of them
         e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
