@@ -154,3 +154,24 @@ def largest_component(mask: np.ndarray, connectivity: int = 18) -> np.ndarray:
         label = new
     roots, counts = np.unique(label[mask], return_counts=True)
     return label == roots[counts.argmax()]
+
+
+def box_mean(x: np.ndarray, radius: int) -> np.ndarray:
+    """Means over cubes, edges repeated."""
+    n = 2 * radius + 1
+    for axis in range(x.ndim):
+        wide = np.pad(x, [(radius, radius) if i == axis else (0, 0) for i in range(x.ndim)], mode="edge")
+        x = sum(np.take(wide, np.arange(i, i + x.shape[axis]), axis) for i in range(n)) / n
+    return x
+
+
+def sobel_magnitude(x: np.ndarray) -> np.ndarray:
+    total = np.zeros_like(x)
+    for axis in range(x.ndim):
+        g = x
+        for i in range(x.ndim):
+            wide = np.pad(g, [(1, 1) if a == i else (0, 0) for a in range(x.ndim)], mode="edge")
+            at = lambda k: np.take(wide, np.arange(k, k + x.shape[i]), i)  # noqa: B023, E731
+            g = at(2) - at(0) if i == axis else at(0) + 2 * at(1) + at(2)
+        total += g * g
+    return np.sqrt(total)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxloom.plans import experiments, tasks, volumes
+from voxloom.plans import experiments, scenes, tasks, volumes
 
-QUERIES: dict = volumes.QUERIES | experiments.QUERIES | tasks.QUERIES
-SQL: dict = volumes.SQL | experiments.SQL | tasks.SQL
+QUERIES: dict = volumes.QUERIES | scenes.QUERIES | experiments.QUERIES | tasks.QUERIES
+SQL: dict = volumes.SQL | scenes.SQL | experiments.SQL | tasks.SQL
