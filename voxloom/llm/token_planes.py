@@ -16,6 +16,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -187,6 +188,12 @@ class Words:
         return [b"".join(map(look, words)) for words in split]
 
 
+@lru_cache(maxsize=2)
+def words_of(path: str) -> Words:
+    """One for all tasks that a worker runs: the words that it knows serve the next task too."""
+    return Words(path)
+
+
 def write_planes(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, bits: bool = False) -> DataFrame:
     """Tokenizes docs(doc_id, text) in ascending doc_id order into files of planes; returns their table (part, path, n_docs, n_ids).
 
@@ -197,12 +204,12 @@ def write_planes(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, b
     folder = new_folder(docs.sparkSession, "planes")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, words, writer = TaskContext.get().partitionId(), None, None
+        part, writer = TaskContext.get().partitionId(), None
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.planes"
         with writing(path) as out:
             tail = b"" if end_id is None else struct.pack("<I", end_id)
             for batch in batches:
-                words = words or Words(tokenizer)
+                words = words_of(tokenizer)
                 writer = writer or PlaneWriter(out, bits)
                 ids, texts = batch.column(0).to_pylist(), batch.column(1)
                 for i in range(0, len(ids), 200):
