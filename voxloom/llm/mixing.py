@@ -66,8 +66,9 @@ def calibrate(cells: DataFrame, targets: dict[str, dict[str, float]] | None = No
                 cells = cells.withColumn("w", F.when(total > 0, F.col("w") * F.col(f"t_{axis}") / total).otherwise(0.0))
         cells = written(cells, "cells")
         done += step
-        errors = [abs(r[0] - r[1]) for axis in AXES[:-1] for r in [cells.groupBy(axis).agg(F.sum("w").alias("s"), F.first(f"t_{axis}").alias("t")).agg(F.max(F.abs(F.col("s") - F.col("t"))), F.lit(0.0)).first()] if r[0] is not None]
-        if max(errors, default=0.0) <= tolerance:
+        # the last axis has just been met
+        gaps = [cells.groupBy(axis).agg(F.abs(F.sum("w") - F.max(f"t_{axis}")).alias("gap")).agg(F.max("gap")).first()[0] for axis in AXES[:-1]]
+        if max((g for g in gaps if g is not None), default=0.0) <= tolerance:
             break
     ratio = F.try_divide(F.col("w"), F.col("n").cast("double"))
     top = cells.agg(F.max(ratio)).first()[0] or 1.0
@@ -100,7 +101,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), "topic", "n_tokens", F.round("p", 6).alias("p"), "sampled")
 
 
-def mixing_sql(table: str = "documents", alpha: float = ALPHA, seed: int = SEED, rounds: int = 16, name: str = "mix") -> str:
+def mixing_sql(table: str = "documents", alpha: float = ALPHA, seed: int = SEED, rounds: int = ROUNDS, name: str = "mix") -> str:
     """Common table expressions of the same raking, its rounds written out; the last, {name}_out, has doc_id, the keys, n_tokens, p and sampled."""
     topic = "CASE " + " ".join(f"WHEN contains(coalesce(text, ''), '{m}') THEN '{k}'" for k, m in TOPICS) + " ELSE 'prose' END"
     parts = [
