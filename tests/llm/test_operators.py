@@ -1,0 +1,521 @@
+"""Each operator against brute force on small fixtures, and on awkward and empty tables."""
+
+from __future__ import annotations
+
+import hashlib
+import io
+import itertools
+import re
+import struct
+import zipfile
+import zlib
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+import regex
+from fixtures import awkward, empty, frame, rows
+from pyspark.sql import functions as F
+
+from voxloom.llm import exact_dedup, files, minhash, mixing, packing, repeats, secrets, shared, spotsigs, token_planes, toxicity, warc_zip
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def texts_of(df) -> dict[int, str]:
+    return {r.doc_id: r.text or "" for r in df.collect()}
+
+
+# ---- shared
+
+
+def test_components(spark):
+    r = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in r.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, k) for k in range(2001, 2100)]
+    root = {n: n for p in pairs for n in p}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {x.node: x.root for x in shared.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {n: find(n) for p in pairs if p[0] != p[1] for n in p}
+    assert shared.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_shared_folder_needs_a_setting_on_a_cluster():
+    class Context:
+        master = "spark://host"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session())
+
+
+# ---- 1 fingerprints
+
+
+def test_spotsigs_by_brute_force(spark):
+    df = frame(spark)
+    order = sorted(texts_of(df).items(), reverse=True)
+    anchors = set(spotsigs.ANCHORS)
+
+    def signed(t):
+        w = [x for x in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if x]
+        content = [(i, x) for i, x in enumerate(w) if x not in anchors]
+        found = {tuple(y for _, y in content[j : j + 2]) for j, (i, _) in enumerate(content) if i and w[i - 1] in anchors}
+        return found or ({tuple(w)} if w else set())
+
+    like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    got = {r.doc_id: r for r in spotsigs.edited_fingerprints(df).collect()}
+    assert len(got) == len(order)
+    for k, (doc, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        m = len(t) // 3
+        edited = t[: len(t) - m] + following[:m]
+        r = got[doc]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert abs(r.near_edited - like(signed(t), signed(edited))) < 0.1 and abs(r.near_next - like(signed(t), signed(following))) < 0.1
+    by_text = {}
+    for doc, t in order:
+        assert by_text.setdefault(t, got[doc].fingerprint) == got[doc].fingerprint
+
+
+def test_spotsigs_awkward(spark):
+    out = spotsigs.edited_fingerprints(awkward(spark)).toPandas()
+    assert len(out) == awkward(spark).count() and out.doc_id.isna().sum() == 2
+    assert out[out.doc_id.isna()].near_next.isna().all() and out.near_edited.between(0, 1).all()
+    assert spotsigs.edited_fingerprints(empty(spark)).count() == 0
+    one = spotsigs.edited_fingerprints(frame(spark, rows()[:1])).first()
+    assert one.near_next == 1.0
+
+
+def test_spotsigs_pairs(spark):
+    df = frame(spark)
+    pairs, members = spotsigs.near_pairs(df, 0.6)
+    sigs = {r.doc_id: set(r.sigs) for r in spotsigs.with_signatures(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sigs").collect()}
+    classes = {r.doc_id: r.class_id for r in members.collect()}
+    heads = sorted(set(classes.values()))
+    want = {(a, b) for a, b in itertools.combinations(heads, 2) if sigs[a] and sigs[b] and len(sigs[a] & sigs[b]) / len(sigs[a] | sigs[b]) >= 0.6}
+    assert {(r.a, r.b) for r in pairs.collect()} == want and want
+    assert all(sigs[d] == sigs[c] for d, c in classes.items())
+
+
+# ---- 2 token planes
+
+
+@pytest.mark.parametrize("bits", [False, True])
+def test_planes_round_trip(bits, monkeypatch):
+    monkeypatch.setattr(token_planes, "BLOCK", 64)
+    r = np.random.default_rng(0)
+    docs = [(None if i == 3 else i, r.integers(0, 2**32 if i % 5 == 0 else 49408, int(n), np.uint32)) for i, n in enumerate(r.integers(0, 200, 30))]
+    out = io.BytesIO()
+    w = token_planes.PlaneWriter(out, bits)
+    for doc in docs:
+        w.add(*doc)
+    w.close()
+
+    class File:
+        def size(self):
+            return len(out.getvalue())
+
+        def read_at(self, n, at):
+            return out.getvalue()[at : at + n]
+
+    reader = token_planes.PlaneReader(File())
+    start = 0
+    for (doc, ids), got in zip(docs, reader.documents(), strict=True):
+        assert got == (doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+        start += len(ids)
+    whole = np.concatenate([ids for _, ids in docs])
+    assert np.array_equal(reader.block(2), whole[128:192])
+
+
+def test_token_planes_by_library(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    df = frame(spark)
+    odd = [(900, "It's a\x1ctest\x85of  ÉCOLE Σίσυφος ΟΔΟΣ ǅ İstanbul <|endoftext|>x é a,b. c.. d, 12.5 'S don't x​z"), (901, "word. Word, WORD x." * 3)]
+    df = df.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_planes.read_planes(token_planes.write_planes(df, TOKENIZER)).collect()}
+    start = 0
+    for doc, text in sorted(texts_of(df).items()):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert got[doc] == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_token_planes_awkward(spark):
+    out = token_planes.read_planes(token_planes.write_planes(awkward(spark), TOKENIZER)).toPandas()
+    assert len(out) == awkward(spark).count() and out.doc_id.isna().sum() == 2 and out.start.min() == 0
+    ordered = out.sort_values("start")
+    assert ordered.doc_id.isna().iloc[:2].all() and ordered.start.iloc[-1] + ordered.n_tokens.iloc[-1] == out.n_tokens.sum()
+    assert token_planes.read_planes(token_planes.write_planes(empty(spark), TOKENIZER)).count() == 0
+
+
+# ---- 3 MinHash
+
+
+def brute_components(texts: dict[int, str], k: int, num: int) -> dict[int, tuple[int, int]]:
+    sets = {}
+    for doc, t in texts.items():
+        w = [x.encode().lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t)]
+        sets[doc] = {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+    root = {d: d for d in sets}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= num * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize(("k", "num", "block"), [(3, 85, 256), (5, 80, 256), (3, 85, 4)])
+def test_minhash_by_brute_force(spark, monkeypatch, k, num, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    base = "one two three four five six seven eight nine ten eleven twelve".split() * 4
+    family = [(1000 + i, " ".join(w + (str(i) if j == 7 * i % 40 else "") for j, w in enumerate(map(lambda p: p[1] + str(p[0]), enumerate(base))))) for i in range(30)]
+    df = frame(spark).select("doc_id", "text").union(spark.createDataFrame(family, "doc_id long, text string"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, k, num).collect()}
+    assert got == brute_components(texts_of(df), k, num)
+
+
+def test_minhash_keys_are_shared_within_the_bound():
+    r = np.random.default_rng(1)
+    for bound in (21, 25):
+        a = r.integers(0, 65536, (200, minhash.SYMBOLS)).astype(np.uint16)
+        b = a.copy()
+        for row in b:
+            at = r.choice(minhash.SYMBOLS, bound, replace=False)
+            row[at] += 1
+        assert (minhash.chunk_keys(a, bound) == minhash.chunk_keys(b, bound)).any(axis=1).all()
+
+
+def test_minhash_awkward(spark):
+    out = minhash.near_duplicates(awkward(spark)).toPandas()
+    assert len(out) == awkward(spark).count()
+    assert out[out.doc_id.isna()].kept.all() and out[out.doc_id.isna()].component_id.isna().all()
+    assert (out[out.n_shingles == 0].component_id.dropna() == out[(out.n_shingles == 0) & out.doc_id.notna()].doc_id).all()
+    assert minhash.near_duplicates(empty(spark)).count() == 0
+    kept = minhash.drop_near_copies(frame(spark))
+    assert kept.columns == frame(spark).columns and 0 < kept.count() < frame(spark).count()
+
+
+# ---- 4 secrets
+
+
+def test_secrets_held_out_accuracy(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    forest = secrets.train(spark, None, TOKENIZER)
+    held = [(float(x[4]), secrets.features(*x[:4], TOKENIZER)) for x in secrets.example_findings(400, 99)]
+    p = forest.transform(spark.createDataFrame(held, "label double, features array<double>").coalesce(1).withColumn("features", array_to_vector("features"))).toPandas()
+    assert (p.label == p.prediction).mean() > 0.95
+
+
+def test_secrets_scan(spark):
+    key, token = "AKIA" + "Q7ZP4M2XK9RT5WBN", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    lines = [(1, f"😀 deploy with {key} today", "src/a", 0), (2, f'token = "{token}" end', "src/b", 0), (3, "card 4539578763621486 paid", "src/c", 0), (4, None, None, None), (5, "", "x", 1), (None, "password = changeme", "t", 1), (6, f"x {key}", "src", 2), (6, f"x {key}", "src", 2)]
+    df = spark.createDataFrame(lines, "doc_id long, text string, path string, score int")
+    out = secrets.scan(df, TOKENIZER).toPandas()
+    hits = out[out.secret]
+    assert sorted(hits.doc_id.dropna()) == [1, 2, 6, 6] and set(hits[hits.doc_id == 1].start) == {lines[0][1].index(key)}
+    assert hits[hits.doc_id == 2].value_sha256.iloc[0] == hashlib.sha256(token.encode()).hexdigest()
+    assert not out[out.doc_id == 3].secret.any()
+    assert secrets.scan(df.limit(0), TOKENIZER).count() == 0
+    own = spark.createDataFrame([(v, b, a, p, y) for v, b, a, p, y in secrets.example_findings(150, 5)] + [(None, None, None, None, None)], "value string, before string, after string, path string, label int")
+    assert secrets.scan(df, TOKENIZER, own).where("secret").count() >= 3
+
+
+# ---- 5 exact dedup
+
+
+def test_exact_dedup_by_brute_force(spark):
+    for support in (0.002, 0.02, 0.3):
+        df = frame(spark)
+        norm = {d: re.sub(r"[\x20\x09-\x0D]+", " ", t) for d, t in texts_of(df).items()}
+        groups: dict[str, list[int]] = {}
+        for d, t in norm.items():
+            groups.setdefault(t, []).append(d)
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(df, support).collect()}
+        assert got == {d: (min(groups[t]), len(groups[t]), d == min(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for d, t in norm.items()}
+
+
+def test_exact_dedup_awkward(spark):
+    out = exact_dedup.exact_dedup(awkward(spark)).toPandas()
+    assert len(out) == awkward(spark).count() and not out[out.doc_id.isna()].kept.any()
+    assert exact_dedup.exact_dedup(frame(spark, [(None, "t", *rows()[0][2:])])).first().kept
+    assert exact_dedup.exact_dedup(empty(spark)).count() == 0
+    kept = exact_dedup.drop_exact_copies(awkward(spark))
+    assert kept.columns == awkward(spark).columns
+
+
+# ---- 6 repeats
+
+
+def brute_repeats(texts: list[str], n: int) -> list[tuple]:
+    data = [t.encode() for t in texts]
+    seen = Counter(t[i : i + n] for t in data for i in range(len(t) - n + 1))
+    out = []
+    for t in data:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - n + 1):
+            if seen[t[i : i + n]] > 1:
+                gone[i : i + n] = True
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        out.append((len(t), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [50_000, 2])
+def test_repeats_by_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "PIECE", 900)
+    r = np.random.default_rng(9)
+    letters = lambda n: "".join(r.choice(list("abcdé "), n))
+    passages = [letters(k) for k in (380, 400, 430, 700, 1500)]
+    data = [(i, letters(int(r.integers(0, 600))) + "".join(passages[k] + letters(int(r.integers(0, 40))) for k in r.choice(5, int(r.integers(0, 3))))) for i in range(40)]
+    data += [(100, "a" * 900), (101, "ab" * 300), (102, None), (103, ""), (104, data[3][1]), (105, "b" + "a" * 450), (None, data[5][1]), (7, "other " * 100)]
+    df = spark.createDataFrame([(*d, "x", "y") for d in data], "doc_id long, text string, h string, marks string")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df, hot_core=hot).drop("kept").collect())
+    assert got == Counter((d[0], *x) for d, x in zip(data, brute_repeats([t or "" for _, t in data], 400), strict=True))
+    assert repeats.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_repeats_of_other_lengths(spark):
+    data = [(r[0], r[1]) for r in rows() if r[1] is None or len(r[1]) < 10_000]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df, length=120).collect())
+    assert got == Counter(brute_repeats([t or "" for _, t in data], 120))
+
+
+# ---- 7 toxicity
+
+
+def labelled(spark, n=1500):
+    r = np.random.default_rng(3)
+    bad, stems, calm = ["loser", "scum", "idiot"], ["lowei", "vequ"], [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    docs, labels = [], []
+    for i in range(n):
+        w = list(r.choice(calm, int(r.integers(20, 60))))
+        toxic = int(r.random() < 0.2)
+        for _ in range(3 * toxic):
+            w.insert(int(r.integers(0, len(w))), str(r.choice(bad)) if r.random() < 0.5 else str(r.choice(stems)) + "".join(r.choice(list("abcdefgh"), 4)))
+        docs.append((i, " ".join(w)))
+        labels.append((i, toxic))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity_held_out_and_disguised(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    out = toxicity.score(docs, model).toPandas().merge(labels.toPandas(), on="doc_id")
+    held = out[out.held_out]
+    assert (zlib.crc32(str(int(held.doc_id.iloc[0])).encode()) % 5) == 0
+    assert (held.predicted == held.toxic).mean() > 0.97 and out.score.between(0, 1).all()
+    more = [(1, "worda wordb l0ser wordc 1diot wordd ѕсum worde " * 2), (2, None), (3, ""), (4, "wordab wordcd " * 40), (None, "ＬＯＳＥＲ scum idiot lowei")]
+    got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(more, "doc_id long, text string"), model).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 0, None: 1}
+
+
+def test_toxicity_exceptions_and_folding():
+    lexicon = toxicity.Lexicon({"=trash": 2.0, "^lowei": 3.0})
+    assert lexicon.sums("trash can") == (0.0, 0, 2) and lexicon.sums("the tr4sh.")[0] == 2.0
+    assert lexicon.sums("loweixyz unlowei trashy")[:2] == (3.0, 1)
+    assert toxicity.fold("plain 2020 AKIA99 text") == "plain 2020 akia99 text"
+    assert toxicity.Lexicon({}, ()).sums("any") == (0.0, 0, 1)
+
+
+def test_toxicity_without_labels(spark):
+    docs, labels = labelled(spark, 30)
+    for some in (labels.limit(0), labels.where("toxic = 0"), labels.withColumn("toxic", F.lit(None).cast("int"))):
+        assert toxicity.score(docs, toxicity.fit(docs, some)).agg(F.max("predicted")).first()[0] == 0
+    model = toxicity.fit(docs, labels)
+    assert toxicity.score(empty(spark), model).count() == 0 and toxicity.score(awkward(spark), model).count() == awkward(spark).count()
+    assert toxicity.drop_toxic(awkward(spark), labels).columns == awkward(spark).columns
+
+
+# ---- 8 WARC
+
+
+class Bytes:
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def size(self):
+        return len(self.data)
+
+    def read_at(self, n, at):
+        return self.data[at : at + n]
+
+
+@pytest.mark.parametrize("comment", [b"", b"a comment PK\5\6 with the mark"])
+def test_zip_directories(comment):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("a.txt", b"first")
+        with z.open("b/ü.bin", "w", force_zip64=True) as m:
+            m.write(b"second" * 100)
+        z.comment = comment
+    f = Bytes(out.getvalue())
+    found = warc_zip.members(f)
+    for name, want in (("a.txt", b"first"), ("b/ü.bin", b"second" * 100)):
+        assert f.read_at(found[name].size, warc_zip.data_at(f, found[name])) == want
+    with pytest.raises(ValueError):
+        warc_zip.members(Bytes(b"no archive"))
+
+
+def test_zip64_end_and_fields():
+    """A directory whose sizes, offset and count only fit ZIP64 fields."""
+    name, data = b"big", b"payload"
+    local = struct.pack("<4sHHHHHIIIHH", b"PK\3\4", 45, 0, 0, 0, 0, zlib.crc32(data), 0xFFFFFFFF, 0xFFFFFFFF, len(name), 20) + name + struct.pack("<HHQQ", 1, 16, len(data), len(data)) + data
+    extra = struct.pack("<HHQQQ", 1, 24, len(data), len(data), 0)
+    central = struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", 45, 45, 0, 0, 0, 0, zlib.crc32(data), 0xFFFFFFFF, 0xFFFFFFFF, len(name), len(extra), 0, 0, 0, 0, 0xFFFFFFFF) + name + extra
+    at = len(local)
+    end64 = struct.pack("<4sQHHIIQQQQ", b"PK\6\6", 44, 45, 45, 0, 0, 1, 1, len(central), at)
+    locator = struct.pack("<4sIQI", b"PK\6\7", 0, at + len(central), 1)
+    end = struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+    f = Bytes(local + central + end64 + locator + end)
+    m = warc_zip.members(f)["big"]
+    assert f.read_at(m.size, warc_zip.data_at(f, m)) == data
+
+
+def test_warc_round_trip(spark):
+    long = "<p>über \r\n\r\n 漢字</p>" * 20
+    data = [(1, "http://a/\r\nx", long, "?"), (2, "http://b", long, "?"), (3, None, None, "?"), (4, "u", "", None), (5, "u", "short", "?"), (6, "u", "short", "?"), (9, "u", long, "?"), (9, "u", long, "?"), (None, "u", long, "?"), (10, "u", "y" * 99, "?"), (11, "u", "y" * 99, "?"), (12, "u", "y" * 100, "?"), (13, "u", "y" * 100, "?")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string, payload_digest string")
+    out = warc_zip.read_packages(warc_zip.write_packages(warc_zip.with_revisits(pages))).toPandas()
+    got = Counter((None if pd.isna(r.page_id) else int(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, None if pd.isna(r.refers_to) else int(r.refers_to)) for r in out.itertuples())
+    first = {}
+    for i, _, h, _ in data:
+        if i is not None and len((h or "").encode()) >= 100:
+            first[h] = min(first.get(h, i), i)
+    want = Counter()
+    for i, _, h, _ in data:
+        b = (h or "").encode()
+        of = first.get(h)
+        want[(i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if of not in (None, i) else "response", of if of not in (None, i) else None)] += 1
+    assert got == want
+    assert set(out[out.page_id == 1].html) == {long} and out[out.record_type == "revisit"].html.isna().all()
+    assert warc_zip.read_packages(warc_zip.write_packages(warc_zip.with_revisits(pages.limit(0)))).count() == 0
+
+
+def test_packages_roll_over(spark):
+    pages = spark.createDataFrame([(i, "u", "z" * 5000 + str(i)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    table = warc_zip.write_packages(warc_zip.with_revisits(pages), package_bytes=60_000)
+    assert table.count() > 2 and warc_zip.read_packages(table).count() == 40
+    for path in (r.path for r in table.collect()):
+        with files.reading(path) as f:
+            assert set(warc_zip.members(f)) == {warc_zip.WARC, warc_zip.INDEX}
+        assert all(warc_zip.parsed(x)[0]["warc-type"] == "response" for x in warc_zip.records_of(path))
+
+
+# ---- 9 packing
+
+
+def check_packing(out: pd.DataFrame, sized: pd.DataFrame, capacity: int) -> None:
+    assert (out.groupby("bin_id").n_tokens.sum() <= capacity).all() and (out.n_tokens > 0).all()
+    assert (out.groupby("bin_id").n_tokens.sum() == out.groupby("bin_id").bin_tokens.first()).all()
+    total = out.groupby("doc_id", dropna=False).n_tokens.sum()
+    assert total.sort_index().tolist() == sized.groupby("doc_id", dropna=False).n_tokens.sum().sort_index().tolist()
+
+
+def naive(pieces: list[tuple[int, object, object]], capacity: int) -> list[int]:
+    """The bin of each piece (size, source, cluster): the fullest of all bins that it fits without conflict."""
+    bins: list[list[tuple]] = []
+    out = []
+    for size, source, cluster in pieces:
+        fits = [(capacity - sum(p[0] for p in b) - size, k) for k, b in enumerate(bins) if sum(p[0] for p in b) + size <= capacity and all((source is None or p[1] != source) and p[2] != cluster for p in b)]
+        if fits:
+            k = min(fits)[1]
+        else:
+            k = len(bins)
+            bins.append([])
+        bins[k].append((size, source, cluster))
+        out.append(k)
+    return [capacity - sum(p[0] for p in bins[k]) for k in out]
+
+
+def test_best_fit_is_tightest(spark):
+    r = np.random.default_rng(2)
+    p = pd.DataFrame({"doc_id": range(300), "piece": 0, "n_tokens": r.integers(1, 50, 300), "source": r.choice(["a", "a", "b", "c", "d", None], 300), "cluster": r.integers(0, 120, 300)})
+    got = packing.pack_shard(p, 64)
+    for _, b in got.groupby("bin"):
+        assert b.n_tokens.sum() <= 64 and b.source.dropna().is_unique and b.cluster.is_unique
+    order = list(zip(got.n_tokens, [None if pd.isna(s) else s for s in got.source], got.cluster, strict=True))
+    bins = packing.Bins(64)
+    sources, clusters = packing._bit(got.source), packing._bit(got.cluster)
+    held: list[list[int]] = []
+    for (size, _, _), s, c in zip(order, sources, clusters, strict=True):
+        best = min((64 - sum(order[i][0] for i in b) - size for b in held if sum(order[i][0] for i in b) + size <= 64 and not any(sources[i] & s or clusters[i] & c for i in b)), default=None)
+        k = bins.place(size, s, c)
+        at = sum(map(len, held))
+        if k == len(held):
+            assert best is None
+            held.append([])
+        else:
+            assert 64 - sum(order[i][0] for i in held[k]) - size == best
+        held[k].append(at)
+    assert len(naive(order, 64)) == len(order)
+
+
+def test_packing_awkward(spark):
+    df = awkward(spark)
+    for shard in (4096, 5):
+        out = packing.best_fit(df, capacity=128, shard=shard).toPandas()
+        sized = df.select("doc_id", mixing.tokens_of("text").alias("n_tokens")).toPandas()
+        check_packing(out, sized, 128)
+        assert out.n_tokens.sum() == sized.n_tokens.sum()
+        j = out.merge(df.select("doc_id", "source").distinct().toPandas().drop_duplicates("doc_id"), on="doc_id")
+        assert j[j.source.notna()].groupby("bin_id").source.apply(lambda s: s.is_unique).all()
+    assert packing.best_fit(empty(spark)).count() == 0
+
+
+# ---- 10 mixing
+
+
+def test_raking_meets_targets(spark):
+    cells = spark.createDataFrame([(s, l, t, 100 * (i + 1) * (j + 2) + 37 * k * i) for i, s in enumerate("abc") for j, l in enumerate(["en", "de"]) for k, t in enumerate("xy")], "source string, lang string, topic string, n long")
+    targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"x": 0.7, "y": 0.3}}
+    out = mixing.calibrate(cells, targets).toPandas()
+    for axis, want in targets.items():
+        assert np.allclose(out.groupby(axis).w.sum().reindex(list(want)), list(want.values()), atol=1e-6)
+    assert np.allclose(out.p, (out.w / out.n) / (out.w / out.n).max()) and out.p.max() == 1
+    n = cells.toPandas().set_index(["source", "lang", "topic"]).n.astype(float)
+    w = n.copy()
+    for _ in range(200):
+        for axis, want in targets.items():
+            w *= pd.Series(want).reindex(w.index.get_level_values(axis)).to_numpy() / w.groupby(axis).transform("sum")
+    assert np.allclose(out.set_index(["source", "lang", "topic"]).w.reindex(w.index), w, atol=1e-6)
+    missing = mixing.calibrate(cells, {"source": {"a": 1.0}}).toPandas()
+    assert (missing[missing.source != "a"].p == 0).all()
+
+
+def test_mixing_awkward(spark):
+    df = awkward(spark)
+    out = mixing.mixed(df)
+    assert out.count() == df.count() and set(out.columns) == {*df.columns, "n_tokens", "sampled"}
+    assert out.where("sampled").count() > 0 and mixing.mixed(empty(spark)).count() == 0
+    assert mixing.mix(df).columns == df.columns
+    again = sorted(r.doc_id for r in mixing.mix(frame(spark)).collect())
+    assert again == sorted(r.doc_id for r in mixing.mix(frame(spark).repartition(3)).collect())
+    even = mixing.mixed(df, alpha=1.0)
+    assert even.agg(F.min("p")).first()[0] > 0.999

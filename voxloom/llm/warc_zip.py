@@ -129,7 +129,7 @@ def _id(uri: str | None) -> int | None:
     return int(uri[10:-1]) if uri and uri != "<urn:page:none>" else None
 
 
-def write_packages(pages: DataFrame) -> DataFrame:
+def write_packages(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Writes a record for each row of pages(page_id, url, html, payload_digest, refers_to); returns the table (path, n_records) of the packages."""
     folder = new_folder(pages.sparkSession, "warc")
 
@@ -140,7 +140,7 @@ def write_packages(pages: DataFrame) -> DataFrame:
             path, index, at = f"{folder}/part-{TaskContext.get().partitionId():06d}-{k}-{uuid.uuid4().hex}.zip", [], 0
             with writing(path) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as package:
                 with package.open(zipfile.ZipInfo(WARC), "w", force_zip64=True) as member:
-                    while row is not None and at < PACKAGE_BYTES:
+                    while row is not None and at < package_bytes:
                         page_id, url, html, digest, refers_to = row
                         data = record(page_id, url, html.encode("utf-8"), digest, refers_to)
                         member.write(data)
