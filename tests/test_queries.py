@@ -7,7 +7,7 @@ from oracle import assert_same, run_sql
 
 from voxloom.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))

@@ -23,6 +23,7 @@ SCHEMA = T.StructType(
 
 def write_volumes(volumes: DataFrame, path: str) -> None:
     """Overwrites the partitions (kind, model, spacing, pulse) that volumes has, and leaves the others."""
+    volumes = volumes.select([F.col(f.name).cast(f.dataType) for f in SCHEMA])
     volumes.repartition(*KEY, "patient_id").sortWithinPartitions("patient_id", "z", "y", "x").write.partitionBy(*KEY).mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(path)
 
 
