@@ -43,6 +43,22 @@ def by_priority(candidates: DataFrame, key: list[str], path: str, priority: str)
     return candidates.groupBy(*key).agg(F.min_by(path, F.struct(priority, path)).alias(path))
 
 
+def resolved(units: DataFrame, sequences: DataFrame, listing: DataFrame, template: str, allow_missing: bool = True) -> DataFrame:
+    """case, seq and path of a template like '{case}_{seq}.nii.gz' for each pair of short lists that a listing(path) has; else a missing one is an error."""
+    path = F.replace(F.replace(F.lit(template), F.lit("{case}"), F.col("case")), F.lit("{seq}"), F.col("seq"))
+    wanted = units.join(sequences).withColumn("path", path)
+    found = wanted.join(listing.select("path", F.lit(True).alias("_there")), "path", "left")
+    if allow_missing:
+        return found.where("_there").select("case", "seq", "path")
+    return found.select("case", "seq", F.when(F.col("_there"), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("missing: "), "path"))).alias("path"))
+
+
+def triplets(truth: DataFrame, labels: DataFrame, made: DataFrame, keys: list[str]) -> DataFrame:
+    """keys..., and the paths of cases that all three listings have."""
+    named = [d.select(*keys, F.col("path").alias(n)) for d, n in ((truth, "truth_path"), (labels, "label_path"), (made, "made_path"))]
+    return named[0].join(named[1], keys).join(named[2], keys)
+
+
 def kfold(units: DataFrame, unit: str, k: int, order: Column) -> DataFrame:
     """unit, fold: contiguous blocks of the order given, of sizes (n + i) div k. Units are patients: their number fits one window."""
     n = units.count()

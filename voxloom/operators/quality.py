@@ -145,8 +145,21 @@ def ssim_slice(a: np.ndarray, b: np.ndarray, span: float, window: int = 7) -> fl
     return float(np.mean((2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))))
 
 
-def ssim_slicewise(voxels: DataFrame, truth: str, made: str, shape: tuple[int, int, int], axis: str = "z", keys: tuple[str, ...] = ("patient",)) -> DataFrame:
-    """keys..., ssim: the mean over slices across an axis, 0 if none counts. A task holds one slice at a time."""
+def ssim_gaussian(a: np.ndarray, b: np.ndarray, span: float | None = None, window: int = 7) -> float:
+    """Mean structural similarity of images or volumes with Gaussian windows, made odd and no larger than the smallest side; NaN for a side under 3 or no range."""
+    side = min(a.shape)
+    span = float(np.ptp(a)) if span is None else span
+    if side < 3 or not span > 0:
+        return float("nan")
+    window = min(window, side if side % 2 else side - 1)
+    c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
+    ma, mb = _gauss(a, window), _gauss(b, window)
+    va, vb, cov = _gauss(a * a, window) - ma * ma, _gauss(b * b, window) - mb * mb, _gauss(a * b, window) - ma * mb
+    return float(np.mean((2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))))
+
+
+def ssim_slicewise(voxels: DataFrame, truth: str, made: str, shape: tuple[int, int, int], axis: str = "z", keys: tuple[str, ...] = ("patient",), gaussian: bool = False) -> DataFrame:
+    """keys..., ssim: the mean over slices across an axis, 0 if none counts, with uniform or Gaussian windows. A task holds one slice at a time."""
     if axis not in ("z", "y", "x"):
         raise ValueError(f"unknown axis {axis}")
     rest = [a for a in ("z", "y", "x") if a != axis]
@@ -156,7 +169,7 @@ def ssim_slicewise(voxels: DataFrame, truth: str, made: str, shape: tuple[int, i
         a, b = np.zeros((2, n, m))
         at = (pdf[rest[0]].to_numpy(), pdf[rest[1]].to_numpy())
         a[at], b[at] = pdf[truth].to_numpy(), pdf[made].to_numpy()
-        return pd.DataFrame([(*key, ssim_slice(a, b, float(np.ptp(a))))], columns=[*keys, axis, "s"])
+        return pd.DataFrame([(*key, (ssim_gaussian if gaussian else ssim_slice)(a, b, float(np.ptp(a))))], columns=[*keys, axis, "s"])
 
     schema = ", ".join([f"{k} {dict(voxels.dtypes)[k]}" for k in (*keys, axis)] + ["s double"])
     slices = voxels.select(*keys, "z", "y", "x", truth, made).groupBy(*keys, axis).applyInPandas(one, schema)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.functions.special import p_chi2, p_normal, p_student
+from voxloom.functions.special import normal_sf2, p_chi2, p_normal, p_student, shapiro_wilk
 
 
 def average_rank(value: str, keys: list[str]) -> Column:
@@ -183,3 +183,38 @@ def mixed_model_means(metrics: DataFrame, value: str, unit: str, side: str, cond
     kinds = dict(metrics.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, side, condition]) + ", n_units long, mean double, se double, low double, high double"
     return metrics.where(F.col(value).isNotNull()).groupBy(*keys).applyInPandas(one, schema)
+
+
+def mixed_model_contrasts(metrics: DataFrame, value: str, unit: str, side: str, condition: str, keys: list[str], baseline: str | None = None) -> DataFrame:
+    """keys..., side, condition, baseline, estimate, se, z and p_raw of each side against the baseline (by default the first) in each condition; p_holm within keys."""
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([side, condition, unit])
+        cells = pdf[[side, condition]].drop_duplicates().reset_index(drop=True)
+        at = pdf[[side, condition]].merge(cells.reset_index(), on=[side, condition], how="left")["index"].to_numpy()
+        b, cov, _, _ = fit_random_intercept(pdf[value].to_numpy(float), np.eye(len(cells))[at], pdf[unit].to_numpy())
+        place = {tuple(c): i for i, c in enumerate(cells.itertuples(index=False, name=None))}
+        base, out = baseline or cells[side].min(), []
+        for (s, c), i in place.items():
+            j = place.get((base, c))
+            if s != base and j is not None:
+                se = float(np.sqrt(max(cov[i, i] + cov[j, j] - 2 * cov[i, j], 0)))
+                z = (b[i] - b[j]) / se if se > 0 else None
+                out.append((*key, s, c, base, float(b[i] - b[j]), se, z, normal_sf2(z) if z is not None else None))
+        return pd.DataFrame(out, columns=[*keys, side, condition, "baseline", "estimate", "se", "z", "p_raw"])
+
+    kinds = dict(metrics.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, side, condition]) + f", baseline {kinds[side]}, estimate double, se double, z double, p_raw double"
+    found = metrics.where(F.col(value).isNotNull()).groupBy(*keys).applyInPandas(one, schema)
+    return adjust(found, "p_raw", "holm", keys, [side, condition]).withColumnRenamed("p_adj", "p_holm")
+
+
+def normality(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """keys..., n, w, p: Shapiro-Wilk over a group's few means."""
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        w, p = shapiro_wilk(pdf[value].tolist())
+        return pd.DataFrame([(*key, len(pdf), w, p)], columns=[*keys, "n", "w", "p"])
+
+    schema = ", ".join(f"{k} {t}" for k, t in rows.select(*keys).dtypes) + ", n long, w double, p double"
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys).applyInPandas(one, schema)

@@ -265,3 +265,26 @@ def bootstrap_ci(spark, sf_dir):
 @query()
 def lmm_emm(spark, sf_dir):
     return r6(stats.mixed_model_means(metrics(spark, sf_dir), "psnr", "case_id", "model", "spacing", ["pulse"]), "pulse", "model", "spacing", "n_units", digits=5)
+
+
+@query()
+def lmm_contrasts(spark, sf_dir):
+    return r6(stats.mixed_model_contrasts(metrics(spark, sf_dir), "psnr", "case_id", "model", "spacing", ["pulse"]), "pulse", "model", "spacing", "baseline", digits=5)
+
+
+@query()
+def normality_of_fold_means(spark, sf_dir):
+    means = metrics(spark, sf_dir).groupBy("model", (F.col("case_id") % 20).alias("fold")).agg(F.avg("psnr").alias("v"))
+    return r6(stats.normality(means, "v", ["model"]), "model", "n")
+
+
+@query()
+def friedman_p_values(spark, sf_dir):
+    return r6(stats.friedman(metrics(spark, sf_dir), "psnr", "case_id", "model", KEYS, with_p=True), *KEYS, "n", "k")
+
+
+@query(f"{BASE} SELECT a.case_id, a.model, a.case_id || '_' || a.model AS truth_path, b.case_id || '-' || b.model AS label_path, c.case_id || '+' || c.model AS made_path FROM m a JOIN m b USING (case_id, model) JOIN m c USING (case_id, model) WHERE a.pulse = 'A' AND a.spacing = 'F' AND b.pulse = 'N' AND b.spacing = 'F' AND c.pulse = 'R' AND c.spacing = 'P'")
+def path_triplets(spark, sf_dir):
+    m = metrics(spark, sf_dir)
+    of = lambda pulse, spacing, mark: m.where((F.col("pulse") == pulse) & (F.col("spacing") == spacing)).select("case_id", "model", F.concat_ws(mark, "case_id", "model").alias("path"))
+    return coverage.triplets(of("A", "F", "_"), of("N", "F", "-"), of("R", "P", "+"), ["case_id", "model"])

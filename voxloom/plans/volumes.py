@@ -335,6 +335,11 @@ def ssim_slicewise(spark, sf_dir):
     return r6(quality.ssim_slicewise(voxels(spark, sf_dir), "hr", "e2", grid(spark, sf_dir).shape), "patient")
 
 
+@query()
+def ssim_gaussian_slices(spark, sf_dir):
+    return r6(quality.ssim_slicewise(voxels(spark, sf_dir), "hr", "e2", grid(spark, sf_dir).shape, gaussian=True), "patient")
+
+
 @query()
 def ms_ssim_3d(spark, sf_dir):
     return r6(quality.ms_ssim_by_volume(voxels(spark, sf_dir), "hr", "e2", grid(spark, sf_dir).shape), "patient")
@@ -409,6 +414,13 @@ def largest_component(spark, sf_dir):
     return kernels.by_volume(voxels(spark, sf_dir), run, "voxels long", ["hr"], grid(spark, sf_dir).shape)
 
 
+@query()
+def brain_mask_sizes(spark, sf_dir):
+    import pandas as pd
+
+    return kernels.by_volume(voxels(spark, sf_dir), lambda x: pd.DataFrame([{"voxels": int(kernels.brain_mask(x + 0.3).sum())}]), "voxels long", ["hr"], grid(spark, sf_dir).shape)
+
+
 # ---- texture
 
 
