@@ -19,7 +19,7 @@ def texts(seed: int = 1, n: int = 60) -> list[str | None]:
             w[r.randrange(len(w))] = "changed"
         out.append(" ".join(w))
         out.append(r.choice([t, t.upper(), t.replace(" ", "\n\t "), t + " tail", "Ünïcödé ß 漢字 😀 " + t]))
-    return out + [None, "", " \n\t ", None, "x", "word " * 30_000, "a", "a b", "A b"]
+    return out + [None, "", " \n\t ", None, "x", "word " * 30_000, "the of and " * 20_000, "a", "a b", "A b"]
 
 
 def rows(seed: int = 1, n: int = 60) -> list[tuple]:

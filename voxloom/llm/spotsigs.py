@@ -38,8 +38,9 @@ def _anchors() -> str:
 def with_signatures(docs: DataFrame, text: str, out: str, chain: int = CHAIN) -> DataFrame:
     """docs with out, the sorted set of signature hashes of the column text; a text with words but without spots has one, of all its words; one without words has none."""
     words = F.trim(F.regexp_replace(F.lower(F.col(text)), WORDS, " "))
-    # a space before each word; a run of anchors becomes a tab, so that all parts but the first begin at a spot
-    parts = F.split(F.regexp_replace(F.concat(F.lit(" "), F.col("_words")), rf"(?: (?:{_anchors()})(?![^ ]))+", "\t"), "\t")
+    # a space before each word; each anchor becomes a tab, so that all parts but the first begin at a spot.
+    # Runs of tabs are split at, not matched as repeated words: Java's matcher would recurse once for each of them
+    parts = F.split(F.regexp_replace(F.concat(F.lit(" "), F.col("_words")), rf" (?:{_anchors()})(?![^ ])", "\t"), "\t+")
     nth = lambda i: F.coalesce(F.get("_parts", i), F.lit(""))
     following = F.transform(F.sequence(F.lit(1), F.size("_parts") - 1), lambda i: F.substring_index(F.concat(nth(i), nth(i + 1), nth(i + 2)), " ", chain + 1))
     spots = F.when(F.size("_parts") > 1, F.filter(following, lambda s: s != "")).otherwise(F.array().cast("array<string>"))
