@@ -49,19 +49,24 @@ def test_components(spark):
     assert shared.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_shared_folder_needs_a_setting_on_a_cluster():
-    class Context:
-        master = "spark://host"
-
-        def getConf(self):
-            return {}
-
+def test_shared_folder(spark):
     class Session:
-        sparkContext = Context()
-        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
-
-    with pytest.raises(ValueError):
-        shared.shared_dir(Session())
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "app"
+            getConf = staticmethod(dict)
+            _jvm, _jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+
+    for master in ("spark://host:7077", "local-cluster[3,2,1000]"):
+        Session.sparkContext.master = master
+        with pytest.raises(ValueError):
+            shared.shared_dir(Session())
+    Session.sparkContext.master = "local[2]"
+    own = shared.shared_dir(Session())
+    assert own.startswith("file:") and own == shared.shared_dir(Session()) != shared.shared_dir(spark)
+    with files.writing(f"{own}/x/y") as f:
+        f.write(b"abc")
+    with files.reading(f"{own}/x/y") as f:
+        assert f.read_at(2, 1) == b"bc"
 
 
 # ---- 1 fingerprints
@@ -76,7 +81,7 @@ def test_spotsigs_by_brute_force(spark):
         w = [x for x in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if x]
         content = [(i, x) for i, x in enumerate(w) if x not in anchors]
         found = {tuple(y for _, y in content[j : j + 2]) for j, (i, _) in enumerate(content) if i and w[i - 1] in anchors}
-        return found or ({tuple(w)} if w else set())
+        return found or {(x,) for x in w}
 
     like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
     got = {r.doc_id: r for r in spotsigs.edited_fingerprints(df).collect()}

@@ -8,7 +8,10 @@ from pyarrow import fs
 
 
 def at(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    """The file system and the path in it; Hadoop writes file:/path where others write file:///path."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
 
 
 @contextmanager

@@ -13,23 +13,22 @@ SPACE = r"[\x20\x09-\x0D]+"
 NOT_ONE_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
 _written: list[str] = []
+_own: dict[str, str] = {}  # by application
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir.
+    """The folder that the driver and all executors see: spark.checkpoint.dir, with its file system.
 
     Only a local session may do without the setting; it then gets a folder of its own.
     """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or _own.get(context.applicationId)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="voxloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        found = _own[context.applicationId] = tempfile.mkdtemp(prefix="voxloom-")
+    path = context._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
