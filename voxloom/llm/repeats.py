@@ -208,11 +208,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot_core: int = HOT_CORE) ->
 
     anchors = written(keyed.select("id", "h", "text").mapInArrow(_anchored(length), "gram long, id long, h long"), "anchors")
     single = anchors.join(extra, ["id", "h"], "left_anti")
-    hot = single.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written, so that the join has a plain side and the rows of a very common gram can be split
+    hot = written(single.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams").hint("merge")
     of_text = single.join(hot, "gram").groupBy("id", "h").agg(F.collect_set("gram").alias("hot"))
     blocks = written(keyed.join(of_text, ["id", "h"]).select("id", "h", "text", "hot").mapInArrow(_blocks(length), "core long, edges binary, mask long, id long, h long, s0 long"), "blocks")
 
-    cores = blocks.groupBy("core").agg(F.count("*").alias("total")).where("total > 1")
+    cores = written(blocks.groupBy("core").agg(F.count("*").alias("total")).where("total > 1"), "cores").hint("merge")
     classes = blocks.join(cores, "core").groupBy("core", "edges", "mask", "total").agg(F.count("*").alias("n")).withColumn("class", F.xxhash64("edges", "mask"))
     classes = written(classes, "classes")
     usual = classes.where(F.col("total") <= hot_core).select("core", "class", "edges", "mask", "n").repartition("core").sortWithinPartitions("core").mapInArrow(_repeated_in_core, "core long, class long, bits long")
