@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
             sums = [other[h].sums(t) for t, h in zip(text, half, strict=True)]
             yield pa.RecordBatch.from_pydict({"total": [float(s[0]) for s in sums], "hits": [s[1] for s in sums], "words": [s[2] for s in sums], "toxic": pa.array(toxic, pa.int32())})
 
-    found = sample.mapInArrow(crossed, "total double, hits long, words long, toxic int").orderBy("total", "hits", "words", "toxic").collect()  # train_rows at most
+    found = sorted(sample.mapInArrow(crossed, "total double, hits long, words long, toxic int").collect())  # train_rows at most
     beta = fit_logistic(np.array([features(r.total, r.hits, r.words) for r in found]), np.array([float(r.toxic) for r in found]))
     return Model(_weights(counts, 5, (toxic_rows, all_rows - toxic_rows)), [float(x) for x in beta])
 
