@@ -23,7 +23,6 @@ ANCHORS = (
     "al como con del el es esta lo los las más no para pero por su una y"
 ).split()
 CHAIN = 2
-#: No hash of a signature: the text's words as one signature, for texts without any spot.
 WORDS = r"[^\p{L}\p{N}]+"
 
 
@@ -36,7 +35,7 @@ def _anchors() -> str:
 
 
 def with_signatures(docs: DataFrame, text: str, out: str, chain: int = CHAIN) -> DataFrame:
-    """docs with out, the sorted set of signature hashes of the column text; a text with words but without spots has one, of all its words; one without words has none."""
+    """docs with out, the sorted set of signature hashes of the column text; in a text without spots each word is one."""
     words = F.trim(F.regexp_replace(F.lower(F.col(text)), WORDS, " "))
     # a space before each word; each anchor becomes a tab, so that all parts but the first begin at a spot.
     # Runs of tabs are split at, not matched as repeated words: Java's matcher would recurse once for each of them
@@ -44,7 +43,8 @@ def with_signatures(docs: DataFrame, text: str, out: str, chain: int = CHAIN) ->
     nth = lambda i: F.coalesce(F.get("_parts", i), F.lit(""))
     following = F.transform(F.sequence(F.lit(1), F.size("_parts") - 1), lambda i: F.substring_index(F.concat(nth(i), nth(i + 1), nth(i + 2)), " ", chain + 1))
     spots = F.when(F.size("_parts") > 1, F.filter(following, lambda s: s != "")).otherwise(F.array().cast("array<string>"))
-    whole = F.when(F.col("_words") == "", F.array().cast("array<int>")).otherwise(F.array(F.hash("_words")))
+    each = F.array_sort(F.array_distinct(F.transform(F.split("_words", " "), lambda w: F.hash(w))))
+    whole = F.when(F.col("_words") == "", F.array().cast("array<int>")).otherwise(each)
     staged = docs.withColumn("_words", words).withColumn("_parts", parts)
     staged = staged.withColumn("_sigs", F.array_sort(F.array_distinct(F.transform(spots, lambda s: F.hash(s)))))
     return staged.withColumn(out, F.when(F.size("_sigs") > 0, F.col("_sigs")).otherwise(whole)).drop("_words", "_parts", "_sigs")
@@ -85,17 +85,18 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     a doc_id has no next document: its edited text loses its end, and near_next is null.
     Equal fingerprints have likeness 1, empty ones too. Other columns are ignored; an empty table gives no rows.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    text = docs.select("doc_id", "text")  # as they are: both joins then read one and the same exchange of the texts
     known = text.where("doc_id IS NOT NULL")
-    sizes = written(known.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("longest"), F.count("*").alias("n")), "sizes")
+    sizes = written(known.groupBy("doc_id").agg(F.max(F.char_length(text_or_empty("text"))).alias("longest"), F.count("*").alias("n")), "sizes")
     wanted = written(with_next(sizes).join(sizes, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), F.floor(F.col("longest") / 3).cast("int").alias("m")), "next")
-    heads = known.join(wanted, "doc_id")
+    heads = known.join(wanted.hint("merge"), "doc_id").withColumn("text", text_or_empty("text"))
     if sizes.where("n > 1").limit(1).count():
         heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("k = 1")
     heads = with_signatures(heads, "text", "next_sigs").select("for_id", F.substring("text", F.lit(1), F.col("m")).alias("head"), "next_sigs")
-    own = known.join(heads.withColumnRenamed("for_id", "doc_id"), "doc_id", "left")
+    own = known.join(heads.withColumnRenamed("for_id", "doc_id").hint("merge"), "doc_id", "left")
     nothing = text.where("doc_id IS NULL").withColumns({"head": F.lit(""), "next_sigs": F.lit(None).cast("array<int>")})
-    out = with_signatures(own.unionByName(nothing), "text", "sigs").withColumn("n_chars", F.char_length("text").cast("long"))
+    out = own.unionByName(nothing).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": text_or_empty("text")})
+    out = with_signatures(out, "text", "sigs").withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("head", F.lit(1), cut))
     out = out.select("doc_id", "n_chars", "sigs", "next_sigs", edited.alias("edited"))
