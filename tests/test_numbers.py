@@ -92,6 +92,30 @@ def test_moment_form_of_the_kernel_distance(spark):
     assert abs(quality.polynomial_mmd(rows, "side", ["f1", "f2", "f3"], ["k"]).first().mmd - want) < 1e-9
 
 
+def test_kernel_distance_of_whole_volumes_by_pairs(spark):
+    from voxloom.plans import volumes
+
+    sf = "/root/testdata/sf0.001"
+    kernel = lambda p, q: (p @ q.T / 2 + 1) ** 3
+    within = lambda p: (kernel(p, p).sum() - np.trace(kernel(p, p))) / (len(p) * (len(p) - 1))
+    got = {r.patient: r.mmd for r in volumes.mmd_poly3_whole(spark, sf).collect()}
+    v = volumes.voxels(spark, sf).select("patient", "x", "hr", "e1").toPandas()
+    assert set(got) == set(v.patient)
+    for patient, rows in v.groupby("patient"):
+        a, b = (rows[rows.x % 2 == k][["hr", "e1"]].to_numpy() for k in (0, 1))
+        assert abs(got[patient] - max(0, within(a) + within(b) - 2 * kernel(a, b).mean())) < 1e-6
+
+
+def test_common_boxes_reach_all_but_two_slices(spark):
+    from voxloom.plans import scenes, volumes
+
+    sf = "/root/testdata/sf0.1"
+    nz = volumes.depth(spark, sf)
+    assert nz > 10
+    assert {r.n for r in scenes.crop_to_common_depth(spark, sf).collect()} == {(nz - 2) * 9 * 60}
+    assert {r.n for r in scenes.pad_to_common_depth(spark, sf).collect()} == {(nz - 2) * 9 * 64 + nz * 10 * 60 - (nz - 2) * 9 * 60}
+
+
 def test_structural_similarity():
     rng = np.random.default_rng(42)
     v = rng.uniform(size=(24, 24, 24)) * 100

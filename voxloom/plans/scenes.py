@@ -50,6 +50,25 @@ def pad_to_common_box(spark, sf_dir):
     return geometry.pad_to_both(*_two(spark, sf_dir), ["patient"], ["hr", "e1"]).groupBy("patient").agg(F.count("*").alias("n"), F.round(quality.mae("hr", "e1"), 6).alias("mae"))
 
 
+_DEEP = "a AS (SELECT patient, z, y, x, hr FROM vox WHERE z < (SELECT max(z) - 1 FROM vox) AND y < 9)"
+
+
+def _two_deep(spark, sf_dir):
+    """All slices but the last two on one side, and the first 60 columns on the other."""
+    v, (nz, _, _) = voxels(spark, sf_dir), grid(spark, sf_dir).shape
+    return v.where((F.col("z") < nz - 2) & (F.col("y") < 9)).select("patient", "z", "y", "x", "hr"), v.where("x < 60").select("patient", "z", "y", "x", "e1")
+
+
+@query(f"{BASE}, {_DEEP}, {_B} SELECT patient, count(*) AS n, round(avg(abs(hr - e1)), 6) AS mae FROM a JOIN b USING (patient, z, y, x) GROUP BY 1")
+def crop_to_common_depth(spark, sf_dir):
+    return geometry.crop_to_common(*_two_deep(spark, sf_dir), ["patient"]).groupBy("patient").agg(F.count("*").alias("n"), F.round(quality.mae("hr", "e1"), 6).alias("mae"))
+
+
+@query(f"{BASE}, {_DEEP}, {_B} SELECT patient, count(*) AS n, round(avg(abs(coalesce(hr, 0) - coalesce(e1, 0))), 6) AS mae FROM a FULL JOIN b USING (patient, z, y, x) GROUP BY 1")
+def pad_to_common_depth(spark, sf_dir):
+    return geometry.pad_to_both(*_two_deep(spark, sf_dir), ["patient"], ["hr", "e1"]).groupBy("patient").agg(F.count("*").alias("n"), F.round(quality.mae("hr", "e1"), 6).alias("mae"))
+
+
 @query(f"{BASE}, k AS (SELECT patient, z, y, x FROM vox WHERE seg > 0) SELECT vox.patient, count(*) AS n, round(sum(CASE WHEN k.z IS NULL THEN 0 ELSE e1 END), 5) AS total FROM vox LEFT JOIN k ON vox.patient = k.patient AND vox.z = k.z AND vox.y = k.y AND vox.x = k.x GROUP BY 1")
 def masked_volume(spark, sf_dir):
     v = voxels(spark, sf_dir)
