@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import itertools
+import random
 import re
 import struct
 import zipfile
@@ -251,6 +252,57 @@ def test_secrets_scan(spark):
     assert secrets.scan(df, TOKENIZER, own).where("secret").count() >= 3
 
 
+def plain_values(text: str) -> list[str]:
+    """Assigned values by a walk over white space and quotes."""
+    out, i = [], 0
+    while i < len(text):
+        if text[i] not in ":=":
+            i += 1
+            continue
+        name = re.search(r"[\w-]*$", text[:i].rstrip(" \t").rstrip("\"'"))[0].lower()
+        j = i + 1
+        while j < len(text) and text[j] in " \t":
+            j += 1
+        quote = text[j] if j < len(text) and text[j] in "\"'" else ""
+        j += len(quote)
+        k = j
+        while k < len(text) and not text[k].isspace() and text[k] not in (quote or "\"'"):
+            k += 1
+        if any(w in name for w in ("pass", "pwd", "secret", "token", "apikey", "api_key", "api-key", "auth")) and k - j >= 8:
+            out.append(text[j:k])
+            i = k
+        else:
+            i += 1
+    return out
+
+
+def test_secret_values_are_whole_by_plain_scan(spark):
+    r = random.Random(8)
+    pick = lambda k: "".join(r.choice("abcXYZ012!@#%*$&<>^+/._-") for _ in range(k))
+    values = ["a1B2" * 75, "S3cr$tPass99", "P@ss#word123", "abcdefgh#123", "abcDEF12345", "abc123xyz99", "eyJhbGci0iJ9." + "Q1" * 200 + ".sig0-_x", *[pick(r.randint(8, 400)) for _ in range(40)]]
+    names = ["token", "pwd", "password", "client_secret", "access_token", "DB_PASSWORD", "X-Auth-Token", "my_api_key_2"]
+    lines = [f"so {n}{t}{q}{v}{q} end" for v in values for n in names for t, q in ((" = ", ""), ("=", '"'), (": ", "'"))]
+    for line, v in zip(lines, [v for v in values for _ in range(24)], strict=True):
+        spans = secrets.found_in(line)
+        assert [line[a:b] for a, b in spans] == plain_values(line) == [v], line
+    text = "\n".join(lines)
+    assert [text[a:b] for a, b in secrets.found_in(text)] == plain_values(text)
+    assert [text[a:b] for text in ["auth: password: abc12345 x", 'token="a1b2\\"c3d4"'] for a, b in secrets.found_in(text)] == ["password:", "abc12345", 'a1b2\\"c3d4']
+    key = "AKIA" + "Q7ZP4M2XK9RT5WBN"
+    assert [(a, b) for a, b in secrets.found_in(f"{key} DB_PASSWORD=abcdef1234567890xyz {key}")] == [(0, 20), (33, 52), (53, 73)]
+    out = secrets.scan(spark.createDataFrame([(1, f"token = {values[0]} end", "src")], "doc_id long, text string, path string"), TOKENIZER).collect()
+    assert [(x.length, x.value_sha256) for x in out] == [(300, hashlib.sha256(values[0].encode()).hexdigest())]
+
+
+def test_secret_candidates_take_linear_time():
+    import time
+
+    for text in ("pass" * 100_000, "token=" * 60_000, "a-" * 200_000 + "=", "token=" + "x1" * 200_000, 'auth="' * 60_000, "secret " * 60_000):
+        began = time.perf_counter()
+        secrets.found_in(text)
+        assert time.perf_counter() - began < 5
+
+
 # ---- 5 exact dedup
 
 

@@ -30,7 +30,10 @@ TRAIN_FINDINGS = 6_000
 TREES, DEPTH = 30, 8
 THRESHOLD = 0.5
 
-ASSIGNED = re.compile(r"""(?i)\b(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|auth)["']?[ \t]*[:=][ \t]*["']?([^\s"'<>%*$&#]{8,200})""")
+#: A name that holds a keyword, and what assigns to it.
+NAME = re.compile(r"""(?i)(?<![\w-])(?=[\w-]*?(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|auth))[\w-]++["']?[ \t]*[:=][ \t]*""")
+#: An assigned value of any length: up to its closing quote or white space; a quote after a backslash doesn't close it.
+VALUE = re.compile(r""""((?:\\\S|[^\s"\\]){8,}+)|'((?:\\\S|[^\s'\\]){8,}+)|([^\s"']{8,}+)""")
 RUN = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/=_-]{15,}")
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "credential", "bearer")
 HARMLESS = ("commit", "sha", "checksum", "digest", "md5", "uuid", "id", "example", "order", "isbn", "version", "card")
@@ -91,17 +94,18 @@ def features(value: str, before: str, after: str, path: str, dictionary_path: st
 
 
 def found_in(text: str) -> list[tuple[int, int]]:
-    """Spans of the candidates in a text, in order, without overlaps: assigned values, then long runs with digits."""
-    spans = [m.span(1) for m in ASSIGNED.finditer(text)]
-    taken = iter([*spans, (len(text) + 1, len(text) + 1)])
-    a, b = next(taken)
-    out = []
-    for m in RUN.finditer(text):
-        while b <= m.start():
-            a, b = next(taken)
-        if m.end() <= a and any(c.isdigit() for c in m[0]):
-            out.append(m.span())
-    return sorted(spans + out)
+    """Spans of the candidates in a text, in order, without overlaps: assigned values, then long runs with digits outside of them and their names.
+
+    A value ends at its closing quote or white space, which no run has, so it is the longer one wherever both overlap.
+    """
+    spans, free, end = [], [], 0
+    for m in NAME.finditer(text):
+        if m.end() >= end and (v := VALUE.match(text, m.end())):  # names within a value are part of it
+            spans.append(v.span(v.lastindex))
+            free.append((end, m.start()))
+            end = v.end()
+    free.append((end, len(text)))
+    return sorted(spans + [m.span() for lo, hi in free for m in RUN.finditer(text, lo, hi) if any(c.isdigit() for c in m[0])])
 
 
 def candidates(docs: DataFrame, dictionary_path: str) -> DataFrame:
