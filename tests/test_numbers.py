@@ -196,6 +196,21 @@ def test_masks_and_resampling():
     assert abs(quality.ssim_gaussian(v, v) - 1) < 1e-12 and math.isnan(quality.ssim_gaussian(v[:2], v[:2]))
 
 
+def test_spread_out_by_full_scan(spark):
+    peaks = [(0, z, y, x, 100.0 - abs(z - 8) - abs(y - 8) - abs(x - 8)) for z in range(16) for y in range(16) for x in range(16)]
+    peaks += [(1, z, y, x, float((z * 7 + y * 3 + x * 5) % 11)) for z in range(5) for y in range(5) for x in range(5)] + [(2, 0, 0, 0, 1.0), (2, 0, 0, 1, 2.0)]
+    for apart in (4.0, 7.5):
+        got = geometry.spread_out(spark.createDataFrame(peaks, "k int, z int, y int, x int, s double"), "s", ["z", "y", "x"], ["k"], 5, apart).orderBy("k", "rank").collect()
+        for k in (0, 1, 2):
+            want: list[tuple] = []
+            for least in (apart, apart / 2):
+                for p in sorted((p for p in peaks if p[0] == k), key=lambda p: (-p[4], p[1:4])):
+                    if len(want) < 5 and all(math.dist(p[1:4], o[1:4]) >= least for o in want):
+                        want.append(p)
+            assert [(r.rank, r.k, r.z, r.y, r.x, r.s) for r in got if r.k == k] == [(i + 1, *p) for i, p in enumerate(want)]
+        assert sum(r.k == 0 for r in got) == 5
+
+
 def test_rank_statistics_with_ties(spark):
     m = spark.createDataFrame([("k", "a", 1.0), ("k", "a", 2.0), ("k", "a", 3.0), ("k", "b", 1.0)], "key string, side string, v double")
     assert abs(stats.cliffs_delta(m, "v", "side", "a", "b", ["key"]).first().delta - 2 / 3) < 1e-12

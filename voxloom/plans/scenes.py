@@ -99,8 +99,8 @@ def patch_scan(spark, sf_dir):
 
 @query()
 def spread_out_patches(spark, sf_dir):
-    s = geometry.scan_patches(voxels(spark, sf_dir), "hr", F.col("hr") > 0, 4, ["patient"]).where("patient = 0").withColumn("score", F.round("spread", 6))
-    return spark.createDataFrame(geometry.spread_out(s, "score", ["pz", "py", "px"], 5, 4.0), "pz int, py int, px int, score double")
+    s = geometry.scan_patches(voxels(spark, sf_dir), "hr", F.col("hr") > 0, 4, ["patient"]).withColumn("score", F.round("spread", 6))
+    return geometry.spread_out(s, "score", ["pz", "py", "px"], ["patient"], 5, 4.0)
 
 
 @query(f"{BASE}, s AS (SELECT patient, z, round(avg(abs(e1 - hr)) - avg(abs(e2 - hr)), 6) AS gain FROM vox WHERE hr > 0.05 GROUP BY 1, 2) SELECT patient, z AS best_z, gain FROM s QUALIFY row_number() OVER (PARTITION BY patient ORDER BY gain DESC, z) = 1")
