@@ -233,6 +233,41 @@ def test_mixed_model_equals_cell_means_when_complete():
     assert 0.5 < noise < 2 and 1 < between < 9 and (np.diag(cov) > 0).all()
 
 
+def test_mixed_model_from_sums(spark):
+    rng = np.random.default_rng(3)
+    rows = [(p, int(u), f"m{c % 3}", f"s{c // 3}", float(u % 7 + c + rng.normal())) for p in ("A", "R") for u in range(12) for c in range(6) for _ in range(rng.integers(0, 3))]
+    df = spark.createDataFrame([*rows, ("A", 1, "m0", "s0", None)], "pulse string, unit int, model string, spacing string, v double")
+    # one task gets a row for each size and pair of cells, however many units there are
+    many = df.union(df.withColumn("unit", F.col("unit") + 12)).union(df.withColumn("unit", F.col("unit") + 24))
+    sums = [stats.unit_sums(d, "v", "unit", "model", "spacing", ["pulse"]).count() for d in (df, many)]
+    assert sums[0] == sums[1]
+    got = {(r.pulse, r.model, r.spacing): r for r in stats.mixed_model_means(df, "v", "unit", "model", "spacing", ["pulse"]).collect()}
+    contrasts = {(r.pulse, r.model, r.spacing): r for r in stats.mixed_model_contrasts(df, "v", "unit", "model", "spacing", ["pulse"]).collect()}
+    for p in ("A", "R"):
+        own = [r for r in rows if r[0] == p]
+        cells = sorted({r[2:4] for r in own})
+        unit, y = np.array([r[1] for r in own]), np.array([r[4] for r in own])
+        x = np.eye(len(cells))[[cells.index(r[2:4]) for r in own]]
+        # REML by the full covariance matrix, over the same search
+        def at(r, x=x, y=y, unit=unit):
+            w = np.linalg.inv(np.eye(len(y)) + r * (unit[:, None] == unit[None, :]))
+            a = x.T @ w @ x
+            b = np.linalg.solve(a, x.T @ w @ y)
+            s2 = (y - x @ b) @ w @ (y - x @ b) / (len(y) - x.shape[1])
+            return (len(y) - x.shape[1]) * np.log(s2) - np.linalg.slogdet(w)[1] + np.linalg.slogdet(a)[1], b, np.linalg.inv(a) * s2
+        lo, hi, g = -12.0, 12.0, (np.sqrt(5) - 1) / 2
+        for _ in range(35):
+            c, d = hi - g * (hi - lo), lo + g * (hi - lo)
+            lo, hi = (lo, d) if at(np.exp(c))[0] < at(np.exp(d))[0] else (c, hi)
+        _, b, cov = at(np.exp((lo + hi) / 2))
+        for k, cell in enumerate(cells):
+            r = got[(p, *cell)]
+            assert abs(r["mean"] - b[k]) < 1e-5 and abs(r.se - np.sqrt(cov[k, k])) < 1e-5 and r.n_units == len({q[1] for q in own if q[2:4] == cell})
+            if cell[0] != "m0":
+                j = cells.index(("m0", cell[1]))
+                assert abs(contrasts[(p, *cell)].estimate - (b[k] - b[j])) < 1e-5
+
+
 def test_dice_and_folds(spark):
     v = spark.createDataFrame([(0, a, b) for a, b in [(3, 3)] * 12 + [(3, 17)] * 4 + [(17, 17)] * 8], "patient int, a int, b int")
     labels = spark.createDataFrame([("l3", 3), ("l17", 17), ("none", 9)], "region string, label int")

@@ -147,16 +147,23 @@ def fit_random_intercept(y: np.ndarray, x: np.ndarray, group: np.ndarray) -> tup
     n = np.bincount(at).astype(float)
     sums = lambda v: np.stack([np.bincount(at, c) for c in v.T], axis=1)
     sx, sy = sums(x), np.bincount(at, y)
-    xx, xy, yy = x.T @ x, x.T @ y, y @ y
+    sizes, of = np.unique(n, return_inverse=True)
+    per = [of == i for i in range(len(sizes))]
+    return reml(sizes, np.bincount(of).astype(float), np.stack([sx[p].T @ sx[p] for p in per]), np.stack([sx[p].T @ sy[p] for p in per]), np.array([sy[p] @ sy[p] for p in per]), x.T @ x, x.T @ y, y @ y, len(y))
+
+
+def reml(n: np.ndarray, times: np.ndarray, sxx: np.ndarray, sxy: np.ndarray, syy: np.ndarray, xx: np.ndarray, xy: np.ndarray, yy: float, rows: int) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """fit_random_intercept from sums: for each size n of a group, how many groups have it, and the sums over them of the squares and products of their sums of x and y."""
 
     def at_ratio(r: float):
         k = r / (1 + r * n)
-        a = xx - (sx * k[:, None]).T @ sx
-        b = np.linalg.lstsq(a, xy - (sx * k[:, None]).T @ sy, rcond=None)[0]
-        rss = yy - (k * sy * sy).sum() - b @ (xy - (sx * k[:, None]).T @ sy)
-        df = len(y) - x.shape[1]
+        a = xx - np.tensordot(k, sxx, 1)
+        c = xy - k @ sxy
+        b = np.linalg.lstsq(a, c, rcond=None)[0]
+        rss = yy - k @ syy - b @ c
+        df = rows - len(xy)
         s2 = max(rss / df, 1e-300)
-        return df * np.log(s2) + np.log(1 + r * n).sum() + np.linalg.slogdet(a)[1], b, a, s2
+        return df * np.log(s2) + times @ np.log(1 + r * n) + np.linalg.slogdet(a)[1], b, a, s2
 
     lo, hi, g = -12.0, 12.0, (np.sqrt(5) - 1) / 2
     for _ in range(80):
@@ -166,34 +173,56 @@ def fit_random_intercept(y: np.ndarray, x: np.ndarray, group: np.ndarray) -> tup
     return b, np.linalg.pinv(a) * s2, s2, s2 * float(np.exp((lo + hi) / 2))
 
 
+def unit_sums(metrics: DataFrame, value: str, unit: str, side: str, condition: str, keys: list[str]) -> DataFrame:
+    """keys..., n, the cells a and b, and sums over the units of n rows that have both: what reml needs, in as many rows as there are sizes n and pairs of cells."""
+    v = F.col(value).cast("double")
+    cells = metrics.where(F.col(value).isNotNull()).groupBy(*keys, unit, side, condition).agg(F.count("*").cast("double").alias("c"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    units = cells.groupBy(*keys, unit).agg(F.sum("c").alias("n"), F.collect_list(F.struct(side, condition, "c", "s", "q")).alias("cells"))
+    pairs = units.withColumn("a", F.explode("cells")).withColumn("b", F.explode("cells"))
+    names = [F.col(f"{p}.{c}").alias(f"{p}_{k}") for p in "ab" for k, c in (("side", side), ("condition", condition))]
+    return pairs.groupBy(*keys, "n", *names).agg(F.count("*").alias("units"), *[F.sum(f"a.{x}").alias(x) for x in "csq"], *[F.sum(F.col(f"a.{x}") * F.col(f"b.{y}")).alias(x + y) for x, y in ("cc", "cs", "ss")])
+
+
+def fit_cells(pdf: pd.DataFrame, side: str, condition: str) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """The cells with n_units, their means and the means' covariance, from rows of unit_sums."""
+    names = ["a_side", "a_condition"]
+    cells = pdf[names].drop_duplicates().sort_values(names).reset_index(drop=True)
+    index = lambda p: pdf[[f"{p}_side", f"{p}_condition"]].set_axis(names, axis=1).merge(cells.reset_index(), on=names, how="left")["index"].to_numpy()
+    i, j = index("a"), index("b")
+    sizes, of = np.unique(pdf["n"].to_numpy(), return_inverse=True)
+    own, m = i == j, len(cells)
+    sxx, sxy = np.zeros((len(sizes), m, m)), np.zeros((len(sizes), m))
+    np.add.at(sxx, (of, i, j), pdf["cc"].to_numpy())
+    np.add.at(sxy, (of, i), pdf["cs"].to_numpy())
+    total = lambda c: np.bincount(i[own], pdf[c].to_numpy()[own], m)
+    xx = total("c")
+    times = sxx.sum(axis=(1, 2)) / sizes**2
+    b, cov, _, _ = reml(sizes, times, sxx, sxy, np.bincount(of, pdf["ss"].to_numpy()), np.diag(xx), total("s"), total("q").sum(), int(xx.sum()))
+    return cells.set_axis([side, condition], axis=1).assign(n_units=total("units").astype(int)), b, cov
+
+
 def mixed_model_means(metrics: DataFrame, value: str, unit: str, side: str, condition: str, keys: list[str]) -> DataFrame:
     """keys..., side, condition, n_units, mean, se and 95 % limits of each cell, with a random intercept for the unit."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([side, condition, unit])
-        cells = pdf[[side, condition]].drop_duplicates().reset_index(drop=True)
-        at = pdf[[side, condition]].merge(cells.reset_index(), on=[side, condition], how="left")["index"].to_numpy()
-        b, cov, _, _ = fit_random_intercept(pdf[value].to_numpy(float), np.eye(len(cells))[at], pdf[unit].to_numpy())
+        cells, b, cov = fit_cells(pdf, side, condition)
         se = np.sqrt(np.maximum(np.diag(cov), 0))
-        out = cells.assign(n_units=pdf.groupby(at)[unit].nunique().to_numpy(), mean=b, se=se, low=b - 1.96 * se, high=b + 1.96 * se)
+        out = cells.assign(mean=b, se=se, low=b - 1.96 * se, high=b + 1.96 * se)
         for name, k in zip(keys, key, strict=True):
             out[name] = k
         return out
 
     kinds = dict(metrics.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, side, condition]) + ", n_units long, mean double, se double, low double, high double"
-    return metrics.where(F.col(value).isNotNull()).groupBy(*keys).applyInPandas(one, schema)
+    return unit_sums(metrics, value, unit, side, condition, keys).groupBy(*keys).applyInPandas(one, schema)
 
 
 def mixed_model_contrasts(metrics: DataFrame, value: str, unit: str, side: str, condition: str, keys: list[str], baseline: str | None = None) -> DataFrame:
     """keys..., side, condition, baseline, estimate, se, z and p_raw of each side against the baseline (by default the first) in each condition; p_holm within keys."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([side, condition, unit])
-        cells = pdf[[side, condition]].drop_duplicates().reset_index(drop=True)
-        at = pdf[[side, condition]].merge(cells.reset_index(), on=[side, condition], how="left")["index"].to_numpy()
-        b, cov, _, _ = fit_random_intercept(pdf[value].to_numpy(float), np.eye(len(cells))[at], pdf[unit].to_numpy())
-        place = {tuple(c): i for i, c in enumerate(cells.itertuples(index=False, name=None))}
+        cells, b, cov = fit_cells(pdf, side, condition)
+        place = {tuple(c): i for i, c in enumerate(cells[[side, condition]].itertuples(index=False, name=None))}
         base, out = baseline or cells[side].min(), []
         for (s, c), i in place.items():
             j = place.get((base, c))
@@ -205,7 +234,7 @@ def mixed_model_contrasts(metrics: DataFrame, value: str, unit: str, side: str,
 
     kinds = dict(metrics.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, side, condition]) + f", baseline {kinds[side]}, estimate double, se double, z double, p_raw double"
-    found = metrics.where(F.col(value).isNotNull()).groupBy(*keys).applyInPandas(one, schema)
+    found = unit_sums(metrics, value, unit, side, condition, keys).groupBy(*keys).applyInPandas(one, schema)
     return adjust(found, "p_raw", "holm", keys, [side, condition]).withColumnRenamed("p_adj", "p_holm")
 
 
