@@ -3,12 +3,13 @@
 Misra-Gries counters (DataFrame.stat.freqItems keeps 1/support of them per task and
 merges them) name every digest that may hold more than `support` of the rows. An exact
 count verifies the candidates; the winners, at most 1/support of them, are broadcast and
-their rows leave the shuffle on the map side. All other digests are shuffled as usual.
+their rows leave the shuffle on the map side. All other digests are shuffled as usual, and
+summed before they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm.shared import documents, normalised, written
@@ -35,11 +36,10 @@ def exact_dedup(docs: DataFrame, support: float = 0.002) -> DataFrame:
         "winners",
     )
     heavy = digests.join(F.broadcast(winners), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    light = (
-        digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-        .withColumn("keep_id", F.min("doc_id").over(group)).withColumn("group_size", F.count("*").over(group))
-    )
+    light = digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    # groups are summed before their shuffle and joined back, so that none has to fit one task
+    groups = light.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    light = light.join(groups.hint("merge"), "text_sha256")
     columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
     return heavy.select(*columns).union(light.select(*columns))
 
@@ -47,10 +47,14 @@ def exact_dedup(docs: DataFrame, support: float = 0.002) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, support: float = 0.002) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with the columns of docs.
 
-    Rows with a null doc_id are never dropped, as no key tells them apart.
+    A row goes by its id and text together, so that of rows that repeat a doc_id each text
+    is judged alone, and no text leaves with its last row. Equal rows stay or go together.
+    Rows with a null doc_id are never dropped. A null text is empty. Columns of any name are
+    passed on; an empty table gives no rows.
     """
-    dropped = exact_dedup(docs, support).where("not kept").select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    dropped = exact_dedup(docs, support).where("not kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("dropped_id"), F.col("text_sha256").alias("dropped_sha")).distinct()
+    same = (docs["doc_id"] == dropped["dropped_id"]) & (F.sha2(normalised("text"), 256) == dropped["dropped_sha"])
+    return docs.join(dropped, same, "left_anti").select(docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,17 @@
    such signatures agree on some chunk but for floor(T / m) symbols. Each chunk is indexed
    under every choice of that many symbols left out, so such a pair shares a key. T is so
    large that a pair at the similarity threshold is further apart once in some 10,000.
-3. Within each key, pairs are compared by signature; components of those within T are
-   families. A true link never leaves a family.
-4. Within each family the full sets are recomputed from the texts and all pairs compared.
-
-No step holds a key or a family in one task: larger ones are cut into blocks, each pair of
-blocks a task. A task returns a spanning forest of its pairs, never the pairs themselves.
+3. Within a key of up to BLOCK classes all pairs are compared by signature; those of a larger
+   key are all joined to its least one. Components are families. A true link never leaves one.
+4. Within a family the full sets are recomputed from the texts and compared: all pairs of up
+   to BLOCK documents. A larger family is dealt into blocks at random, ROUNDS times, each
+   block compared in full; that joins the copies of one text. Whoever is still apart meets
+   by an index of rare shingles: two sets that are linked share one of their first ones,
+   rarest first, and at a place that leaves both enough of them (a prefix and a place that
+   rule no link out). Only pairs that are apart and pass are compared.
+
+No step holds a key or a family in one task, and texts are sent a fixed number of times, not once for
+each block of a family. A task returns a spanning forest of its pairs, never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.shared import connected_components, documents, text_or_empty, written
@@ -35,6 +40,8 @@ MARGIN = 3.8
 #: Words whose hashes a worker remembers at once.
 REMEMBERED = 500_000
 SEGMENT = 100_000
+#: How often a family of more than BLOCK documents is dealt into blocks.
+ROUNDS = 2
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _A = _rng.integers(0, 2**63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -189,10 +196,10 @@ def _keyed(bound: int) -> Callable:
 
 def _near(bound: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 3, SEGMENT):
-            key, bi, bj, ids = (table.column(i).to_numpy() for i in range(4))
-            sigs = _matrix(table.column(4))
-            new = np.r_[True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]
+        for table in _groups(batches, 1, SEGMENT):
+            key, ids = (table.column(i).to_numpy() for i in range(2))
+            sigs = _matrix(table.column(2))
+            new = np.r_[True, key[1:] != key[:-1]]
             group = np.cumsum(new)
             left = np.bincount(group)[group] - (np.arange(len(group)) - np.flatnonzero(new)[group - 1])  # rows from here to the group's end
             a, b = [], []
@@ -245,6 +252,80 @@ def _linked(k: int, num: int, den: int) -> Callable:
     return run
 
 
+def _in_order(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(root, node, comp, h, text) -> root, node, comp, h, n and every shingle."""
+    hashes = WordHashes()
+    for batch in batches:
+        for i in range(0, batch.num_rows, 100):
+            part = batch.slice(i, 100)
+            sets = [shingles(t, k, hashes) for t in part.column(4).to_pylist()]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            wide = [np.repeat(part.column(c).to_numpy(), sizes) for c in range(4)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, wide), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], names=["root", "node", "comp", "h", "n", "s"])
+
+
+def _passing(num: int, den: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of each group (root, s, bi, bj) that are apart and whose places leave enough to share."""
+        for table in _groups(batches, 4, SEGMENT):
+            heads = [table.column(i).to_numpy() for i in range(4)]
+            node, comp, n, place = (table.column(i).to_numpy() for i in range(4, 8))
+            new = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in heads])]
+            starts = np.flatnonzero(new)
+            for lo, hi in zip(starts, [*starts[1:], len(new)], strict=True):
+                c, size, left, ids = comp[lo:hi], n[lo:hi], n[lo:hi] - place[lo:hi], node[lo:hi]
+                for x in range(hi - lo - 1):
+                    common = np.minimum(left[x], left[x + 1 :])
+                    ok = (c[x + 1 :] != c[x]) & (den * common >= num * (size[x] + size[x + 1 :] - common))
+                    y = np.flatnonzero(ok) + x + 1
+                    if len(y):
+                        yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
+
+    return run
+
+
+def _confirmed(k: int, num: int, den: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
+            keep = []
+            for x, y in zip(ta, tb, strict=True):
+                p, q = shingles(x, k, hashes), shingles(y, k, hashes)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(den * both >= num * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _links_of_large(large: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what is linked in large(root, node, n), families of more than BLOCK documents."""
+    within = None
+    for r in range(ROUNDS):
+        dealt = large.select("root", "node", F.pmod(F.xxhash64("node", F.lit(r)), F.ceil(F.col("n") / BLOCK).cast("long")).cast("int").alias("bi"), F.lit(r).alias("bj"))
+        within = dealt if within is None else within.union(dealt)
+    blocks = texts.join(within.hint("merge"), "node").select("root", "bi", "bj", "node", "text").repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
+    links = written(blocks.mapInArrow(_linked(k, num, den), "a long, b long"), "links")
+    joined = connected_components(links).withColumnRenamed("root", "comp")
+    labelled = large.join(joined, "node", "left").select("root", "node", F.coalesce("comp", "node").alias("comp"))
+    open_ = labelled.groupBy("root").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("root")
+    apart = written(labelled.join(open_.hint("merge"), "root"), "apart")
+    if apart.isEmpty():
+        return links
+    each = written(texts.join(apart.hint("merge"), "node").select("root", "node", "comp", F.xxhash64("text").alias("h"), "text").mapInArrow(lambda b: _in_order(b, k), "root long, node long, comp long, h long, n long, s long"), "apart-shingles")
+    counted = each.join(each.groupBy("root", "s").agg(F.count("*").alias("df")).hint("merge"), ["root", "s"])
+    place = F.row_number().over(Window.partitionBy("root", "node", "h").orderBy("df", "s")) - 1  # a document at a time
+    prefix = counted.withColumn("place", place.cast("long")).where(f"place <= n - ceil(n * {num} / {den}) AND df > 1")
+    prefix = written(prefix.select("root", "s", "node", "comp", "n", "place"), "prefixes")
+    several = prefix.groupBy("root", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("root", "s", "m")
+    met = in_blocks(prefix.join(several.hint("merge"), ["root", "s"]), "m", ["root", "s"], "node", 4 * BLOCK)
+    pairs = met.select("root", "s", "bi", "bj", "node", "comp", "n", "place").mapInArrow(_passing(num, den), "a long, b long").distinct()
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "ta", "tb")
+    return links.union(both.mapInArrow(_confirmed(k, num, den), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs(doc_id, text).
 
@@ -260,15 +341,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     signed = written(_signed(docs, shingle), "signed")
     classes = written(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     keys = classes.select("rep", "sig").mapInArrow(_keyed(bound), "key long, id long")
-    multiple = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    multiple = written(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"), "keys")
     # sorted and merged at every size: none of these sides has a bound that would let it be broadcast
-    hits = keys.join(multiple.hint("merge"), "key").join(classes.select(F.col("rep").alias("id"), "sig").hint("merge"), "id").select("key", "id", "sig", "n")
-    near = in_blocks(hits, "n", ["key"], "id", BLOCK).select("key", "bi", "bj", "id", "sig").mapInArrow(_near(bound), "a long, b long")
+    hits = written(keys.join(multiple.hint("merge"), "key"), "hits")
+    some = hits.where(F.col("n") <= BLOCK).join(classes.select(F.col("rep").alias("id"), "sig").hint("merge"), "id").select("key", "id", "sig").repartition("key").sortWithinPartitions("key")
+    near = some.mapInArrow(_near(bound), "a long, b long").union(hits.where((F.col("n") > BLOCK) & (F.col("id") != F.col("least"))).select("id", "least"))
     families = written(connected_components(near), "families")
     sizes = families.groupBy("root").agg(F.count("*").alias("n"))
-    members = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty("text").alias("text")).join(families.join(sizes, "root").hint("merge"), "node")
-    linked = in_blocks(members, "n", ["root"], "node", BLOCK).select("root", "bi", "bj", "node", "text").mapInArrow(_linked(shingle, num, den), "a long, b long")
-    components = connected_components(linked).select(F.col("node").alias("rep"), "root")
+    families = written(families.join(sizes.hint("merge"), "root"), "sized")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty("text").alias("text")).where("node IS NOT NULL")
+    small = texts.join(families.where(F.col("n") <= BLOCK).hint("merge"), "node").select("root", F.lit(0).alias("bi"), F.lit(0).alias("bj"), "node", "text").repartition("root").sortWithinPartitions("root")
+    linked = small.mapInArrow(_linked(shingle, num, den), "a long, b long")
+    large = families.where(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        linked = linked.union(_links_of_large(large, texts, shingle, num, den))
+    twice = signed.where("n_shingles > 0").groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).where("x <> y")
+    several = signed.join(twice.select("doc_id"), "doc_id").join(classes.select("digest", "rep"), "digest").where("doc_id <> rep")
+    components = connected_components(linked.union(several.select("doc_id", "rep"))).select(F.col("node").alias("rep"), "root")
     of_class = classes.select("digest", "rep").join(components, "rep", "left").select("digest", F.coalesce("root", "rep").alias("c"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(of_class.hint("merge"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
@@ -276,9 +365,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each group of near copies, with the columns of docs."""
-    dropped = near_duplicates(docs, shingle, num, den).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies, with the columns of docs.
+
+    Rows that repeat a doc_id are documents of their own here, told apart by their texts: no text
+    leaves because of another one under its id, and equal rows stay or go together. Null, empty and blank
+    texts, and rows without a doc_id, stay. Columns of any name are passed on; an empty table gives no rows.
+    """
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        gone = near_duplicates(docs, shingle, num, den).where("NOT kept").select(F.col("doc_id").alias("dropped_id"))
+        return docs.join(gone, docs["doc_id"] == gone["dropped_id"], "left_anti").select(docs.columns)
+    copy = F.sha2(text_or_empty("text"), 256)
+    rows = docs.select(F.col("doc_id").alias("dropped_id"), copy.alias("dropped_copy")).where("dropped_id IS NOT NULL").distinct()
+    named = written(rows.orderBy("dropped_id", "dropped_copy").withColumn("doc_id", F.monotonically_increasing_id()), "named")  # ascending as the ids are
+    texts = docs.select(docs["doc_id"].alias("dropped_id"), copy.alias("dropped_copy"), "text").distinct().join(named, ["dropped_id", "dropped_copy"])
+    gone = named.join(near_duplicates(texts.select("doc_id", "text"), shingle, num, den).where("NOT kept"), "doc_id", "left_semi").drop("doc_id")
+    return docs.join(gone, (docs["doc_id"] == gone["dropped_id"]) & (copy == gone["dropped_copy"]), "left_anti").select(docs.columns)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

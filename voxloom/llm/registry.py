@@ -10,5 +10,5 @@ QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
     _module = importlib.import_module(f"voxloom.llm.{_name}")
-    QUERIES |= {k: v for k, v in vars(_module).items() if k.startswith("op") and k[2:3].isdigit()}
+    QUERIES |= {k: v for k, v in vars(_module).items() if (k.startswith("op") and k[2:3].isdigit()) or k == "spotsigs_links"}
     SQL |= getattr(_module, "SQL", {})

@@ -2,10 +2,10 @@
 
 A spot is a run of common words (anchors); its signature is the chain of the next CHAIN
 content words, with anchors in between passed over. A document's fingerprint is the set of
-its signatures' 32-bit hashes, in ascending order, as hexadecimal text. Fingerprints are
-compared by Jaccard. `near_pairs` finds all similar pairs: documents are partitioned by
-the size of their sets, a document only meets those sizes that can reach the
-threshold, and only those that share one of its rarest signatures.
+its signatures' 64-bit hashes, in ascending order, as hexadecimal text. Fingerprints are
+compared by Jaccard. `near_links` finds all similar documents: classes of equal fingerprints
+are partitioned by the size of their sets, a class only meets those sizes that can reach
+the threshold, and only those that share one of its rarest signatures.
 """
 
 from __future__ import annotations
@@ -41,17 +41,18 @@ def with_signatures(docs: DataFrame, text: str, out: str, chain: int = CHAIN) ->
     # Runs of tabs are split at, not matched as repeated words: Java's matcher would recurse once for each of them
     parts = F.split(F.regexp_replace(F.concat(F.lit(" "), F.col("_words")), rf" (?:{_anchors()})(?![^ ])", "\t"), "\t+")
     nth = lambda i: F.coalesce(F.get("_parts", i), F.lit(""))
-    following = F.transform(F.sequence(F.lit(1), F.size("_parts") - 1), lambda i: F.substring_index(F.concat(nth(i), nth(i + 1), nth(i + 2)), " ", chain + 1))
+    # a part between two spots has a word at least, but the last may have none: chain + 1 parts hold the chain
+    following = F.transform(F.sequence(F.lit(1), F.size("_parts") - 1), lambda i: F.substring_index(F.concat(*[nth(i + k) for k in range(chain + 1)]), " ", chain + 1))
     spots = F.when(F.size("_parts") > 1, F.filter(following, lambda s: s != "")).otherwise(F.array().cast("array<string>"))
-    each = F.array_sort(F.array_distinct(F.transform(F.split("_words", " "), lambda w: F.hash(w))))
-    whole = F.when(F.col("_words") == "", F.array().cast("array<int>")).otherwise(each)
+    each = F.array_sort(F.array_distinct(F.transform(F.split("_words", " "), lambda w: F.xxhash64(w))))
+    whole = F.when(F.col("_words") == "", F.array().cast("array<long>")).otherwise(each)
     staged = docs.withColumn("_words", words).withColumn("_parts", parts)
-    staged = staged.withColumn("_sigs", F.array_sort(F.array_distinct(F.transform(spots, lambda s: F.hash(s)))))
+    staged = staged.withColumn("_sigs", F.array_sort(F.array_distinct(F.transform(spots, lambda s: F.xxhash64(s)))))
     return staged.withColumn(out, F.when(F.size("_sigs") > 0, F.col("_sigs")).otherwise(whole)).drop("_words", "_parts", "_sigs")
 
 
 def as_text(sigs: Column) -> Column:
-    return F.array_join(F.transform(sigs, lambda x: F.lpad(F.hex(x.bitwiseAND(0xFFFFFFFF)), 8, "0")), "")
+    return F.array_join(F.transform(sigs, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -94,7 +95,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("k = 1")
     heads = with_signatures(heads, "text", "next_sigs").select("for_id", F.substring("text", F.lit(1), F.col("m")).alias("head"), "next_sigs")
     own = known.join(heads.withColumnRenamed("for_id", "doc_id").hint("merge"), "doc_id", "left")
-    nothing = text.where("doc_id IS NULL").withColumns({"head": F.lit(""), "next_sigs": F.lit(None).cast("array<int>")})
+    nothing = text.where("doc_id IS NULL").withColumns({"head": F.lit(""), "next_sigs": F.lit(None).cast("array<long>")})
     out = own.unionByName(nothing).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": text_or_empty("text")})
     out = with_signatures(out, "text", "sigs").withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
@@ -107,27 +108,42 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): pairs (a, b, likeness) between classes of equal fingerprints with at least that likeness, and members (doc_id, class_id).
+def near_links(docs: DataFrame, threshold: float = 0.8, slices: int = 64) -> DataFrame:
+    """doc_id, class_id and links of every row of docs(doc_id, text) with a doc_id.
 
-    Sets are partitioned by size so that similar ones are in the same partition or the
-    next; within it, those are compared that share one of the first signatures, rarest
-    first, as many as a similar set can't all lack. class_id is the least doc_id of the class.
+    class_id is the least doc_id of the documents with an equal fingerprint; links is the number
+    of other classes whose likeness to the class is `threshold` or more. Sets are partitioned
+    by size so that similar ones are in the same partition or the next; within it, those
+    are compared that share one of the first signatures, rarest first, as many as a similar
+    set can't all lack, and whose places leave enough signatures to come. Pairs are counted
+    and not returned. One side of a signature is dealt out over `slices` tasks, so that a
+    very common one isn't one task's. Null and empty texts are one class without links. Rows that repeat a
+    doc_id are documents of their own. Other columns are ignored; an empty table gives no rows.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).where("doc_id IS NOT NULL")
-    signed = written(with_signatures(known, "text", "sigs").select("doc_id", "sigs", F.md5(as_text(F.col("sigs"))).alias("print")), "signed")
-    classes = signed.groupBy("print").agg(F.min("doc_id").alias("class_id"))
-    members = signed.join(classes, "print").select("doc_id", "class_id")
-    sets = written(signed.join(classes, "print").where("doc_id = class_id AND size(sigs) > 0").select("class_id", "sigs", F.size("sigs").alias("n")).dropDuplicates(["class_id"]), "sets")
-    each = sets.select("class_id", "n", F.explode("sigs").alias("sig"))
-    ranked = each.join(each.groupBy("sig").agg(F.count("*").alias("df")), "sig").withColumn("rank", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "sig")))
-    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
-    zone = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0) / F.log(F.lit(threshold))).cast("int")
-    a = prefix.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array(zone - 1, zone, zone + 1)).alias("zone"))
-    b = prefix.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "sig", zone.alias("zone"))
-    pairs = a.join(b, ["sig", "zone"]).where(F.expr(f"a < b AND least(na, nb) >= {threshold} * greatest(na, nb)")).select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("sigs").alias("sb")), "b")
-    return both.select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= threshold), members
+    signed = written(with_signatures(known, "text", "sigs").select("doc_id", "sigs", F.sha2(as_text(F.col("sigs")), 256).alias("print")), "signed")
+    sets = written(signed.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs")).withColumn("n", F.size("sigs")), "sets")
+    each = sets.where("n > 0").select("print", "n", F.explode("sigs").alias("sig"))
+    counted = each.join(each.groupBy("sig").agg(F.count("*").alias("df")).hint("merge"), "sig")
+    rarest = counted.groupBy("print", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("s"))  # a set at a time
+    kept = F.slice("s", 1, (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))
+    prefix = rarest.select("print", "n", F.posexplode(kept).alias("place", "s")).select("print", "n", "place", "s.sig")
+    prefix = written(prefix.withColumn("zone", F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0) / F.log(F.lit(threshold)) + 1e-9).cast("int")), "prefixes")
+    several = prefix.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
+    prefix = written(prefix.join(several.hint("merge"), "sig"), "shared")
+    a = prefix.select(F.col("print").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), "sig", F.explode(F.array(F.col("zone") - 1, F.col("zone"), F.col("zone") + 1)).alias("zone"), F.pmod(F.xxhash64("print"), F.lit(slices)).cast("int").alias("slice"))
+    b = prefix.select(F.col("print").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), "sig", "zone", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    enough = f"ceil({threshold} / (1 + {threshold}) * (na + nb) - 1e-9)"
+    pairs = a.join(b, ["sig", "zone", "slice"]).where(f"a < b AND least(na, nb) + 1e-9 >= {threshold} * greatest(na, nb) AND least(na - pa, nb - pb) >= {enough}").select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col("print").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("print").alias("b"), F.col("sigs").alias("sb")), "b")
+    linked = both.where(likeness(F.col("sa"), F.col("sb")) >= threshold)
+    links = linked.select(F.explode(F.array("a", "b")).alias("print")).groupBy("print").agg(F.count("*").alias("links"))
+    counts = sets.select("print", "class_id").join(links, "print", "left").select("print", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return signed.select("doc_id", "print").join(counts, "print").select("doc_id", "class_id", "links")
+
+
+def spotsigs_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_links(documents(spark, sf_dir))
 
 
 def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

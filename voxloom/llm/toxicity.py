@@ -101,8 +101,14 @@ class Lexicon:
                     spared.append((start, end))
                 elif kind == "^" or end + 1 == len(text) or not text[end + 1].isalnum():
                     found[start] = max(w, found.get(start, 0.0))
-        if spared:
-            found = {k: w for k, w in found.items() if not any(a <= k <= b for a, b in spared)}
+        if spared:  # one sweep over both in order
+            spared.sort()
+            at, covered = 0, -1
+            for k in sorted(found):
+                while at < len(spared) and spared[at][0] <= k:
+                    covered, at = max(covered, spared[at][1]), at + 1
+                if k <= covered:
+                    del found[k]
         return sum(found.values()), len(found), n
 
 
@@ -202,7 +208,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs(doc_id, text).
 
     Whole texts are scored; null and empty ones get the score of a text without any match. Rows that repeat a doc_id are scored
-    each by its own text. A null doc_id is scored too; held_out is then false. An empty table gives no rows.
+    each by its own text. A null doc_id is scored too; held_out is then false. Other columns are
+    ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +225,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with the columns of docs."""
+    """The rows of docs that are not predicted toxic, with the columns of docs.
+
+    Each row is judged by its own text, those that repeat a doc_id or have none too. Null and
+    empty texts are judged as texts without any match. Columns of any name are passed on; an
+    empty table gives no rows.
+    """
     model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
