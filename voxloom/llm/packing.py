@@ -1,4 +1,4 @@
-"""Conflict-constrained best-fit packing of documents into bins of CAPACITY tokens.
+"""Conflict-constrained best-fit packing of documents' token ids into sequences of CAPACITY ids.
 
 Documents longer than a bin are cut into full pieces and a rest. Pieces are dealt by a
 hash of their document into shards of about SHARD pieces, as many as the table asks for,
@@ -6,22 +6,28 @@ so that no shard and no task grows with the table. Within a shard the pieces com
 descending size. Open bins are ordered by residual; each carries a bitmap of its sources
 and one of its duplicate clusters. The search starts at the least residual that takes the
 piece and goes on to the next until a bin has neither the piece's source nor its cluster:
-the tightest compatible bin. If there is none, a new bin opens.
+the tightest compatible bin of the shard. If there is none, a new bin opens. A packed bin is its
+pieces' ids one after another, so pieces carry their ids through the one shuffle.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.mixing import tokens_of
-from voxloom.llm.shared import documents, normalised, written
+from voxloom.llm.minhash import _groups
+from voxloom.llm.shared import documents, normalised, text_or_empty
+from voxloom.llm.token_planes import END_ID, words_of
 
 CAPACITY = 2048
 SHARD = 4096
+PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("position", pa.int64())])
 
 
 class Bins:
@@ -83,48 +89,74 @@ def pack_shard(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return p
 
 
-def pieces_of(docs: DataFrame, capacity: int) -> DataFrame:
-    """doc_id, source, cluster, piece, start and n_tokens of each piece of docs(doc_id, source, cluster, n_tokens)."""
-    each = docs.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n_tokens") / capacity).cast("int") - 1))))
-    start = F.col("piece").cast("long") * capacity
-    return each.select("doc_id", "source", "cluster", "piece", start.alias("start"), F.least(F.lit(capacity), F.col("n_tokens") - start).cast("long").alias("n_tokens"))
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None) -> DataFrame:
+    """doc_id, source, cluster, piece, start, n_tokens and ids of each piece of docs(doc_id, source, cluster, text)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = b"" if end_id is None else struct.pack("<I", end_id)
+        for batch in batches:
+            words = words_of(tokenizer)
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                ids = [np.frombuffer(x + tail, "<u4") for x in words.encode(part.column(3).to_pylist())]
+                row = np.repeat(np.arange(len(ids)), [-(-len(x) // capacity) for x in ids])
+                piece = np.arange(len(row)) - np.searchsorted(row, row)
+                cut = [ids[r][k * capacity : (k + 1) * capacity] for r, k in zip(row, piece, strict=True)]
+                head = part.select([0, 1, 2]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*head.columns, pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array([len(x) for x in cut], pa.int64()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["doc_id", "source", "cluster", "piece", "start", "n_tokens", "ids"])
+
+    return docs.select("doc_id", "source", "cluster", "text").mapInArrow(run, "doc_id long, source string, cluster long, piece int, start long, n_tokens long, ids binary")
 
-def best_fit(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, cluster: Column | None = None) -> DataFrame:
-    """doc_id, piece, start, n_tokens, bin_id, position and bin_tokens: each piece's place.
 
-    docs has doc_id, text and source; tokens are words, at least one a document. cluster
+def best_fit(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard: int = SHARD, cluster: Column | None = None, end_id: int | None = END_ID) -> DataFrame:
+    """bin_id, bin_tokens, ids and pieces of each packed sequence.
+
+    docs has doc_id, text and source; its tokens are those of the tokenizers file `tokenizer`, which executors have, and end_id
+    after each document. ids are little-endian unsigned 32-bit integers; pieces are (doc_id, piece, start,
+    n_tokens, position), in the order in which the ids come: start counts in the document, position in the sequence. cluster
     tells duplicates apart, by default the text with white space normalised. No bin holds two
     pieces of one source, or of one cluster, but for null sources, which never conflict.
-    Null and empty texts weigh one token and are a cluster of their own. Rows that repeat a
+    Null and empty texts are their end id alone (and none without one), and a cluster of their own. Rows that repeat a
     doc_id are documents of their own. A null doc_id is packed like any other. Columns
     named like the added ones are ignored; an empty table gives no rows.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(normalised("text") if cluster is None else cluster).alias("cluster"), tokens_of("text").alias("n_tokens"))
-    sized = written(sized, "sized")
-    n = sized.agg(F.sum(F.ceil(F.col("n_tokens") / capacity))).first()[0] or 0
+    text = text_or_empty("text")
+    # an upper bound of the pieces: no tokenizer gives more ids than bytes, and four bytes an id are usual
+    n = docs.agg(F.sum(F.ceil((F.octet_length(text) + 4) / (4 * capacity)))).first()[0] or 0
     shards = max(1, -(-int(n) // shard))
-    pieces = pieces_of(sized, capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)).cast("long"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            *whole, last = [g for _, g in held.groupby("shard", sort=False)] or [held]
-            for g in whole:
-                yield placed(g)
-            held = last
-        if held is not None and len(held):
-            yield placed(held)
-
-    def placed(g: pd.DataFrame) -> pd.DataFrame:
-        p = pack_shard(g, capacity)
-        p["bin_id"] = p.shard * (1 << 24) + p.bin
-        return p[["doc_id", "piece", "start", "n_tokens", "bin_id", "position", "bin_tokens"]]
-
-    dealt = pieces.repartition("shard").sortWithinPartitions("shard", "doc_id", "piece")
-    return dealt.mapInPandas(run, "doc_id long, piece int, start long, n_tokens long, bin_id long, position long, bin_tokens long")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(normalised("text") if cluster is None else cluster).alias("cluster"), text.alias("text"))
+    pieces = pieces_of(known, tokenizer, capacity, end_id).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, 1, 1):  # shard by shard
+            yield from packed(table)
+
+    def packed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        p = table.drop_columns(["ids"]).to_pandas().assign(row=range(table.num_rows))
+        for _, g in p.groupby("shard", sort=False):
+            out = pack_shard(g, capacity).sort_values(["bin", "position"], kind="stable")
+            ids = table.column("ids").take(pa.array(out.row)).to_pylist()
+            first = np.flatnonzero(np.r_[True, np.diff(out.bin) > 0])
+            ends = [*first[1:], len(out)]
+            fields = ["doc_id", "piece", "start", "n_tokens", "position"]
+            held = [pa.array(out[c], PIECE.field(c).type, from_pandas=True) for c in fields]
+            pieces = pa.ListArray.from_arrays(pa.array([*first, len(out)], pa.int32()), pa.StructArray.from_arrays(held, fields=[PIECE.field(c) for c in fields]))
+            for i in range(0, len(first), 256):
+                some = slice(i, i + 256)
+                yield pa.RecordBatch.from_arrays([pa.array(out.shard.iloc[first[some]] * (1 << 24) + out.bin.iloc[first[some]], pa.int64()), pa.array(out.bin_tokens.iloc[first[some]], pa.int64()), pa.array([b"".join(ids[a:b]) for a, b in zip(first[some], ends[some], strict=True)], pa.binary()), pieces.slice(i, 256)], names=["bin_id", "bin_tokens", "ids", "pieces"])
+
+    dealt = pieces.select("shard", "doc_id", "source", "cluster", "piece", "start", "n_tokens", "ids").repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(run, "bin_id long, bin_tokens long, ids binary, pieces array<struct<doc_id: long, piece: int, start: long, n_tokens: long, position: long>>")
+
+
+def places(bins: DataFrame) -> DataFrame:
+    """doc_id, piece, start, n_tokens, bin_id, position, bin_tokens and ids_crc32, the unsigned crc32 of the piece's ids in its bin's sequence."""
+    each = bins.select("bin_id", "bin_tokens", "ids", F.explode("pieces").alias("p"))
+    own = F.expr("substring(ids, cast(4 * p.position + 1 as int), cast(4 * p.n_tokens as int))")
+    return each.select("p.doc_id", "p.piece", "p.start", "p.n_tokens", "bin_id", "p.position", "bin_tokens", F.crc32(own).alias("ids_crc32"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit(documents(spark, sf_dir))
+    import public_tokenizers
+
+    return places(best_fit(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))

@@ -3,18 +3,22 @@
 Every position of a text starts a suffix; only its first LENGTH bytes (its window) count.
 Suffixes are put into ever smaller groups digit by digit, and a suffix that is alone in its
 group leaves, so that few are ever looked at closely; what is left together after the last
-digit are exactly the repeated windows.
-
-- First digit: the window's anchor, the GRAM bytes in it with the least hash. Equal windows
-  have equal anchors at equal places, and neighbours mostly share one: it is sorted once for
-  all suffixes of its run.
-- Second digit: STARTS neighbouring suffixes, counted from the anchor, as one block, by the
-  hash of the core, the bytes that all of their windows have.
-- Third digit: the bytes around the core, first for the block as a whole, then, where its core
-  has several sorts of surroundings, for each suffix.
-
-Copies of a whole text are sorted as one. Every pass counts with partial sums; a core with
-more than HOT_CORE blocks is spread over all tasks.
+digit are exactly the repeated windows. Three things differ from the textbook sort, as a row
+for each byte would shuffle many times the input:
+
+- The sort is sparse: its first digit is that of the window's anchor, the GRAM bytes in it with the
+  least hash. Equal windows have equal anchors at equal places, and neighbours mostly share
+  one: it is sorted once for all suffixes of its run.
+- Digits are wide and compared by hash, so groups are found by hash and not in byte order. The second digit is
+  the core, the bytes that STARTS neighbouring suffixes, counted from the anchor, all have; the third
+  the bytes around it, first for the block as a whole, then, where its core has several sorts of
+  surroundings, for each suffix.
+- Copies of a whole text are sorted as one.
+
+Every pass counts with partial sums; blocks of one core, edges and mask are summed to a class before
+classes are sorted by core, and a core with more than HOT_CORE classes is spread over all tasks.
+
+`passages` finds documents that share a run of words with another one, by the same sparse first digit over words.
 """
 
 from __future__ import annotations
@@ -27,13 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.minhash import _groups, mix
+from voxloom.llm.minhash import WordHashes, _groups, mix
 from voxloom.llm.shared import documents, text_or_empty, written
 
 LENGTH = 400
 GRAM = 64
 STARTS = 32
-HOT_CORE = 50_000
+HOT_CORE = 20_000
+#: `passages`: a run of so many words is always found, and none that is shorter than the second number.
+PASSAGE, FLOOR = 51, 40
+#: So many hot cores are broadcast at most, of 8 bytes each.
+HOT_BROADCAST = 100_000
 #: Texts are hashed together up to so many bytes; longer ones in pieces that overlap by a window.
 CHUNK, PIECE = 1 << 16, 1 << 20
 
@@ -60,15 +68,20 @@ class Hashes:
 
     def __init__(self, data: np.ndarray):
         up, self.down = _power(len(data) + 1)
+        self.up = up
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * up[:-1], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, n: int) -> np.ndarray:
-        return mix((self.sums[start + n] - self.sums[start]) * self.down[start])
-
     def grams(self, n: int) -> np.ndarray:
         return mix((self.sums[n:] - self.sums[:-n]) * self.down[: len(self.sums) - n])
 
+    def strong(self, n: int):
+        """A function of starts: hashes of n bytes made of their mixed 16-byte grams, so that no sum of bytes alone decides them."""
+        grams = self.grams(16)
+        sums = np.zeros(len(grams) + 1, np.uint64)
+        np.cumsum(grams * self.up[: len(grams)], out=sums[1:])
+        return lambda start: mix((sums[start + n - 15] - sums[start]) * self.down[start])
+
 
 def runs(hashes: Hashes, owner: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Anchor, its gram's hash, and the first and last start of each run of windows with that anchor; owner: the text of each byte."""
@@ -161,7 +174,7 @@ def _blocks(length: int):
                 s0 = anchor[i] - STARTS * b - (STARTS - 1)
                 a, z = np.maximum(0, first[i] - s0), np.minimum(STARTS - 1, last[i] - s0)
                 mask = ((np.int64(1) << (z - a + 1)) - 1) << a
-                core = hashes.of(s0 + STARTS - 1, length - STARTS + 1)
+                core = hashes.strong(length - STARTS + 1)(s0 + STARTS - 1)
                 where = s0[:, None] + np.r_[np.arange(STARTS - 1), length + np.arange(STARTS - 1)] + lo
                 inside = (where >= offsets[row[i]][:, None]) & (where < offsets[row[i] + 1][:, None])
                 edges = np.where(inside, data[np.clip(where, 0, len(data) - 1)], 0).astype(np.uint8)
@@ -213,12 +226,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot_core: int = HOT_CORE) ->
     of_text = single.join(hot, "gram").groupBy("id", "h").agg(F.collect_set("gram").alias("hot"))
     blocks = written(keyed.join(of_text, ["id", "h"]).select("id", "h", "text", "hot").mapInArrow(_blocks(length), "core long, edges binary, mask long, id long, h long, s0 long"), "blocks")
 
-    cores = written(blocks.groupBy("core").agg(F.count("*").alias("total")).where("total > 1"), "cores").hint("merge")
-    classes = blocks.join(cores, "core").groupBy("core", "edges", "mask", "total").agg(F.count("*").alias("n")).withColumn("class", F.xxhash64("edges", "mask"))
-    classes = written(classes, "classes")
-    usual = classes.where(F.col("total") <= hot_core).select("core", "class", "edges", "mask", "n").repartition("core").sortWithinPartitions("core").mapInArrow(_repeated_in_core, "core long, class long, bits long")
-    found = usual.union(_repeated_in_hot(classes.where(F.col("total") > hot_core))).where("bits <> 0")
-    marks = blocks.select("core", F.xxhash64("edges", "mask").alias("class"), "id", "h", "s0").join(found, ["core", "class"]).groupBy("id", "h").agg(F.collect_list(F.struct("s0", "bits")).alias("marks"))
+    classes = written(blocks.groupBy("core", "edges", "mask").agg(F.count("*").alias("n")).withColumn("class", F.xxhash64("edges", "mask")), "classes")
+    large = written(classes.groupBy("core").agg(F.count("*").alias("k")).where(F.col("k") > hot_core).select("core"), "hot-cores")
+    n_large = large.count()  # one in hot_core of the classes at most
+    split = F.broadcast(large) if n_large <= HOT_BROADCAST else large.hint("merge")
+    usual = classes.join(split, "core", "left_anti") if n_large else classes
+    found = usual.select("core", "class", "edges", "mask", "n").repartition("core").sortWithinPartitions("core").mapInArrow(_repeated_in_core, "core long, class long, bits long")
+    if n_large:
+        found = found.union(_repeated_in_hot(classes.join(split, "core", "left_semi")))
+    found = written(found.where("bits <> 0"), "repeated")
+    marks = blocks.select("core", F.xxhash64("edges", "mask").alias("class"), "id", "h", "s0").join(found.hint("merge"), ["core", "class"]).groupBy("id", "h").agg(F.collect_list(F.struct("s0", "bits")).alias("marks"))
     return marks.join(whole.withColumn("whole", F.lit(True)), ["id", "h"], "full")
 
 
@@ -228,7 +245,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_core: int = HOT_CO
     Texts are bytes of UTF-8; a null one is empty. Every byte covered by a string of `length` bytes
     that also starts anywhere else, in the same text or another, is removed; matches never
     cross texts, overlaps count, and all strings are judged on the input. Rows that repeat
-    a doc_id, or have none, are texts of their own. An empty table gives no rows.
+    a doc_id, or have none, are texts of their own. Other columns are ignored; an empty table gives no rows.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).withColumns({"id": F.coalesce("doc_id", F.lit(-(2**63))), "h": F.xxhash64("text")})
     marked = keyed.join(repeats(docs, length, hot_core), ["id", "h"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), F.col("marks.s0").alias("s0"), F.col("marks.bits").alias("bits"))
@@ -259,5 +276,51 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_core: int = HOT_CO
     return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def _word_anchors(passage: int, floor: int):
+    """(id, text) -> gram and id of each anchor: of any `passage` words in a row, the `floor` words in a row in them with the least hash."""
+    window = passage - floor + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                split = [t.encode("utf-8", "surrogatepass").split() for t in part.column(1).to_pylist()]
+                sizes = np.array(list(map(len, split)), np.int64)
+                words = np.fromiter((known[w] for x in split for w in x), np.uint64, sizes.sum())
+                n = len(words)
+                if n < floor:
+                    continue
+                up, down = _power(n + 1)
+                sums = np.zeros(n + 1, np.uint64)
+                np.cumsum(words * up[:n], out=sums[1:])
+                grams = mix((sums[floor:] - sums[:-floor]) * down[: n + 1 - floor])
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                grams[owner[: len(grams)] != owner[floor - 1 :]] = 2**64 - 1  # across two texts
+                seen = np.lib.stride_tricks.sliding_window_view(grams, min(window, len(grams)))
+                at = np.unique(np.arange(len(seen)) + seen.argmin(axis=1))
+                at = at[grams[at] != 2**64 - 1]
+                yield pa.RecordBatch.from_pydict({"gram": grams[at].astype(np.int64), "id": part.column(0).to_numpy()[owner[at]]})
+
+    return run
+
+
+def passages(docs: DataFrame, passage: int = PASSAGE, floor: int = FLOOR) -> DataFrame:
+    """doc_id of the documents of docs(doc_id, text) that share a run of words with a document of another doc_id.
+
+    Words are runs without ASCII white space. Every run of `passage` words or more is found, and
+    none of fewer than `floor` counts; between them a run is found if one of its grams of `floor` words is an
+    anchor. Copies within one document don't count. Null and empty texts share nothing, and rows without a doc_id
+    are left out. Other columns are ignored; an empty table gives no rows.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty("text").alias("text")).where("id IS NOT NULL")
+    anchors = written(keyed.mapInArrow(_word_anchors(passage, floor), "gram long, id long"), "word-anchors")
+    shared = written(anchors.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("gram"), "shared-grams")
+    return anchors.join(shared.hint("merge"), "gram", "left_semi").select(F.col("id").alias("doc_id")).distinct()
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir)).drop("kept")
+    """The contract's columns, and shares_passage: whether a run of over 50 words is in another document too."""
+    docs = documents(spark, sf_dir)
+    shared = written(passages(docs), "passages").withColumn("shares_passage", F.lit(True))
+    return remove_repeats(docs).drop("kept").join(shared, "doc_id", "left").withColumn("shares_passage", F.coalesce("shares_passage", F.lit(False)))

@@ -11,6 +11,7 @@ takes the last 16 bytes, then the index, then only the blocks that it wants.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -151,8 +152,38 @@ class PlaneReader:
 NO_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+#: The steps of a tokenizer file under which a text's ids are its white-space words' ids: fixed values of the file format.
+WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def goes_by_words(path: str) -> bool:
+    """Whether a tokenizer file drops white space and splits as WORD_SPLIT does; of any other file only whole texts are encoded."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = lambda x, key: (x or {}).get(key, [x]) if x else []
+    split = steps(spec.get("pre_tokenizer"), "pretokenizers")
+    plain = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in split[1:])
+    known = steps(spec.get("normalizer"), "normalizers") == WORD_NORMALIZER and split[:1] == [WORD_SPLIT]
+    free = not any(c.isspace() for t in spec.get("added_tokens", []) for c in t["content"]) and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", []))
+    return known and plain and free and not spec["model"].get("dropout")
+
+
+class Texts:
+    """Any tokenizer file's ids of whole texts, all of them through the tokenizers library."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 class Words:
-    """A white-space tokenizer file's ids of whole texts, with the ids of words remembered.
+    """The ids of whole texts by a tokenizer file that goes_by_words, with the ids of words remembered.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids
     are its words' ids one after another; each new word goes through the tokenizers library.
@@ -189,9 +220,9 @@ class Words:
 
 
 @lru_cache(maxsize=2)
-def words_of(path: str) -> Words:
+def words_of(path: str) -> Words | Texts:
     """One for all tasks that a worker runs: the words that it knows serve the next task too."""
-    return Words(path)
+    return Words(path) if goes_by_words(path) else Texts(path)
 
 
 def write_planes(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, bits: bool = False) -> DataFrame:
