@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.minhash import _groups
 from voxloom.llm.shared import documents, normalised, text_or_empty
 from voxloom.llm.token_planes import END_ID, words_of
 
@@ -98,12 +97,15 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None
             words = words_of(tokenizer)
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                ids = [np.frombuffer(x + tail, "<u4") for x in words.encode(part.column(3).to_pylist())]
-                row = np.repeat(np.arange(len(ids)), [-(-len(x) // capacity) for x in ids])
-                piece = np.arange(len(row)) - np.searchsorted(row, row)
-                cut = [ids[r][k * capacity : (k + 1) * capacity] for r, k in zip(row, piece, strict=True)]
-                head = part.select([0, 1, 2]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*head.columns, pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array([len(x) for x in cut], pa.int64()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["doc_id", "source", "cluster", "piece", "start", "n_tokens", "ids"])
+                ids = [x + tail for x in words.encode(part.column(3).to_pylist())]
+                row, piece, cut = [], [], []
+                for r, x in enumerate(ids):
+                    for k in range(-(-len(x) // (4 * capacity))):
+                        row.append(r)
+                        piece.append(k)
+                        cut.append(x[4 * k * capacity : 4 * (k + 1) * capacity])
+                head = part.select([0, 1, 2]).take(pa.array(row, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*head.columns, pa.array(piece, pa.int32()), pa.array([k * capacity for k in piece], pa.int64()), pa.array([len(x) // 4 for x in cut], pa.int64()), pa.array(cut, pa.binary())], names=["doc_id", "source", "cluster", "piece", "start", "n_tokens", "ids"])
 
     return docs.select("doc_id", "source", "cluster", "text").mapInArrow(run, "doc_id long, source string, cluster long, piece int, start long, n_tokens long, ids binary")
 
@@ -128,8 +130,9 @@ def best_fit(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard: i
     pieces = pieces_of(known, tokenizer, capacity, end_id).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 1, 1):  # shard by shard
-            yield from packed(table)
+        held = list(batches)  # one shard
+        if sum(b.num_rows for b in held):
+            yield from packed(pa.Table.from_batches(held))
 
     def packed(table: pa.Table) -> Iterator[pa.RecordBatch]:
         p = table.drop_columns(["ids"]).to_pandas().assign(row=range(table.num_rows))
@@ -145,7 +148,7 @@ def best_fit(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard: i
                 some = slice(i, i + 256)
                 yield pa.RecordBatch.from_arrays([pa.array(out.shard.iloc[first[some]] * (1 << 24) + out.bin.iloc[first[some]], pa.int64()), pa.array(out.bin_tokens.iloc[first[some]], pa.int64()), pa.array([b"".join(ids[a:b]) for a, b in zip(first[some], ends[some], strict=True)], pa.binary()), pieces.slice(i, 256)], names=["bin_id", "bin_tokens", "ids", "pieces"])
 
-    dealt = pieces.select("shard", "doc_id", "source", "cluster", "piece", "start", "n_tokens", "ids").repartition("shard").sortWithinPartitions("shard")
+    dealt = pieces.select("shard", "doc_id", "source", "cluster", "piece", "start", "n_tokens", "ids").repartitionById(shards, F.col("shard").cast("int"))  # a shard is a partition
     return dealt.mapInArrow(run, "bin_id long, bin_tokens long, ids binary, pieces array<struct<doc_id: long, piece: int, start: long, n_tokens: long, position: long>>")
 
 

@@ -194,29 +194,49 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix = model.get("end_of_word_suffix")
+        #: Ids that end a word, where words have ends of their own.
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        if suffix:
+            self.ends[[i for w, i in model["vocab"].items() if w.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
+        """The ids of each word. Words of letters alone go through the library many at a time, and are told apart by the ids that end a word."""
+        single, found = [w for w in words if not w.isalpha()], {}
+        letters = [w for w in words if w.isalpha()]
+        groups = [letters[i : i + 500] for i in range(0, len(letters), 500)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1) * 4
+            if len(at) == len(group) and at[-1] == 4 * len(ids):
+                raw, ends = ids.tobytes(), at.tolist()
+                found.update(zip(group, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+            else:  # some word is more than one, as its lower case has a sign that is no letter
+                single += group
+        for w, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
+            found[w] = np.array(e.ids, "<u4").tobytes()
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split() if not any(c in t for c in NO_SPACE) else t.split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
+        get, known = self.known.get, self.known
+        found = [list(map(get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) for w, x in zip(words, ids, strict=True) if x is None}
+        if not new:
+            return list(map(b"".join, found))
         # a word of letters with one mark after it is the two one after another
         marked = {w for w in new if w[-1:] in ",." and w[:-1].isalpha() and w[:-1].isascii()}
-        plain = (new - marked) | {w[:-1] for w in marked if w[:-1] not in self.known} | {",", "."}
+        plain = (new - marked) | {w[:-1] for w in marked if w[:-1] not in known} | {",", "."}
         ids = self._encode(list(plain))
         for w in marked:
             stem = w[:-1]
-            ids[w] = (ids[stem] if stem in ids else self.known[stem]) + ids[w[-1]]
-        if len(self.known) < REMEMBERED:
-            self.known.update(ids)
-            look = self.known.__getitem__
-        else:
-            old = self.known
-            look = lambda w: ids[w] if w in ids else old[w]
-        return [b"".join(map(look, words)) for words in split]
+            ids[w] = (ids[stem] if stem in ids else known[stem]) + ids[w[-1]]
+        if len(known) < REMEMBERED:
+            known.update(ids)
+        return [b"".join([x if x is not None else ids[w] for w, x in zip(words, row, strict=True)]) for words, row in zip(split, found, strict=True)]
 
 
 @lru_cache(maxsize=2)
