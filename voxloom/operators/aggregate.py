@@ -77,3 +77,39 @@ def best_and_worst(rows: DataFrame, unit: str, value: str, keys: list[str]) -> D
     """keys..., the units with the highest and the lowest mean; the smaller id wins a tie."""
     per = rows.groupBy(*keys, unit).agg(F.round(F.avg(value), 6).alias("v"))
     return per.groupBy(*keys).agg(F.max_by(unit, F.struct("v", -F.col(unit))).alias("best"), F.min_by(unit, F.struct("v", unit)).alias("worst"), F.max("v").alias("best_value"), F.min("v").alias("worst_value"))
+
+
+def flagged(rows: DataFrame, keys: list[str], values: list[str], flag: Column) -> DataFrame:
+    """keys..., each value's mean, and is_target: a condition on the keys."""
+    return rows.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values]).withColumn("is_target", flag)
+
+
+def by_metric(rows: DataFrame, ids: list[str], keys: list[str], values: list[str]) -> DataFrame:
+    """keys..., metric, mean, std (sample; 0 of a single value), median and n of the values that are numbers; metrics without any are left out."""
+    long = to_long(rows, ids, values).groupBy(*keys, "metric")
+    return long.agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.median("value").alias("median"), F.count("*").alias("n"))
+
+
+def over_folds(folds: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """keys..., metric, mean, std (population) and n_folds of a table with a row for each fold."""
+    long = folds.unpivot([*keys, "fold"], values, "metric", "value").where("value IS NOT NULL")
+    return long.groupBy(*keys, "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("*").alias("n_folds"))
+
+
+def row_mean(columns: list[str]) -> Column:
+    """The mean of a row's columns that are numbers; null without any."""
+    known = F.filter(F.array(*columns), lambda v: v.isNotNull() & ~F.isnan(v))
+    return F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, v: a + v), F.size(known))
+
+
+def renamed(rows: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
+    """rows with aliases in a column brought to one name."""
+    return rows.replace(names, subset=[column])
+
+
+def require_columns(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows, or an error before any job if a column is missing."""
+    missing = [c for c in columns if c not in rows.columns]
+    if missing:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    return rows

@@ -17,6 +17,28 @@ def complete(have: DataFrame, unit: str, key: list[str], required: int | None =
     return distinct.groupBy(unit).agg(F.count("*").alias("n")).where(F.col("n") == required).select(unit)
 
 
+def incomplete(have: DataFrame, unit: str, key: list[str]) -> DataFrame:
+    """Units that lack keys that others have: unit, have and missing."""
+    distinct = have.select(unit, *key).distinct()
+    wanted = distinct.select(*key).distinct().count()
+    return distinct.groupBy(unit).agg(F.count("*").alias("have")).where(F.col("have") < wanted).withColumn("missing", F.lit(wanted) - F.col("have"))
+
+
+def covered_units(results: DataFrame, labels: DataFrame, unit: str, key: list[str]) -> DataFrame:
+    """Units that have labels and every key of the results."""
+    return complete(results, unit, key).join(labels.select(unit).distinct(), unit, "left_semi")
+
+
+def replicated(reference: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """reference once for each value of a short list, in its column."""
+    return reference.withColumn(column, F.explode(F.array(*map(F.lit, values))))
+
+
+def spacing_of(label: str) -> Column:
+    """The number in a label like '3mm'; null for another form."""
+    return F.expr(f"try_cast(regexp_extract({label}, '^([0-9]+)mm$', 1) AS int)")
+
+
 def pending(tasks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Tasks without a finished result: what a resumed run has left to do."""
     return tasks.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -46,6 +46,24 @@ def pad_to_both(a: DataFrame, b: DataFrame, keys: list[str], values: list[str])
     return a.join(b, [*keys, *AXES], "full").fillna(0, values)
 
 
+def fit_to_shape(voxels: DataFrame, shape: tuple[int, int, int], target: tuple[int, int, int], keys: list[str], values: list[str], centre: bool = False) -> DataFrame:
+    """keys..., z, y, x and values on a target shape: cut or filled with zeros at the far ends, or at both ends alike if centre."""
+    offsets = [(t - n) // 2 if centre else 0 for n, t in zip(shape, target, strict=True)]
+    moved = voxels.select(*keys, *[(F.col(a) + o).cast("int").alias(a) for a, o in zip(AXES, offsets, strict=True)], *values)
+    every = voxels.select(*keys).distinct()
+    for a, n in zip(AXES, target, strict=True):
+        every = every.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return every.join(moved, [*keys, *AXES], "left").fillna(0, values)
+
+
+def shape_gaps(a: DataFrame, b: DataFrame, keys: list[str], tolerance: int = 2) -> DataFrame:
+    """keys..., the largest difference of a side between two volumes' shapes, and whether it is within the tolerance; null where one is missing."""
+    ends = lambda df, p: df.groupBy(*keys).agg(*[(F.max(c) + 1).alias(f"{p}{c}") for c in AXES])
+    both = ends(a, "a").join(ends(b, "b"), keys, "full")
+    gap = F.when(F.col("az").isNotNull() & F.col("bz").isNotNull(), F.greatest(*[F.abs(F.col(f"a{c}") - F.col(f"b{c}")) for c in AXES]))
+    return both.select(*keys, gap.cast("int").alias("gap"), (gap <= tolerance).alias("fits"))
+
+
 def apply_mask(voxels: DataFrame, mask: DataFrame, keys: list[str], value: str) -> DataFrame:
     """voxels with the value zero outside the mask's rows."""
     inside = mask.select(*keys, *AXES, F.lit(True).alias("_in"))

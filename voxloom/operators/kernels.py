@@ -1,4 +1,4 @@
-"""Stencils over volumes as windows along an axis, with edges repeated; splines, LoG and components in numpy by volume."""
+"""Stencils over volumes kept as lines (an array of x in each row), with edges repeated; splines, LoG and components in numpy by volume."""
 
 from __future__ import annotations
 
@@ -11,75 +11,107 @@ SMOOTH = {"sobel": (1, 2, 1), "prewitt": (1, 1, 1), "scharr": (3, 10, 3)}
 AXES = ("z", "y", "x")
 
 
-def along(axis: str, keys: tuple[str, ...] = ("patient",)):
-    return Window.partitionBy(*keys, *[a for a in AXES if a != axis]).orderBy(axis)
+def _near(column: str, k: int, axis: str, keys: tuple[str, ...]) -> Column:
+    """The line k steps away along z or y; the last one before the edge where there is none."""
+    window = Window.partitionBy(*keys, *[a for a in ("z", "y") if a != axis]).orderBy(axis)
+    step = F.lag if k < 0 else F.lead
+    return F.coalesce(*[step(column, n).over(window) for n in range(abs(k), 0, -1)], F.col(column))
 
 
-def shifted(value: str, k: int, axis: str, keys: tuple[str, ...] = ("patient",)) -> Column:
-    """The value k voxels away along an axis; the last one before the edge where there is none."""
-    step = F.lag if k < 0 else F.lead
-    return F.coalesce(*[step(value, n).over(along(axis, keys)) for n in range(abs(k), 0, -1)], F.col(value))
+def stencil(column: str, weights: tuple[float, ...], axis: str, keys: tuple[str, ...] = ("patient",)) -> Column:
+    """The weighted sum of the values around each voxel of an array column, along an axis. Along x it stays in the row; along z and y only lines move."""
+    r = len(weights) // 2
+    terms = [(k, float(w)) for k, w in zip(range(-r, r + 1), weights, strict=True) if w]
+    if axis == "x":
+        at = lambda i, k: F.get(F.col(column), F.least(F.greatest(i + k, F.lit(0)), F.size(column) - 1))
+        return F.transform(F.col(column), lambda v, i: sum((w * (at(i, k) if k else v) for k, w in terms), F.lit(0.0)))
+
+    def scaled(w: float):
+        return lambda v: w * v
+
+    def added(w: float):
+        return lambda total, v: total + w * v
+
+    arrays = [(F.col(column) if k == 0 else _near(column, k, axis, keys), w) for k, w in terms]
+    out = F.transform(arrays[0][0], scaled(arrays[0][1]))
+    for a, w in arrays[1:]:
+        out = F.zip_with(out, a, added(w))
+    return out
 
 
-def gradients(voxels: DataFrame, value: str = "hr", operator: str = "sobel", keys: tuple[str, ...] = ("patient",)) -> DataFrame:
-    """voxels with gz, gy, gx: differences along an axis, smoothed along the other two."""
+def gradients(lines: DataFrame, value: str = "hr", operator: str = "sobel", keys: tuple[str, ...] = ("patient",)) -> DataFrame:
+    """lines with the arrays gz, gy, gx of `value`: differences along an axis, smoothed along the other two. Two shuffles of lines."""
     if operator not in SMOOTH:
         raise ValueError(f"unknown gradient operator {operator}")
-    a, b, c = SMOOTH[operator]
-    # each axis is one shuffle: its difference and smoothing of all parts are taken together
     names = {"": value}
     for axis in AXES:
         new = {}
         for done, column in names.items():
-            low, high = shifted(column, -1, axis, keys), shifted(column, 1, axis, keys)
-            if len(done) < AXES.index(axis) + 1:
-                new[f"{done}s"] = a * low + b * F.col(column) + c * high
-                if "d" not in done:
-                    new[f"{done}d"] = high - low
-        voxels = voxels.withColumns({f"_{k}": v for k, v in new.items()})
+            new[f"{done}s"] = stencil(column, SMOOTH[operator], axis, keys)
+            if "d" not in done:
+                new[f"{done}d"] = stencil(column, (-1, 0, 1), axis, keys)
+        lines = lines.withColumns({f"_{k}": v for k, v in new.items()})
         names = {k: f"_{k}" for k in new}
-    out = voxels.withColumns({"gz": F.col("_dss"), "gy": F.col("_sds"), "gx": F.col("_ssd")})
+    out = lines.withColumns({"gz": F.col("_dss"), "gy": F.col("_sds"), "gx": F.col("_ssd")})
     return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
-def edge_weights(voxels: DataFrame, strength: float, power: float = 1.0, operator: str = "sobel", keys: tuple[str, ...] = ("patient",)) -> DataFrame:
-    """voxels with ew = 1 + strength * (g / (max g + 1e-6)) ** power; 1 where strength is not positive."""
+def magnitude(gz: str = "gz", gy: str = "gy", gx: str = "gx") -> Column:
+    square = F.zip_with(F.zip_with(gz, gy, lambda a, b: a * a + b * b), gx, lambda s, c: s + c * c)
+    return F.transform(square, F.sqrt)
+
+
+def edge_weights(lines: DataFrame, strength: float, power: float = 1.0, operator: str = "sobel", keys: tuple[str, ...] = ("patient",)) -> DataFrame:
+    """lines with the array ew = 1 + strength * (g / (max g + 1e-6)) ** power; 1 where strength is not positive."""
     if strength <= 0:
-        return voxels.withColumn("ew", F.lit(1.0))
-    g = gradients(voxels, operator=operator, keys=keys).withColumn("g", F.sqrt(F.col("gz") ** 2 + F.col("gy") ** 2 + F.col("gx") ** 2))
-    top = g.groupBy(*keys).agg(F.max("g").alias("_top"))
-    return g.join(top, list(keys)).withColumn("ew", 1 + strength * F.pow(F.col("g") / (F.col("_top") + 1e-6), F.lit(power))).drop("g", "_top", "gz", "gy", "gx")
+        return lines.withColumn("ew", F.transform("hr", lambda v: F.lit(1.0)))
+    g = gradients(lines, operator=operator, keys=keys).withColumn("g", magnitude())
+    top = g.groupBy(*keys).agg(F.max(F.array_max("g")).alias("_top"))
+    weighed = F.transform("g", lambda v: 1 + strength * F.pow(v / (F.col("_top") + 1e-6), F.lit(float(power))))
+    return g.join(top, list(keys)).withColumn("ew", weighed).drop("g", "_top", "gz", "gy", "gx")
 
 
-def local_variance(voxels: DataFrame, value: str = "hr", radius: int = 2, keys: tuple[str, ...] = ("patient",)) -> DataFrame:
-    """voxels with lvar: E[x^2] - E[x]^2 over the cube around each voxel, at least 0."""
-    voxels = voxels.withColumns({"_m": F.col(value), "_q": F.col(value) * F.col(value)})
+def local_variance(lines: DataFrame, value: str = "hr", radius: int = 2, keys: tuple[str, ...] = ("patient",)) -> DataFrame:
+    """lines with the array lvar: E[x^2] - E[x]^2 over the cube around each voxel, at least 0."""
+    mean = (1.0 / (2 * radius + 1),) * (2 * radius + 1)
+    lines = lines.withColumns({"_m": F.col(value), "_q": F.transform(value, lambda v: v * v)})
     for axis in AXES:
-        mean = lambda c: sum((shifted(c, k, axis, keys) for k in range(-radius, radius + 1) if k), F.col(c)) / (2 * radius + 1)  # noqa: B023, E731
-        voxels = voxels.withColumns({"_m": mean("_m"), "_q": mean("_q")})
-    return voxels.withColumn("lvar", F.greatest(F.lit(0.0), F.col("_q") - F.col("_m") * F.col("_m"))).drop("_m", "_q")
+        lines = lines.withColumns({c: stencil(c, mean, axis, keys) for c in ("_m", "_q")})
+    return lines.withColumn("lvar", F.zip_with("_q", "_m", lambda q, m: F.greatest(F.lit(0.0), q - m * m))).drop("_m", "_q")
+
+
+def turned(lines: DataFrame, columns: list[str], keys: tuple[str, ...] = ("patient",)) -> DataFrame:
+    """The volumes as lines along y: y of each row is the old x, and its arrays run along the old y."""
+    each = lines.select(*keys, "z", F.col("y").alias("_y"), F.posexplode(F.arrays_zip(*columns)).alias("y", "_v"))
+    rows = each.groupBy(*keys, "z", "y").agg(F.array_sort(F.collect_list(F.struct("_y", "_v"))).alias("_l"))  # as long as a volume has lines in a slice
+    return rows.select(*keys, "z", "y", *[F.col("_l._v").getField(c).alias(c) for c in columns])
 
 
 # ---- numpy kernels, one volume of bounded size at a time
 
 
-def by_volume(voxels: DataFrame, run, schema: str, columns: list[str], shape: tuple[int, int, int], keys: tuple[str, ...] = ("patient",)) -> DataFrame:
-    """run(volumes of the columns, key) -> pandas rows, for each volume."""
+def volumes_of(pdf: pd.DataFrame, columns: list[str], shape: tuple[int, ...], at: list[str]) -> list[np.ndarray]:
+    """Arrays of the columns' lines, placed by their coordinates; 0 where a line is missing."""
+    out, where = [], tuple(pdf[a].to_numpy() for a in at)
+    for c in columns:
+        v = np.zeros(shape)
+        if len(pdf):
+            v[where] = np.stack(pdf[c].to_numpy())
+        out.append(v)
+    return out
+
+
+def by_volume(lines: DataFrame, run, schema: str, columns: list[str], shape: tuple[int, int, int], keys: tuple[str, ...] = ("patient",)) -> DataFrame:
+    """run(volumes of the columns) -> pandas rows, for each volume. Volumes have a fixed shape: a task holds one at a time, sent as lines."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        at = tuple(pdf[c].to_numpy() for c in AXES)
-        volumes = []
-        for c in columns:
-            v = np.zeros(shape)
-            v[at] = pdf[c].to_numpy()
-            volumes.append(v)
-        out = run(*volumes)
+        out = run(*volumes_of(pdf, columns, shape, ["z", "y"]))
         for name, k in zip(keys, key, strict=True):
             out[name] = k
         return out
 
-    heads = ", ".join(f"{k} {dict(voxels.dtypes)[k]}" for k in keys)
-    return voxels.select(*keys, *AXES, *columns).groupBy(*keys).applyInPandas(one, f"{heads}, {schema}")
+    heads = ", ".join(f"{k} {dict(lines.dtypes)[k]}" for k in keys)
+    return lines.select(*keys, "z", "y", *columns).groupBy(*keys).applyInPandas(one, f"{heads}, {schema}")
 
 
 def _correlate(x: np.ndarray, kernel: np.ndarray, axis: int) -> np.ndarray:
@@ -156,6 +188,15 @@ def largest_component(mask: np.ndarray, connectivity: int = 18) -> np.ndarray:
     return label == roots[counts.argmax()]
 
 
+def variance_peak(x: np.ndarray, size: int = 15) -> tuple[int, int, float]:
+    """Where an image's variance over size x size squares (edges mirrored) is largest, the first of equal ones, and how large."""
+    mean = np.full(size, 1.0 / size)
+    smooth = lambda v: _correlate(_correlate(v, mean, 0), mean, 1)
+    var = np.round(np.maximum(0.0, smooth(x * x) - smooth(x) ** 2), 9)
+    at = np.unravel_index(var.argmax(), var.shape)
+    return int(at[0]), int(at[1]), float(var[at])
+
+
 def box_mean(x: np.ndarray, radius: int) -> np.ndarray:
     """Means over cubes, edges repeated."""
     n = 2 * radius + 1

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.operators.kernels import AXES, by_volume, spline_zoom, turned, volumes_of
+
 
 def mse(a: str, b: str) -> Column:
     return F.avg((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)))
@@ -25,16 +27,50 @@ def psnr(error: Column, low: Column, high: Column) -> Column:
     return F.when(error <= 0, F.lit(float("inf"))).otherwise(20 * F.log10(span) - 10 * F.log10(error))
 
 
+def finite(*columns: str) -> Column:
+    """Whether all of them are numbers, and finite: what a pair of volumes is compared on."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    return out
+
+
+def joint_range(a: str, b: str) -> Column:
+    """The range of both together, at least 1e-8."""
+    return F.greatest(F.lit(1e-8), F.greatest(F.max(a), F.max(b)) - F.least(F.min(a), F.min(b)))
+
+
+def psnr_variants(voxels: DataFrame, truth: str, made: str, mask: Column, keys: list[str]) -> DataFrame:
+    """keys..., and four ratios over pairs that are finite.
+
+    floored: inside the mask, both range and error with 1e-12 added; infinite without error. plain: 10 log10(range^2 / mse) of all
+    voxels. clinical: inside the mask; NaN for an empty one or a flat truth, infinite without error. joint: inside the
+    mask, with the range of both.
+    """
+    pairs = voxels.where(finite(truth, made)).withColumn("_in", F.coalesce(mask, F.lit(False)))
+    inside = pairs.withColumns({"_t": F.when(F.col("_in"), F.col(truth)), "_m": F.when(F.col("_in"), F.col(made)), "_a": F.col(truth), "_b": F.col(made)})
+    s = inside.groupBy(*keys).agg(mse("_a", "_b").alias("e"), (F.max("_a") - F.min("_a")).alias("r"), mse("_t", "_m").alias("ei"), (F.max("_t") - F.min("_t")).alias("ri"), joint_range("_t", "_m").alias("rj"), F.count("_t").alias("n"))
+    inf, nan = F.lit(float("inf")), F.lit(float("nan"))
+    ratio = lambda r, e: 10 * F.log10(F.nullif(r, F.lit(0.0)) * F.nullif(r, F.lit(0.0)) / e)
+    return s.select(
+        *keys,
+        F.when(F.col("ei") <= 0, inf).otherwise(20 * F.log10((F.col("ri") + 1e-12) / F.sqrt(F.col("ei") + 1e-12))).alias("floored"),
+        F.when(F.col("e") <= 0, inf).otherwise(ratio(F.col("r"), F.col("e"))).alias("plain"),
+        F.when(F.col("n") == 0, nan).when(F.col("ei") <= 0, inf).when(F.col("ri") <= 0, nan).otherwise(ratio(F.col("ri"), F.col("ei"))).alias("clinical"),
+        F.when(F.col("n") == 0, nan).when(F.col("ei") <= 0, inf).otherwise(ratio(F.col("rj"), F.col("ei"))).alias("joint"),
+    )
+
+
 def errors(voxels: DataFrame, truth: str, made: str, keys: list[str]) -> DataFrame:
-    """keys..., mae, mse, rmse and psnr."""
-    stats = voxels.groupBy(*keys).agg(mae(made, truth).alias("mae"), mse(made, truth).alias("mse"), F.min(truth).alias("lo"), F.max(truth).alias("hi"))
+    """keys..., mae, mse, rmse and psnr over the pairs that are finite."""
+    stats = voxels.where(finite(truth, made)).groupBy(*keys).agg(mae(made, truth).alias("mae"), mse(made, truth).alias("mse"), F.min(truth).alias("lo"), F.max(truth).alias("hi"))
     return stats.select(*keys, "mae", "mse", F.sqrt("mse").alias("rmse"), psnr(F.col("mse"), F.col("lo"), F.col("hi")).alias("psnr"))
 
 
 def ncc(voxels: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     """keys..., ncc: the correlation of the two; 0 where one is flat."""
     n, x, y = F.count("*"), F.col(a), F.col(b)
-    s = voxels.groupBy(*keys).agg(n.alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
+    s = voxels.where(finite(a, b)).groupBy(*keys).agg(n.alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
     norm = F.sqrt(F.greatest(F.lit(0.0), F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"))) * F.sqrt(F.greatest(F.lit(0.0), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")))
     return s.select(*keys, F.when(norm > 0, F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), norm)).otherwise(0.0).alias("ncc"))
 
@@ -158,22 +194,28 @@ def ssim_gaussian(a: np.ndarray, b: np.ndarray, span: float | None = None, windo
     return float(np.mean((2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))))
 
 
-def ssim_slicewise(voxels: DataFrame, truth: str, made: str, shape: tuple[int, int, int], axis: str = "z", keys: tuple[str, ...] = ("patient",), gaussian: bool = False) -> DataFrame:
-    """keys..., ssim: the mean over slices across an axis, 0 if none counts, with uniform or Gaussian windows. A task holds one slice at a time."""
-    if axis not in ("z", "y", "x"):
+def ssim_slicewise(lines: DataFrame, truth: str, made: str, shape: tuple[int, int, int], axis: str = "z", keys: tuple[str, ...] = ("patient",), gaussian: bool = False, least: float = 0.0) -> DataFrame:
+    """keys..., ssim: the mean over slices across an axis, 0 if none counts, with uniform or Gaussian windows. A task holds one slice, sent as lines; one whose truth's range is under `least` doesn't count."""
+    slices = ssim_slices(lines, truth, made, shape, axis, keys, gaussian, least)
+    return slices.groupBy(*keys).agg(F.coalesce(F.avg(F.when(~F.isnan("s"), F.col("s"))), F.lit(0.0)).alias("ssim"))
+
+
+def ssim_slices(lines: DataFrame, truth: str, made: str, shape: tuple[int, int, int], axis: str = "z", keys: tuple[str, ...] = ("patient",), gaussian: bool = False, least: float = 0.0) -> DataFrame:
+    """keys..., the slice's number (column `axis`) and s, NaN where a slice can't be judged."""
+    if axis not in AXES:
         raise ValueError(f"unknown axis {axis}")
-    rest = [a for a in ("z", "y", "x") if a != axis]
-    n, m = (shape[("z", "y", "x").index(a)] for a in rest)
+    nz, ny, nx = shape
+    across, size = {"z": ("z", (ny, nx)), "y": ("y", (nz, nx)), "x": ("y", (nz, ny))}[axis]
+    rows = turned(lines, [truth, made], keys) if axis == "x" else lines.select(*keys, "z", "y", truth, made)
+    other = "y" if across == "z" else "z"
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.zeros((2, n, m))
-        at = (pdf[rest[0]].to_numpy(), pdf[rest[1]].to_numpy())
-        a[at], b[at] = pdf[truth].to_numpy(), pdf[made].to_numpy()
-        return pd.DataFrame([(*key, (ssim_gaussian if gaussian else ssim_slice)(a, b, float(np.ptp(a))))], columns=[*keys, axis, "s"])
+        a, b = volumes_of(pdf, [truth, made], size, [other])
+        span = float(np.ptp(a))
+        return pd.DataFrame([(*key, (ssim_gaussian if gaussian else ssim_slice)(a, b, span) if span >= least else float("nan"))], columns=[*keys, across, "s"])
 
-    schema = ", ".join([f"{k} {dict(voxels.dtypes)[k]}" for k in (*keys, axis)] + ["s double"])
-    slices = voxels.select(*keys, "z", "y", "x", truth, made).groupBy(*keys, axis).applyInPandas(one, schema)
-    return slices.groupBy(*keys).agg(F.coalesce(F.avg(F.when(~F.isnan("s"), F.col("s"))), F.lit(0.0)).alias("ssim"))
+    schema = ", ".join([f"{k} {dict(lines.dtypes)[k]}" for k in keys] + [f"{across} int", "s double"])
+    return rows.withColumn(across, F.col(across).cast("int")).groupBy(*keys, across).applyInPandas(one, schema).withColumnRenamed(across, axis)
 
 
 def _gauss(x: np.ndarray, window: int, sigma: float = 1.5) -> np.ndarray:
@@ -190,16 +232,36 @@ def _gauss(x: np.ndarray, window: int, sigma: float = 1.5) -> np.ndarray:
 SCALES = (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)
 
 
-def ms_ssim(a: np.ndarray, b: np.ndarray) -> float:
-    """Multi-scale structural similarity of two volumes: fewer scales and smaller windows for small ones; 1 for a flat reference, NaN if too small."""
-    span = float(np.ptp(a))
+def scales_for(side: int) -> tuple[int, int]:
+    """(window, scales) for a smallest side: the window narrows from 11 to 3 until the side is over 16 times it less one, then scales go until each has a window's room."""
+    window, scales = 11, len(SCALES)
+    while window > 3 and side <= 16 * (window - 1):
+        window -= 2
+    while scales > 1 and side // 2 ** (scales - 1) < window:
+        scales -= 1
+    return window, scales
+
+
+def _halved(x: np.ndarray) -> np.ndarray:
+    """Means over cubes of two; an odd side is first widened by a zero at both ends."""
+    x = np.pad(x, [(n % 2, n % 2) for n in x.shape])
+    for axis in range(x.ndim):
+        n = x.shape[axis] // 2 * 2
+        x = (np.take(x, np.arange(0, n, 2), axis) + np.take(x, np.arange(1, n, 2), axis)) / 2
+    return x
+
+
+def ms_ssim(made: np.ndarray, truth: np.ndarray, mask: np.ndarray | None = None, span: float | None = None) -> float:
+    """Multi-scale structural similarity of two volumes, those outside of mask taken as 0; span is the truth's own if not given.
+
+    1 for a flat truth; NaN with fewer than two scales, or a side that is not over 16 times the window less one.
+    """
+    a, b = (v if mask is None else v * (mask > 0) for v in (made, truth))
+    span = float(np.ptp(b)) if span is None else span
     if span < 1e-8:
         return 1.0
-    for window in (11, 9, 7, 5, 3):
-        scales = next((k for k in range(len(SCALES), 0, -1) if min(a.shape) >> (k - 1) >= window), 0)
-        if scales:
-            break
-    if not scales:
+    window, scales = scales_for(min(a.shape))
+    if scales < 2 or min(a.shape) <= 16 * (window - 1):
         return float("nan")
     weights, c1, c2, out = np.array(SCALES[:scales]) / sum(SCALES[:scales]), (0.01 * span) ** 2, (0.03 * span) ** 2, 1.0
     for k, w in enumerate(weights):
@@ -208,21 +270,16 @@ def ms_ssim(a: np.ndarray, b: np.ndarray) -> float:
         value = (cs * (2 * ma * mb + c1) / (ma * ma + mb * mb + c1)).mean() if k == scales - 1 else cs.mean()
         out *= max(float(value), 0.0) ** w
         if k < scales - 1:
-            for axis in range(3):
-                n = a.shape[axis] // 2 * 2
-                even, odd = np.arange(0, n, 2), np.arange(1, n, 2)
-                a, b = ((np.take(v, even, axis) + np.take(v, odd, axis)) / 2 for v in (a, b))
+            a, b = _halved(a), _halved(b)
     return out
 
 
-def ms_ssim_by_volume(voxels: DataFrame, truth: str, made: str, shape: tuple[int, int, int], keys: tuple[str, ...] = ("patient",)) -> DataFrame:
-    """keys..., ms_ssim. A task holds one volume, of bounded size, at a time."""
+def ms_ssim_by_volume(lines: DataFrame, truth: str, made: str, shape: tuple[int, int, int], keys: tuple[str, ...] = ("patient",), mask: str | None = None, zoom: tuple[int, int, int] | None = None) -> DataFrame:
+    """keys..., ms_ssim; mask names an array of what counts, zoom a shape that volumes are first resampled to. A task holds one volume."""
+    columns = [truth, made, *([mask] if mask else [])]
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.zeros((2, *shape))
-        at = tuple(pdf[c].to_numpy() for c in "zyx")
-        a[at], b[at] = pdf[truth].to_numpy(), pdf[made].to_numpy()
-        return pd.DataFrame([(*key, ms_ssim(a, b))], columns=[*keys, "ms_ssim"])
+    def run(*volumes: np.ndarray) -> pd.DataFrame:
+        volumes = [spline_zoom(v, zoom, 1) for v in volumes] if zoom else volumes
+        return pd.DataFrame([{"ms_ssim": ms_ssim(volumes[1], volumes[0], volumes[2] if mask else None)}])
 
-    schema = ", ".join([f"{k} {dict(voxels.dtypes)[k]}" for k in keys] + ["ms_ssim double"])
-    return voxels.select(*keys, "z", "y", "x", truth, made).groupBy(*keys).applyInPandas(one, schema)
+    return by_volume(lines, run, "ms_ssim double", columns, shape, keys)

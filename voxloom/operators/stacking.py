@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -74,6 +75,16 @@ def simplex_weights(equations: DataFrame, m: int, ridge: float = 1e-4) -> DataFr
     return equations.withColumn("s", solve(*columns)).select(*equations.columns, "s.w", "s.objective")
 
 
+def with_record(weights: DataFrame, tiles: DataFrame, m: int) -> DataFrame:
+    """A row for each tile of tiles(rid): w, objective, vox, method, success and message; tiles without voxels take uniform weights."""
+    every = tiles.select("rid").join(weights.select("rid", "w", "objective", "vox"), "rid", "left")
+    empty = F.col("vox").isNull() | (F.col("vox") == 0)
+    return every.select(
+        "rid", F.when(empty, F.array(*[F.lit(1.0 / m)] * m)).otherwise(F.col("w")).alias("w"), F.when(~empty, F.col("objective")).alias("objective"), F.coalesce("vox", F.lit(0)).cast("long").alias("vox"),
+        F.when(empty, "uniform").otherwise("active_set").alias("method"), (~empty).alias("success"), F.when(empty, "no voxels").otherwise("optimal").alias("message"),
+    )
+
+
 def smooth_weights(weights: DataFrame, adjacency: DataFrame, tau: float, columns: list[str], rounds: int = 1) -> DataFrame:
     """Jacobi steps w <- (1 - tau) w + tau * mean of the neighbours; tiles without any stay; then clipped and normalised. tau <= 0: as it is."""
     if tau <= 0:
@@ -86,43 +97,49 @@ def smooth_weights(weights: DataFrame, adjacency: DataFrame, tau: float, columns
     return weights.select("rid", *[(F.greatest(F.col(c), F.lit(0.0)) / total).alias(c) for c in columns])
 
 
-def blend(voxels: DataFrame, weights: DataFrame, grid: Grid, experts: list[str], kind: str = "hann", keep: tuple[str, ...] = ("hr",)) -> DataFrame:
-    """patient, z, y, x, keep..., blend: overlap-add of each covering tile's weighted experts.
+def _taper(kind: str, n: int, patch: int, stride: int) -> list[list[float]]:
+    """For each tile along an axis, its taper at each place it covers: periodic Hann of its own, possibly cut, side; else flat."""
+    out = []
+    for start in range(0, n, stride):
+        side = min(start + patch, n) - start
+        out.append([0.5 - 0.5 * math.cos(2 * math.pi * i / side) if kind == "hann" and side > 1 else 1.0 for i in range(side)])
+    return out
+
+
+def blend(lines: DataFrame, weights: DataFrame, grid: Grid, experts: list[str], kind: str = "hann") -> DataFrame:
+    """lines with the array blend: overlap-add of each covering tile's weighted experts.
 
-    weights has rid and w1.. of the tiles that were fitted; others blend uniformly. The
-    taper is flat where tiles don't overlap. Where the stride divides the patch, all voxels
-    of a stride cell have the same tiles: their weights come as one array in a small table
-    of cells, so that voxels are neither multiplied nor shuffled; else voxels are exploded.
+    lines has a row for each line (patient, z, y) and the experts as arrays along x. weights has
+    rid and w1.. of the tiles that were fitted; others blend uniformly. The taper is flat
+    where tiles don't overlap. Tapers are products of one for each axis, so tiles are first summed
+    over z and y to a table of (z, y), which all volumes share, with the weights of the tiles along x;
+    a line meets its row of that table, and a voxel its few tiles in arrays.
     """
     m = len(experts)
     kind = "flat" if any(s >= p for s, p in zip(grid.stride, grid.patch, strict=True)) else kind
-    tiles = grid.boxes(voxels.sparkSession).select("rid", "cz", "cy", "cx").join(weights, "rid", "left")
-    tiles = tiles.select("rid", "cz", "cy", "cx", F.array(*[F.coalesce(F.col(f"w{i + 1}"), F.lit(1.0 / m)) for i in range(m)]).alias("w"))
-    x = F.array(*[F.col(e) for e in experts])
-    dot = lambda w: F.aggregate(F.zip_with(w, F.col("_x"), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    if all(p % s == 0 for s, p in zip(grid.stride, grid.patch, strict=True)):
-        reach = [p // s for s, p in zip(grid.stride, grid.patch, strict=True)]
-        spread = tiles
-        for a, r, n in zip(AXES, reach, grid.counts, strict=True):
-            spread = spread.withColumn(f"g{a}", F.explode(F.sequence(F.col(f"c{a}"), F.least(F.col(f"c{a}") + r - 1, F.lit(n - 1)))))
-        cells = spread.groupBy("gz", "gy", "gx").agg(F.array_sort(F.collect_list(F.struct("rid", F.col("cz").alias("kz"), F.col("cy").alias("ky"), F.col("cx").alias("kx"), "w"))).alias("tiles"))
-        placed = voxels.withColumns({f"g{a}": F.floor(F.col(a) / s).cast("int") for a, s in zip(AXES, grid.stride, strict=True)}).withColumn("_x", x).join(cells, ["gz", "gy", "gx"])
-
-        def taper(t: Column) -> Column:
-            out = F.lit(1.0)
-            if kind == "hann":
-                for i, a in enumerate(AXES):
-                    start = t[f"k{a}"] * grid.stride[i]
-                    side = F.least(start + grid.patch[i], F.lit(grid.shape[i])) - start
-                    out = out * F.when(side == 1, 1.0).otherwise(0.5 - 0.5 * F.cos(2 * np.pi * (F.col(a) - start) / side))
-            return out
-
-        weighed = placed.withColumn("t", F.transform("tiles", lambda t: F.struct(taper(t).alias("w3"), dot(t["w"]).alias("v"))))
-        total = F.aggregate("t", F.lit(0.0), lambda a, t: a + t["w3"] * t["v"])
-        norm = F.aggregate("t", F.lit(0.0), lambda a, t: a + t["w3"])
-        return weighed.select("patient", *AXES, *keep, (total / (norm + EPS)).alias("blend"))
-    each = grid.covered(voxels.withColumn("_x", x)).withColumn("w3", grid.taper(kind)).join(tiles.select("rid", "w"), "rid")
-    return each.groupBy("patient", *AXES, *keep).agg((F.sum(F.col("w3") * dot(F.col("w"))) / (F.sum("w3") + EPS)).alias("blend"))
+    tiles = grid.boxes(lines.sparkSession).select("rid", "cz", "cy", "cx").join(weights, "rid", "left")
+    tiles = tiles.select("cz", "cy", "cx", *[F.coalesce(F.col(f"w{i + 1}"), F.lit(1.0 / m)).alias(f"w{i + 1}") for i in range(m)])
+    constant = lambda rows: F.array(*[F.array(*map(F.lit, r)) for r in rows])
+    for i, a in enumerate(AXES[:2]):
+        taper = constant(_taper(kind, grid.shape[i], grid.patch[i], grid.stride[i]))
+        tiles = tiles.withColumn("_t", F.get(taper, F.col(f"c{a}"))).select("*", F.posexplode("_t").alias("_i", f"_t{a}")).withColumn(a, F.col(f"c{a}") * grid.stride[i] + F.col("_i")).drop("_t", "_i")
+    t = F.col("_tz") * F.col("_ty")
+    summed = tiles.groupBy("z", "y", "cx").agg(F.sum(t).alias("_n"), F.array(*[F.sum(t * F.col(f"w{i + 1}")) for i in range(m)]).alias("_w"))
+    rows = summed.groupBy("z", "y").agg(F.max("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("cx", "_w"))).alias("_a")).select("z", "y", "_n", F.col("_a._w").alias("_a"))
+    # the tiles that cover each x, and their tapers there
+    n, patch, stride = grid.shape[2], grid.patch[2], grid.stride[2]
+    along = _taper(kind, n, patch, stride)
+    cover = [[(k, row[x - k * stride]) for k, row in enumerate(along) if 0 <= x - k * stride < len(row)] for x in range(n)]
+    places = F.array(*[F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in c]) if c else F.array().cast("array<struct<k:int,w:double>>") for c in cover])
+    norm = F.array(*[F.lit(float(sum(w for _, w in c))) for c in cover])
+
+    def at(v: Column, i: Column) -> Column:
+        dot = lambda k: F.aggregate(F.zip_with(F.get(F.col("_a"), k), v, lambda w, e: w * e), F.lit(0.0), lambda total, e: total + e)
+        total = F.aggregate(F.get(places, i), F.lit(0.0), lambda total, p: total + p["w"] * dot(p["k"]))
+        return total / (F.get(norm, i) * F.col("_n") + EPS)
+
+    per_voxel = F.transform(F.arrays_zip(*experts), lambda e: F.array(*[e[x] for x in experts]))
+    return lines.join(rows, ["z", "y"]).withColumn("_e", per_voxel).withColumn("blend", F.transform("_e", at)).drop("_n", "_a", "_e")
 
 
 def predict(voxels: DataFrame, weights: DataFrame, grid: Grid, experts: list[str]) -> DataFrame:

@@ -173,21 +173,34 @@ def reml(n: np.ndarray, times: np.ndarray, sxx: np.ndarray, sxy: np.ndarray, syy
     return b, np.linalg.pinv(a) * s2, s2, s2 * float(np.exp((lo + hi) / 2))
 
 
-def unit_sums(metrics: DataFrame, value: str, unit: str, side: str, condition: str, keys: list[str]) -> DataFrame:
-    """keys..., n, the cells a and b, and sums over the units of n rows that have both: what reml needs, in as many rows as there are sizes n and pairs of cells."""
+def unit_sums(metrics: DataFrame, value: str, unit: str, side: str, condition: str, keys: list[str], roi: str | None = None) -> DataFrame:
+    """keys..., n, the cells a and b (side, condition and, if given, roi), and sums over the units of n rows that have both: what reml needs, in as many rows as there are sizes n and pairs of cells."""
     v = F.col(value).cast("double")
-    cells = metrics.where(F.col(value).isNotNull()).groupBy(*keys, unit, side, condition).agg(F.count("*").cast("double").alias("c"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-    units = cells.groupBy(*keys, unit).agg(F.sum("c").alias("n"), F.collect_list(F.struct(side, condition, "c", "s", "q")).alias("cells"))
+    parts = {"side": side, "condition": condition} | ({"roi": roi} if roi else {})
+    cells = metrics.where(F.col(value).isNotNull()).groupBy(*keys, unit, *parts.values()).agg(F.count("*").cast("double").alias("c"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    units = cells.groupBy(*keys, unit).agg(F.sum("c").alias("n"), F.collect_list(F.struct(*parts.values(), "c", "s", "q")).alias("cells"))
     pairs = units.withColumn("a", F.explode("cells")).withColumn("b", F.explode("cells"))
-    names = [F.col(f"{p}.{c}").alias(f"{p}_{k}") for p in "ab" for k, c in (("side", side), ("condition", condition))]
+    names = [F.col(f"{p}.{c}").alias(f"{p}_{k}") for p in "ab" for k, c in parts.items()]
     return pairs.groupBy(*keys, "n", *names).agg(F.count("*").alias("units"), *[F.sum(f"a.{x}").alias(x) for x in "csq"], *[F.sum(F.col(f"a.{x}") * F.col(f"b.{y}")).alias(x + y) for x, y in ("cc", "cs", "ss")])
 
 
-def fit_cells(pdf: pd.DataFrame, side: str, condition: str) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """The cells with n_units, their means and the means' covariance, from rows of unit_sums."""
-    names = ["a_side", "a_condition"]
+def _designs(cells: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """For rows of cells (a_side, a_condition): a mean for each of both, and the sum of the two without their interaction; and for cells with a_roi, the regions but the first."""
+    dummies = lambda columns: pd.get_dummies(cells[columns].apply(tuple, axis=1), dtype=float).to_numpy()
+    region = dummies(["a_roi"])[:, 1:] if "a_roi" in cells else np.zeros((len(cells), 0))
+    return [dummies(["a_side", "a_condition"]), np.hstack([np.ones((len(cells), 1)), dummies(["a_side"])[:, 1:], dummies(["a_condition"])[:, 1:]])], region
+
+
+def fit_cells(pdf: pd.DataFrame, side: str, condition: str) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, str]:
+    """From rows of unit_sums: the sides and conditions with n_units (of the fullest region), the design's rows of each by region, the coefficients, their covariance, and what was fitted.
+
+    A random intercept for the unit with the interaction; without it where that can't be told apart; ordinary least squares with
+    errors by unit where neither can be fitted.
+    """
+    parts = [p for p in ("side", "condition", "roi") if f"a_{p}" in pdf]
+    names = [f"a_{p}" for p in parts]
     cells = pdf[names].drop_duplicates().sort_values(names).reset_index(drop=True)
-    index = lambda p: pdf[[f"{p}_side", f"{p}_condition"]].set_axis(names, axis=1).merge(cells.reset_index(), on=names, how="left")["index"].to_numpy()
+    index = lambda p: pdf[[f"{p}_{c}" for c in parts]].set_axis(names, axis=1).merge(cells.reset_index(), on=names, how="left")["index"].to_numpy()
     i, j = index("a"), index("b")
     sizes, of = np.unique(pdf["n"].to_numpy(), return_inverse=True)
     own, m = i == j, len(cells)
@@ -195,46 +208,77 @@ def fit_cells(pdf: pd.DataFrame, side: str, condition: str) -> tuple[pd.DataFram
     np.add.at(sxx, (of, i, j), pdf["cc"].to_numpy())
     np.add.at(sxy, (of, i), pdf["cs"].to_numpy())
     total = lambda c: np.bincount(i[own], pdf[c].to_numpy()[own], m)
-    xx = total("c")
+    xx, xy, yy = total("c"), total("s"), total("q").sum()
+    syy, rows = np.bincount(of, pdf["ss"].to_numpy()), int(xx.sum())
     times = sxx.sum(axis=(1, 2)) / sizes**2
-    b, cov, _, _ = reml(sizes, times, sxx, sxy, np.bincount(of, pdf["ss"].to_numpy()), np.diag(xx), total("s"), total("q").sum(), int(xx.sum()))
-    return cells.set_axis([side, condition], axis=1).assign(n_units=total("units").astype(int)), b, cov
-
-
-def mixed_model_means(metrics: DataFrame, value: str, unit: str, side: str, condition: str, keys: list[str]) -> DataFrame:
-    """keys..., side, condition, n_units, mean, se and 95 % limits of each cell, with a random intercept for the unit."""
+    method, (designs, region) = "", _designs(cells)
+    for part, name in zip(designs, ("mixed", "mixed additive"), strict=True):
+        d = np.hstack([part, region])
+        full = (d * xx[:, None]).T @ d
+        if rows <= d.shape[1] or np.linalg.matrix_rank(full) < d.shape[1]:
+            continue
+        b, cov, _, _ = reml(sizes, times, np.einsum("ki,skl,lj->sij", d, sxx, d), sxy @ d, syy, full, d.T @ xy, yy, rows)
+        if np.isfinite(b).all() and np.isfinite(cov).all():
+            method = name
+            break
+    if not method:
+        part = designs[0]
+        d = np.hstack([part, region])
+        inner = np.linalg.pinv((d * xx[:, None]).T @ d)
+        b, p = inner @ (d.T @ xy), d @ inner @ (d.T @ xy)
+        meat = np.zeros((m, m))  # sums over units of the products of their residuals by cell
+        np.add.at(meat, (i, j), (pdf["ss"] + p[i] * p[j] * pdf["cc"]).to_numpy())
+        cross = np.zeros((m, m))
+        np.add.at(cross, (i, j), pdf["cs"].to_numpy())  # c of the first cell, s of the second
+        meat -= p[:, None] * cross + (p[:, None] * cross).T
+        units, k = times.sum(), d.shape[1]
+        scale = units / max(units - 1, 1) * (rows - 1) / max(rows - k, 1)
+        cov, method = scale * inner @ (d.T @ meat @ d) @ inner, "least squares"
+    w, q = np.linalg.eigh((cov + cov.T) / 2)
+    cov = (q * np.clip(w, 0, None)) @ q.T
+    found = cells.assign(units=total("units").astype(int)).groupby(["a_side", "a_condition"], sort=True)["units"].max().reset_index()
+    first = cells.reset_index().groupby(["a_side", "a_condition"], sort=True)["index"].first().to_numpy()
+    every = np.unique(region, axis=0) if region.shape[1] else region[:1]  # a row for each region
+    rows_of = np.array([[np.r_[part[c], r] for r in every] for c in first])
+    return found.set_axis([side, condition, "n_units"], axis=1), rows_of, b, cov, method
+
+
+def mixed_model_means(metrics: DataFrame, value: str, unit: str, side: str, condition: str, keys: list[str], roi: str | None = None) -> DataFrame:
+    """keys..., side, condition, n_units, mean, se, 95 % limits and method of each cell, with a random intercept for the unit; over the regions, each with the same weight, if roi is given."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cells, b, cov = fit_cells(pdf, side, condition)
-        se = np.sqrt(np.maximum(np.diag(cov), 0))
-        out = cells.assign(mean=b, se=se, low=b - 1.96 * se, high=b + 1.96 * se)
+        cells, rows, b, cov, method = fit_cells(pdf, side, condition)
+        mean = (rows @ b).mean(axis=1)
+        se = np.sqrt(np.maximum(np.einsum("cri,ij,crj->cr", rows, cov, rows), 0).mean(axis=1))
+        out = cells.assign(mean=mean, se=se, low=mean - 1.96 * se, high=mean + 1.96 * se, method=method)
         for name, k in zip(keys, key, strict=True):
             out[name] = k
         return out
 
     kinds = dict(metrics.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, side, condition]) + ", n_units long, mean double, se double, low double, high double"
-    return unit_sums(metrics, value, unit, side, condition, keys).groupBy(*keys).applyInPandas(one, schema)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, side, condition]) + ", n_units long, mean double, se double, low double, high double, method string"
+    return unit_sums(metrics, value, unit, side, condition, keys, roi).groupBy(*keys).applyInPandas(one, schema)
 
 
-def mixed_model_contrasts(metrics: DataFrame, value: str, unit: str, side: str, condition: str, keys: list[str], baseline: str | None = None) -> DataFrame:
+def mixed_model_contrasts(metrics: DataFrame, value: str, unit: str, side: str, condition: str, keys: list[str], baseline: str | None = None, roi: str | None = None) -> DataFrame:
     """keys..., side, condition, baseline, estimate, se, z and p_raw of each side against the baseline (by default the first) in each condition; p_holm within keys."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cells, b, cov = fit_cells(pdf, side, condition)
+        cells, rows, b, cov, _ = fit_cells(pdf, side, condition)
         place = {tuple(c): i for i, c in enumerate(cells[[side, condition]].itertuples(index=False, name=None))}
         base, out = baseline or cells[side].min(), []
         for (s, c), i in place.items():
             j = place.get((base, c))
             if s != base and j is not None:
-                se = float(np.sqrt(max(cov[i, i] + cov[j, j] - 2 * cov[i, j], 0)))
-                z = (b[i] - b[j]) / se if se > 0 else None
-                out.append((*key, s, c, base, float(b[i] - b[j]), se, z, normal_sf2(z) if z is not None else None))
+                x = rows[i, 0] - rows[j, 0]
+                se = float(np.sqrt(max(x @ cov @ x, 0)))
+                z = float(x @ b) / se if se > 0 else None
+                out.append((*key, s, c, base, float(x @ b), se, z, normal_sf2(z) if z is not None else None))
         return pd.DataFrame(out, columns=[*keys, side, condition, "baseline", "estimate", "se", "z", "p_raw"])
 
     kinds = dict(metrics.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, side, condition]) + f", baseline {kinds[side]}, estimate double, se double, z double, p_raw double"
-    found = unit_sums(metrics, value, unit, side, condition, keys).groupBy(*keys).applyInPandas(one, schema)
+    found = unit_sums(metrics, value, unit, side, condition, keys, roi).groupBy(*keys).applyInPandas(one, schema)
     return adjust(found, "p_raw", "holm", keys, [side, condition]).withColumnRenamed("p_adj", "p_holm")
 
 

@@ -173,7 +173,34 @@ def wilcoxon_signed_rank_w(spark, sf_dir):
     return stats.wilcoxon(against_first(spark, sf_dir), [*KEYS, "model"]).withColumn("z", F.round("z", 5))
 
 
-@query()
+def normal_p(z: str) -> str:
+    """The two-sided tail of a normal value, from the series of its error function; 0 beyond nine deviations."""
+    x = f"(abs({z})/sqrt(2))"
+    return f"CASE WHEN {z} IS NULL THEN NULL WHEN {z} = 0 THEN 1.0 WHEN abs({z}) > 9 THEN 0.0 ELSE greatest(0, 1 - 2/sqrt(pi())*exp(-{x}*{x})*list_sum([exp(2*i*ln(2) + (2*i + 1)*ln({x}) + lgamma(i + 1) - lgamma(2*i + 2)) for i in generate_series(0, 300)])) END"
+
+
+def chi2_p(chi2: str, df: str) -> str:
+    """The upper tail of chi2, from the series of the incomplete gamma function; 0 beyond 500."""
+    return f"CASE WHEN {chi2} > 500 THEN 0.0 WHEN {chi2} <= 0 THEN 1.0 ELSE greatest(0, 1 - list_sum([exp(({df}/2.0 + i)*ln({chi2}/2) - {chi2}/2 - lgamma({df}/2.0 + i + 1)) for i in generate_series(0, 1500)])) END"
+
+
+def student_p(t: str, df: str) -> str:
+    """The two-sided tail of t, from the series of the incomplete beta function at t^2 / (df + t^2)."""
+    y, a = f"({t}*{t}/({df} + {t}*{t}))", f"({df}/2.0)"
+    terms = f"[exp(0.5*ln({y}) + {a}*ln(1 - {y}) + lgamma({a} + 0.5 + i) - lgamma(1.5 + i) - lgamma({a}) + i*ln({y})) for i in generate_series(0, 3000)]"
+    return f"CASE WHEN {t} IS NULL THEN NULL WHEN {t} = 0 THEN 1.0 ELSE greatest(0, 1 - list_sum({terms})) END"
+
+
+@query(f"""WITH t AS ({SQL['paired_ttest_stat'].replace('round(avg(d)/(stddev_samp(d)/sqrt(count(d))), 5) AS t', 'avg(d)/(stddev_samp(d)/sqrt(count(d))) AS t')})
+    SELECT pulse, spacing, model, n, round(t, 5) AS t, round({student_p('t', '(n - 1)')}, 5) AS p FROM t""")
+def paired_t_p_values(spark, sf_dir):
+    return r6(stats.paired_t(against_first(spark, sf_dir), [*KEYS, "model"], with_p=True).select(*KEYS, "model", "n", "t", "p"), *KEYS, "model", "n", digits=5)
+
+
+@query(f"""WITH w AS ({SQL['wilcoxon_signed_rank_w'].replace('round((least(up, down)', '((least(up, down)').replace('ties/48), 5) AS z', 'ties/48)) AS z')}), p AS (SELECT pulse, spacing, model, {normal_p('z')} AS p FROM w),
+    k AS (SELECT *, row_number() OVER (PARTITION BY pulse, spacing ORDER BY p, model) AS k, count(*) OVER (PARTITION BY pulse, spacing) AS n FROM p),
+    h AS (SELECT *, least(1, max((n - k + 1)*p) OVER (PARTITION BY pulse, spacing ORDER BY k ROWS UNBOUNDED PRECEDING)) AS p_adj FROM k)
+    SELECT pulse, spacing, model, round(p, 6) AS p, round(p_adj, 6) AS p_adj, CASE WHEN p_adj < 0.001 THEN '***' WHEN p_adj < 0.01 THEN '**' WHEN p_adj < 0.05 THEN '*' ELSE 'n.s.' END AS stars FROM h""")
 def wilcoxon_p_values(spark, sf_dir):
     w = stats.wilcoxon(against_first(spark, sf_dir), [*KEYS, "model"], with_p=True)
     adjusted = stats.adjust(w, "p", "holm", KEYS, ["model"])
@@ -264,7 +291,7 @@ def bootstrap_ci(spark, sf_dir):
 
 @query()
 def lmm_emm(spark, sf_dir):
-    return r6(stats.mixed_model_means(metrics(spark, sf_dir), "psnr", "case_id", "model", "spacing", ["pulse"]), "pulse", "model", "spacing", "n_units", digits=5)
+    return r6(stats.mixed_model_means(metrics(spark, sf_dir), "psnr", "case_id", "model", "spacing", ["pulse"]), "pulse", "model", "spacing", "n_units", "method", digits=5)
 
 
 @query()
@@ -272,15 +299,91 @@ def lmm_contrasts(spark, sf_dir):
     return r6(stats.mixed_model_contrasts(metrics(spark, sf_dir), "psnr", "case_id", "model", "spacing", ["pulse"]), "pulse", "model", "spacing", "baseline", digits=5)
 
 
+def region_metrics(spark, sf_dir):
+    """case_id, model, pulse, spacing, roi, psnr: as metrics, by the line's number as its region."""
+    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    keys = [F.col("l_suppkey").alias("case_id"), F.col("p_type").alias("model"), F.col("l_returnflag").alias("pulse"), F.col("o_orderstatus").alias("spacing"), F.concat(F.lit("roi"), (F.col("l_linenumber") % 3).cast("string")).alias("roi")]
+    return joined.groupBy(*keys).agg(F.round(F.avg(F.try_divide("l_extendedprice", "l_quantity")), 6).alias("psnr"))
+
+
+@query()
+def lmm_emm_by_region(spark, sf_dir):
+    """Marginal means over regions, of a model with a term for each region."""
+    m = stats.mixed_model_means(region_metrics(spark, sf_dir), "psnr", "case_id", "model", "spacing", ["pulse"], "roi")
+    return r6(m, "pulse", "model", "spacing", "n_units", "method", digits=5)
+
+
+@query()
+def lmm_contrasts_by_region(spark, sf_dir):
+    m = stats.mixed_model_contrasts(region_metrics(spark, sf_dir), "psnr", "case_id", "model", "spacing", ["pulse"], roi="roi")
+    return r6(m, "pulse", "model", "spacing", "baseline", digits=5)
+
+
 @query()
 def normality_of_fold_means(spark, sf_dir):
     means = metrics(spark, sf_dir).groupBy("model", (F.col("case_id") % 20).alias("fold")).agg(F.avg("psnr").alias("v"))
     return r6(stats.normality(means, "v", ["model"]), "model", "n")
 
 
-@query()
+@query(f"""WITH f AS ({SQL['friedman_chi2'].replace('round((12.0/', '((12.0/').replace('(k*k - 1))), 5) AS chi2', '(k*k - 1)))) AS chi2')}) SELECT pulse, spacing, n, k, round(chi2, 5) AS chi2, round({chi2_p('chi2', '(k - 1)')}, 5) AS p FROM f""")
 def friedman_p_values(spark, sf_dir):
-    return r6(stats.friedman(metrics(spark, sf_dir), "psnr", "case_id", "model", KEYS, with_p=True), *KEYS, "n", "k")
+    return r6(stats.friedman(metrics(spark, sf_dir), "psnr", "case_id", "model", KEYS, with_p=True), *KEYS, "n", "k", digits=5)
+
+
+# ---- further shapes of summaries
+
+
+@query(f"{BASE} SELECT model, spacing, pulse, round(avg(psnr), 5) AS psnr, round(avg(ssim), 5) AS ssim, model = (SELECT min(p_type) FROM part) AS is_target FROM m GROUP BY 1, 2, 3")
+def flagged_means(spark, sf_dir):
+    """Means by condition, with a flag on the method of interest."""
+    return aggregate.flagged(metrics(spark, sf_dir), ["model", "spacing", "pulse"], ["psnr", "ssim"], F.col("model") == first_model(spark, sf_dir)).select("model", "spacing", "pulse", F.round("psnr", 5).alias("psnr"), F.round("ssim", 5).alias("ssim"), "is_target")
+
+
+@query(f"{BASE}, o AS (SELECT * FROM m WHERE case_id % 7 <> 0 OR spacing <> 'P'), l AS (UNPIVOT o ON psnr, ssim INTO NAME metric VALUE v) SELECT model, spacing, metric, round(avg(v), 3) AS mean, round(coalesce(stddev_samp(v), 0), 3) AS std, round(median(v), 3) AS median, count(*) AS n FROM l GROUP BY 1, 2, 3")
+def metric_summary(spark, sf_dir):
+    """One row for each metric: mean, sample spread (0 of a single value), median and n."""
+    rows = metrics(spark, sf_dir).where("case_id % 7 <> 0 OR spacing <> 'P'")
+    return r6(aggregate.by_metric(rows, ["case_id", "model", "spacing", "pulse"], ["model", "spacing"], ["psnr", "ssim"]), "model", "spacing", "metric", "n", digits=3)
+
+
+@query(f"{BASE}, f AS (SELECT spacing, pulse, case_id % 5 + 1 AS fold, avg(psnr) AS psnr, avg(ssim) AS ssim FROM m GROUP BY 1, 2, 3), l AS (UNPIVOT f ON psnr, ssim INTO NAME metric VALUE v) SELECT spacing, pulse, metric, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS std, count(*) AS n_folds FROM l GROUP BY 1, 2, 3")
+def fold_table(spark, sf_dir):
+    """Mean and population spread over folds."""
+    folds = metrics(spark, sf_dir).groupBy("spacing", "pulse", (F.col("case_id") % 5 + 1).alias("fold")).agg(F.avg("psnr").alias("psnr"), F.avg("ssim").alias("ssim"))
+    return r6(aggregate.over_folds(folds, ["spacing", "pulse"], ["psnr", "ssim"]), "spacing", "pulse", "metric", "n_folds", digits=5)
+
+
+@query(f"{BASE}, f AS (SELECT pulse, case_id % 5 + 1 AS fold, avg(psnr) AS v FROM m GROUP BY 1, 2) SELECT pulse, round(avg(v), 5) AS mean, round(stddev_samp(v), 5) AS std FROM f GROUP BY 1")
+def fold_spread_by_pulse(spark, sf_dir):
+    folds = metrics(spark, sf_dir).groupBy("pulse", (F.col("case_id") % 5 + 1).alias("fold")).agg(F.avg("psnr").alias("v"))
+    return r6(folds.groupBy("pulse").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")), "pulse", digits=5)
+
+
+@query(f"{BASE}, w AS (SELECT case_id, avg(psnr) FILTER (pulse = 'A' AND case_id % 3 <> 0) AS a, avg(psnr) FILTER (pulse = 'N') AS n, avg(psnr) FILTER (pulse = 'R' AND case_id % 2 = 0) AS r FROM m GROUP BY 1) SELECT case_id, round(list_avg([x for x in [a, n, r] if x IS NOT NULL]), 5) AS mean FROM w")
+def row_means(spark, sf_dir):
+    """The mean over a row's columns, those without a value passed over."""
+    pick = lambda c: F.avg(F.when(c, F.col("psnr")))
+    w = metrics(spark, sf_dir).groupBy("case_id").agg(pick((F.col("pulse") == "A") & (F.col("case_id") % 3 != 0)).alias("a"), pick(F.col("pulse") == "N").alias("n"), pick((F.col("pulse") == "R") & (F.col("case_id") % 2 == 0)).alias("r"))
+    return r6(w.select("case_id", aggregate.row_mean(["a", "n", "r"]).alias("mean")), "case_id", digits=5)
+
+
+@query(f"WITH i AS ({SQL['icc21']}) SELECT model, round(median(icc), 5) AS median_icc, count(icc) AS n FROM i GROUP BY 1")
+def median_icc(spark, sf_dir):
+    return icc21(spark, sf_dir).groupBy("model").agg(F.round(F.median("icc"), 5).alias("median_icc"), F.count("icc").alias("n"))
+
+
+@query(f"{BASE}, e AS (SELECT DISTINCT model, pulse, spacing FROM m), h AS (SELECT case_id, count(*) AS have FROM m GROUP BY 1) SELECT case_id, have, (SELECT count(*) FROM e) - have AS missing FROM h WHERE have < (SELECT count(*) FROM e)")
+def incomplete_panels(spark, sf_dir):
+    """Cases that lack conditions that others have, and how many."""
+    return coverage.incomplete(metrics(spark, sf_dir), "case_id", ["model", "pulse", "spacing"])
+
+
+@query("SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'PLAIN' WHEN 'STANDARD' THEN 'PLAIN' ELSE p_type END AS method, p_size AS spacing FROM part")
+def renamed_methods(spark, sf_dir):
+    """Aliases of a method brought to one name, and a spacing read from its label."""
+    p = table(spark, sf_dir, "part").withColumn("label", F.concat(F.col("p_size").cast("string"), F.lit("mm")))
+    named = aggregate.renamed(p, "p_type", {"ECONOMY": "PLAIN", "STANDARD": "PLAIN"})
+    return named.select("p_partkey", F.col("p_type").alias("method"), coverage.spacing_of("label").alias("spacing"))
 
 
 @query(f"{BASE} SELECT a.case_id, a.model, a.case_id || '_' || a.model AS truth_path, b.case_id || '-' || b.model AS label_path, c.case_id || '+' || c.model AS made_path FROM m a JOIN m b USING (case_id, model) JOIN m c USING (case_id, model) WHERE a.pulse = 'A' AND a.spacing = 'F' AND b.pulse = 'N' AND b.spacing = 'F' AND c.pulse = 'R' AND c.spacing = 'P'")

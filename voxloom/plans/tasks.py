@@ -142,3 +142,16 @@ def nested_documents(spark, sf_dir):
     per = artefacts(spark, sf_dir).groupBy("patient", "kind").agg(F.count("*").alias("n"))
     entries = F.array_sort(F.collect_list(F.struct("kind", "n")))
     return per.groupBy("patient").agg(F.to_json(F.map_from_entries(entries)).alias("document"))
+
+
+@query(f"{BASE} SELECT patient, count(*) AS n, s AS spacing FROM art, (VALUES ('3mm'), ('5mm'), ('7mm')) v(s) WHERE kind = 'view' GROUP BY 1, 3")
+def replicated_reference(spark, sf_dir):
+    """The reference, which has no spacing, next to each spacing's results."""
+    return coverage.replicated(artefacts(spark, sf_dir).where("kind = 'view'"), "spacing", ["3mm", "5mm", "7mm"]).groupBy("patient", "spacing").agg(F.count("*").alias("n"))
+
+
+@query(f"{BASE}, r AS (SELECT patient FROM art WHERE slot IN (0, 1, 2) GROUP BY 1 HAVING count(DISTINCT slot) = 3) SELECT patient FROM r WHERE patient IN (SELECT patient FROM art WHERE kind = 'purchase' AND payload > 50)")
+def labelled_and_complete(spark, sf_dir):
+    """Patients that have labels and every part of the results."""
+    a = artefacts(spark, sf_dir)
+    return coverage.covered_units(a.where("slot IN (0, 1, 2)"), a.where("kind = 'purchase' AND payload > 50"), "patient", ["slot"])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.operators import interpret, kernels, normalize, quality, radiomics, stacking, tiling
-from voxloom.sources.tables import EXPERTS, VOXELS_SQL, table, voxels
+from voxloom.operators import ensemble, interpret, kernels, normalize, quality, radiomics, stacking, tiling
+from voxloom.sources.tables import COLUMNS, DEPTH, EXPERTS, ROWS, VOXELS_SQL, lines, points, voxels
 
 PATCH, STRIDE = (4, 4, 8), (4, 4, 8)
 WIDE = (4, 4, 16)
@@ -14,13 +17,11 @@ RIDGE, TAU = 1e-4, 0.3
 TWO = ["e1", "e2"]
 
 
-def depth(spark: SparkSession, sf_dir: str) -> int:
-    """Slices of a volume, from the number of lines alone."""
-    return -(-table(spark, sf_dir, "embeddings").count() // 50)
+SHAPE = (DEPTH, ROWS, COLUMNS)
 
 
-def grid(spark: SparkSession, sf_dir: str, patch=PATCH, stride=STRIDE) -> tiling.Grid:
-    return tiling.Grid((depth(spark, sf_dir), 10, 64), patch, stride)
+def grid(patch=PATCH, stride=STRIDE) -> tiling.Grid:
+    return tiling.Grid(SHAPE, patch, stride)
 
 
 def r6(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
@@ -42,16 +43,22 @@ def _hann(a: str, stride: int, patch: int, size: str) -> str:
     return f"CASE WHEN {side} = 1 THEN 1.0 ELSE 0.5 - 0.5*cos(2*pi()*({a} - k{a}*{stride})/{side}) END"
 
 
+def _cover(patch: tuple[int, int, int], stride: tuple[int, int, int]) -> str:
+    """Tiles that cover each voxel, as the common table expression cov."""
+    n = [-(-size // s) for size, s in zip(SHAPE, stride, strict=True)]
+    series = ", ".join(f"generate_series(0, {k - 1}) t{a}(k{a})" for a, k in zip("zyx", n, strict=True))
+    inside = " AND ".join(f"{a} >= k{a}*{st} AND {a} < k{a}*{st} + {p}" for a, p, st in zip("zyx", patch, stride, strict=True))
+    return f"cov AS (SELECT vox.*, kz, ky, kx, (kz * {n[1]} + ky) * {n[2]} + kx AS rid FROM vox, {series} WHERE {inside})"
+
+
 #: Tiles of the wide grid (patch 4, 4, 16; stride 2, 2, 8) that cover each voxel.
-COVER = """cov AS (SELECT vox.*, kz, ky, kx, (kz * 5 + ky) * 8 + kx AS rid, (SELECT nz FROM dims) AS nz FROM vox,
-        generate_series(0, (SELECT (nz + 1) // 2 - 1 FROM dims)) a(kz), generate_series(0, 4) b(ky), generate_series(0, 7) c(kx)
-        WHERE z >= kz*2 AND z < kz*2 + 4 AND y >= ky*2 AND y < ky*2 + 4 AND x >= kx*8 AND x < kx*8 + 16)"""
+COVER = _cover(WIDE, (2, 2, 8))
 WIDE_LABEL = "((z // 2) * 5 + y // 2) * 8 + x // 8"
 WIDE_W = f"""eq AS (SELECT {WIDE_LABEL} AS rid, sum(e1*e1) q11, sum(e1*e2) q12, sum(e2*e2) q22, sum(e1*hr) b1, sum(e2*hr) b2, count(*) vox FROM vox WHERE hr > 0 GROUP BY 1), {W2}"""
 
 
-def wide_grid(spark, sf_dir):
-    return grid(spark, sf_dir, WIDE, (2, 2, 8))
+def wide_grid() -> tiling.Grid:
+    return grid(WIDE, (2, 2, 8))
 
 
 def weights_on(g: tiling.Grid, v: DataFrame, experts=TWO) -> DataFrame:
@@ -78,23 +85,23 @@ def query(sql: str | None = None):
 
 @query(f"{BASE} SELECT patient, z, y, x, {RID} AS rid FROM vox")
 def region_labels(spark, sf_dir):
-    return voxels(spark, sf_dir).select("patient", "z", "y", "x", grid(spark, sf_dir).label().alias("rid"))
+    return voxels(spark, sf_dir).select("patient", "z", "y", "x", grid().label().alias("rid"))
 
 
 @query(f"{BASE} SELECT {RID} AS rid, count(*) AS voxels, count(*) FILTER (hr > 0) AS foreground FROM vox GROUP BY 1")
 def region_voxel_counts(spark, sf_dir):
-    return voxels(spark, sf_dir).groupBy(grid(spark, sf_dir).label().alias("rid")).agg(F.count("*").alias("voxels"), F.count_if(F.col("hr") > 0).alias("foreground"))
+    return voxels(spark, sf_dir).groupBy(grid().label().alias("rid")).agg(F.count("*").alias("voxels"), F.count_if(F.col("hr") > 0).alias("foreground"))
 
 
 @query(f"""{BASE}, {DIMS} SELECT (cz*3 + cy)*8 + cx AS rid, cz*4 AS z0, least(cz*4+4, nz) AS z1, cy*4 AS y0, least(cy*4+4, 10) AS y1, cx*8 AS x0, least(cx*8+8, 64) AS x1
     FROM dims, generate_series(0, (SELECT (nz+3)//4 - 1 FROM dims)) a(cz), generate_series(0, 2) b(cy), generate_series(0, 7) c(cx)""")
 def tile_boxes(spark, sf_dir):
-    return grid(spark, sf_dir).boxes(spark).drop("cz", "cy", "cx")
+    return grid().boxes(spark).drop("cz", "cy", "cx")
 
 
 @query(f"{BASE}, {DIMS}, {COVER} SELECT n AS tiles, count(*) AS voxels FROM (SELECT patient, z, y, x, count(*) AS n FROM cov GROUP BY ALL) GROUP BY 1")
 def tile_coverage_counts(spark, sf_dir):
-    g = wide_grid(spark, sf_dir)
+    g = wide_grid()
     n = F.size(g.covering(0)) * F.size(g.covering(1)) * F.size(g.covering(2))
     return voxels(spark, sf_dir).groupBy(n.cast("long").alias("tiles")).agg(F.count("*").alias("voxels"))
 
@@ -103,7 +110,7 @@ def tile_coverage_counts(spark, sf_dir):
     p AS (SELECT a.rid, b.rid AS nbr FROM l a JOIN l b ON (b.z = a.z + 1 AND b.y = a.y AND b.x = a.x) OR (b.z = a.z AND b.y = a.y + 1 AND b.x = a.x) OR (b.z = a.z AND b.y = a.y AND b.x = a.x + 1) WHERE a.rid <> b.rid)
     SELECT DISTINCT rid, nbr FROM (SELECT rid, nbr FROM p UNION ALL SELECT nbr, rid FROM p)""")
 def region_adjacency(spark, sf_dir):
-    return grid(spark, sf_dir).adjacency(spark)
+    return grid().adjacency(spark)
 
 
 # ---- normalisers
@@ -140,7 +147,7 @@ def robust_rescale_p1_p99(spark, sf_dir):
 
 @query(f"{BASE}, {DIMS} SELECT patient, count(*) AS n, round(avg(hr), 6) AS mean FROM vox, dims WHERE z BETWEEN 2 AND nz - 3 AND y BETWEEN 2 AND 7 AND x BETWEEN 2 AND 61 AND z BETWEEN 3 AND 20 GROUP BY 1")
 def border_and_slice_window(spark, sf_dir):
-    v = normalize.z_window(normalize.crop_border(voxels(spark, sf_dir), grid(spark, sf_dir).shape, 2), 3, 20)
+    v = normalize.z_window(normalize.crop_border(voxels(spark, sf_dir), SHAPE, 2), 3, 20)
     return v.groupBy("patient").agg(F.count("*").alias("n"), F.round(F.avg("hr"), 6).alias("mean"))
 
 
@@ -149,7 +156,7 @@ def border_and_slice_window(spark, sf_dir):
 
 @query(f"{BASE}, {EQ2} SELECT rid, round(q11, 6) q11, round(q12, 6) q12, round(q22, 6) q22, round(b1, 6) b1, round(b2, 6) b2, vox FROM eq")
 def normal_equations_m2(spark, sf_dir):
-    v = voxels(spark, sf_dir).withColumn("rid", grid(spark, sf_dir).label())
+    v = voxels(spark, sf_dir).withColumn("rid", grid().label())
     return r6(stacking.normal_equations(v, TWO, where=F.col("hr") > 0), "rid", "vox")
 
 
@@ -158,7 +165,7 @@ _PAIRS = [(i, j) for i in range(1, 5) for j in range(i, 5)]
 
 @query(f"{BASE} SELECT {RID} AS rid, " + ", ".join([f"round(sum(e{i}*e{j}), 6) AS q{i}{j}" for i, j in _PAIRS] + [f"round(sum(e{i}*hr), 6) AS b{i}" for i in range(1, 5)]) + ", count(*) AS vox FROM vox WHERE hr > 0 GROUP BY 1")
 def normal_equations_m4(spark, sf_dir):
-    v = voxels(spark, sf_dir).withColumn("rid", grid(spark, sf_dir).label())
+    v = voxels(spark, sf_dir).withColumn("rid", grid().label())
     return r6(stacking.normal_equations(v, list(EXPERTS), where=F.col("hr") > 0), "rid", "vox")
 
 
@@ -167,9 +174,8 @@ def normal_equations_m4(spark, sf_dir):
     SELECT {RID} AS rid, round(sum(e1*e1 + 0.5*g1*g1), 6) AS q11, round(sum(e1*e2 + 0.5*g1*g2), 6) AS q12, round(sum(e2*e2 + 0.5*g2*g2), 6) AS q22, round(sum(e1*hr + 0.5*g1*g0), 6) AS b1, round(sum(e2*hr + 0.5*g2*g0), 6) AS b2, count(*) AS vox FROM d WHERE hr > 0 GROUP BY 1""")
 def gradient_normal_equations(spark, sf_dir):
     """The gradient terms along x, added with weight 0.5."""
-    v = voxels(spark, sf_dir)
-    diff = lambda c: kernels.shifted(c, 1, "x") - kernels.shifted(c, -1, "x")
-    v = v.withColumns({"g1": diff("e1"), "g2": diff("e2"), "g0": diff("hr")}).withColumn("rid", grid(spark, sf_dir).label())
+    rows = lines(spark, sf_dir).withColumns({g: kernels.stencil(c, (-1, 0, 1), "x") for g, c in (("g1", "e1"), ("g2", "e2"), ("g0", "hr"))})
+    v = points(rows, ["e1", "e2", "hr", "g1", "g2", "g0"]).withColumn("rid", grid().label())
     v = v.where("hr > 0").select("rid", F.explode(F.array(F.struct("e1", "e2", "hr", F.lit(1.0).alias("w")), F.struct(F.col("g1").alias("e1"), F.col("g2").alias("e2"), F.col("g0").alias("hr"), F.lit(0.5).alias("w")))).alias("s")).select("rid", "s.*")
     eq = stacking.normal_equations(v, TWO, weight=F.col("w")).withColumn("vox", (F.col("vox") / 2).cast("long"))
     return r6(eq, "rid", "vox")
@@ -178,14 +184,45 @@ def gradient_normal_equations(spark, sf_dir):
 @query(f"{BASE}, {EQ2}, {W2} SELECT rid, round(w1, 6) AS w1, round(1 - w1, 6) AS w2, vox FROM w")
 def simplex_weights_m2(spark, sf_dir):
     """The flagship: tile labels, normal equations and closed-form weights."""
-    return r6(weights_on(grid(spark, sf_dir), voxels(spark, sf_dir)).select("rid", "w1", "w2", "vox"), "rid", "vox")
+    return r6(weights_on(grid(), voxels(spark, sf_dir)).select("rid", "w1", "w2", "vox"), "rid", "vox")
 
 
-@query()
+def _simplex_sql(m: int) -> str:
+    """The best of the minima over every set of experts, each by its Cholesky factors, as the common table expression best: rid, w1.., value, vox."""
+    sets = []
+    for on in (c for k in range(1, m + 1) for c in itertools.combinations(range(1, m + 1), k)):
+        q, k = "eq", len(on)
+
+        def step(columns: dict[str, str], q: str) -> str:
+            return f"(SELECT *, {', '.join(f'{v} AS {n}' for n, v in columns.items())} FROM {q})"
+
+        for j in range(k):
+            a = lambda r, c: f"(q{on[c]}{on[r]}" + (f" + {RIDGE})" if r == c else ")")  # noqa: B023, E731
+            q = step({f"l{j}{j}": f"sqrt({a(j, j)}" + "".join(f" - l{j}{t}*l{j}{t}" for t in range(j)) + ")"}, q)
+            below = {f"l{r}{j}": f"({a(r, j)}" + "".join(f" - l{r}{t}*l{j}{t}" for t in range(j)) + f")/l{j}{j}" for r in range(j + 1, k)}
+            q = step(below, q) if below else q
+        for j in range(k):  # forward for b and for ones, then back
+            q = step({f"{n}{j}": f"({first}" + "".join(f" - l{j}{t}*{n}{t}" for t in range(j)) + f")/l{j}{j}" for n, first in (("f", f"b{on[j]}"), ("g", "1"))}, q)
+        for j in reversed(range(k)):
+            q = step({f"{n}{j}": f"({first}{j}" + "".join(f" - l{t}{j}*{n}{t}" for t in range(j + 1, k)) + f")/l{j}{j}" for n, first in (("u", "f"), ("v", "g"))}, q)
+        mu = "(" + " + ".join(f"u{j}" for j in range(k)) + " - 1)/(" + " + ".join(f"v{j}" for j in range(k)) + ")"
+        weights = ", ".join(f"u{on.index(i)} - mu*v{on.index(i)} AS w{i}" if i in on else f"0.0 AS w{i}" for i in range(1, m + 1))
+        sets.append(f"SELECT rid, vox, {weights} FROM {step({'mu': mu}, q)}")
+    pair = lambda i, j: f"q{min(i, j)}{max(i, j)}" + (f" + {RIDGE}" if i == j else "")
+    value = " + ".join(f"w{i}*w{j}*({pair(i, j)})" for i in range(1, m + 1) for j in range(1, m + 1)) + " - 2*(" + " + ".join(f"w{i}*b{i}" for i in range(1, m + 1)) + ")"
+    feasible = " AND ".join(f"w{i} >= -1e-12" for i in range(1, m + 1))
+    return f"""sets AS ({' UNION ALL '.join(sets)}), valued AS (SELECT sets.*, {value} AS value FROM sets JOIN eq USING (rid) WHERE {feasible}),
+        best AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY rid ORDER BY value) = 1)"""
+
+
+EQ4 = f"eq AS (SELECT {RID} AS rid, " + ", ".join([f"sum(e{i}*e{j}) AS q{i}{j}" for i, j in _PAIRS] + [f"sum(e{i}*hr) AS b{i}" for i in range(1, 5)]) + ", count(*) AS vox FROM vox WHERE hr > 0 GROUP BY 1)"
+
+
+@query(f"{BASE}, {EQ4}, {_simplex_sql(4)} SELECT rid, {', '.join(f'round(greatest(w{i}, 0), 5) AS w{i}' for i in range(1, 5))}, round(value, 5) AS objective, vox FROM best")
 def simplex_weights_m4(spark, sf_dir):
-    v = voxels(spark, sf_dir).withColumn("rid", grid(spark, sf_dir).label())
+    v = voxels(spark, sf_dir).withColumn("rid", grid().label())
     w = stacking.simplex_weights(stacking.normal_equations(v, list(EXPERTS), where=F.col("hr") > 0), 4, RIDGE)
-    return w.select("rid", F.transform("w", lambda x: F.round(x, 6)).alias("w"), F.round("objective", 6).alias("objective"), "vox")
+    return w.select("rid", *[F.round(F.col("w")[i], 5).alias(f"w{i + 1}") for i in range(4)], F.round("objective", 5).alias("objective"), "vox")
 
 
 @query(f"""{BASE}, {EQ2}, {W2}, t AS (SELECT rid, w1, 1 - w1 AS w2, rid // 24 AS cz, rid // 8 % 3 AS cy, rid % 8 AS cx FROM w),
@@ -193,42 +230,60 @@ def simplex_weights_m4(spark, sf_dir):
     j AS (SELECT t.rid, CASE WHEN m1 IS NULL THEN w1 ELSE 0.7*w1 + 0.3*m1 END AS v1, CASE WHEN m2 IS NULL THEN w2 ELSE 0.7*w2 + 0.3*m2 END AS v2 FROM t LEFT JOIN s ON t.rid = s.rid)
     SELECT rid, round(greatest(v1, 0)/(greatest(v1, 0) + greatest(v2, 0) + 1e-8), 6) AS w1, round(greatest(v2, 0)/(greatest(v1, 0) + greatest(v2, 0) + 1e-8), 6) AS w2 FROM j""")
 def laplacian_smoothed_weights(spark, sf_dir):
-    g = grid(spark, sf_dir)
+    g = grid()
     w = weights_on(g, voxels(spark, sf_dir)).select("rid", "w1", "w2")
     return r6(stacking.smooth_weights(w, g.adjacency(spark), TAU, ["w1", "w2"]), "rid")
 
 
-def _blend_sql(taper: str) -> str:
-    return f"""{BASE}, {DIMS}, {COVER}, {WIDE_W}, o AS (SELECT patient, z, y, x, hr, {taper} AS t, coalesce(w1, 0.5)*e1 + coalesce(1 - w1, 0.5)*e2 AS v FROM cov LEFT JOIN w ON cov.rid = w.rid),
+def _blend_sql(taper: str, cover: str = "", w: str = "") -> str:
+    return f"""{BASE}, {cover or COVER}, {w or WIDE_W}, o AS (SELECT patient, z, y, x, hr, {taper} AS t, coalesce(w1, 0.5)*e1 + coalesce(1 - w1, 0.5)*e2 AS v FROM cov LEFT JOIN w ON cov.rid = w.rid),
         bl AS (SELECT patient, z, y, x, hr, sum(t*v)/(sum(t) + 1e-8) AS blend FROM o GROUP BY ALL)"""
 
 
-HANN = " * ".join(f"({_hann(a, s, p, n)})" for a, s, p, n in (("z", 2, 4, "nz"), ("y", 2, 4, "10"), ("x", 8, 16, "64")))
+def _tapers(patch: tuple[int, int, int], stride: tuple[int, int, int]) -> str:
+    return " * ".join(f"({_hann(a, st, p, str(n))})" for a, st, p, n in zip("zyx", stride, patch, SHAPE, strict=True))
+
+
+HANN = _tapers(WIDE, (2, 2, 8))
+
+
+def blended(spark, sf_dir, kind: str = "hann", g: tiling.Grid | None = None) -> DataFrame:
+    """Lines with hr, the experts and blend."""
+    g = g or wide_grid()
+    return stacking.blend(lines(spark, sf_dir), weights_on(g, voxels(spark, sf_dir)), g, TWO, kind)
 
 
 @query(_blend_sql("1.0") + " SELECT patient, z, y, x, round(blend, 6) AS blend FROM bl")
 def blend_flat(spark, sf_dir):
-    g, v = wide_grid(spark, sf_dir), voxels(spark, sf_dir)
-    return r6(stacking.blend(v, weights_on(g, v), g, TWO, kind="flat", keep=()), "patient", "z", "y", "x")
+    return r6(points(blended(spark, sf_dir, "flat"), ["blend"]), "patient", "z", "y", "x")
 
 
 @query(_blend_sql(HANN) + " SELECT patient, z, y, x, round(blend, 6) AS blend FROM bl")
 def blend_overlap_hann(spark, sf_dir):
-    g, v = wide_grid(spark, sf_dir), voxels(spark, sf_dir)
-    return r6(stacking.blend(v, weights_on(g, v), g, TWO, keep=()), "patient", "z", "y", "x")
+    return r6(points(blended(spark, sf_dir), ["blend"]), "patient", "z", "y", "x")
+
+
+UNEVEN = ((5, 5, 12), (3, 3, 8))
+_UNEVEN_W = WIDE_W.replace(WIDE_LABEL, "((z // 3) * 4 + y // 3) * 8 + x // 8")
+ERRORS_SQL = """SELECT patient, round(mae, 6) AS mae, round(mse, 6) AS mse, round(sqrt(mse), 6) AS rmse, round(20*log10(r) - 10*log10(mse), 6) AS psnr
+    FROM (SELECT patient, avg(abs(blend - hr)) AS mae, avg((blend - hr)*(blend - hr)) AS mse, max(hr) - min(hr) AS r FROM bl GROUP BY 1)"""
+
+
+@query(f"{_blend_sql(_tapers(*UNEVEN), _cover(*UNEVEN), _UNEVEN_W)} {ERRORS_SQL}")
+def blend_uneven_tiles(spark, sf_dir):
+    """Overlap-add where the stride doesn't divide the patch."""
+    return r6(quality.errors(points(blended(spark, sf_dir, g=grid(*UNEVEN)), ["hr", "blend"]), "hr", "blend", ["patient"]), "patient")
 
 
 @query(f"{BASE}, {EQ2}, {W2} SELECT patient, z, y, x, round(w1*e1 + (1 - w1)*e2, 6) AS blend FROM vox JOIN w ON w.rid = {RID}")
 def predict_last_writer(spark, sf_dir):
-    g, v = grid(spark, sf_dir), voxels(spark, sf_dir)
+    g, v = grid(), voxels(spark, sf_dir)
     return r6(stacking.predict(v, weights_on(g, v), g, TWO).select("patient", "z", "y", "x", "blend"), "patient", "z", "y", "x")
 
 
-@query(_blend_sql(HANN) + """, s AS (SELECT patient, avg(abs(blend - hr)) AS mae, avg((blend - hr)*(blend - hr)) AS mse, max(hr) - min(hr) AS r FROM bl GROUP BY 1)
-    SELECT patient, round(mae, 6) AS mae, round(mse, 6) AS mse, round(sqrt(mse), 6) AS rmse, round(20*log10(r) - 10*log10(mse), 6) AS psnr FROM s""")
+@query(f"{_blend_sql(HANN)} {ERRORS_SQL}")
 def psnr_mse_mae_by_patient(spark, sf_dir):
-    g, v = wide_grid(spark, sf_dir), voxels(spark, sf_dir)
-    return r6(quality.errors(stacking.blend(v, weights_on(g, v), g, TWO), "hr", "blend", ["patient"]), "patient")
+    return r6(quality.errors(points(blended(spark, sf_dir), ["hr", "blend"]), "hr", "blend", ["patient"]), "patient")
 
 
 @query(f"""{BASE}, f AS (SELECT *, patient % 3 AS fold, {RID} AS rid FROM vox),
@@ -238,7 +293,7 @@ def psnr_mse_mae_by_patient(spark, sf_dir):
     SELECT fold, patient, round(avg(abs(blend - hr)), 6) AS mae, round(avg((blend - hr)*(blend - hr)), 6) AS mse FROM b GROUP BY ALL""")
 def evaluate_folds(spark, sf_dir):
     """All folds at once: weights of each fold's training patients, applied to its test patients."""
-    v = voxels(spark, sf_dir).withColumns({"own": (F.col("patient") % 3).cast("int"), "rid": grid(spark, sf_dir).label()})
+    v = voxels(spark, sf_dir).withColumns({"own": (F.col("patient") % 3).cast("int"), "rid": grid().label()})
     train = v.withColumn("fold", F.explode(F.filter(F.array(*map(F.lit, range(3))), lambda k: k != F.col("own"))))
     w = stacking.simplex_weights_two(stacking.normal_equations(train, TWO, keys=["fold", "rid"], where=F.col("hr") > 0), RIDGE).select("fold", "rid", "w1", "w2")
     test = v.withColumnRenamed("own", "fold").join(w, ["fold", "rid"]).withColumn("blend", F.col("w1") * F.col("e1") + F.col("w2") * F.col("e2"))
@@ -253,7 +308,7 @@ def evaluate_folds(spark, sf_dir):
     SELECT patient, round(direct, 6) AS direct, round(transfer, 6) AS transfer, round((direct - transfer)/nullif(direct, 0)*100, 4) AS gap FROM s""")
 def weight_transfer_gap(spark, sf_dir):
     """Weights learned at one spacing (experts 1, 2) applied at another (4, 3), against those learned there."""
-    g, v = grid(spark, sf_dir), voxels(spark, sf_dir)
+    g, v = grid(), voxels(spark, sf_dir)
     there = v.select("patient", "z", "y", "x", "hr", F.col("e4").alias("e1"), F.col("e3").alias("e2")).withColumn("rid", g.label())
     moved, direct = weights_on(g, v).select("rid", "w1", "w2"), weights_on(g, there).select("rid", F.col("w1").alias("v1"), F.col("w2").alias("v2"))
     b = there.join(moved, "rid").join(direct, "rid").withColumns({"direct": F.col("v1") * F.col("e1") + F.col("v2") * F.col("e2"), "transfer": F.col("w1") * F.col("e1") + F.col("w2") * F.col("e2")})
@@ -261,6 +316,16 @@ def weight_transfer_gap(spark, sf_dir):
     return s.select("patient", F.round("direct", 6).alias("direct"), F.round("transfer", 6).alias("transfer"), F.round(F.try_divide(F.col("direct") - F.col("transfer"), F.nullif("direct", F.lit(0.0))) * 100, 4).alias("gap"))
 
 
+GAP_SQL = SQL["weight_transfer_gap"]
+
+
+@query(f"WITH gaps AS ({GAP_SQL}) SELECT 'e4_e3' AS target, round(avg(gap), 4) AS mean, round(stddev_pop(gap), 4) AS std, count(gap) AS n FROM gaps")
+def transfer_gap_summary(spark, sf_dir):
+    """Mean and population spread of the gaps that are numbers, for each target."""
+    gaps = weight_transfer_gap(spark, sf_dir).withColumn("target", F.lit("e4_e3")).where("gap IS NOT NULL AND NOT isnan(gap)")
+    return gaps.groupBy("target").agg(F.round(F.avg("gap"), 4).alias("mean"), F.round(F.stddev_pop("gap"), 4).alias("std"), F.count("gap").alias("n"))
+
+
 # ---- quality
 
 
@@ -316,64 +381,223 @@ def bhattacharyya(spark, sf_dir):
     return r6(quality.bhattacharyya(voxels(spark, sf_dir), "hr", "e2", ["patient"]), "patient")
 
 
-_K = "pow((a.hr*b.hr + a.e1*b.e1)/2 + 1, 3)"
+#: (x.y / 2 + 1)^3 by powers of two coordinates: its weight for each.
+_CUBIC = {(a, b): math.factorial(3) // (math.factorial(a) * math.factorial(b) * math.factorial(3 - a - b)) / 2 ** (a + b) for a in range(4) for b in range(4 - a)}
+_SUMS = ", ".join(f"sum(pow(hr, {a})*pow(e1, {b})) FILTER (side = {k}) AS s{k}_{a}{b}" for k in (0, 1) for a, b in _CUBIC)
+_ALL = lambda i, j: " + ".join(f"{w}*s{i}_{a}{b}*s{j}_{a}{b}" for (a, b), w in _CUBIC.items())
+MMD_SQL = f"""{BASE}, f AS (SELECT patient, hr, e1, x % 2 AS side FROM vox),
+    k AS (SELECT patient, {_SUMS}, count(*) FILTER (side = 0) AS n0, count(*) FILTER (side = 1) AS n1, sum(pow((hr*hr + e1*e1)/2 + 1, 3)) FILTER (side = 0) AS d0, sum(pow((hr*hr + e1*e1)/2 + 1, 3)) FILTER (side = 1) AS d1 FROM f GROUP BY 1)
+    SELECT patient, round(greatest(0, ({_ALL(0, 0)} - d0)/(n0*(n0 - 1)) + ({_ALL(1, 1)} - d1)/(n1*(n1 - 1)) - 2*({_ALL(0, 1)})/(n0*n1)), 6) AS mmd FROM k"""
 
 
-@query(f"""{BASE}, f AS (SELECT patient, z, y, x, hr, e1, CASE WHEN x % 2 = 0 THEN 0 ELSE 1 END AS side FROM vox WHERE z < 2 AND y < 5),
-    k AS (SELECT a.patient, sum({_K}) FILTER (a.side = 0 AND b.side = 0 AND (a.z, a.y, a.x) <> (b.z, b.y, b.x)) AS k00, sum({_K}) FILTER (a.side = 1 AND b.side = 1 AND (a.z, a.y, a.x) <> (b.z, b.y, b.x)) AS k11,
-        sum({_K}) FILTER (a.side = 0 AND b.side = 1) AS k01 FROM f a JOIN f b ON a.patient = b.patient GROUP BY 1),
-    n AS (SELECT patient, count(*) FILTER (side = 0) AS n0, count(*) FILTER (side = 1) AS n1 FROM f GROUP BY 1)
-    SELECT patient, round(greatest(0, k00/(n0*(n0 - 1)) + k11/(n1*(n1 - 1)) - 2*k01/(n0*n1)), 6) AS mmd FROM k JOIN n USING (patient)""")
+@query(MMD_SQL)
 def mmd_poly3(spark, sf_dir):
-    """Even against odd columns of a corner of each volume, as its SQL forms all pairs; mmd_poly3_whole takes every voxel."""
-    v = voxels(spark, sf_dir).where("z < 2 AND y < 5").withColumn("side", (F.col("x") % 2).cast("int"))
+    """Even against odd columns of every voxel."""
+    v = voxels(spark, sf_dir).withColumn("side", (F.col("x") % 2).cast("int"))
     return r6(quality.polynomial_mmd(v, "side", ["hr", "e1"], ["patient"]), "patient")
 
 
-@query()
+@query(MMD_SQL)
 def mmd_poly3_whole(spark, sf_dir):
-    """Even against odd columns of whole volumes."""
-    v = voxels(spark, sf_dir).withColumn("side", (F.col("x") % 2).cast("int"))
-    return r6(quality.polynomial_mmd(v, "side", ["hr", "e1"], ["patient"]), "patient")
+    return mmd_poly3(spark, sf_dir)
 
 
-@query()
+GAUSS7 = [w / sum(math.exp(-(t * t) / 4.5) for t in range(-3, 4)) for w in (math.exp(-(t * t) / 4.5) for t in range(-3, 4))]
+
+
+def ssim_sql(rows: str, a: str, b: str, gaussian: bool = False, out: str = "ss") -> str:
+    """Similarity of each z slice of the relation `rows`, with windows of 7 x 7, as the common table expression `out`: patient, z, s. The inner y and x alone have whole windows."""
+    parts = {"a": "a", "b": "b", "aa": "a*a", "bb": "b*b", "ab": "a*b"}
+    if gaussian:
+        shift = lambda c, t: c if not t else f"{'lag' if t < 0 else 'lead'}({c}, {abs(t)}) OVER w"
+        mean = lambda c: " + ".join(f"{w!r}*{shift(f'({c})', t)}" for t, w in zip(range(-3, 4), GAUSS7, strict=True))
+        frame, k = "", 1.0
+    else:
+        mean = lambda c: f"sum({c}) OVER w / 7"
+        frame, k = " ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING", 49 / 48
+    one = ", ".join(f"{mean(v)} AS {n}" for n, v in parts.items())
+    two = ", ".join(f"{mean(n)} AS {n}" for n in parts)
+    return f"""{out}1 AS (SELECT patient, z, y, x, {one} FROM (SELECT patient, z, y, x, {a} AS a, {b} AS b FROM {rows}) WINDOW w AS (PARTITION BY patient, z, y ORDER BY x{frame})),
+        {out}2 AS (SELECT patient, z, y, x, {two} FROM {out}1 WINDOW w AS (PARTITION BY patient, z, x ORDER BY y{frame})),
+        {out}r AS (SELECT patient, z, max({a}) - min({a}) AS r FROM {rows} GROUP BY 1, 2),
+        {out} AS (SELECT patient, z, avg((2*a*b + pow(0.01*r, 2))*(2*{k!r}*(ab - a*b) + pow(0.03*r, 2))/((a*a + b*b + pow(0.01*r, 2))*({k!r}*(aa - a*a) + {k!r}*(bb - b*b) + pow(0.03*r, 2)))) AS s
+            FROM {out}2 JOIN {out}r USING (patient, z) WHERE y BETWEEN 3 AND {ROWS - 4} AND x BETWEEN 3 AND {COLUMNS - 4} AND r > 0 GROUP BY 1, 2)"""
+
+
+@query(f"{BASE}, {ssim_sql('vox', 'hr', 'e2')} SELECT patient, round(avg(s), 6) AS ssim FROM ss GROUP BY 1")
 def ssim_slicewise(spark, sf_dir):
-    return r6(quality.ssim_slicewise(voxels(spark, sf_dir), "hr", "e2", grid(spark, sf_dir).shape), "patient")
+    return r6(quality.ssim_slicewise(lines(spark, sf_dir), "hr", "e2", SHAPE), "patient")
 
 
-@query()
+@query(f"{BASE}, {ssim_sql('vox', 'hr', 'e2', True)} SELECT patient, round(avg(s), 6) AS ssim FROM ss GROUP BY 1")
 def ssim_gaussian_slices(spark, sf_dir):
-    return r6(quality.ssim_slicewise(voxels(spark, sf_dir), "hr", "e2", grid(spark, sf_dir).shape, gaussian=True), "patient")
+    return r6(quality.ssim_slicewise(lines(spark, sf_dir), "hr", "e2", SHAPE, gaussian=True), "patient")
 
 
 @query()
 def ms_ssim_3d(spark, sf_dir):
-    return r6(quality.ms_ssim_by_volume(voxels(spark, sf_dir), "hr", "e2", grid(spark, sf_dir).shape), "patient")
+    """Volumes are resampled first, as their sides are too short for two scales."""
+    return r6(quality.ms_ssim_by_volume(lines(spark, sf_dir), "hr", "e2", SHAPE, zoom=(40, 40, 64)), "patient")
+
+
+@query(f"""{BASE}, s AS (SELECT patient, avg(pow(e1 - hr, 2)) AS e, max(hr) - min(hr) AS r, avg(pow(e1 - hr, 2)) FILTER (seg > 0) AS ei, max(hr) FILTER (seg > 0) - min(hr) FILTER (seg > 0) AS ri,
+        greatest(1e-8, greatest(max(hr) FILTER (seg > 0), max(e1) FILTER (seg > 0)) - least(min(hr) FILTER (seg > 0), min(e1) FILTER (seg > 0))) AS rj FROM vox GROUP BY 1)
+    SELECT patient, round(20*log10((ri + 1e-12)/sqrt(ei + 1e-12)), 6) AS floored, round(10*log10(r*r/e), 6) AS plain, round(10*log10(ri*ri/ei), 6) AS clinical, round(10*log10(rj*rj/ei), 6) AS joint FROM s""")
+def psnr_variants(spark, sf_dir):
+    return r6(quality.psnr_variants(voxels(spark, sf_dir), "hr", "e1", F.col("seg") > 0, ["patient"]), "patient")
+
+
+@query(f"""{BASE}, g AS (SELECT patient, z, CASE WHEN x % 17 = 0 THEN 'NaN'::DOUBLE WHEN x % 13 = 0 THEN 'inf'::DOUBLE ELSE hr END AS a, CASE WHEN y % 7 = 0 THEN NULL ELSE e1 END AS b FROM vox)
+    SELECT patient, count(*) AS n, round(avg(abs(b - a)), 6) AS mae, round(avg((b - a)*(b - a)), 6) AS mse FROM g WHERE b IS NOT NULL AND isfinite(a) GROUP BY 1""")
+def finite_pairs(spark, sf_dir):
+    """Errors over the voxels that are numbers in both volumes."""
+    a = F.when(F.col("x") % 17 == 0, float("nan")).when(F.col("x") % 13 == 0, float("inf")).otherwise(F.col("hr"))
+    v = voxels(spark, sf_dir).withColumns({"a": a, "b": F.when(F.col("y") % 7 != 0, F.col("e1"))})
+    n = v.where(quality.finite("a", "b")).groupBy("patient").agg(F.count("*").alias("n"))
+    return n.join(quality.errors(v, "a", "b", ["patient"]), "patient").select("patient", "n", F.round("mae", 6).alias("mae"), F.round("mse", 6).alias("mse"))
+
+
+_ROI = "(VALUES ('all', -1), ('core', 1), ('edema', 2), ('surround', 3)) r(roi, l)"
+
+
+@query(f"""{BASE}, a AS (SELECT vox.*, roi, CASE WHEN CASE WHEN l = -1 THEN hr > 0 ELSE seg = l END THEN 1 ELSE 0 END AS k FROM vox, {_ROI}),
+    p AS (SELECT patient, roi, count(*) FILTER (k = 1) AS n_voxels, 10*log10(pow(max(hr) FILTER (k = 1) - min(hr) FILTER (k = 1), 2)/avg(pow(e1 - hr, 2)) FILTER (k = 1)) AS psnr FROM a GROUP BY 1, 2 HAVING count(*) FILTER (k = 1) > 0),
+    mk AS (SELECT patient || ' ' || roi AS patient, z, y, x, hr*k AS hr, e1*k AS e1 FROM a), mz AS (SELECT patient, z, max(hr) - min(hr) AS span FROM mk GROUP BY 1, 2),
+    {ssim_sql('mk', 'hr', 'e1')}, m AS (SELECT patient, avg(s) AS ssim FROM ss JOIN mz USING (patient, z) WHERE span >= 1e-7 GROUP BY 1)
+    SELECT p.patient, p.roi, round(psnr, 6) AS psnr, round(coalesce(ssim, 0), 6) AS ssim, n_voxels FROM p LEFT JOIN m ON m.patient = p.patient || ' ' || p.roi""")
+def roi_quality(spark, sf_dir):
+    """Ratio and slice-wise similarity inside each region, what is outside taken as 0; regions without voxels are left out."""
+    return r6(ensemble.roi_quality(lines(spark, sf_dir), "hr", "e1", SHAPE), "patient", "roi", "n_voxels")
+
+
+@query(f"""{BASE}, a AS (SELECT vox.*, roi FROM vox, {_ROI} WHERE l = -1 OR seg = l), c AS (SELECT patient, roi, z, avg(abs(e1 - hr)) AS mae, avg(pow(e1 - hr, 2)) AS mse, max(hr) - min(hr) AS r FROM a GROUP BY ALL),
+    {ssim_sql('vox', 'hr', 'e1', True)},
+    j AS (SELECT c.patient, roi, z, mae, mse, CASE WHEN mse > 0 AND r > 0 THEN 20*log10(r) - 10*log10(mse) END AS psnr, s FROM c LEFT JOIN ss USING (patient, z)),
+    l AS (UNPIVOT j ON mae, mse, psnr, s INTO NAME metric VALUE v)
+    SELECT patient, roi, CASE metric WHEN 's' THEN 'ssim' ELSE metric END AS metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n FROM l GROUP BY ALL""")
+def roi_metric_cube(spark, sf_dir):
+    """Four metrics of each region's slices, mean and population spread over them; the similarity is the whole slice's."""
+    return r6(ensemble.roi_cube(lines(spark, sf_dir), "hr", "e1", SHAPE), "patient", "roi", "metric", "n")
+
+
+@query(f"""{BASE}, t AS (SELECT patient, max(hr) AS top FROM vox GROUP BY 1) SELECT patient, count(*) FILTER (hr > 0.05*top) AS n, round(avg(abs(e1 - hr)) FILTER (hr > 0.05*top), 6) AS inside, round(avg(abs(e1 - hr)) FILTER (seg = 1), 6) AS lesion, round(max(abs(e1 - hr)), 6) AS worst FROM vox JOIN t USING (patient) GROUP BY 1""")
+def masked_error(spark, sf_dir):
+    """The absolute error inside a mask of what is over a twentieth of the largest value, and inside a label."""
+    rows = lines(spark, sf_dir)
+    top = rows.groupBy("patient").agg(F.max(F.array_max("hr")).alias("top"))
+    v = points(rows.join(top, "patient"), ["hr", "e1"], "seg", "top").withColumn("e", F.abs(F.col("e1") - F.col("hr")))
+    inside = F.col("hr") > 0.05 * F.col("top")
+    return r6(v.groupBy("patient").agg(F.count_if(inside).alias("n"), F.avg(F.when(inside, F.col("e"))).alias("inside"), F.avg(F.when(F.col("seg") == 1, F.col("e"))).alias("lesion"), F.max("e").alias("worst")), "patient", "n")
+
+
+@query(f"""{BASE}, s AS (SELECT patient, z, max(abs(e1 - hr)) AS m1, max(abs(e2 - hr)) AS m2, min(least(abs(e1 - hr), abs(e2 - hr))) AS lo FROM vox GROUP BY 1, 2)
+    SELECT patient, z, round(greatest(m1, m2), 6) AS row_max, round(min(lo) OVER (PARTITION BY patient), 6) AS lowest, round(max(greatest(m1, m2)) OVER (PARTITION BY patient), 6) AS highest FROM s""")
+def colour_scales(spark, sf_dir):
+    """The largest error over all maps of a row of a figure, and the ends over all rows."""
+    e = lambda c: F.abs(F.col(c) - F.col("hr"))
+    s = voxels(spark, sf_dir).groupBy("patient", "z").agg(F.greatest(F.max(e("e1")), F.max(e("e2"))).alias("row_max"), F.least(F.min(e("e1")), F.min(e("e2"))).alias("lo"))
+    ends = s.groupBy("patient").agg(F.min("lo").alias("lowest"), F.max("row_max").alias("highest"))
+    return r6(s.join(ends, "patient").select("patient", "z", "row_max", "lowest", "highest"), "patient", "z")
+
+
+@query(f"{BASE} SELECT patient, z, round(avg(hr), 6) AS hr, round(avg(e1), 6) AS e1, count(*) AS n FROM vox WHERE seg > 0 AND abs(hr) > 0.01 GROUP BY 1, 2")
+def slice_averages(spark, sf_dir):
+    """Truth and expert side by side, averaged over each slice's pairs inside the mask."""
+    v = voxels(spark, sf_dir).where(quality.finite("hr", "e1") & (F.col("seg") > 0) & (F.abs("hr") > 0.01))
+    return v.groupBy("patient", "z").agg(F.round(F.avg("hr"), 6).alias("hr"), F.round(F.avg("e1"), 6).alias("e1"), F.count("*").alias("n"))
+
+
+# ---- fit, blend, evaluate
+
+_SMOOTH_W = f"""t AS (SELECT rid, w1, 1 - w1 AS w2, vox, rid // 24 AS cz, rid // 8 % 3 AS cy, rid % 8 AS cx FROM w),
+    s AS (SELECT a.rid, avg(b.w1) AS m1, avg(b.w2) AS m2 FROM t a JOIN t b ON abs(a.cz - b.cz) + abs(a.cy - b.cy) + abs(a.cx - b.cx) = 1 GROUP BY 1),
+    j AS (SELECT t.rid, vox, CASE WHEN m1 IS NULL THEN w1 ELSE 0.7*w1 + 0.3*m1 END AS v1, CASE WHEN m2 IS NULL THEN w2 ELSE 0.7*w2 + 0.3*m2 END AS v2 FROM t LEFT JOIN s ON t.rid = s.rid)"""
+
+
+@query(f"""{BASE}, {EQ2.replace('WHERE hr > 0', 'WHERE hr > 0 AND (seg > 0 OR x < 56)')}, {W2}, {_SMOOTH_W}, r AS (SELECT DISTINCT {RID} AS rid FROM vox)
+    SELECT r.rid, round(coalesce(greatest(v1, 0)/(greatest(v1, 0) + greatest(v2, 0) + 1e-8), 0.5), 6) AS w1, round(coalesce(greatest(v2, 0)/(greatest(v1, 0) + greatest(v2, 0) + 1e-8), 0.5), 6) AS w2, coalesce(vox, 0) AS vox,
+    CASE WHEN vox IS NULL THEN 'uniform' ELSE 'closed_form' END AS method, vox IS NOT NULL AS success, CASE WHEN vox IS NULL THEN 'no voxels' ELSE 'optimal' END AS message FROM r LEFT JOIN j USING (rid)""")
+def fit_record(spark, sf_dir):
+    """fit: equations inside a mask, weights, smoothing, and a record for each tile, with or without voxels."""
+    w = ensemble.fit(lines(spark, sf_dir), grid(), TWO, ridge=RIDGE, tau=TAU, mask=(F.col("hr") > 0) & ((F.col("seg") > 0) | (F.col("x") < 56)))
+    return r6(w.select("rid", "w1", "w2", "vox", "method", "success", "message"), "rid", "vox", "method", "success", "message")
+
+
+_Z = """p AS (SELECT patient, avg(hr) AS m, greatest(stddev_pop(hr), 1e-8) AS s FROM vox WHERE hr > 0 GROUP BY 1)"""
+_ENTRY = f"""{BASE}, {COVER}, {WIDE_W}, {_Z}, o AS (SELECT patient, z, y, x, hr, seg, {HANN} AS t, coalesce(w1, 0.5)*(e1 - m)/s + coalesce(1 - w1, 0.5)*(e2 - m)/s AS v FROM cov LEFT JOIN w ON cov.rid = w.rid JOIN p USING (patient)),
+    bl AS (SELECT patient, z, y, x, hr, CASE WHEN seg > 0 THEN (sum(t*v)/(sum(t) + 1e-8))*any_value(s) + any_value(m) ELSE 0 END AS blend FROM o JOIN p USING (patient) GROUP BY patient, z, y, x, hr, seg)"""
+
+
+def entry_blend(spark, sf_dir) -> DataFrame:
+    g, rows = wide_grid(), lines(spark, sf_dir)
+    params = normalize.zscore_params(points(rows, ["hr"]), mask=F.col("hr") > 0)
+    w = weights_on(g, voxels(spark, sf_dir))
+    return ensemble.blend_entry(rows, w, g, TWO, params=params, mask=F.col("seg") > 0)
+
+
+@query(f"{_ENTRY} SELECT patient, z, y, x, round(blend, 6) AS blend FROM bl")
+def blend_entry(spark, sf_dir):
+    """blend_entry: normalised experts blended, brought back to the patient's scale and masked."""
+    return r6(points(entry_blend(spark, sf_dir), ["blend"]), "patient", "z", "y", "x")
+
+
+_EVALUATED = f"""{_ENTRY}, {ssim_sql('bl', 'hr', 'blend')}, q AS (SELECT patient, avg(s) AS ssim FROM ss GROUP BY 1),
+    e AS (SELECT patient, avg(pow(blend - hr, 2)) AS mse, avg(abs(blend - hr)) AS mae, max(hr) - min(hr) AS r FROM bl GROUP BY 1), ev AS (SELECT patient, mse, mae, 20*log10(r) - 10*log10(mse) AS psnr, ssim FROM e JOIN q USING (patient))"""
+
+
+@query(f"{_EVALUATED} SELECT patient, round(mse, 6) AS mse, round(mae, 6) AS mae, round(psnr, 6) AS psnr, round(ssim, 6) AS ssim FROM ev")
+def evaluate_split(spark, sf_dir):
+    return r6(ensemble.evaluate(entry_blend(spark, sf_dir), "hr", "blend", SHAPE), "patient")
+
+
+@query(f"{_EVALUATED}, l AS (UNPIVOT ev ON mse, mae, psnr, ssim INTO NAME metric VALUE v) SELECT metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n FROM l GROUP BY 1")
+def evaluate_split_summary(spark, sf_dir):
+    return r6(ensemble.summarise(ensemble.evaluate(entry_blend(spark, sf_dir), "hr", "blend", SHAPE)), "metric", "n")
 
 
 # ---- stencils
 
-_DIFF = "coalesce(lead({0}) OVER {1}, {0}) - coalesce(lag({0}) OVER {1}, {0})"
-_SMOOTH = "coalesce(lag({0}) OVER {1}, {0}) + 2*{0} + coalesce(lead({0}) OVER {1}, {0})"
 _WINDOWS = "WINDOW wz AS (PARTITION BY patient, y, x ORDER BY z), wy AS (PARTITION BY patient, z, x ORDER BY y), wx AS (PARTITION BY patient, z, y ORDER BY x)"
-SOBEL = f"""s1 AS (SELECT *, {_DIFF.format('hr', 'wz')} AS d, {_SMOOTH.format('hr', 'wz')} AS s FROM vox {_WINDOWS}),
-    s2 AS (SELECT *, {_SMOOTH.format('d', 'wy')} AS ds, {_DIFF.format('s', 'wy')} AS sd, {_SMOOTH.format('s', 'wy')} AS ss FROM s1 {_WINDOWS}),
-    sob AS (SELECT *, {_SMOOTH.format('ds', 'wx')} AS gz, {_SMOOTH.format('sd', 'wx')} AS gy, {_DIFF.format('ss', 'wx')} AS gx FROM s2 {_WINDOWS})"""
 
 
-@query(f"{BASE}, {SOBEL} SELECT patient, round(avg(sqrt(gx*gx + gy*gy + gz*gz)), 6) AS mean, round(max(sqrt(gx*gx + gy*gy + gz*gz)), 6) AS max, round(avg(gx), 6) AS gx, round(avg(gy), 6) AS gy, round(avg(gz), 6) AS gz FROM sob GROUP BY 1")
+def gradient_sql(a: int, b: int, c: int) -> str:
+    """Differences along an axis, smoothed by (a, b, c) along the others, as the common table expression sob: gz, gy, gx."""
+    diff = lambda v, w: f"coalesce(lead({v}) OVER {w}, {v}) - coalesce(lag({v}) OVER {w}, {v})"
+    smooth = lambda v, w: f"{a}*coalesce(lag({v}) OVER {w}, {v}) + {b}*{v} + {c}*coalesce(lead({v}) OVER {w}, {v})"
+    return f"""s1 AS (SELECT *, {diff('hr', 'wz')} AS d, {smooth('hr', 'wz')} AS s FROM vox {_WINDOWS}),
+    s2 AS (SELECT *, {smooth('d', 'wy')} AS ds, {diff('s', 'wy')} AS sd, {smooth('s', 'wy')} AS ss FROM s1 {_WINDOWS}),
+    sob AS (SELECT *, {smooth('ds', 'wx')} AS gz, {smooth('sd', 'wx')} AS gy, {diff('ss', 'wx')} AS gx FROM s2 {_WINDOWS})"""
+
+
+SOBEL = gradient_sql(1, 2, 1)
+GRADIENT_SQL = "SELECT patient, round(avg(sqrt(gx*gx + gy*gy + gz*gz)), 6) AS mean, round(max(sqrt(gx*gx + gy*gy + gz*gz)), 6) AS max, round(avg(gx), 6) AS gx, round(avg(gy), 6) AS gy, round(avg(gz), 6) AS gz FROM sob GROUP BY 1"
+
+
+def _gradient_stats(spark, sf_dir, operator: str) -> DataFrame:
+    g = points(kernels.gradients(lines(spark, sf_dir), operator=operator).withColumn("g", kernels.magnitude()), ["g", "gx", "gy", "gz"])
+    return r6(g.groupBy("patient").agg(F.avg("g").alias("mean"), F.max("g").alias("max"), *[F.avg(c).alias(c) for c in ("gx", "gy", "gz")]), "patient")
+
+
+@query(f"{BASE}, {SOBEL} {GRADIENT_SQL}")
 def sobel_magnitude_stats(spark, sf_dir):
-    g = kernels.gradients(voxels(spark, sf_dir))
-    m = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + F.col("gz") * F.col("gz"))
-    return r6(g.groupBy("patient").agg(F.avg(m).alias("mean"), F.max(m).alias("max"), *[F.avg(c).alias(c) for c in ("gx", "gy", "gz")]), "patient")
+    return _gradient_stats(spark, sf_dir, "sobel")
+
+
+@query(f"{BASE}, {gradient_sql(1, 1, 1)} {GRADIENT_SQL}")
+def prewitt_magnitude_stats(spark, sf_dir):
+    return _gradient_stats(spark, sf_dir, "prewitt")
+
+
+@query(f"{BASE}, {gradient_sql(3, 10, 3)} {GRADIENT_SQL}")
+def scharr_magnitude_stats(spark, sf_dir):
+    return _gradient_stats(spark, sf_dir, "scharr")
 
 
 @query(f"""{BASE}, {SOBEL}, m AS (SELECT *, sqrt(gx*gx + gy*gy + gz*gz) AS g FROM sob), t AS (SELECT patient, max(g) AS top FROM m GROUP BY 1),
     e AS (SELECT m.*, 1 + 2.0*pow(g/(top + 1e-6), 1.0) AS ew FROM m JOIN t USING (patient))
     SELECT {RID} AS rid, round(sum(ew*e1*e1), 6) AS q11, round(sum(ew*e1*e2), 6) AS q12, round(sum(ew*e2*e2), 6) AS q22, round(sum(ew*e1*hr), 6) AS b1, round(sum(ew*e2*hr), 6) AS b2, count(*) AS vox FROM e WHERE hr > 0 GROUP BY 1""")
 def edge_weighted_normal_equations(spark, sf_dir):
-    v = kernels.edge_weights(voxels(spark, sf_dir), 2.0).withColumn("rid", grid(spark, sf_dir).label())
+    v = points(kernels.edge_weights(lines(spark, sf_dir), 2.0), ["e1", "e2", "hr", "ew"]).withColumn("rid", grid().label())
     return r6(stacking.normal_equations(v, TWO, weight=F.col("ew"), where=F.col("hr") > 0), "rid", "vox")
 
 
@@ -386,17 +610,50 @@ def _mean5(v: str, w: str) -> str:
     a3 AS (SELECT * REPLACE ({_mean5('m', 'wx')} AS m, {_mean5('q', 'wx')} AS q) FROM a2 {_WINDOWS})
     SELECT patient, round(avg(greatest(0, q - m*m)), 6) AS mean, round(max(greatest(0, q - m*m)), 6) AS max FROM a3 GROUP BY 1""")
 def local_variance_stats(spark, sf_dir):
-    return r6(kernels.local_variance(voxels(spark, sf_dir)).groupBy("patient").agg(F.avg("lvar").alias("mean"), F.max("lvar").alias("max")), "patient")
+    v = points(kernels.local_variance(lines(spark, sf_dir)), ["lvar"])
+    return r6(v.groupBy("patient").agg(F.avg("lvar").alias("mean"), F.max("lvar").alias("max")), "patient")
 
 
-@query()
+def _mirrored(name: str, n: int, weights: dict[str, list[float]]) -> str:
+    """How much of place j each place i of an axis takes, edges mirrored, as the common table expression `name`: i, j and a column for each list of weights."""
+    r = len(next(iter(weights.values()))) // 2
+    taps = "(VALUES " + ", ".join(f"({t - r}, {', '.join(repr(float(w[t])) for w in weights.values())})" for t in range(2 * r + 1)) + f") t(t, {', '.join(weights)})"
+    return f"""{name} AS (SELECT i, CASE WHEN m < {n} THEN m ELSE {2 * n - 1} - m END AS j, {', '.join(f'sum({w}) AS {w}' for w in weights)} FROM (SELECT i, t.*, ((i + t) % {2 * n} + {2 * n}) % {2 * n} AS m FROM generate_series(0, {n - 1}) p(i), {taps}) GROUP BY 1, 2)"""
+
+
+def _log_sql(sigma: int) -> str:
+    """The mean absolute Laplacian of Gaussian of each volume, as the common table expression log{sigma}: patient, v."""
+    t = range(-4 * sigma, 4 * sigma + 1)
+    g = [math.exp(-0.5 * (k / sigma) ** 2) for k in t]
+    g = [w / sum(g) for w in g]
+    d = [(k * k / sigma**4 - 1 / sigma**2) * w for k, w in zip(t, g, strict=True)]
+    k = "".join(", " + _mirrored(f"{a}{sigma}", n, {"g": g, "d": d}) for a, n in zip(("kz", "ky", "kx"), SHAPE, strict=True)).removeprefix(", ")
+    return f"""{k}, lz{sigma} AS (SELECT patient, k.i AS z, y, x, sum(g*hr) AS g, sum(d*hr) AS d FROM vox JOIN kz{sigma} k ON k.j = z GROUP BY ALL),
+        ly{sigma} AS (SELECT patient, z, k.i AS y, x, sum(k.g*l.g) AS gg, sum(k.g*l.d + k.d*l.g) AS gd FROM lz{sigma} l JOIN ky{sigma} k ON k.j = y GROUP BY ALL),
+        log{sigma} AS (SELECT patient, avg(abs(v)) AS v FROM (SELECT patient, z, y, k.i AS x, sum(k.g*gd + k.d*gg) AS v FROM ly{sigma} l JOIN kx{sigma} k ON k.j = x GROUP BY ALL) GROUP BY 1)"""
+
+
+@query(f"{BASE}, {_log_sql(1)}, {_log_sql(2)}, {_log_sql(4)} SELECT patient, round(log1.v, 6) AS log1, round(log2.v, 6) AS log2, round(log4.v, 6) AS log4 FROM log1 JOIN log2 USING (patient) JOIN log4 USING (patient)")
 def log_feature_stats(spark, sf_dir):
     import pandas as pd
 
     def run(x):
         return pd.DataFrame([{f"log{s}": float(abs(kernels.laplacian_of_gaussian(x, s)).mean()) for s in (1, 2, 4)}])
 
-    return r6(kernels.by_volume(voxels(spark, sf_dir), run, "log1 double, log2 double, log4 double", ["hr"], grid(spark, sf_dir).shape), "patient")
+    return r6(kernels.by_volume(lines(spark, sf_dir), run, "log1 double, log2 double, log4 double", ["hr"], SHAPE), "patient")
+
+
+@query(f"""{BASE}, {_mirrored('ky', ROWS, {'g': [1 / 15] * 15})}, {_mirrored('kx', COLUMNS, {'g': [1 / 15] * 15})},
+    a AS (SELECT patient, z, k.i AS y, x, sum(g*hr) AS m, sum(g*hr*hr) AS q FROM vox JOIN ky k ON k.j = y GROUP BY ALL), b AS (SELECT patient, z, y, k.i AS x, sum(g*m) AS m, sum(g*q) AS q FROM a JOIN kx k ON k.j = x GROUP BY ALL),
+    v AS (SELECT patient, z, y, x, round(greatest(0, q - m*m), 9) AS v FROM b) SELECT patient, z, y AS peak_y, x AS peak_x, round(v, 6) AS variance FROM v QUALIFY row_number() OVER (PARTITION BY patient, z ORDER BY v DESC, y, x) = 1""")
+def variance_peaks(spark, sf_dir):
+    """Where each slice varies most over squares of 15."""
+    import pandas as pd
+
+    def run(x):
+        return pd.DataFrame([(z, *kernels.variance_peak(s)) for z, s in enumerate(x)], columns=["z", "peak_y", "peak_x", "variance"])
+
+    return r6(kernels.by_volume(lines(spark, sf_dir), run, "z int, peak_y int, peak_x int, variance double", ["hr"], SHAPE), "patient", "z", "peak_y", "peak_x")
 
 
 @query()
@@ -408,24 +665,70 @@ def spline_zoom(spark, sf_dir):
         half = kernels.spline_zoom(x, tuple(max(2, n // 2) for n in x.shape), 1)
         return pd.DataFrame([{"mae": float(np.abs(kernels.spline_zoom(half, x.shape) - x).mean())}])
 
-    return r6(kernels.by_volume(voxels(spark, sf_dir), run, "mae double", ["hr"], grid(spark, sf_dir).shape), "patient")
+    return r6(kernels.by_volume(lines(spark, sf_dir), run, "mae double", ["hr"], SHAPE), "patient")
 
 
-@query()
+@query(f"""{BASE}, t AS (SELECT patient, z, y, i, i*63.0::DOUBLE/31 AS u FROM (SELECT DISTINCT patient, z, y FROM vox), generate_series(0, 31) s(i)),
+    h AS (SELECT t.*, (1 - (u - floor(u)))*a.hr + (u - floor(u))*b.hr AS v FROM t JOIN vox a ON (a.patient, a.z, a.y) = (t.patient, t.z, t.y) AND a.x = floor(u)::INTEGER JOIN vox b ON (b.patient, b.z, b.y) = (t.patient, t.z, t.y) AND b.x = least(floor(u)::INTEGER + 1, 63))
+    SELECT patient, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) AS n FROM h GROUP BY 1""")
+def linear_zoom(spark, sf_dir):
+    """Half as many voxels along x, both ends kept."""
+    import pandas as pd
+
+    def run(x):
+        half = kernels.spline_zoom(x, (*x.shape[:2], x.shape[2] // 2), 1)
+        return pd.DataFrame([{"mean": float(half.mean()), "std": float(half.std()), "n": half.size}])
+
+    return r6(kernels.by_volume(lines(spark, sf_dir), run, "mean double, std double, n long", ["hr"], SHAPE), "patient", "n")
+
+
+@query(f"""{BASE}, o AS (SELECT a.patient, a.z, a.y, a.x, 0.5*coalesce(b.hr, 0) + 0.5*coalesce(c.hr, 0) AS v FROM vox a LEFT JOIN vox b ON (b.patient, b.z, b.y, b.x) = (a.patient, a.z + 1, a.y, a.x) LEFT JOIN vox c ON (c.patient, c.z, c.y, c.x) = (a.patient, a.z + 1, a.y, a.x + 1))
+    SELECT patient, z, round(avg(v), 6) AS mean, round(max(v), 6) AS max FROM o GROUP BY 1, 2""")
+def resampled_grid(spark, sf_dir):
+    """Volumes read on a grid that lies one slice and half a voxel further; 0 outside."""
+    import numpy as np
+    import pandas as pd
+
+    from voxloom.operators import geometry
+
+    moved = np.eye(4)
+    moved[0, 3], moved[2, 3] = 1.0, 0.5
+
+    def run(x):
+        v = geometry.resample(x, np.eye(4), moved, x.shape)
+        return pd.DataFrame({"z": range(len(v)), "mean": v.mean(axis=(1, 2)), "max": v.max(axis=(1, 2))})
+
+    return r6(kernels.by_volume(lines(spark, sf_dir), run, "z int, mean double, max double", ["hr"], SHAPE), "patient", "z")
+
+
+_STEPS = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if 0 < abs(a) + abs(b) + abs(c) <= 2]
+
+
+@query(f"""{BASE.replace('WITH', 'WITH RECURSIVE', 1)}, nodes AS MATERIALIZED (SELECT patient, z, y, x, ((patient*{DEPTH} + z)*{ROWS} + y)*{COLUMNS} + x AS id FROM vox WHERE hr >= 0.1),
+    edges AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM nodes a, (VALUES {', '.join(map(str, _STEPS))}) d(dz, dy, dx) JOIN nodes b ON b.patient = a.patient AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx),
+    cc(id, comp) USING KEY (id) AS (SELECT id, id FROM nodes UNION (SELECT e.a, min(v.comp) FROM edges e JOIN cc v ON v.id = e.b JOIN recurring.cc u ON u.id = e.a WHERE v.comp < u.comp GROUP BY e.a)),
+    sizes AS (SELECT patient, comp, count(*) AS n FROM cc JOIN nodes USING (id) GROUP BY 1, 2)
+    SELECT p.patient, coalesce(max(n), 0) AS voxels FROM (SELECT DISTINCT patient FROM vox) p LEFT JOIN sizes s ON s.patient = p.patient GROUP BY 1""")
 def largest_component(spark, sf_dir):
     import pandas as pd
 
     def run(x):
         return pd.DataFrame([{"voxels": int(kernels.largest_component(x >= 0.1).sum()) if (x >= 0.1).any() else 0}])
 
-    return kernels.by_volume(voxels(spark, sf_dir), run, "voxels long", ["hr"], grid(spark, sf_dir).shape)
+    return kernels.by_volume(lines(spark, sf_dir), run, "voxels long", ["hr"], SHAPE)
 
 
 @query()
 def brain_mask_sizes(spark, sf_dir):
     import pandas as pd
 
-    return kernels.by_volume(voxels(spark, sf_dir), lambda x: pd.DataFrame([{"voxels": int(kernels.brain_mask(x + 0.3).sum())}]), "voxels long", ["hr"], grid(spark, sf_dir).shape)
+    return kernels.by_volume(lines(spark, sf_dir), lambda x: pd.DataFrame([{"voxels": int(kernels.brain_mask(x + 0.3).sum())}]), "voxels long", ["hr"], SHAPE)
+
+
+@query(f"""{BASE}, r AS (SELECT patient, min(hr) a0, max(hr) a1, min(e1) b0, max(e1) b1 FROM vox GROUP BY 1) SELECT patient, round(avg(abs((hr - a0)/(a1 - a0) - (e1 - b0)/(b1 - b0))), 6) AS mae FROM vox JOIN r USING (patient) GROUP BY 1""")
+def normalised_pair(spark, sf_dir):
+    """Both volumes of a pair brought to 0..1 before they are compared."""
+    return r6(normalize.normalize_pair(voxels(spark, sf_dir), "hr", "e1", "minmax").groupBy("patient").agg(quality.mae("hr", "e1").alias("mae")), "patient")
 
 
 # ---- texture
@@ -457,7 +760,7 @@ _W = f"{BASE}, {EQ2}, {W2}"
 
 
 def _w(spark, sf_dir) -> DataFrame:
-    return weights_on(grid(spark, sf_dir), voxels(spark, sf_dir)).select("rid", F.array("w1", "w2").alias("w"))
+    return weights_on(grid(), voxels(spark, sf_dir)).select("rid", F.array("w1", "w2").alias("w"))
 
 
 @query(f"""{_W}, l AS (SELECT rid, 0 AS expert, w1 AS v FROM w UNION ALL SELECT rid, 1, 1 - w1 FROM w)
@@ -471,6 +774,18 @@ def weight_entropy(spark, sf_dir):
     return _w(spark, sf_dir).select("rid", F.round(interpret.entropy(F.col("w")), 6).alias("entropy"), interpret.dominant(F.col("w")).alias("dominant"))
 
 
+@query(f"{_W} SELECT rid, round(1 - w1, 6) AS second, round(1 - 2*w1, 6) AS difference FROM w")
+def weight_differences(spark, sf_dir):
+    """The second expert's weight, and how far it is over the first's."""
+    return r6(_w(spark, sf_dir).select("rid", F.element_at("w", 2).alias("second"), (F.element_at("w", 2) - F.element_at("w", 1)).alias("difference")), "rid")
+
+
+@query(f"{_W} SELECT rid, round(w1, 6) AS w1 FROM w ORDER BY rid LIMIT 50")
+def first_regions(spark, sf_dir):
+    """The first 50 regions, as a report shows them."""
+    return r6(_w(spark, sf_dir).select("rid", F.col("w")[0].alias("w1")).orderBy("rid").limit(50), "rid")
+
+
 @query(f"{_W} SELECT CASE WHEN w1 >= 1 - w1 THEN 0 ELSE 1 END AS dominant, count(*) AS n FROM w GROUP BY 1")
 def dominant_expert_counts(spark, sf_dir):
     return interpret.dominance(_w(spark, sf_dir))
@@ -483,7 +798,7 @@ def specialization_index(spark, sf_dir):
 
 @query(f"{_W} SELECT seg, round(avg(coalesce(w1, 0.5)), 6) AS w1_mean, round(stddev_pop(coalesce(w1, 0.5)), 6) AS w1_std, count(*) AS n FROM vox LEFT JOIN w ON w.rid = {RID} GROUP BY 1")
 def roi_weight_means(spark, sf_dir):
-    v = tiling.expand_weights(voxels(spark, sf_dir), _w(spark, sf_dir), grid(spark, sf_dir), 2)
+    v = tiling.expand_weights(voxels(spark, sf_dir), _w(spark, sf_dir), grid(), 2)
     return v.groupBy("seg").agg(F.round(F.avg(F.col("w")[0]), 6).alias("w1_mean"), F.round(F.stddev_pop(F.col("w")[0]), 6).alias("w1_std"), F.count("*").alias("n"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXPERTS = ("e1", "e2", "e3", "e4")
-PATIENTS, ROWS, COLUMNS = 5, 10, 64
+#: A volume has DEPTH slices of ROWS lines of COLUMNS voxels; more lines are more volumes, never larger ones.
+DEPTH, ROWS, COLUMNS = 10, 10, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +21,10 @@ def _mean_of(h: Column, start: Column, n: int) -> Column:
 def volume_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each line (patient, z, y) of a volume: hr and the four experts' values as arrays along x."""
     e = table(spark, sf_dir, "embeddings")
-    i = F.floor(F.col("vec_id") / PATIENTS)
-    h = F.col("h")
+    i, h = F.col("vec_id") % (DEPTH * ROWS), F.col("h")
     at = lambda k: F.get(h, k)
     lines = e.select(
-        (F.col("vec_id") % PATIENTS).cast("int").alias("patient"), F.floor(i / ROWS).cast("int").alias("z"), (i % ROWS).cast("int").alias("y"),
+        F.floor(F.col("vec_id") / (DEPTH * ROWS)).cast("int").alias("patient"), F.floor(i / ROWS).cast("int").alias("z"), (i % ROWS).cast("int").alias("y"),
         (F.col("label") % 4).cast("int").alias("seg"), F.col("embedding").cast("array<double>").alias("h"),
     )
     return lines.select(
@@ -36,16 +36,25 @@ def volume_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """patient, z, y, seg, hr, e1..e4: a row for each line, with its voxels' values as arrays."""
+    return volume_rows(spark, sf_dir).withColumnRenamed("h", "hr")
+
+
+def points(rows: DataFrame, arrays: list[str], *keep: str) -> DataFrame:
+    """patient, z, y, x, keep... and the arrays' values: a row for each voxel of rows of lines, without a shuffle."""
+    each = F.posexplode(F.arrays_zip(*arrays))
+    return rows.select("patient", "z", "y", *keep, each.alias("x", "v")).select("patient", "z", "y", "x", *keep, *[f"v.{a}" for a in arrays])
+
+
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """patient, z, y, x, seg, hr, e1..e4: a row for each voxel. Experts are computed in the row of their line, without a shuffle."""
-    rows = volume_rows(spark, sf_dir)
-    each = F.posexplode(F.arrays_zip(F.col("h").alias("hr"), *EXPERTS))
-    return rows.select("patient", "z", "y", "seg", each.alias("x", "v")).select("patient", "z", "y", "x", "seg", "v.hr", *[f"v.{e}" for e in EXPERTS])
+    return points(lines(spark, sf_dir), ["hr", *EXPERTS], "seg")
 
 
 #: The same voxels in SQL, as the common table expression vox.
 VOXELS_SQL = f"""
-    line AS (SELECT vec_id % {PATIENTS} AS patient, vec_id // {PATIENTS} // {ROWS} AS z, vec_id // {PATIENTS} % {ROWS} AS y, label % 4 AS seg, embedding AS h FROM embeddings),
+    line AS (SELECT vec_id // {DEPTH * ROWS} AS patient, vec_id % {DEPTH * ROWS} // {ROWS} AS z, vec_id % {ROWS} AS y, label % 4 AS seg, embedding AS h FROM embeddings),
     point AS (SELECT patient, z, y, seg, generate_subscripts(h, 1) - 1 AS x, unnest(h)::DOUBLE AS hr FROM line),
     vox AS (SELECT patient, z, y, x, seg, hr,
         avg(hr) OVER (PARTITION BY patient, z, y, x // 4) AS e1,

@@ -21,6 +21,11 @@ SCHEMA = T.StructType(
 )
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def write_volumes(volumes: DataFrame, path: str) -> None:
     """Overwrites the partitions (kind, model, spacing, pulse) that volumes has, and leaves the others."""
     volumes = volumes.select([F.col(f.name).cast(f.dataType) for f in SCHEMA])
@@ -93,7 +98,7 @@ def decode(path: str, data: bytes) -> np.ndarray:
     raise ValueError(f"unknown format of {path}")
 
 
-def read_arrays(spark: SparkSession, path: str, pattern: str = r"([^/]+?)-([^/.]+)\.(?:nii|nii\.gz|npy|npz)$") -> DataFrame:
+def read_arrays(spark: SparkSession, path: str | list[str], pattern: str = r"([^/]+?)-([^/.]+)\.(?:nii|nii\.gz|npy|npz)$") -> DataFrame:
     """patient_id, pulse, z, y, x, value and error of each file under path whose name matches; a file that can't be read gives one row with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,9 +117,97 @@ def read_arrays(spark: SparkSession, path: str, pattern: str = r"([^/]+?)-([^/.]
     return keyed.mapInPandas(run, "path string, patient_id string, pulse string, z int, y int, x int, value double, error string")
 
 
+def ingest(spark: SparkSession, path: str, store: str, kind: str, model: str | None = None, spacing: str = "3mm", pattern: str = r"([^/]+?)-([^/.]+)\.(?:nii|nii\.gz|npy|npz)$", wanted: DataFrame | None = None) -> DataFrame:
+    """Adds to the store the files' volumes that it lacks; returns (patient_id, pulse, state): stored, skipped, missing (of wanted(patient_id, pulse)) or the error.
+
+    Files of volumes that are stored already are not opened.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").where(F.col("path").rlike(pattern))
+    listed = files.select("path", F.regexp_extract("path", pattern, 1).alias("patient_id"), F.regexp_extract("path", pattern, 2).alias("pulse"))
+    known = exists(spark, store)
+    there = read_volumes(spark, store, kind=kind, spacing=spacing).select("patient_id", "pulse").distinct() if known else spark.createDataFrame([], "patient_id string, pulse string")
+    new = listed.join(there, ["patient_id", "pulse"], "left_anti")
+    skipped = listed.join(there, ["patient_id", "pulse"], "left_semi").select("patient_id", "pulse", F.lit("skipped").alias("state"))
+    paths = [r.path for r in new.select("path").collect()]  # the paths of the files of one call
+    report = skipped
+    if paths:
+        voxels = read_arrays(spark, paths, pattern).persist()
+        rows = voxels.where("error IS NULL").select("patient_id", "z", "y", "x", "value", F.lit(kind).alias("kind"), F.lit(model).cast("string").alias("model"), F.lit(spacing).alias("spacing"), "pulse")
+        rows = rows.select([F.col(f.name).cast(f.dataType) for f in SCHEMA])
+        rows.repartition(*KEY, "patient_id").write.partitionBy(*KEY).mode("append").option("compression", "zstd").parquet(store)
+        report = report.union(voxels.groupBy("patient_id", "pulse").agg(F.coalesce(F.max("error"), F.lit("stored")).alias("state")))
+    if wanted is not None:
+        report = report.union(wanted.join(listed, ["patient_id", "pulse"], "left_anti").join(there, ["patient_id", "pulse"], "left_anti").select("patient_id", "pulse", F.lit("missing").alias("state")))
+    return report
+
+
+def export_plan(volumes: DataFrame, folds: DataFrame) -> DataFrame:
+    """The keys of what is exported: the truth once, experts for each spacing, and a blend from the fold that tests its patient. folds: patient_id, fold; volumes' blends have the fold in `model`."""
+    keys = volumes.select(*KEY, "patient_id").distinct().join(folds, "patient_id", "left")
+    blend = (F.col("kind") != "blend") | (F.col("model") == F.concat(F.lit("fold"), F.col("fold").cast("string")))
+    return keys.where(blend).drop("fold")
+
+
+def export_nifti(volumes: DataFrame, folder: str, affine: np.ndarray | None = None, overwrite: bool = False) -> DataFrame:
+    """Writes each volume as folder/kind/model/spacing/patient-pulse.nii.gz, a task for each; returns (path, state): written or skipped.
+
+    folder is one that executors share. A file appears under its name only when it is whole.
+    """
+    matrix = np.eye(4) if affine is None else np.asarray(affine, float)
+
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        import os
+        import uuid
+
+        kind, model, spacing, pulse, patient = key
+        parts = [p for p in (kind, model, spacing) if p not in (None, "__HIVE_DEFAULT_PARTITION__")]
+        path = "/".join([folder.removeprefix("file://"), *parts, f"{patient}-{pulse}.nii.gz"])
+        if os.path.exists(path) and not overwrite:
+            return pd.DataFrame([(path, "skipped")], columns=["path", "state"])
+        values = np.zeros(tuple(int(pdf[a].max()) + 1 for a in "zyx"), np.float32)
+        values[pdf.z, pdf.y, pdf.x] = pdf.value
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with open(part, "wb") as f:
+            f.write(write_nifti(values, matrix))
+        os.replace(part, path)
+        return pd.DataFrame([(path, "written")], columns=["path", "state"])
+
+    return volumes.groupBy(*KEY, "patient_id").applyInPandas(write, "path string, state string")
+
+
+def load_oriented(values: np.ndarray, affine: np.ndarray, wanted: str = "LPS", like: tuple[np.ndarray, tuple[int, int, int]] | None = None, order: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """A volume with its axes along the wanted directions, resampled to another's grid (affine, shape) if given, and its affine."""
+    from voxloom.operators import geometry
+
+    if like is not None:
+        values, affine = geometry.resample(values, affine, like[0], like[1], order), like[0]
+    along, positive, world = geometry.orientation(affine), {"R": 1, "L": -1, "A": 1, "P": -1, "S": 1, "I": -1}, {"R": 0, "L": 0, "A": 1, "P": 1, "S": 2, "I": 2}
+    axes = [along[world[c]] for c in wanted]
+    out, turned = values.transpose([v for v, _ in axes]), np.eye(4)
+    turned[:3, :3], turned[:3, 3] = affine[:3, [v for v, _ in axes]], affine[:3, 3]
+    for i, (c, (_, sign)) in enumerate(zip(wanted, axes, strict=True)):
+        if sign != positive[c]:
+            turned[:3, 3] += turned[:3, i] * (out.shape[i] - 1)
+            turned[:3, i] *= -1
+            out = np.flip(out, i)
+    return out, turned
+
+
 # ---- tables with columns known only when read
 
 
+def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
+    """CSV files with a header: of the schema given, or as text by name, columns that a file lacks null."""
+    if schema:
+        return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
+    out = None
+    for one in [path] if isinstance(path, str) else path:
+        rows = spark.read.csv(one, header=True)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
 def read_wide_csv(spark: SparkSession, path: str, name: str = "subject") -> DataFrame:
     """patient_id, column, value of CSV files with a name column and any numeric ones; suffixes of files and text that is no number are dropped."""
     raw = spark.read.csv(path, header=True)
