@@ -9,8 +9,8 @@
 3. Within a key of up to BLOCK classes all pairs are compared by signature; those of a larger
    key are all joined to its least one. Components are families. A true link never leaves one.
 4. Within a family the full sets are recomputed from the texts and compared: all pairs of up
-   to BLOCK documents. A larger family is dealt into blocks at random, ROUNDS times, each
-   block compared in full; that joins the copies of one text. Whoever is still apart meets
+   to BLOCK documents. A larger family is dealt into blocks at random, twice, each block
+   compared in full; that joins the copies of one text. Whoever is still apart meets
    by an index of rare shingles: two sets that are linked share one of their first ones,
    rarest first, and at a place that leaves both enough of them (a prefix and a place that
    rule no link out). Only pairs that are apart and pass are compared.
@@ -38,10 +38,8 @@ BLOCK = 256
 #: Standard deviations between the expected distance at the threshold and T.
 MARGIN = 3.8
 #: Words whose hashes a worker remembers at once.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 SEGMENT = 100_000
-#: How often a family of more than BLOCK documents is dealt into blocks.
-ROUNDS = 2
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _A = _rng.integers(0, 2**63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -216,7 +214,9 @@ def _near(bound: int) -> Callable:
     return run
 
 
-def _linked(k: int, num: int, den: int) -> Callable:
+def _linked(k: int, num: int, den: int, tagged: bool = False) -> Callable:
+    """(root, bi, bj, node, text), sorted by the first three -> a forest (a, b) of each group's links; tagged: with the group's bj."""
+
     def links(sets: list[np.ndarray]) -> np.ndarray:
         """Which pairs share enough, from the products of their rows over the shingles that two or more have."""
         sizes = np.array([len(x) for x in sets], np.int64)
@@ -247,7 +247,8 @@ def _linked(k: int, num: int, den: int) -> Callable:
                 if hi - lo > 1:
                     a, b = np.nonzero(np.triu(links([shingles(t, k, hashes) for t in texts.slice(lo, hi - lo).to_pylist()]), 1))
                     if len(a):
-                        yield _spanning(ids[lo:hi], a, b)
+                        found = _spanning(ids[lo:hi], a, b)
+                        yield found.append_column("deal", pa.array(np.full(found.num_rows, bj[lo], np.int32))) if tagged else found
 
     return run
 
@@ -274,12 +275,15 @@ def _passing(num: int, den: int) -> Callable:
             starts = np.flatnonzero(new)
             for lo, hi in zip(starts, [*starts[1:], len(new)], strict=True):
                 c, size, left, ids = comp[lo:hi], n[lo:hi], n[lo:hi] - place[lo:hi], node[lo:hi]
+                found = []
                 for x in range(hi - lo - 1):
                     common = np.minimum(left[x], left[x + 1 :])
                     ok = (c[x + 1 :] != c[x]) & (den * common >= num * (size[x] + size[x + 1 :] - common))
                     y = np.flatnonzero(ok) + x + 1
-                    if len(y):
-                        yield pa.RecordBatch.from_pydict({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
+                    found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]))
+                if found:
+                    a, b = np.concatenate(found, axis=1)
+                    yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
     return run
 
@@ -288,40 +292,47 @@ def _confirmed(k: int, num: int, den: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            keep = []
-            for x, y in zip(ta, tb, strict=True):
-                p, q = shingles(x, k, hashes), shingles(y, k, hashes)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(den * both >= num * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}).filter(pa.array(keep, pa.bool_()))
+            for i in range(0, batch.num_rows, 100):
+                part, keep = batch.slice(i, 100), []
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    p, q = shingles(x, k, hashes), shingles(y, k, hashes)
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    keep.append(den * both >= num * (len(p) + len(q) - both))
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _links_of_large(large: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect what is linked in large(root, node, n), families of more than BLOCK documents."""
-    within = None
-    for r in range(ROUNDS):
-        dealt = large.select("root", "node", F.pmod(F.xxhash64("node", F.lit(r)), F.ceil(F.col("n") / BLOCK).cast("long")).cast("int").alias("bi"), F.lit(r).alias("bj"))
-        within = dealt if within is None else within.union(dealt)
-    blocks = texts.join(within.hint("merge"), "node").select("root", "bi", "bj", "node", "text").repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
-    links = written(blocks.mapInArrow(_linked(k, num, den), "a long, b long"), "links")
-    joined = connected_components(links).withColumnRenamed("root", "comp")
-    labelled = large.join(joined, "node", "left").select("root", "node", F.coalesce("comp", "node").alias("comp"))
-    open_ = labelled.groupBy("root").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("root")
-    apart = written(labelled.join(open_.hint("merge"), "root"), "apart")
-    if apart.isEmpty():
+def _links_of_large(large: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what is linked in large(root, node, n, text), families of more than BLOCK documents."""
+    deal = F.explode(F.sequence(F.lit(0), F.lit(1)))
+    dealt = large.withColumn("bj", deal).withColumn("bi", F.pmod(F.xxhash64("node", "bj"), F.ceil(F.col("n") / BLOCK).cast("long")).cast("int"))
+    blocks = dealt.select("root", "bi", "bj", "node", "text").repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
+    tagged = written(blocks.mapInArrow(_linked(k, num, den, True), "a long, b long, deal int"), "links")
+    links = tagged.select("a", "b")
+    # a node's root in each of its two blocks; blocks that share a node are brought to one label, there and back
+    own = tagged.groupBy(F.col("a").alias("node")).agg(*[F.min(F.when(F.col("deal") == d, F.col("b"))).alias(f"l{d}") for d in (0, 1)])
+    labels = written(large.select("root", "node", "text").join(own.hint("merge"), "node", "left").withColumns({f"l{d}": F.coalesce(f"l{d}", "node") for d in (0, 1)}), "labels")
+    step = labels.select("l0", "l1", "node").join(labels.groupBy("l0").agg(F.min("l1").alias("m")), "l0")
+    step = written(step.select("node", "l1", "m"), "labels")  # labels have a block's nodes at most
+    comp = step.join(step.groupBy("l1").agg(F.min("m").alias("comp")), "l1").groupBy("node").agg(F.min("comp").alias("comp"))
+    labelled = written(labels.select("root", "node", "text").join(comp.hint("merge"), "node"), "labelled")
+    open_ = written(labelled.groupBy("root").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("root"), "apart")
+    if open_.isEmpty():
         return links
-    each = written(texts.join(apart.hint("merge"), "node").select("root", "node", "comp", F.xxhash64("text").alias("h"), "text").mapInArrow(lambda b: _in_order(b, k), "root long, node long, comp long, h long, n long, s long"), "apart-shingles")
-    counted = each.join(each.groupBy("root", "s").agg(F.count("*").alias("df")).hint("merge"), ["root", "s"])
-    place = F.row_number().over(Window.partitionBy("root", "node", "h").orderBy("df", "s")) - 1  # a document at a time
-    prefix = counted.withColumn("place", place.cast("long")).where(f"place <= n - ceil(n * {num} / {den}) AND df > 1")
-    prefix = written(prefix.select("root", "s", "node", "comp", "n", "place"), "prefixes")
+    apart = labelled.join(open_.hint("merge"), "root", "left_semi").select("root", "node", "comp", F.xxhash64("text").alias("h"), "text")
+    each = written(apart.mapInArrow(lambda b: _in_order(b, k), "root long, node long, comp long, h long, n long, s long"), "apart-shingles")
+    df = written(each.groupBy("root", "s").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
+    # shingles of one document alone come first and are shared with none: how many there are is all that is needed of them
+    shared = each.join(df.hint("merge"), ["root", "s"])
+    order = F.row_number().over(Window.partitionBy("root", "node", "h").orderBy("df", "s"))  # a document at a time
+    known = F.count("*").over(Window.partitionBy("root", "node", "h"))
+    placed = shared.withColumns({"_k": known, "_o": order}).withColumn("place", F.col("n") - F.col("_k") + F.col("_o") - 1)
+    prefix = written(placed.where(f"place <= n - ceil(n * {num} / {den})").select("root", "s", "node", "comp", "n", "place"), "prefixes")
     several = prefix.groupBy("root", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("root", "s", "m")
     met = in_blocks(prefix.join(several.hint("merge"), ["root", "s"]), "m", ["root", "s"], "node", 4 * BLOCK)
-    pairs = met.select("root", "s", "bi", "bj", "node", "comp", "n", "place").mapInArrow(_passing(num, den), "a long, b long").distinct()
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
+    pairs = written(met.select("root", "s", "bi", "bj", "node", "comp", "n", "place").mapInArrow(_passing(num, den), "a long, b long").distinct(), "pairs")
+    side = lambda c: labelled.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "ta", "tb")
     return links.union(both.mapInArrow(_confirmed(k, num, den), "a long, b long"))
 
@@ -347,17 +358,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     some = hits.where(F.col("n") <= BLOCK).join(classes.select(F.col("rep").alias("id"), "sig").hint("merge"), "id").select("key", "id", "sig").repartition("key").sortWithinPartitions("key")
     near = some.mapInArrow(_near(bound), "a long, b long").union(hits.where((F.col("n") > BLOCK) & (F.col("id") != F.col("least"))).select("id", "least"))
     families = written(connected_components(near), "families")
-    sizes = families.groupBy("root").agg(F.count("*").alias("n"))
-    families = written(families.join(sizes.hint("merge"), "root"), "sized")
+    sizes = written(families.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+    families = families.join(sizes.hint("merge"), "root")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty("text").alias("text")).where("node IS NOT NULL")
-    small = texts.join(families.where(F.col("n") <= BLOCK).hint("merge"), "node").select("root", F.lit(0).alias("bi"), F.lit(0).alias("bj"), "node", "text").repartition("root").sortWithinPartitions("root")
-    linked = small.mapInArrow(_linked(shingle, num, den), "a long, b long")
-    large = families.where(F.col("n") > BLOCK)
+    members = written(texts.join(families.hint("merge"), "node").select("root", "node", "n", "text"), "members")  # all texts are shuffled here alone
+    small = members.where(F.col("n") <= BLOCK).select("root", F.lit(0).alias("bi"), F.lit(0).alias("bj"), "node", "text").repartition("root").sortWithinPartitions("root")
+    linked = written(small.mapInArrow(_linked(shingle, num, den), "a long, b long"), "links")
+    large = members.where(F.col("n") > BLOCK)
     if not large.isEmpty():
-        linked = linked.union(_links_of_large(large, texts, shingle, num, den))
-    twice = signed.where("n_shingles > 0").groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).where("x <> y")
-    several = signed.join(twice.select("doc_id"), "doc_id").join(classes.select("digest", "rep"), "digest").where("doc_id <> rep")
-    components = connected_components(linked.union(several.select("doc_id", "rep"))).select(F.col("node").alias("rep"), "root")
+        linked = linked.union(_links_of_large(large, shingle, num, den))
+    named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    twice = written(named.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).where("x <> y").select("doc_id"), "twice")
+    if not twice.isEmpty():  # ids with several texts have the links of each
+        several = named.join(twice, "doc_id").join(classes.select("digest", "rep"), "digest").where("doc_id <> rep")
+        linked = linked.union(several.select("doc_id", "rep"))
+    components = connected_components(linked).select(F.col("node").alias("rep"), "root")
     of_class = classes.select("digest", "rep").join(components, "rep", "left").select("digest", F.coalesce("root", "rep").alias("c"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(of_class.hint("merge"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
