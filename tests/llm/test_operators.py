@@ -116,8 +116,9 @@ def test_spotsigs_chains_of_any_length(spark):
         assert got == {r.h for r in spark.createDataFrame([(f" {w}",) for w in want], "w string").select(F.xxhash64("w").alias("h")).collect()}
 
 
-@pytest.mark.parametrize(("threshold", "slices"), [(0.6, 64), (0.8, 3)])
-def test_spotsigs_links_by_brute_force(spark, threshold, slices):
+@pytest.mark.parametrize(("threshold", "slices", "deal"), [(0.6, 64, 1024), (0.6, 64, 2), (0.8, 3, 1)])
+def test_spotsigs_links_by_brute_force(spark, monkeypatch, threshold, slices, deal):
+    monkeypatch.setattr(spotsigs, "DEAL", deal)
     df = awkward(spark)
     got = [(r.doc_id, r.class_id, r.links) for r in spotsigs.near_links(df, threshold, slices).collect()]
     known = df.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

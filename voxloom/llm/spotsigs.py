@@ -23,6 +23,8 @@ ANCHORS = (
     "al como con del el es esta lo los las más no para pero por su una y"
 ).split()
 CHAIN = 2
+#: Up to so many sets under one signature are compared in one task; more are dealt out.
+DEAL = 1024
 WORDS = r"[^\p{L}\p{N}]+"
 
 
@@ -116,8 +118,8 @@ def near_links(docs: DataFrame, threshold: float = 0.8, slices: int = 64) -> Dat
     by size so that similar ones are in the same partition or the next; within it, those
     are compared that share one of the first signatures, rarest first, as many as a similar
     set can't all lack, and whose places leave enough signatures to come. Pairs are counted
-    and not returned. One side of a signature is dealt out over `slices` tasks, so that a
-    very common one isn't one task's. Null and empty texts are one class without links. Rows that repeat a
+    and not returned. A signature of more than DEAL sets is dealt out over up to `slices` tasks, by one side
+    whose other side goes to each, so that a very common one isn't one task's; all others are sent once. Null and empty texts are one class without links. Rows that repeat a
     doc_id are documents of their own. Other columns are ignored; an empty table gives no rows.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).where("doc_id IS NOT NULL")
@@ -129,10 +131,10 @@ def near_links(docs: DataFrame, threshold: float = 0.8, slices: int = 64) -> Dat
     kept = F.slice("s", 1, (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))
     prefix = rarest.select("print", "n", F.posexplode(kept).alias("place", "s")).select("print", "n", "place", "s.sig")
     prefix = written(prefix.withColumn("zone", F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0) / F.log(F.lit(threshold)) + 1e-9).cast("int")), "prefixes")
-    several = prefix.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
+    several = prefix.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig", F.least(F.lit(slices), F.ceil(F.col("k") / DEAL)).cast("int").alias("deal"))
     prefix = written(prefix.join(several.hint("merge"), "sig"), "shared")
-    a = prefix.select(F.col("print").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), "sig", F.explode(F.array(F.col("zone") - 1, F.col("zone"), F.col("zone") + 1)).alias("zone"), F.pmod(F.xxhash64("print"), F.lit(slices)).cast("int").alias("slice"))
-    b = prefix.select(F.col("print").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), "sig", "zone", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    a = prefix.select(F.col("print").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), "sig", F.explode(F.array(F.col("zone") - 1, F.col("zone"), F.col("zone") + 1)).alias("zone"), F.pmod(F.xxhash64("print"), F.col("deal")).cast("int").alias("slice"))
+    b = prefix.select(F.col("print").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), "sig", "zone", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("slice"))
     enough = f"ceil({threshold} / (1 + {threshold}) * (na + nb) - 1e-9)"
     pairs = a.join(b, ["sig", "zone", "slice"]).where(f"a < b AND least(na, nb) + 1e-9 >= {threshold} * greatest(na, nb) AND least(na - pa, nb - pb) >= {enough}").select("a", "b").distinct()
     both = pairs.join(sets.select(F.col("print").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("print").alias("b"), F.col("sigs").alias("sb")), "b")
