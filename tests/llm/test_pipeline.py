@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 
 import pytest
@@ -27,7 +28,8 @@ def test_query_by_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert {int(k[2:].split("_")[0]) for k in registry.QUERIES} == set(range(1, 11))
+    numbers = [int(m[1]) for k in registry.QUERIES if (m := re.match(r"op(\d+)_", k))]
+    assert sorted(numbers) == list(range(1, 14))
 
 
 def test_stages_keep_columns_on_awkward_tables(spark):
