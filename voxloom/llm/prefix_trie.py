@@ -168,7 +168,8 @@ def nodes_of(seq: DataFrame, classes: DataFrame, local: int = LOCAL) -> DataFram
         sums = [F.min("c").alias("top"), F.sum("n").alias("n_convs"), F.max("words").alias("words"), F.max(F.when(F.col("left") == 0, F.col("c"))).alias("end_class"), F.count("*").alias("m"), F.sum("left").alias("below")]
         met = written(steps.groupBy("label", "parent", "depth").agg(*sums), "nodes")
         above = met.select(F.col("label").alias("parent"), F.col("top").alias("parent_conv_id")).union(tops)
-        found.append(met.join(above.hint("merge"), "parent").select(F.col("top").alias("conv_id"), "depth", "parent_conv_id", "n_convs", "words", "end_class"))
+        named = met.join(above.hint("merge"), "parent").select(F.col("top").alias("conv_id"), "depth", "parent_conv_id", "n_convs", "words", "end_class")
+        found.append(written(named, "named"))  # a join of its own, so that a parent with very many children can be split
         depth, width = depth + width, 2 * width
         last = met.where((F.col("depth") == depth) & (F.col("below") > 0))
         at = written(steps.where((F.col("depth") == depth) & (F.col("left") > 0)).select("label", "c", "n", "left").join(last.select("label", "top", "m", "below").hint("merge"), "label"), "buckets")

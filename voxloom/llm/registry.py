@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup", "minhash", "mixing", "packing", "periodic", "prefix_trie", "repeats", "secrets", "spotsigs", "token_planes", "toxicity", "warc_zip")
+MODULES = ("exact_dedup", "minhash", "mixing", "ngram_join", "packing", "periodic", "prefix_trie", "repeats", "secrets", "spotsigs", "token_planes", "toxicity", "warc_zip")
 
 QUERIES: dict = {}
 SQL: dict = {}
