@@ -50,14 +50,38 @@ def test_overlaps_and_prefixes(num, den):
         x = np.unique(r.integers(0, 2**63, n, np.uint64))
         chosen, u = ngram_join.prefix_tokens(x, num, den)
         assert len(chosen) >= ngram_join.prefix_length(n, num, den) and len(np.unique(chosen)) == len(chosen)
-        assert (chosen[:u] % ngram_join.SHARE == 0).all() and (chosen[u:] % ngram_join.SHARE > 0).all()
+        assert (chosen[:u] % 16 < ngram_join.SHARE).all() and (chosen[u:] % 16 >= ngram_join.SHARE).all()
 
 
 def test_boundary_is_the_cheapest():
     assert ngram_join.chosen_boundary({}, {}) == 0
-    assert ngram_join.chosen_boundary({3: 10, 8: 1000}, {3: 50, 8: 20}) == 3
-    assert ngram_join.chosen_boundary({3: 100, 8: 10}, {3: 50, 8: 20}) == 0
-    assert ngram_join.chosen_boundary({3: 60, 8: 1}, {3: 50, 8: 20}) == 8
+    cost = ngram_join.KEY_COST
+    assert ngram_join.chosen_boundary({3: 10, 8: 1000}, {3: 50 * cost, 8: 20 * cost}) == 3
+    assert ngram_join.chosen_boundary({3: 100, 8: 10}, {3: 50 * cost, 8: 20 * cost}) == 0
+    assert ngram_join.chosen_boundary({3: 60, 8: 1}, {3: 50 * cost, 8: 20 * cost}) == 8
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_long_lists_connect_what_pairs_do(spark, seed):
+    r = random.Random(seed)
+    rows = []
+    for s in range(6):
+        for _ in range(60):
+            n = r.choice([5, 40, 41, 45, 50, 60, 200, 210, 240])
+            rows.append((s, len(rows), n, r.randint(0, ngram_join.prefix_length(n, 80, 100) - 1)))
+    pairs = [(x[1], y[1]) for x, y in itertools.combinations(rows, 2) if x[0] == y[0] and min(x[2] - x[3], y[2] - y[3]) >= ngram_join.overlap(x[2], y[2], 80, 100)]
+    found = ngram_join._long_lists(spark.createDataFrame(rows, "s long, rep long, n long, place long"), 80, 100).collect()
+    root = {x[1]: x[1] for x in rows}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in found:
+        root[find(a)] = find(b)
+    assert pairs and all(find(a) == find(b) for a, b in pairs)
+    assert len({find(x[1]) for x in rows}) > 60  # and leave the others alone
 
 
 @pytest.mark.parametrize("boundary", [None, 0, 9, 20])

@@ -7,7 +7,8 @@
 3. Small sets: every subset of c shingles is a key, for each overlap c that a link of two small sets can need. Two small sets are linked
    when they meet under a key whose c their sizes ask for; the smallest set of a key stands for all of those.
 4. Large sets scan the lists, against sets of all sizes. Within a list of up to BLOCK sets, pairs go on
-   whose places leave enough to share; a longer list (its sets have few rarer shingles, so they are near copies or nearly so) is one family.
+   whose places leave enough to share. In a longer one no pairs are formed: the sets that could be linked with another one of
+   their own size become one family, and others join it that leave enough for one of these in a band of sizes.
 5. The boundary is the size up to which keys cost less than scanning: both are counted by size, over all sets.
 6. What lists and keys connect are families; links are confirmed on the full sets within each, as blocks.
 
@@ -30,10 +31,14 @@ from pyspark.sql import functions as F
 from voxloom.llm.minhash import BLOCK, SEGMENT, WordHashes, _groups, _linked, _links_of_large, _spanning, mix, shingles
 from voxloom.llm.shared import connected_components, documents, text_or_empty, written
 
-#: One in SHARE shingles is counted and comes first in the order.
-SHARE = 4
+#: SHARE of 16 shingles, by hash, are counted and come first in the order.
+SHARE = 5
 #: Sets up to this size may be small; the boundary itself is chosen by cost.
 SMALL = 20
+#: What a key of a small set costs (it is shuffled and joined), in list entries met (which are compared in arrays).
+KEY_COST = 20
+#: Long lists are looked up by bands of sizes, each so many times as wide as the one before.
+BAND = 1.03
 #: Classes that a task remembers, to send the shingles of repeated ones once.
 SEEN = 200_000
 #: Ids of documents in families that may be broadcast; more are joined by a shuffle.
@@ -56,7 +61,7 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 def prefix_tokens(x: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
     """The shingles of a set x that its prefix can hold, and how many of them are of the counted share: all of the share, and the first others where these are too few."""
-    own = x % np.uint64(SHARE) == 0
+    own = x % np.uint64(16) < SHARE
     first = x[own]
     missing = prefix_length(len(x), num, den) - len(first)
     return (first if missing <= 0 else np.concatenate([first, x[~own][:missing]])), len(first)
@@ -107,18 +112,18 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _subsets(num: int, den: int, most: int) -> Callable:
-    """(cls, n, whole) -> a row (c, key, cls, n) for each subset of each needed size."""
+    """(rep, n, whole) -> a row (c, key, rep, n) for each subset of each needed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, n, packed = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            rep, n, packed = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for i in range(batch.num_rows):
                 x = mix(np.frombuffer(packed[i], np.uint64))
                 for c in subset_sizes(int(n[i]), num, den, most):
                     at = np.array(list(itertools.combinations(range(len(x)), c)), np.int64)
                     key = mix(x[at].sum(axis=1, dtype=np.uint64))
                     m = len(key)
-                    yield pa.RecordBatch.from_pydict({"c": np.full(m, c, np.int32), "key": key.astype(np.int64), "cls": np.full(m, cls[i]), "n": np.full(m, n[i])})
+                    yield pa.RecordBatch.from_pydict({"c": np.full(m, c, np.int32), "key": key.astype(np.int64), "rep": np.full(m, rep[i]), "n": np.full(m, n[i])})
 
     return run
 
@@ -146,9 +151,29 @@ def _scan(num: int, den: int, boundary: int) -> Callable:
     return run
 
 
+def _long_lists(hits: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) that connect all pairs of a list (s, rep, n, place) whose places leave enough to share, and some more.
+
+    A set can be linked with sets of up to `reach` shingles. Of a pair, the smaller set reaches more than its own
+    size; such sets of a list are joined to the least of them. A set that doesn't reach its own size can
+    only be linked with a smaller one of these: it is joined to them where a band of their sizes has one within its reach, and one that reaches it.
+    """
+    reach = F.floor((F.col("n") - F.col("place")) * (den + num) / num) - F.col("n")
+    band = lambda n: F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
+    at = hits.withColumn("reach", reach)
+    inner = at.where("reach >= n")
+    least = inner.groupBy("s").agg(F.min("rep").alias("least"))
+    star = inner.join(least.hint("merge"), "s").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    bands = inner.groupBy("s", band(F.col("n")).alias("band")).agg(F.min("n").alias("smallest"), F.max("reach").alias("farthest"), F.min("rep").alias("least"))
+    first = F.ceil(F.col("n") * num / den)
+    outer = at.where((F.col("reach") < F.col("n")) & (F.col("reach") >= first)).withColumn("band", F.explode(F.sequence(band(first), band(F.col("reach")))))
+    met = outer.join(bands.hint("merge"), ["s", "band"]).where("smallest <= reach AND farthest >= n")
+    return star.union(met.select("rep", "least").distinct())
+
+
 def chosen_boundary(keys: dict[int, int], scans: dict[int, int]) -> int:
     """The size up to which sets are small: the least total of keys of small sets and list entries met by large ones."""
-    total = {x: sum(v for s, v in keys.items() if s <= x) + sum(v for s, v in scans.items() if s > x) for x in range(SMALL + 1)}
+    total = {x: KEY_COST * sum(v for s, v in keys.items() if s <= x) + sum(v for s, v in scans.items() if s > x) for x in range(SMALL + 1)}
     return min(total, key=lambda x: (total[x], x))
 
 
@@ -157,26 +182,26 @@ def candidates(sets: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
     tokens = sets.where("tokens IS NOT NULL AND doc_id IS NOT NULL").select("cls", "tokens").mapInArrow(_unpacked, "s long, cls long")
     df = tokens.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(df.hint("merge"), "s")
-    counted = F.pmod("s", F.lit(SHARE)) == 0  # of the 64 bits, as their sign makes no difference to a power of two
+    counted = F.pmod("s", F.lit(16)) < SHARE  # of the 64 bits, as their sign makes no difference to a power of two
     # by class: its shared shingles in the order of all, unsigned; a set, as copies send theirs several times
     unsigned = F.col("s").bitwiseXOR(F.lit(-(2**63)))
-    lists = shared.groupBy("cls").agg(F.array_sort(F.collect_set(F.struct((~counted).alias("late"), F.when(counted, F.col("df")).otherwise(0).alias("df"), unsigned.alias("s")))).alias("l"))
+    lists = shared.groupBy("cls").agg(F.sort_array(F.collect_set(F.struct((~counted).alias("late"), F.when(counted, F.col("df")).otherwise(0).alias("df"), unsigned.alias("s")))).alias("l"))
     heads = classes.select("cls", "rep", "n", "u")
     known = lists.join(heads.hint("merge"), "cls")
     own = F.col("u") - F.size(F.filter("l", lambda x: ~x["late"]))  # shingles of the share that no other set has come first
     placed = known.select("rep", "n", own.alias("own"), F.posexplode("l").alias("o", "x")).select("rep", "n", F.col("x.s").alias("s"), (F.col("own") + F.col("o")).alias("place"))
     postings = written(placed.where(f"place <= n - ceil(n * {num} / {den})"), "postings")
-    sizes = postings.groupBy("s").agg(F.count("*").alias("m"), F.min("rep").alias("least")).where("m > 1")
+    sizes = postings.groupBy("s").agg(F.count("*").alias("m")).where("m > 1")
     hits = written(postings.join(sizes.hint("merge"), "s"), "hits")
     scans = {r.n: r.v for r in hits.where(F.col("n") <= SMALL).groupBy("n").agg(F.sum("m").alias("v")).collect()}  # SMALL rows at most
     sets_of = {r.n: r.v for r in classes.where(F.col("n") <= SMALL).groupBy("n").agg(F.count("*").alias("v")).collect()}
     boundary = chosen_boundary({n: v * sum(math.comb(n, c) for c in subset_sizes(n, num, den, SMALL)) for n, v in sets_of.items()}, scans)
     short = hits.where(F.col("m") <= BLOCK).select("s", "rep", "n", "place").repartition("s").sortWithinPartitions("s")
-    edges = short.mapInArrow(_scan(num, den, boundary), "a long, b long").union(hits.where((F.col("m") > BLOCK) & (F.col("rep") != F.col("least"))).select("rep", "least"))
+    edges = short.mapInArrow(_scan(num, den, boundary), "a long, b long").union(_long_lists(hits.where(F.col("m") > BLOCK), num, den))
     if boundary:
-        small = sets.where((F.col("n") <= boundary) & F.col("whole").isNotNull() & F.col("doc_id").isNotNull())
-        keyed = small.select("cls", "n", "whole").mapInArrow(_subsets(num, den, boundary), "c int, key long, cls long, n long").join(heads.select("cls", "rep").hint("merge"), "cls")
-        keyed = written(keyed.select("c", "key", "n", "rep").distinct(), "subsets")
+        small = sets.where((F.col("n") <= boundary) & F.col("whole").isNotNull() & F.col("doc_id").isNotNull()).select("cls", "n", "whole").distinct()
+        named = small.join(heads.select("cls", "rep").hint("merge"), "cls").select("rep", "n", "whole")
+        keyed = written(named.mapInArrow(_subsets(num, den, boundary), "c int, key long, rep long, n long"), "subsets")
         met = keyed.groupBy("c", "key").agg(F.min(F.struct("n", "rep")).alias("first"), F.count("*").alias("m")).where("m > 1")
         linked = keyed.join(met.hint("merge"), ["c", "key"]).where("rep <> first.rep").where(f"{den + num} * c >= {num} * (n + first.n)")
         edges = edges.union(linked.select("rep", "first.rep"))
