@@ -60,3 +60,42 @@ def test_one_hot_condition(spark):
     assert held.agg(F.max("count") / F.avg("count")).first()[0] < 1.5
     (q,) = order.quantiles(df, "v", ["g"], [0.5], ["q"]).collect()
     assert q.q == df.agg(F.percentile("v", F.lit(0.5))).first()[0]
+
+
+def test_rank_statistics_equal_windows(spark):
+    """Wilcoxon's and Cliff's statistics from ranges against ranks in one window by condition."""
+    from voxloom.operators import stats
+
+    rnd = random.Random(6)
+    pairs = spark.createDataFrame([(rnd.choice("ab"), rnd.choice(["x", "y"]), rnd.choice([0.0, 1.0, -1.0, round(rnd.gauss(0.2, 1), 2)])) for _ in range(900)], "g string, side string, d double")
+    r = pairs.where("d <> 0").withColumn("_a", F.abs("d")).withColumn("_r", stats.average_rank("_a", ["g"]))
+    want = {x.g: (x.n, min(x.up, x.down)) for x in r.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("_r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("_r")).otherwise(0.0)).alias("down")).collect()}
+    assert {x.g: (x.n, x.w) for x in stats.wilcoxon(pairs, ["g"]).collect()} == want
+    rows = pairs.collect()
+    for x in stats.cliffs_delta(pairs, "d", "side", "x", "y", ["g"]).collect():
+        a, b = ([v.d for v in rows if v.g == x.g and v.side == s] for s in "xy")
+        assert x.delta == pytest.approx(sum((u > v) - (u < v) for u in a for v in b) / len(a) / len(b), abs=1e-12)
+
+
+def test_bootstrap_by_numpy_and_partitioning(spark):
+    import numpy as np
+
+    from voxloom.operators import stats
+
+    rng = np.random.default_rng(1)
+    data = [(g, k, float(rng.normal(0.3, 1.0))) for g in ("a", None) for k in range(120)] + [("one", 5, 2.0), ("a", 7, None)]
+    df = spark.createDataFrame(data, "g string, unit long, d double")
+    got = {r.g: (r.mean_d, r.low, r.high) for r in stats.bootstrap_mean(df, ["g"], "unit", 2000).collect()}
+    assert got["one"] == (2.0, 2.0, 2.0)
+    for g in ("a", None):
+        unit, d = (np.array(x) for x in zip(*[(u, v) for h, u, v in data if h == g and v is not None], strict=True))
+        w = stats.draws(unit.astype(np.int64), np.arange(2000), 42)
+        assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03
+        low, high = np.quantile(d @ w / w.sum(axis=0), [0.025, 0.975])
+        assert got[g] == pytest.approx((d.mean(), low, high), abs=1e-9)
+        plain = np.quantile(d[rng.integers(0, len(d), (20_000, len(d)))].mean(axis=1), [0.025, 0.975])  # rows drawn with replacement
+        assert abs(low - plain[0]) < 0.03 and abs(high - plain[1]) < 0.03
+    again = {r.g: (r.mean_d, r.low, r.high) for r in stats.bootstrap_mean(df.repartition(7), ["g"], "unit", 2000).collect()}
+    assert all(again[g] == pytest.approx(got[g], abs=1e-12) for g in got)
+    named = stats.bootstrap_mean(df.withColumn("unit", F.concat(F.lit("u"), "unit")), ["g"], "unit", 500).collect()
+    assert len(named) == 3 and stats.bootstrap_mean(df.limit(0), ["g"], "unit", 50).count() == 0

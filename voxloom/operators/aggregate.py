@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.operators import order
+
 
 def summary(rows: DataFrame, keys: list[str], values: list[str], spread=F.stddev_samp, median: bool = False) -> DataFrame:
-    """keys..., mean and spread of each value, and n rows."""
-    aggs = [c for v in values for c in (F.avg(v).alias(f"{v}_mean"), spread(v).alias(f"{v}_std"), *([F.percentile(v, F.lit(0.5)).alias(f"{v}_median")] if median else []))]
-    return rows.groupBy(*keys).agg(*aggs, F.count("*").alias("n"))
+    """keys..., mean and spread of each value, its exact median if asked for, and n rows."""
+    out = rows.groupBy(*keys).agg(*[c for v in values for c in (F.avg(v).alias(f"{v}_mean"), spread(v).alias(f"{v}_std"))], F.count("*").alias("n"))
+    for v in values if median else ():
+        out = order.beside(out, order.quantiles(rows, v, keys, [0.5], [f"{v}_median"]), keys)
+    return out
 
 
 def with_every_group(summed: DataFrame, dims: list[DataFrame], keys: list[str], count: str = "n") -> DataFrame:
@@ -66,9 +70,7 @@ def to_wide(rows: DataFrame, unit: list[str], side: str, sides: list[str], value
 
 def box(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys..., quartiles and whiskers (the outermost values within 1.5 interquartile ranges)."""
-    q = rows.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
-    j = rows.join(q, keys)
+    j = order.beside(rows, order.quantiles(rows, value, keys, [0.25, 0.5, 0.75], ["q1", "q2", "q3"]), keys)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return j.groupBy(*keys, "q1", "q2", "q3").agg(F.min(F.when(F.col(value) >= F.col("q1") - reach, F.col(value))).alias("low"), F.max(F.when(F.col(value) <= F.col("q3") + reach, F.col(value))).alias("high"))
 
@@ -86,8 +88,9 @@ def flagged(rows: DataFrame, keys: list[str], values: list[str], flag: Column) -
 
 def by_metric(rows: DataFrame, ids: list[str], keys: list[str], values: list[str]) -> DataFrame:
     """keys..., metric, mean, std (sample; 0 of a single value), median and n of the values that are numbers; metrics without any are left out."""
-    long = to_long(rows, ids, values).groupBy(*keys, "metric")
-    return long.agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.median("value").alias("median"), F.count("*").alias("n"))
+    long, each = to_long(rows, ids, values), [*keys, "metric"]
+    s = long.groupBy(*each).agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.count("*").alias("n"))
+    return order.beside(s, order.quantiles(long, "value", each, [0.5], ["median"]), each)
 
 
 def over_folds(folds: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxloom.operators import order
+
 AXES = ("z", "y", "x")
 
 
@@ -72,10 +74,11 @@ def apply_mask(voxels: DataFrame, mask: DataFrame, keys: list[str], value: str)
 
 def display_window(voxels: DataFrame, value: str, inside: Column, keys: list[str]) -> DataFrame:
     """keys..., vmin and vmax: percentiles 1 and 99 of the inside, or its ends where these meet."""
-    v = F.when(inside, F.col(value))
-    s = voxels.groupBy(*keys).agg(F.percentile(v, F.array(F.lit(0.01), F.lit(0.99))).alias("p"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-    flat = F.col("p")[1] <= F.col("p")[0]
-    return s.select(*keys, F.when(flat, F.col("lo")).otherwise(F.col("p")[0]).alias("vmin"), F.when(flat, F.col("hi")).otherwise(F.col("p")[1]).alias("vmax"))
+    v = voxels.select(*keys, F.when(inside, F.col(value)).alias("_inside"))
+    s = v.groupBy(*keys).agg(F.min("_inside").alias("lo"), F.max("_inside").alias("hi"))
+    s = order.beside(s, order.quantiles(v, "_inside", keys, [0.01, 0.99], ["p1", "p99"]), keys)
+    flat = F.col("p99") <= F.col("p1")
+    return s.select(*keys, F.when(flat, F.col("lo")).otherwise(F.col("p1")).alias("vmin"), F.when(flat, F.col("hi")).otherwise(F.col("p99")).alias("vmax"))
 
 
 def octant(voxels: DataFrame, inside: Column, shape: tuple[int, int, int], keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.operators import order
+
 EPS = 1e-8
 
 
@@ -34,11 +36,11 @@ def minmax(voxels: DataFrame, value: str, keys: tuple[str, ...] = ("patient",))
 
 def robust(voxels: DataFrame, value: str, keys: tuple[str, ...] = ("patient",), low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rescales percentiles low..high to 0..1 and clips; by minimum and maximum where those meet, to 0 where these do too."""
-    p = F.percentile(value, F.array(F.lit(low), F.lit(high)))
-    ends = voxels.groupBy(*keys).agg(p.alias("_p"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    flat = F.col("_p")[1] <= F.col("_p")[0]
-    lo, hi = F.when(flat, F.col("_lo")).otherwise(F.col("_p")[0]), F.when(flat, F.col("_hi")).otherwise(F.col("_p")[1])
-    return voxels.join(ends, list(keys)).withColumn(value, _scaled(F.col(value), lo, hi)).drop("_p", "_lo", "_hi")
+    ends = voxels.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    ends = order.beside(ends, order.quantiles(voxels, value, list(keys), [low, high], ["_p0", "_p1"]), list(keys))
+    flat = F.col("_p1") <= F.col("_p0")
+    lo, hi = F.when(flat, F.col("_lo")).otherwise(F.col("_p0")), F.when(flat, F.col("_hi")).otherwise(F.col("_p1"))
+    return voxels.join(ends, list(keys)).withColumn(value, _scaled(F.col(value), lo, hi)).drop("_p0", "_p1", "_lo", "_hi")
 
 
 def normalize_pair(voxels: DataFrame, a: str, b: str, how: str = "none") -> DataFrame:

@@ -73,3 +73,12 @@ def quantiles(rows: DataFrame, value: str, keys: list[str], shares: list[float],
     out = found.select(*keys, *[between(i).alias(n) for i, n in enumerate(names)])
     every = rows.groupBy(*keys).agg(F.count(value).alias("_n")).where("_n = 0").select(*keys, *[F.lit(None).cast("double").alias(n) for n in names])
     return out.unionByName(every)
+
+
+def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the other columns of right, which has a row for each of left's keys at most; null keys are the same."""
+    named = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return left.join(named, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])

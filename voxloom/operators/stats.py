@@ -1,17 +1,21 @@
-"""Paired and rank statistics as grouped aggregates and windows; resampling and mixed models by group in numpy."""
+"""Paired and rank statistics as grouped aggregates and ranks of any size; resampling from sums by task; mixed models by group in numpy."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.special import normal_sf2, p_chi2, p_normal, p_student, shapiro_wilk
+from voxloom.operators import order
 
 
 def average_rank(value: str, keys: list[str]) -> Column:
-    """The rank within keys; equal values share the mean of theirs."""
+    """The rank within keys; equal values share the mean of theirs. For keys of few rows, such as one unit's; order.ranked is for any."""
     return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0
 
 
@@ -37,10 +41,14 @@ def independent_t(metrics: DataFrame, value: str, side: str, a: str, b: str, key
 
 
 def wilcoxon(pairs: DataFrame, keys: list[str], least: int = 5, with_p: bool = False) -> DataFrame:
-    """keys..., n, w, z: signed ranks without zero differences; z is the normal approximation, corrected for ties."""
-    r = pairs.where("d <> 0").withColumn("_a", F.abs("d"))
-    r = r.withColumn("_r", average_rank("_a", keys)).withColumn("_t", F.count("*").over(Window.partitionBy(*keys, "_a")))
-    s = r.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("_r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("_r")).otherwise(0.0)).alias("down"), F.sum(F.col("_t") * F.col("_t") - 1).alias("ties"))
+    """keys..., n, w, z: signed ranks without zero differences; z is the normal approximation, corrected for ties.
+
+    Ranks are those of distinct differences, counted range by range (order.ranked), so that no task holds a condition.
+    """
+    signs = [(name, F.count_if(c).cast("double")) for name, c in (("_up", F.col("d") > 0), ("_down", F.col("d") < 0))]
+    r = order.ranked(pairs.where("d <> 0").withColumn("_a", F.abs("d")), "_a", keys, *signs)
+    t = F.col("n").cast("double")
+    s = r.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("_up")).alias("up"), F.sum(F.col("rank") * F.col("_down")).alias("down"), F.sum(t * (t * t - 1)).alias("ties"), F.sum("n").alias("n"))
     n, w = F.col("n").cast("double"), F.least("up", "down")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48.0)
     out = s.where(F.col("n") >= least).select(*keys, "n", w.alias("w"), F.try_divide(w - n * (n + 1) / 4, F.nullif(sd, F.lit(0.0))).alias("z"))
@@ -72,9 +80,10 @@ def effect_sizes(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cliffs_delta(metrics: DataFrame, value: str, side: str, a: str, b: str, keys: list[str]) -> DataFrame:
-    """keys..., delta = P(a > b) - P(a < b), exact with ties, from the ranks of both together."""
-    r = metrics.where(F.col(side).isin(a, b) & F.col(value).isNotNull()).withColumn("_r", average_rank(value, keys))
-    s = r.groupBy(*keys).agg(F.count_if(F.col(side) == a).alias("na"), F.count_if(F.col(side) == b).alias("nb"), F.sum(F.when(F.col(side) == a, F.col("_r")).otherwise(0.0)).alias("ra"))
+    """keys..., delta = P(a > b) - P(a < b), exact with ties, from the ranks of both together, counted range by range."""
+    both = metrics.where(F.col(side).isin(a, b) & F.col(value).isNotNull())
+    r = order.ranked(both, value, keys, ("na", F.count_if(F.col(side) == a)), ("nb", F.count_if(F.col(side) == b)))
+    s = r.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("na")).alias("ra"), F.sum("na").alias("na"), F.sum("nb").alias("nb"))
     u = F.col("ra") - F.col("na") * (F.col("na") + 1) / 2.0
     return s.select(*keys, "na", "nb", F.try_divide(2 * u, F.col("na") * F.col("nb")).alias("q")).select(*keys, "na", "nb", (F.col("q") - 1).alias("delta"))
 
@@ -126,19 +135,61 @@ def regression(rows: DataFrame, y: str, x: str, keys: list[str], least: int = 3)
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept"), F.regr_r2(F.col(y), F.col(x)).alias("r2")).where(F.col("n") >= least)
 
 
-def bootstrap_mean(pairs: DataFrame, keys: list[str], resamples: int = 5000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """keys..., mean_d, low, high: percentile interval of the mean difference. A group is a condition's cases; resamples are drawn in bounded blocks."""
+#: Resampling weights come from whole numbers below a prime, so that they are the same on any engine and for any partitioning.
+PRIME = 2**31 - 1
+#: How often a unit is drawn: the number of these bounds (of Poisson probabilities with mean 1) that its number reaches.
+DRAWN = [int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12)]
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        d = np.sort(pdf["d"].to_numpy(float))
-        rng = np.random.default_rng(seed)
-        block = max(1, 2_000_000 // max(1, len(d)))
-        means = np.concatenate([d[rng.integers(0, len(d), (min(block, resamples - i), len(d)))].mean(axis=1) for i in range(0, resamples, block)])
-        low, high = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
-        return pd.DataFrame([(*key, float(d.mean()), float(low), float(high))], columns=[*keys, "mean_d", "low", "high"])
-
-    schema = ", ".join(f"{k} {t}" for k, t in pairs.select(*keys).dtypes) + ", mean_d double, low double, high double"
-    return pairs.where("d IS NOT NULL").groupBy(*keys).applyInPandas(one, schema)
+
+def draws(unit: np.ndarray, resample: np.ndarray, seed: int) -> np.ndarray:
+    """How often each unit (whole numbers) is in each resample, 1 on average: a row for each unit."""
+    fifth = lambda x: x * x % PRIME * (x * x % PRIME) % PRIME * x % PRIME  # a bijection below the prime
+    x = fifth((unit[:, None] % PRIME * 48271 + resample[None, :] * 69621 + seed) % PRIME)
+    x = fifth((x * 16807 + resample[None, :] * 39373 + 12345) % PRIME)
+    return np.searchsorted(np.array(DRAWN), x, side="right")
+
+
+def bootstrap_mean(pairs: DataFrame, keys: list[str], unit: Column | str, resamples: int = 5000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """keys..., mean_d, low, high: percentile interval of the mean difference over resampled units.
+
+    Each resample draws each unit a Poisson number of times, by a hash of unit, resample and seed; a unit's rows are drawn together.
+    unit: a column of whole numbers, or one of another kind, which is hashed. A task adds up its rows' share
+    of every resample's sums, one condition at a time; no group of rows is held. Null differences are left out; an empty table gives no rows.
+    """
+    unit = F.col(unit) if isinstance(unit, str) else unit
+    whole = pairs.select(unit.alias("u")).dtypes[0][1] in ("tinyint", "smallint", "int", "bigint")
+    number = F.pmod(unit.cast("long") if whole else F.xxhash64(unit), F.lit(PRIME))
+    key = F.to_json(F.struct(*keys))
+    rows = pairs.where("d IS NOT NULL").groupBy(key.alias("_key"), F.coalesce(number, F.lit(0)).alias("_u")).agg(F.sum("d").alias("_s"), F.count("d").cast("double").alias("_c"))
+    each, block = np.arange(resamples), max(1, 4_000_000 // resamples)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, sums = None, np.zeros((2, resamples))
+
+        def done() -> pd.DataFrame:
+            return pd.DataFrame({"_key": [now], "s": [sums[0]], "c": [sums[1]]})
+
+        for pdf in frames:
+            for k, part in pdf.groupby("_key", sort=False):
+                if k != now:
+                    if now is not None:
+                        yield done()
+                    now, sums = k, np.zeros((2, resamples))
+                values = part[["_s", "_c"]].to_numpy(float).T
+                u = part["_u"].to_numpy(np.int64)
+                for i in range(0, len(u), block):
+                    sums += values[:, i : i + block] @ draws(u[i : i + block], each, seed)
+        if now is not None:
+            yield done()
+
+    shares = rows.sortWithinPartitions("_key").mapInPandas(run, "_key string, s array<double>, c array<double>")
+    summed = shares.select("_key", F.posexplode(F.arrays_zip("s", "c")).alias("r", "v")).groupBy("_key", "r").agg(F.sum("v.s").alias("s"), F.sum("v.c").alias("c"))
+    low, high = (1 - level) / 2, (1 + level) / 2
+    ends = summed.select("_key", F.try_divide("s", "c").alias("m")).groupBy("_key").agg(F.percentile("m", F.array(F.lit(low), F.lit(high))).alias("q"))  # `resamples` values
+    means = rows.groupBy("_key").agg((F.sum("_s") / F.sum("_c")).alias("mean_d"))
+    kinds = ", ".join(f"`{k}` {t}" for k, t in pairs.select(*keys).dtypes)
+    out = means.join(ends, "_key").select(F.from_json("_key", kinds).alias("k"), "mean_d", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    return out.select(*[F.col("k").getField(k).alias(k) for k in keys], "mean_d", "low", "high")
 
 
 def fit_random_intercept(y: np.ndarray, x: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
