@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.operators import ensemble, interpret, kernels, normalize, quality, radiomics, stacking, tiling
+from voxloom.operators import components, ensemble, interpret, kernels, normalize, quality, radiomics, stacking, tiling
 from voxloom.sources.tables import COLUMNS, DEPTH, EXPERTS, ROWS, VOXELS_SQL, lines, points, voxels
 
 PATCH, STRIDE = (4, 4, 8), (4, 4, 8)
@@ -710,19 +710,62 @@ _STEPS = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)
     sizes AS (SELECT patient, comp, count(*) AS n FROM cc JOIN nodes USING (id) GROUP BY 1, 2)
     SELECT p.patient, coalesce(max(n), 0) AS voxels FROM (SELECT DISTINCT patient FROM vox) p LEFT JOIN sizes s ON s.patient = p.patient GROUP BY 1""")
 def largest_component(spark, sf_dir):
-    import pandas as pd
+    """The size of the largest part of each volume, by faces and edges."""
+    v = lines(spark, sf_dir)
+    found = components.largest(v.select("patient", "z", "y", F.transform("hr", lambda h: h >= 0.1).alias("mask")), "mask", ["patient"])
+    size = found.groupBy("patient").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("voxels"))
+    return v.select("patient").distinct().join(size, "patient", "left").fillna(0, ["voxels"])
 
-    def run(x):
-        return pd.DataFrame([{"voxels": int(kernels.largest_component(x >= 0.1).sum()) if (x >= 0.1).any() else 0}])
 
-    return kernels.by_volume(lines(spark, sf_dir), run, "voxels long", ["hr"], SHAPE)
+_FACES = "(VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) d(dz, dy, dx)"
+_INSIDE = f"z BETWEEN 0 AND {DEPTH - 1} AND y BETWEEN 0 AND {ROWS - 1} AND x BETWEEN 0 AND {COLUMNS - 1}"
 
 
-@query()
+def _next_to(a: str, b: str) -> str:
+    return f"{b}.patient = {a}.patient AND {b}.z = {a}.z + dz AND {b}.y = {a}.y + dy AND {b}.x = {a}.x + dx"
+
+
+def _grown_sql(m: str) -> str:
+    return f"(SELECT DISTINCT patient, z + dz AS z, y + dy AS y, x + dx AS x FROM {m}, (SELECT * FROM {_FACES} UNION ALL SELECT 0, 0, 0))"
+
+
+def _shrunk_sql(m: str) -> str:
+    return f"(SELECT a.patient, a.z, a.y, a.x FROM {m} a, {_FACES} JOIN {m} b ON {_next_to('a', 'b')} GROUP BY ALL HAVING count(*) = 6)"
+
+
+#: The mask of components.brain_mask over hr + 0.3, as the common table expression closed.
+BRAIN_SQL = f"""{BASE.replace('WITH', 'WITH RECURSIVE', 1)}, v AS MATERIALIZED (SELECT patient, z, y, x, hr + 0.3 AS v FROM vox), t AS (SELECT patient, quantile_cont(v, 0.05) AS t FROM v WHERE v > 0 GROUP BY 1),
+    back AS MATERIALIZED (SELECT patient, z, y, x FROM v LEFT JOIN t USING (patient) WHERE NOT coalesce(v > t, false)),
+    outer_ AS (SELECT * FROM back WHERE z IN (0, {DEPTH - 1}) OR y IN (0, {ROWS - 1}) OR x IN (0, {COLUMNS - 1}) UNION SELECT b.* FROM outer_ a, {_FACES} JOIN back b ON {_next_to('a', 'b')}),
+    m0 AS MATERIALIZED (SELECT patient, z, y, x FROM v ANTI JOIN outer_ USING (patient, z, y, x)), m1 AS MATERIALIZED {_shrunk_sql('m0')}, m2 AS MATERIALIZED {_shrunk_sql('m1')},
+    m3 AS MATERIALIZED (SELECT * FROM {_grown_sql('m2')} WHERE {_INSIDE}), m4 AS MATERIALIZED (SELECT *, ((patient*{DEPTH} + z)*{ROWS} + y)*{COLUMNS} + x AS id FROM {_grown_sql('m3')} WHERE {_INSIDE}),
+    links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM m4 a, {_FACES} JOIN m4 b ON {_next_to('a', 'b')}),
+    cc(id, comp) USING KEY (id) AS (SELECT id, id FROM m4 UNION (SELECT e.a, min(w.comp) FROM links e JOIN cc w ON w.id = e.b JOIN recurring.cc u ON u.id = e.a WHERE w.comp < u.comp GROUP BY e.a)),
+    best AS (SELECT patient, comp FROM (SELECT patient, comp, count(*) AS n FROM cc JOIN m4 USING (id) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY patient ORDER BY n DESC, comp) = 1),
+    m5 AS MATERIALIZED (SELECT m4.patient, z, y, x FROM m4 JOIN cc USING (id) JOIN best USING (patient, comp)), m6 AS MATERIALIZED {_grown_sql('m5')}, m7 AS MATERIALIZED {_grown_sql('m6')}, m8 AS MATERIALIZED {_shrunk_sql('m7')},
+    closed AS (SELECT * FROM {_shrunk_sql('m8')} WHERE {_INSIDE})"""
+
+
+@query(f"{BRAIN_SQL} SELECT p.patient, count(closed.z) AS voxels FROM (SELECT DISTINCT patient FROM vox) p LEFT JOIN closed USING (patient) GROUP BY 1")
 def brain_mask_sizes(spark, sf_dir):
-    import pandas as pd
+    """The size of each volume's mask: thresholded, holes filled, opened, its largest part, closed."""
+    shifted = lines(spark, sf_dir).select("patient", "z", "y", F.transform("hr", lambda h: h + 0.3).alias("v"))
+    mask = components.brain_mask(shifted, "v", ["patient"])
+    return mask.groupBy("patient").agg(F.sum(F.size(F.filter("mask", lambda m: m))).alias("voxels"))
+
+
+_PARTS_SQL = f"""{BASE.replace('WITH', 'WITH RECURSIVE', 1)}, nodes AS MATERIALIZED (SELECT patient, z, y, x, seg, ((patient*{DEPTH} + z)*{ROWS} + y)*{COLUMNS} + x AS id FROM vox WHERE hr >= 0.1),
+    links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM nodes a, {_FACES} JOIN nodes b ON {_next_to('a', 'b')} AND b.seg = a.seg),
+    cc(id, comp) USING KEY (id) AS (SELECT id, id FROM nodes UNION (SELECT e.a, min(w.comp) FROM links e JOIN cc w ON w.id = e.b JOIN recurring.cc u ON u.id = e.a WHERE w.comp < u.comp GROUP BY e.a)),
+    parts AS (SELECT patient, seg, comp, count(*) AS n FROM cc JOIN nodes USING (id) GROUP BY 1, 2, 3)"""
+
 
-    return kernels.by_volume(lines(spark, sf_dir), lambda x: pd.DataFrame([{"voxels": int(kernels.brain_mask(x + 0.3).sum())}]), "voxels long", ["hr"], SHAPE)
+@query(f"{_PARTS_SQL} SELECT patient, seg AS label, count(*) AS parts, max(n) AS largest, count(*) FILTER (n = 1) AS single FROM parts GROUP BY 1, 2")
+def parts_by_label(spark, sf_dir):
+    """How many separate parts each label has among bright voxels, by faces: their number, the largest, and those of one voxel."""
+    labelled = lines(spark, sf_dir).select("patient", "z", "y", F.transform("hr", lambda h: F.when(h >= 0.1, F.col("seg"))).alias("l"))
+    found = components.sizes(components.components(labelled, "l", ["patient"], 6), ["patient"])
+    return found.groupBy("patient", "label").agg(F.count("*").alias("parts"), F.max("voxels").alias("largest"), F.count_if(F.col("voxels") == 1).alias("single"))
 
 
 @query(f"""{BASE}, r AS (SELECT patient, min(hr) a0, max(hr) a1, min(e1) b0, max(e1) b1 FROM vox GROUP BY 1) SELECT patient, round(avg(abs((hr - a0)/(a1 - a0) - (e1 - b0)/(b1 - b0))), 6) AS mae FROM vox JOIN r USING (patient) GROUP BY 1""")
