@@ -729,20 +729,31 @@ def _grown_sql(m: str) -> str:
     return f"(SELECT DISTINCT patient, z + dz AS z, y + dy AS y, x + dx AS x FROM {m}, (SELECT * FROM {_FACES} UNION ALL SELECT 0, 0, 0))"
 
 
+def _moved(m: str) -> str:
+    """Each voxel of m next to each of its six faces' places: patient, z, y, x and tz, ty, tx."""
+    return f"(SELECT m.*, z + dz AS tz, y + dy AS ty, x + dx AS tx FROM {m} m, {_FACES})"
+
+
 def _shrunk_sql(m: str) -> str:
-    return f"(SELECT a.patient, a.z, a.y, a.x FROM {m} a, {_FACES} JOIN {m} b ON {_next_to('a', 'b')} GROUP BY ALL HAVING count(*) = 6)"
+    return f"(SELECT patient, z, y, x FROM (SELECT patient, tz AS z, ty AS y, tx AS x, count(*) AS n FROM {_moved(m)} GROUP BY ALL) JOIN {m} USING (patient, z, y, x) WHERE n = 6)"
+
+
+def _links_sql(m: str) -> str:
+    return f"(SELECT a.id AS a, b.id AS b FROM {_moved(m)} a JOIN {m} b ON b.patient = a.patient AND b.z = a.tz AND b.y = a.ty AND b.x = a.tx)"
 
 
 #: The mask of components.brain_mask over hr + 0.3, as the common table expression closed.
 BRAIN_SQL = f"""{BASE.replace('WITH', 'WITH RECURSIVE', 1)}, v AS MATERIALIZED (SELECT patient, z, y, x, hr + 0.3 AS v FROM vox), t AS (SELECT patient, quantile_cont(v, 0.05) AS t FROM v WHERE v > 0 GROUP BY 1),
-    back AS MATERIALIZED (SELECT patient, z, y, x FROM v LEFT JOIN t USING (patient) WHERE NOT coalesce(v > t, false)),
-    outer_ AS (SELECT * FROM back WHERE z IN (0, {DEPTH - 1}) OR y IN (0, {ROWS - 1}) OR x IN (0, {COLUMNS - 1}) UNION SELECT b.* FROM outer_ a, {_FACES} JOIN back b ON {_next_to('a', 'b')}),
-    m0 AS MATERIALIZED (SELECT patient, z, y, x FROM v ANTI JOIN outer_ USING (patient, z, y, x)), m1 AS MATERIALIZED {_shrunk_sql('m0')}, m2 AS MATERIALIZED {_shrunk_sql('m1')},
+    back AS MATERIALIZED (SELECT patient, z, y, x, ((patient*{DEPTH} + z)*{ROWS} + y)*{COLUMNS} + x AS id FROM v LEFT JOIN t USING (patient) WHERE NOT coalesce(v > t, false)),
+    paths AS MATERIALIZED {_links_sql('back')},
+    outer_(id) AS (SELECT id FROM back WHERE z IN (0, {DEPTH - 1}) OR y IN (0, {ROWS - 1}) OR x IN (0, {COLUMNS - 1}) UNION SELECT p.b FROM outer_ o JOIN paths p ON p.a = o.id),
+    m0 AS MATERIALIZED (SELECT patient, z, y, x FROM v WHERE ((patient*{DEPTH} + z)*{ROWS} + y)*{COLUMNS} + x NOT IN (SELECT id FROM outer_)), m1 AS MATERIALIZED {_shrunk_sql('m0')}, m2 AS MATERIALIZED {_shrunk_sql('m1')},
     m3 AS MATERIALIZED (SELECT * FROM {_grown_sql('m2')} WHERE {_INSIDE}), m4 AS MATERIALIZED (SELECT *, ((patient*{DEPTH} + z)*{ROWS} + y)*{COLUMNS} + x AS id FROM {_grown_sql('m3')} WHERE {_INSIDE}),
-    links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM m4 a, {_FACES} JOIN m4 b ON {_next_to('a', 'b')}),
-    cc(id, comp) USING KEY (id) AS (SELECT id, id FROM m4 UNION (SELECT e.a, min(w.comp) FROM links e JOIN cc w ON w.id = e.b JOIN recurring.cc u ON u.id = e.a WHERE w.comp < u.comp GROUP BY e.a)),
-    best AS (SELECT patient, comp FROM (SELECT patient, comp, count(*) AS n FROM cc JOIN m4 USING (id) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY patient ORDER BY n DESC, comp) = 1),
-    m5 AS MATERIALIZED (SELECT m4.patient, z, y, x FROM m4 JOIN cc USING (id) JOIN best USING (patient, comp)), m6 AS MATERIALIZED {_grown_sql('m5')}, m7 AS MATERIALIZED {_grown_sql('m6')}, m8 AS MATERIALIZED {_shrunk_sql('m7')},
+    g AS MATERIALIZED (SELECT patient, z, y, min(x) AS x0, max(x) AS x1, min(id) AS id FROM (SELECT *, x - row_number() OVER (PARTITION BY patient, z, y ORDER BY x) AS i FROM m4) GROUP BY patient, z, y, i),
+    links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON b.patient = a.patient AND abs(a.z - b.z) + abs(a.y - b.y) = 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1),
+    cc(id, comp) USING KEY (id) AS (SELECT id, id FROM g UNION (SELECT e.a, min(w.comp) FROM links e JOIN cc w ON w.id = e.b JOIN recurring.cc u ON u.id = e.a WHERE w.comp < u.comp GROUP BY e.a)),
+    best AS (SELECT patient, comp FROM (SELECT patient, comp, sum(x1 - x0 + 1) AS n FROM cc JOIN g USING (id) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY patient ORDER BY n DESC, comp) = 1),
+    m5 AS MATERIALIZED (SELECT g.patient, z, y, unnest(generate_series(x0, x1)) AS x FROM g JOIN cc USING (id) JOIN best USING (patient, comp)), m6 AS MATERIALIZED {_grown_sql('m5')}, m7 AS MATERIALIZED {_grown_sql('m6')}, m8 AS MATERIALIZED {_shrunk_sql('m7')},
     closed AS (SELECT * FROM {_shrunk_sql('m8')} WHERE {_INSIDE})"""
 
 
@@ -797,6 +808,58 @@ def glcm_props(spark, sf_dir):
     return r6(radiomics.glcm(voxels(spark, sf_dir), "hr"), "patient", "z")
 
 
+LEVELS = 8
+_LEVEL_SQL = f"ends AS (SELECT patient, min(hr) AS lo, max(hr) AS hi FROM vox GROUP BY 1), lv AS MATERIALIZED (SELECT vox.patient, z, y, x, least({LEVELS - 1}, greatest(0, floor((hr - lo)*{LEVELS}/(hi - lo))))::INTEGER + 1 AS g FROM vox JOIN ends USING (patient))"
+
+
+def _levels(spark, sf_dir) -> DataFrame:
+    return radiomics.levels(lines(spark, sf_dir), "hr", ["patient"], LEVELS)
+
+
+def _islands(a: str, b: str) -> str:
+    """Runs of one level along axis a, in lines of axis b."""
+    return f"SELECT patient, '{a}' AS axis, g, count(*) AS n FROM (SELECT *, {a} - row_number() OVER (PARTITION BY patient, z, {b}, g ORDER BY {a}) AS island FROM lv) GROUP BY patient, z, {b}, g, island"
+
+
+@query(f"""{BASE}, {_LEVEL_SQL}, r AS ({_islands('x', 'y')} UNION ALL {_islands('y', 'x')}), m AS (SELECT patient, axis, g, n AS j, count(*)::DOUBLE AS c FROM r GROUP BY ALL),
+    s AS (SELECT patient, axis, sum(c) AS nr, sum(c/(j*j)) AS short, sum(c*j*j) AS long, sum(c*j) AS np, sum(c/(g*g)) AS low, sum(c*g*g) AS high FROM m GROUP BY ALL),
+    l AS (SELECT patient, axis, sum(c*c) AS l FROM (SELECT patient, axis, g, sum(c) AS c FROM m GROUP BY ALL) GROUP BY ALL), k AS (SELECT patient, axis, sum(c*c) AS k FROM (SELECT patient, axis, j, sum(c) AS c FROM m GROUP BY ALL) GROUP BY ALL)
+    SELECT patient, round(avg(short/nr), 5) AS short_run_emphasis, round(avg(long/nr), 5) AS long_run_emphasis, round(avg(l/nr), 5) AS grey_level_non_uniformity, round(avg(k/nr), 5) AS run_length_non_uniformity, round(avg(nr/np), 9) AS run_percentage, round(avg(low/nr), 5) AS low_grey_level_run_emphasis, round(avg(high/nr), 5) AS high_grey_level_run_emphasis
+    FROM s JOIN l USING (patient, axis) JOIN k USING (patient, axis) GROUP BY 1""")
+def run_length_texture(spark, sf_dir):
+    """Run-length features of grey levels, the mean of those along rows and along columns."""
+    f = radiomics.run_length_features(radiomics.run_lengths(_levels(spark, sf_dir), "g", ["patient"]), ["patient"])
+    return r6(f, "patient", "run_percentage", digits=5).withColumn("run_percentage", F.round("run_percentage", 9))
+
+
+_AROUND = "(SELECT dz, dy, dx FROM generate_series(-1, 1) a(dz), generate_series(-1, 1) b(dy), generate_series(-1, 1) c(dx) WHERE dz <> 0 OR dy <> 0 OR dx <> 0) d"
+
+
+@query(f"""{BASE.replace('WITH', 'WITH RECURSIVE', 1)}, {_LEVEL_SQL}, nodes AS MATERIALIZED (SELECT *, ((patient*{DEPTH} + z)*{ROWS} + y)*{COLUMNS} + x AS id FROM lv),
+    links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM nodes a, {_AROUND} JOIN nodes b ON {_next_to('a', 'b')} AND b.g = a.g),
+    cc(id, comp) USING KEY (id) AS (SELECT id, id FROM nodes UNION (SELECT e.a, min(w.comp) FROM links e JOIN cc w ON w.id = e.b JOIN recurring.cc u ON u.id = e.a WHERE w.comp < u.comp GROUP BY e.a)),
+    zones AS (SELECT patient, g, comp, count(*) AS j FROM cc JOIN nodes USING (id) GROUP BY 1, 2, 3), m AS (SELECT patient, g, j, count(*)::DOUBLE AS c FROM zones GROUP BY ALL),
+    s AS (SELECT patient, sum(c) AS nz, sum(c/(j*j)) AS small, sum(c*j*j) AS large, sum(c*j) AS np FROM m GROUP BY 1), l AS (SELECT patient, sum(c*c) AS l FROM (SELECT patient, g, sum(c) AS c FROM m GROUP BY ALL) GROUP BY 1),
+    k AS (SELECT patient, sum(c*c) AS k FROM (SELECT patient, j, sum(c) AS c FROM m GROUP BY ALL) GROUP BY 1), e AS (SELECT patient, -sum(c/nz*log2(c/nz)) AS e FROM m JOIN s USING (patient) GROUP BY 1)
+    SELECT patient, round(small/nz, 5) AS small_area_emphasis, round(large/nz, 3) AS large_area_emphasis, round(l/nz, 5) AS grey_level_non_uniformity, round(k/nz, 5) AS zone_size_non_uniformity, round(e, 5) AS zone_entropy, round(large/nz - (np/nz)*(np/nz), 3) AS zone_variance
+    FROM s JOIN l USING (patient) JOIN k USING (patient) JOIN e USING (patient)""")
+def zone_texture(spark, sf_dir):
+    """Size-zone features: zones are the parts of one grey level, across faces, edges and corners."""
+    f = radiomics.zone_features(radiomics.zone_sizes(_levels(spark, sf_dir), "g", ["patient"]), ["patient"])
+    return r6(r6(f, "patient", "large_area_emphasis", "zone_variance", digits=5), *[c for c in f.columns if c not in ("large_area_emphasis", "zone_variance")], digits=3)
+
+
+@query(f"""{BASE}, {_LEVEL_SQL}, a AS (SELECT a.patient, a.g, abs(a.g - avg(b.g)) AS d FROM lv a, {_AROUND} JOIN lv b ON {_next_to('a', 'b')} GROUP BY a.patient, a.z, a.y, a.x, a.g),
+    m AS (SELECT patient, g, count(*) AS n, sum(d) AS s FROM a GROUP BY ALL), t AS (SELECT patient, sum(n) AS np, count(*) AS ng, sum(s) AS ss FROM m GROUP BY 1), p AS (SELECT patient, g, n/np AS p, s, np, ng, ss FROM m JOIN t USING (patient)),
+    x AS (SELECT i.patient, sum(i.p*j.p*(i.g - j.g)*(i.g - j.g)) AS contrast, sum(abs(i.g*i.p - j.g*j.p)) AS busy, sum(abs(i.g - j.g)*(i.p*i.s + j.p*j.s)/(i.p + j.p)) AS complex, sum((i.p + j.p)*(i.g - j.g)*(i.g - j.g)) AS strong FROM p i JOIN p j USING (patient) GROUP BY 1),
+    c AS (SELECT patient, sum(p*s) AS ps, any_value(np) AS np, any_value(ng) AS ng, any_value(ss) AS ss FROM p GROUP BY 1)
+    SELECT patient, round(1/ps, 6) AS coarseness, round(contrast/(ng*(ng - 1))*ss/np, 6) AS contrast, round(ps/busy, 5) AS busyness, round(complex/np, 5) AS complexity, round(strong/ss, 6) AS strength FROM x JOIN c USING (patient)""")
+def tone_texture(spark, sf_dir):
+    """Neighbourhood grey-tone differences: each voxel's level against the mean of the 26 around it."""
+    f = radiomics.tone_features(radiomics.tone_differences(_levels(spark, sf_dir), "g", ["patient"]), ["patient"])
+    return r6(r6(f, "patient", "busyness", "complexity"), "patient", "coarseness", "contrast", "strength", digits=5)
+
+
 # ---- what weights say
 
 _W = f"{BASE}, {EQ2}, {W2}"
