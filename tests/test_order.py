@@ -99,3 +99,37 @@ def test_bootstrap_by_numpy_and_partitioning(spark):
     assert all(again[g] == pytest.approx(got[g], abs=1e-12) for g in got)
     named = stats.bootstrap_mean(df.withColumn("unit", F.concat(F.lit("u"), "unit")), ["g"], "unit", 500).collect()
     assert len(named) == 3 and stats.bootstrap_mean(df.limit(0), ["g"], "unit", 50).count() == 0
+
+
+def test_versions_of_tables(spark, tmp_path):
+    """A writer that stops midway leaves the version before whole; two writers' status rows keep their order."""
+    from voxloom.sources import results
+
+    path = str(tmp_path / "tables")
+    one, two = spark.range(3), spark.range(5)
+    results.write_tables({"a": one, "b": one}, path, {"run": 1})
+    fails = two.select(F.raise_error(F.lit("stopped")).alias("id"))
+    with pytest.raises(Exception, match="stopped"):
+        results.write_tables({"a": two, "b": fails}, path, {"run": 2})
+    tables, meta = results.read_tables(spark, path)
+    assert meta["run"] == 1 and [tables[n].count() for n in "ab"] == [3, 3]
+    results.write_tables({"a": two}, path, {"run": 3})
+    held = tables["a"].count()  # who reads the old version still can
+    tables, meta = results.read_tables(spark, path)
+    assert (meta, held) == ({"run": 3, "tables": ["a"]}, 3) and tables["a"].count() == 5
+    first, second = (results.StatusLog(spark, str(tmp_path / "log")) for _ in range(2))
+    first.add("s", "t", "failed", "x")
+    second.add("s", "t", "done")
+    assert [tuple(r) for r in first.latest().collect()] == [("s", "t", "done", None)]
+
+
+def test_linear_weights_by_numpy(spark):
+    import numpy as np
+
+    from voxloom.operators import stacking
+
+    eq = spark.createDataFrame([(0, 4.0, 1.0, 3.0, 5.0, 2.0), (1, 1.0, 1.0, 1.0, 2.0, 2.0)], "rid int, q11 double, q12 double, q22 double, b1 double, b2 double")
+    got = {r.rid: r for r in stacking.linear_weights(eq, 2, 0.0).collect()}
+    assert np.allclose(got[0].w, np.linalg.solve([[4, 1], [1, 3]], [5, 2])) and got[0].message == "direct"
+    assert np.allclose(got[1].w, [1, 1]) and got[1].message == "pseudo-inverse"
+    assert got[1].objective == pytest.approx(4 - 8)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.operators import order
+from voxloom.sources.scratch import written
 
 AXES = ("z", "y", "x")
 
@@ -105,25 +106,23 @@ def spread_out(candidates: DataFrame, score: str, place: list[str], keys: list[s
     """keys..., rank from 1, place... and score of k places for each key that are at least `apart` from each other, taken greedily by score, ties by place.
 
     Every candidate counts in each round. Where fewer than k are so far apart, others at least half as far apart follow.
-    candidates has no null key or score, and `apart` is over 0. Only what was chosen, at most k places a key, is broadcast.
+    candidates has no null key or score, and `apart` is over 0. What was chosen is written after each round and joined to the candidates.
     """
-    all_of = candidates.select(*keys, *place, score).persist()
+    all_of = written(candidates.select(*keys, *place, score), "candidates")
     kind = T.ArrayType(T.StructType([all_of.schema[c] for c in [*place, score]]))
     none = F.array().cast(kind)
     chosen = all_of.sparkSession.createDataFrame([], T.StructType([*[all_of.schema[c] for c in keys], T.StructField("chosen", kind)]))
-    cut = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df.localCheckpoint()
     n = 0
     best = F.max_by(F.struct(*place, score), F.struct(score, *[-F.col(c) for c in place])).alias("best")
     for least in (apart, apart / 2):
         for _ in range(k):
             far = lambda o: sum((F.col(c) - o[c]) * (F.col(c) - o[c]) for c in place) >= least**2  # noqa: B023, E731
-            free = all_of.join(F.broadcast(chosen), keys, "left").where(F.col("chosen").isNull() | ((F.size("chosen") < k) & F.forall("chosen", far)))
+            free = all_of.join(chosen, keys, "left").where(F.col("chosen").isNull() | ((F.size("chosen") < k) & F.forall("chosen", far)))
             longer = F.concat(F.coalesce("chosen", none), F.when(F.col("best").isNull(), none).otherwise(F.array("best"))).cast(kind)
-            chosen = cut(chosen.join(free.groupBy(*keys).agg(best), keys, "full").select(*keys, longer.alias("chosen")))
+            chosen = written(chosen.join(free.groupBy(*keys).agg(best), keys, "full").select(*keys, longer.alias("chosen")), "chosen")
             before, n = n, chosen.agg(F.sum(F.size("chosen"))).first()[0] or 0
             if n == before:
                 break
-    all_of.unpersist()
     return chosen.select(*keys, F.posexplode("chosen").alias("rank", "p")).select(*keys, (F.col("rank") + 1).alias("rank"), *[F.col(f"p.{c}").alias(c) for c in [*place, score]])
 
 

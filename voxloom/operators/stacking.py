@@ -75,6 +75,29 @@ def simplex_weights(equations: DataFrame, m: int, ridge: float = 1e-4) -> DataFr
     return equations.withColumn("s", solve(*columns)).select(*equations.columns, "s.w", "s.objective")
 
 
+def linear_weights(equations: DataFrame, m: int, ridge: float = 1e-4) -> DataFrame:
+    """equations with w, the weights of m experts without any constraint, objective and message: the direct solution, or by the pseudo-inverse where there is none."""
+    pairs = list(itertools.combinations_with_replacement(range(m), 2))
+
+    @F.pandas_udf("w array<double>, objective double, message string")
+    def solve(*columns: pd.Series) -> pd.DataFrame:
+        out = []
+        for row in np.stack([c.to_numpy(float) for c in columns], axis=1):
+            a, b = np.zeros((m, m)), row[len(pairs) :]
+            for (i, j), v in zip(pairs, row, strict=False):
+                a[i, j] = a[j, i] = v
+            a += ridge * np.eye(m)
+            try:
+                w, message = np.linalg.solve(a, b), "direct"
+            except np.linalg.LinAlgError:
+                w, message = np.linalg.pinv(a) @ b, "pseudo-inverse"
+            out.append((w, w @ a @ w - 2 * b @ w, message))
+        return pd.DataFrame(out, columns=["w", "objective", "message"])
+
+    columns = [F.col(f"q{i + 1}{j + 1}") for i, j in pairs] + [F.col(f"b{i + 1}") for i in range(m)]
+    return equations.withColumn("s", solve(*columns)).select(*equations.columns, "s.w", "s.objective", "s.message")
+
+
 def with_record(weights: DataFrame, tiles: DataFrame, m: int) -> DataFrame:
     """A row for each tile of tiles(rid): w, objective, vox, method, success and message; tiles without voxels take uniform weights."""
     every = tiles.select("rid").join(weights.select("rid", "w", "objective", "vox"), "rid", "left")

@@ -35,6 +35,8 @@ class Grid:
 
     def boxes(self, spark: SparkSession) -> DataFrame:
         """rid, cell and box (z0, z1, y0, y1, x0, x1) of each tile."""
+        if 0 in self.counts:
+            return spark.createDataFrame([], "rid int, cz int, cy int, cx int, z0 int, z1 int, y0 int, y1 int, x0 int, x1 int")
         out = spark.range(1).select(*[F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(f"c{a}") if a == "z" else F.lit(n).alias(f"n{a}") for a, n in zip(AXES, self.counts, strict=True)])
         for a in ("y", "x"):
             out = out.withColumn(f"c{a}", F.explode(F.sequence(F.lit(0), F.col(f"n{a}") - 1)))
@@ -80,6 +82,12 @@ def shape_of(voxels: DataFrame) -> tuple[int, int, int]:
     return tuple((v if v is not None else -1) + 1 for v in row)
 
 
+def shape_of_lines(lines: DataFrame, value: str) -> tuple[int, int, int]:
+    """The common shape of volumes kept as lines: one row to the driver."""
+    row = lines.agg(F.max("z"), F.max("y"), F.max(F.size(value))).first()
+    return tuple((v if v is not None else -1) + 1 for v in row[:2]) + (row[2] or 0,)
+
+
 def expand_weights(voxels: DataFrame, weights: DataFrame, grid: Grid, m: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """voxels with w, their tile's weight vector; uniform where the tile has none."""
     labelled = voxels.withColumn("rid", grid.label())

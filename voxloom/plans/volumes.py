@@ -96,7 +96,8 @@ def region_voxel_counts(spark, sf_dir):
 @query(f"""{BASE}, {DIMS} SELECT (cz*3 + cy)*8 + cx AS rid, cz*4 AS z0, least(cz*4+4, nz) AS z1, cy*4 AS y0, least(cy*4+4, 10) AS y1, cx*8 AS x0, least(cx*8+8, 64) AS x1
     FROM dims, generate_series(0, (SELECT (nz+3)//4 - 1 FROM dims)) a(cz), generate_series(0, 2) b(cy), generate_series(0, 7) c(cx)""")
 def tile_boxes(spark, sf_dir):
-    return grid().boxes(spark).drop("cz", "cy", "cx")
+    """The boxes of the tiles of the table's volumes, by their shape."""
+    return tiling.Grid(tiling.shape_of_lines(lines(spark, sf_dir), "hr"), PATCH, STRIDE).boxes(spark).drop("cz", "cy", "cx")
 
 
 @query(f"{BASE}, {DIMS}, {COVER} SELECT n AS tiles, count(*) AS voxels FROM (SELECT patient, z, y, x, count(*) AS n FROM cov GROUP BY ALL) GROUP BY 1")
@@ -110,7 +111,8 @@ def tile_coverage_counts(spark, sf_dir):
     p AS (SELECT a.rid, b.rid AS nbr FROM l a JOIN l b ON (b.z = a.z + 1 AND b.y = a.y AND b.x = a.x) OR (b.z = a.z AND b.y = a.y + 1 AND b.x = a.x) OR (b.z = a.z AND b.y = a.y AND b.x = a.x + 1) WHERE a.rid <> b.rid)
     SELECT DISTINCT rid, nbr FROM (SELECT rid, nbr FROM p UNION ALL SELECT nbr, rid FROM p)""")
 def region_adjacency(spark, sf_dir):
-    return grid().adjacency(spark)
+    """Tiles of the table's volumes that touch, by their shape."""
+    return tiling.Grid(tiling.shape_of_lines(lines(spark, sf_dir), "hr"), PATCH, STRIDE).adjacency(spark)
 
 
 # ---- normalisers
@@ -225,6 +227,15 @@ def simplex_weights_m4(spark, sf_dir):
     return w.select("rid", *[F.round(F.col("w")[i], 5).alias(f"w{i + 1}") for i in range(4)], F.round("objective", 5).alias("objective"), "vox")
 
 
+@query(f"""{BASE}, {EQ2}, d AS (SELECT *, (q11 + {RIDGE})*(q22 + {RIDGE}) - q12*q12 AS det FROM eq), w AS (SELECT *, ((q22 + {RIDGE})*b1 - q12*b2)/det AS w1, ((q11 + {RIDGE})*b2 - q12*b1)/det AS w2 FROM d)
+    SELECT rid, round(w1, 5) AS w1, round(w2, 5) AS w2, round((q11 + {RIDGE})*w1*w1 + 2*q12*w1*w2 + (q22 + {RIDGE})*w2*w2 - 2*(b1*w1 + b2*w2), 5) AS objective, 'direct' AS message, vox FROM w""")
+def linear_weights_m2(spark, sf_dir):
+    """Weights without the simplex: they may be negative and need not sum to 1."""
+    v = voxels(spark, sf_dir).withColumn("rid", grid().label())
+    w = stacking.linear_weights(stacking.normal_equations(v, TWO, where=F.col("hr") > 0), 2, RIDGE)
+    return w.select("rid", F.round(F.col("w")[0], 5).alias("w1"), F.round(F.col("w")[1], 5).alias("w2"), F.round("objective", 5).alias("objective"), "message", "vox")
+
+
 @query(f"""{BASE}, {EQ2}, {W2}, t AS (SELECT rid, w1, 1 - w1 AS w2, rid // 24 AS cz, rid // 8 % 3 AS cy, rid % 8 AS cx FROM w),
     s AS (SELECT a.rid, avg(b.w1) AS m1, avg(b.w2) AS m2 FROM t a JOIN t b ON abs(a.cz - b.cz) + abs(a.cy - b.cy) + abs(a.cx - b.cx) = 1 GROUP BY 1),
     j AS (SELECT t.rid, CASE WHEN m1 IS NULL THEN w1 ELSE 0.7*w1 + 0.3*m1 END AS v1, CASE WHEN m2 IS NULL THEN w2 ELSE 0.7*w2 + 0.3*m2 END AS v2 FROM t LEFT JOIN s ON t.rid = s.rid)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from voxloom.operators import interpret
 from voxloom.sources.volume_store import exists
 
+#: The file that names the version that counts; not hidden, as Spark doesn't read names that begin with an underscore or a dot.
+CURRENT = "CURRENT"
 STATUS = "stage string, task_id string, status string, error string, seq long"
 
 
@@ -38,16 +42,31 @@ def write_metrics(metrics: DataFrame, path: str, keys: tuple[str, ...] = ("model
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, meta: dict) -> None:
-    """Result tables of one analysis, a folder for each, and what it was run with; meta comes last, so that only whole sets are read."""
+    """Result tables of one analysis and what it was run with, as a new version; readers see it when all of it is written.
+
+    A version is a folder of its own; which one counts is said by one file, replaced by a rename. A writer that stops
+    midway leaves the version before as it is. Versions before are kept, as readers may still be at them.
+    """
     spark = next(iter(tables.values())).sparkSession
+    version = f"v-{uuid.uuid4().hex}"
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark.createDataFrame([(json.dumps(meta | {"tables": sorted(tables)}, sort_keys=True, default=str),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/_meta_")
+        table.write.parquet(f"{path}/{version}/{name}")
+    said = json.dumps({"version": version, "meta": meta | {"tables": sorted(tables)}}, sort_keys=True, default=str)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    new, current = hadoop.Path(f"{path}/_current_.{version}"), hadoop.Path(f"{path}/{CURRENT}")
+    out = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(new, True)
+    out.write(said.encode())
+    out.close()
+    rename = getattr(hadoop, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(new.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(new, current, how)
 
 
 def read_tables(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
-    meta = json.loads(spark.read.option("recursiveFileLookup", "true").text(f"{path}/_meta_").first().value)
-    return {n: spark.read.parquet(f"{path}/{n}") for n in meta["tables"]}, meta
+    """The tables of the version that counts, and what it was run with."""
+    said = json.loads(spark.read.text(f"{path}/{CURRENT}").first().value)  # one line
+    return {n: spark.read.parquet(f"{path}/{said['version']}/{n}") for n in said["meta"]["tables"]}, said["meta"]
 
 
 class StatusLog:
@@ -60,7 +79,7 @@ class StatusLog:
         return self.spark.read.schema(STATUS).parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], STATUS)
 
     def add(self, stage: str, task_id: str, status: str, error: str | None = None) -> None:
-        seq = (self.rows().agg(F.max("seq")).first()[0] or 0) + 1
+        seq = time.time_ns()  # no row is read for it, so two writers don't get in each other's way
         self.spark.createDataFrame([(stage, task_id, status, error, seq)], STATUS).coalesce(1).write.mode("append").parquet(self.path)
 
     def latest(self) -> DataFrame:
