@@ -255,12 +255,15 @@ def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def components_sql(k: int, num: int) -> str:
     """doc_id, n and the component's smallest doc_id, by all pairs that share a shingle and the closure of their links."""
     return rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-    g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + {k - 1}], ' ') for i in range(1, len(w) - {k - 2})]) END AS s FROM w),
-    e AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM g),
-    p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100*count(*) >= {num}*(a.n + b.n - count(*))),
+    t AS (SELECT doc_id, len(w) AS words, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM w),
+    k AS (SELECT doc_id, words, i, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) AS s FROM t),
+    d AS MATERIALIZED (SELECT DISTINCT doc_id, hash(s) AS s FROM k WHERE i <= greatest(words - {k - 1}, 1)),
+    g AS MATERIALIZED (SELECT w.doc_id, coalesce(n, 0) AS n FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM d GROUP BY 1) USING (doc_id)),
+    e AS MATERIALIZED (SELECT doc_id, n, s FROM d JOIN g USING (doc_id)),
+    p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100*count(*) >= {num}*(a.n + b.n - count(*))),
     r AS (SELECT doc_id AS a, doc_id AS b FROM g UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
     c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
-    SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM g JOIN c USING (doc_id)"""
+    SELECT doc_id, n::BIGINT AS n_shingles, component_id FROM g JOIN c USING (doc_id)"""
 
 
 SQL = {
