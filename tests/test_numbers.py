@@ -16,7 +16,7 @@ from voxloom import stages
 from voxloom.__main__ import main
 from voxloom.functions import special
 from voxloom.operators import aggregate, coverage, ensemble, geometry, kernels, quality, stacking, stats, tiling
-from voxloom.sources import config, results, volume_store
+from voxloom.sources import config, results, volume_lines, volume_store
 
 
 @settings(deadline=None, max_examples=60)
@@ -532,17 +532,19 @@ def test_ingest_and_export(spark, tmp_path):
     for p, v in vols.items():
         (tmp_path / "in" / f"{p}-t1.nii.gz").write_bytes(volume_store.write_nifti(v, affine))
     store, wanted = str(tmp_path / "store"), spark.createDataFrame([("P1", "t1"), ("P9", "t1")], "patient_id string, pulse string")
-    first = {(r.patient_id, r.state) for r in volume_store.ingest(spark, str(tmp_path / "in"), store, "hr", wanted=wanted).collect()}
+    first = {(r.patient_id, r.state) for r in volume_lines.ingest(spark, str(tmp_path / "in"), store, "hr", wanted=wanted).collect()}
     assert first == {("P1", "stored"), ("P2", "stored"), ("P9", "missing")}
     (tmp_path / "in" / "P3-t1.npy").write_bytes(b"broken")
-    again = {(r.patient_id, r.state.split(":")[0]) for r in volume_store.ingest(spark, str(tmp_path / "in"), store, "hr").collect()}
+    again = {(r.patient_id, r.state.split(":")[0]) for r in volume_lines.ingest(spark, str(tmp_path / "in"), store, "hr").collect()}
     assert again == {("P1", "skipped"), ("P2", "skipped"), ("P3", "ValueError")}
-    rows = volume_store.read_volumes(spark, store)
-    out = {r.path.split("/")[-1]: r.state for r in volume_store.export_nifti(rows, str(tmp_path / "out")).collect()}
-    assert out == {"P1-t1.nii.gz": "written", "P2-t1.nii.gz": "written"}
-    back = volume_store.read_nifti(next((tmp_path / "out").rglob("P1-t1.nii.gz")).read_bytes())[0]
-    assert np.allclose(back, vols["P1"])
-    assert {r.state for r in volume_store.export_nifti(rows, str(tmp_path / "out")).collect()} == {"skipped"}
+    volume_lines.write_files(volume_lines.read(spark, store), str(tmp_path / "out"))
+    written = sorted((tmp_path / "out").rglob("*"))
+    assert [p.name for p in written if p.is_file()] == ["P1-t1.nii.gz", "P2-t1.nii.gz"]
+    back, placed = volume_store.read_nifti(next((tmp_path / "out").rglob("P1-t1.nii.gz")).read_bytes())
+    assert np.allclose(back, vols["P1"]) and np.allclose(placed, affine)
+    times = [p.stat().st_mtime_ns for p in written if p.is_file()]
+    volume_lines.write_files(volume_lines.read(spark, store), str(tmp_path / "out"))
+    assert times == [p.stat().st_mtime_ns for p in written if p.is_file()]
     keys = spark.createDataFrame([("P1", "blend", "fold1"), ("P1", "blend", "fold2"), ("P1", "hr", None)], "patient_id string, kind string, model string").withColumns({"spacing": F.lit("3mm"), "pulse": F.lit("t1")})
     plan = volume_store.export_plan(keys, spark.createDataFrame([("P1", 2)], "patient_id string, fold int"))
     assert {(r.kind, r.model) for r in plan.collect()} == {("blend", "fold2"), ("hr", None)}

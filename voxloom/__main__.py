@@ -1,4 +1,4 @@
-"""Command line: python -m voxloom list | run | explain | stages | manifest | export."""
+"""Command line: python -m voxloom list | run | explain | stages | manifest | ingest | export | predict | analyse."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from voxloom import stages
 from voxloom.plans import catalogue
-from voxloom.sources import config, volume_store
+from voxloom.sources import config, volume_lines, volume_store
 
 
 def parser() -> argparse.ArgumentParser:
@@ -34,6 +34,23 @@ def parser() -> argparse.ArgumentParser:
     many.add_argument("--no-timestamp", action="store_true")
     listed = sub.add_parser("manifest", help="show the folds' manifest of a run as JSON")
     listed.add_argument("--folder", required=True)
+    taken = sub.add_parser("ingest", help="add files of volumes to a store")
+    taken.add_argument("--files", required=True, help="folder of .nii, .nii.gz, .npy and .npz files")
+    taken.add_argument("--store", required=True)
+    taken.add_argument("--kind", required=True, help="hr, expert or labels")
+    taken.add_argument("--model")
+    taken.add_argument("--spacing", default="3mm")
+    taken.add_argument("--pattern", default=volume_lines.PATTERN, help="its groups are the patient and the pulse")
+    made = sub.add_parser("predict", help="blend stored experts by a run's weights and store the blends")
+    made.add_argument("--config", required=True)
+    made.add_argument("--folder", required=True, help="the run's folder")
+    made.add_argument("--fold", type=int, required=True)
+    made.add_argument("--all", action="store_true", help="all patients, not only those that the fold tests")
+    held = sub.add_parser("analyse", help="compare models by stored metrics, pair by pair")
+    held.add_argument("--metrics", required=True, help="Parquet table: case_id, model, pulse, spacing and metrics")
+    held.add_argument("--metric", default="psnr")
+    held.add_argument("--baseline", required=True)
+    held.add_argument("--out", required=True)
     files = sub.add_parser("export", help="write stored volumes as NIfTI files")
     files.add_argument("--store", required=True)
     files.add_argument("--out", required=True)
@@ -60,8 +77,15 @@ def main(args: list[str] | None = None) -> int:
     elif a.command == "manifest":
         rows = spark.read.parquet(f"{a.folder}/manifest")
         print(volume_store.manifest_json(rows.withColumnRenamed("patient", "patient_id")))
+    elif a.command == "ingest":
+        for row in volume_lines.ingest(spark, a.files, a.store, a.kind, a.model, a.spacing, a.pattern).groupBy("state").count().orderBy("state").collect():
+            print(f"{row.state}\t{row['count']}")
+    elif a.command == "predict":
+        stages.predict(stages.Run(spark, config.load(a.config), a.folder), a.fold, a.all)
+    elif a.command == "analyse":
+        stages.compared(spark.read.parquet(a.metrics), a.metric, a.baseline).write.mode("overwrite").parquet(a.out)
     else:
-        print(volume_store.export_nifti(volume_store.read_volumes(spark, a.store), a.out, overwrite=a.overwrite).count())
+        volume_lines.write_files(volume_lines.read(spark, a.store), a.out, a.overwrite)
     return 0
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.operators import components, ensemble, interpret, kernels, normalize, quality, radiomics, stacking, tiling
+from voxloom.sources import volume_lines
+from voxloom.sources.scratch import shared_dir
 from voxloom.sources.tables import COLUMNS, DEPTH, EXPERTS, ROWS, VOXELS_SQL, lines, points, voxels
 
 PATCH, STRIDE = (4, 4, 8), (4, 4, 8)
@@ -940,3 +943,38 @@ def mid_occupied_slice(spark, sf_dir):
 @query(f"{BASE} SELECT patient, y, x, round(hr, 6) AS hr, round(e1, 6) AS e1, round(abs(e1 - hr), 6) AS error FROM vox WHERE z = 5")
 def axial_slice(spark, sf_dir):
     return voxels(spark, sf_dir).where("z = 5").select("patient", "y", "x", F.round("hr", 6).alias("hr"), F.round("e1", 6).alias("e1"), F.round(F.abs(F.col("e1") - F.col("hr")), 6).alias("error"))
+
+
+# ---- through the store of volumes with geometry
+
+
+def _store(spark: SparkSession, sf_dir: str) -> str:
+    """A store of the truth and two experts of every volume, with a geometry that tells patients apart."""
+    path = f"{shared_dir(spark)}/voxloom-{uuid.uuid4().hex[:12]}-store"
+    p = F.col("patient").cast("double")
+    affine = F.array(*[F.lit(v) for v in (0.0, -1.0, 0.0)], p, *[F.lit(v) for v in (2.0, 0.0, 0.0)], -p, *[F.lit(v) for v in (0.0, 0.0, 3.0)], p / 2, *[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])
+    base = lines(spark, sf_dir).select("patient", "z", "y", F.array(*map(F.lit, SHAPE)).alias("shape"), affine.alias("affine"), F.create_map(F.lit("patient"), F.col("patient").cast("string")).alias("attributes"), F.explode(F.create_map(*[x for n in ("hr", *TWO) for x in (F.lit(n), F.col(n))])).alias("role", "values"))
+    kept = base.select(F.col("patient").cast("string").alias("patient_id"), F.lit(0).alias("t"), "z", "y", "values", "shape", "affine", "attributes", F.when(F.col("role") == "hr", "hr").otherwise("expert").alias("kind"), F.when(F.col("role") != "hr", F.col("role")).alias("model"), F.lit("3mm").alias("spacing"), F.lit("t1").alias("pulse"))
+    volume_lines.put(kept, path)
+    return path
+
+
+@query(f"""{BASE}, long AS (SELECT patient, 'hr' AS role, hr AS v FROM vox UNION ALL SELECT patient, 'e1', e1 FROM vox UNION ALL SELECT patient, 'e2', e2 FROM vox)
+    SELECT patient::VARCHAR AS patient_id, role, count(*) AS voxels, round(avg(v::FLOAT::DOUBLE), 6) AS mean, patient::DOUBLE AS origin_z, -patient::DOUBLE AS origin_y, patient / 2.0 AS origin_x, 6.0::DOUBLE AS cell FROM long GROUP BY patient, role""")
+def stored_volumes(spark, sf_dir):
+    stored = volume_lines.read(spark, _store(spark, sf_dir))
+    role = F.coalesce("model", "kind")
+    sums = stored.select("patient_id", role.alias("role"), F.explode("values").alias("v")).groupBy("patient_id", "role").agg(F.count("*").alias("voxels"), F.round(F.avg("v"), 6).alias("mean"))
+    a = lambda k: F.get("affine", k)
+    det = a(0) * (a(5) * a(10) - a(6) * a(9)) - a(1) * (a(4) * a(10) - a(6) * a(8)) + a(2) * (a(4) * a(9) - a(5) * a(8))
+    facts = volume_lines.volumes(stored).select("patient_id", role.alias("role"), a(3).alias("origin_z"), a(7).alias("origin_y"), a(11).alias("origin_x"), F.abs(det).alias("cell"))
+    return sums.join(facts, ["patient_id", "role"])
+
+
+@query(f"""{BASE}, f AS (SELECT patient, z, y, x, hr::FLOAT::DOUBLE AS hr, e1::FLOAT::DOUBLE AS e1, e2::FLOAT::DOUBLE AS e2 FROM vox), whole AS (SELECT patient FROM vox GROUP BY 1 HAVING bool_or(z = 0 AND y = 0))
+    SELECT {RID} AS rid, round(sum(e1*e1), 4) AS q11, round(sum(e1*e2), 4) AS q12, round(sum(e2*e2), 4) AS q22, round(sum(e1*hr), 4) AS b1, round(sum(e2*hr), 4) AS b2, count(*) AS vox
+    FROM f SEMI JOIN whole USING (patient) WHERE hr > 0 GROUP BY 1""")
+def stored_normal_equations(spark, sf_dir):
+    rows = volume_lines.bound(volume_lines.read(spark, _store(spark, sf_dir)), TWO, spacing="3mm", pulse="t1")
+    v = points(rows, ["hr", *TWO], "seg").where("hr > 0").withColumn("rid", grid().label())
+    return r6(stacking.normal_equations(v, TWO, "hr").select("rid", "q11", "q12", "q22", "b1", "b2", "vox"), "rid", "vox", digits=4)

@@ -36,13 +36,17 @@ class Config:
     spacings: tuple[str, ...] = ("F", "O", "P")
     pulses: tuple[str, ...] = ("A", "N", "R")
     baseline: str | None = None
+    store: str | None = None  # a store of volumes (volume_lines) instead of the tables in data; then spacings and pulses have one entry each
+    labels: str | None = None
     fit: Fit = field(default_factory=Fit)
 
     def problems(self) -> list[str]:
         """What is wrong with it, as sentences; an empty list if nothing is."""
         found = []
-        if not self.data:
-            found.append("data names no folder")
+        if not self.data and not self.store:
+            found.append("data names no folder, and store none either")
+        if self.store and (len(self.spacings) != 1 or len(self.pulses) != 1):
+            found.append("with a store, spacings and pulses need one entry each")
         if self.folds < 2:
             found.append("folds must be 2 or more")
         if any(n < 1 for n in (*self.fit.patch, *self.fit.stride)) or len(self.fit.patch) != 3 or len(self.fit.stride) != 3:

@@ -6,10 +6,9 @@ import gzip
 import io
 import json
 import struct
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,11 +51,64 @@ def key_of(*parts: str) -> Column:
 
 # ---- decoding files
 
-_DTYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
-
-
-def read_nifti(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A NIfTI-1 file's values as float32 (z, y, x), scaled, and its affine."""
+_DTYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
+#: The kind of header extension that holds plain text.
+_COMMENT = 6
+
+
+@dataclass(frozen=True)
+class Opened:
+    """A file's array as it is stored, how to scale it, its affine and its attributes."""
+
+    raw: np.ndarray
+    affine: np.ndarray
+    attributes: dict[str, str]
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def scaled(self, part: np.ndarray) -> np.ndarray:
+        part = np.ascontiguousarray(part, np.float32)
+        return part if self.slope == 1 and not self.shift else part * np.float32(self.slope) + np.float32(self.shift)
+
+
+def _affine_of(data: bytes, order: str, shape: tuple[int, ...]) -> np.ndarray:
+    """The s-form's rows, else the q-form's rotation, else voxel sizes about the middle with the first axis turned."""
+    qform, sform = struct.unpack(order + "2h", data[252:256])
+    affine, sizes = np.eye(4), np.array(struct.unpack(order + "4f", data[76:92]))
+    if sform > 0:
+        affine[:3] = np.array(struct.unpack(order + "12f", data[280:328])).reshape(3, 4)
+    elif qform > 0:
+        b, c, d, *origin = struct.unpack(order + "6f", data[256:280])
+        a = max(0.0, 1 - b * b - c * c - d * d) ** 0.5
+        turn = np.array([[a * a + b * b - c * c - d * d, 2 * (b * c - a * d), 2 * (b * d + a * c)], [2 * (b * c + a * d), a * a + c * c - b * b - d * d, 2 * (c * d - a * b)], [2 * (b * d - a * c), 2 * (c * d + a * b), a * a + d * d - b * b - c * c]])
+        affine[:3, :3] = turn * sizes[1:] * [1, 1, -1 if sizes[0] < 0 else 1]
+        affine[:3, 3] = origin
+    else:
+        steps = np.where(sizes[1:] == 0, 1, sizes[1:]) * [-1, 1, 1]
+        affine[:3, :3], affine[:3, 3] = np.diag(steps), -steps * (np.array(shape[:3]) - 1) / 2
+    return affine
+
+
+def _attributes_of(data: bytes, order: str, end: int) -> dict[str, str]:
+    """The JSON object in a text extension of the header, if there is one; other extensions are passed over."""
+    at = 352
+    while len(data) > 348 and data[348] and at + 8 <= end:
+        size, code = struct.unpack(order + "2i", data[at : at + 8])
+        if size < 8:
+            break
+        if code == _COMMENT:
+            try:
+                found = json.loads(data[at + 8 : at + size].rstrip(b"\0"))
+                if isinstance(found, dict):
+                    return {str(k): v if isinstance(v, str) else json.dumps(v) for k, v in found.items()}
+            except ValueError:
+                pass
+        at += size
+    return {}
+
+
+def open_nifti(data: bytes) -> Opened:
+    """A NIfTI-1 file, its values as they are stored."""
     data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     order = "<" if struct.unpack("<i", data[:4])[0] == 348 else ">"
     if struct.unpack(order + "i", data[:4])[0] != 348:
@@ -65,80 +117,62 @@ def read_nifti(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     code, offset = struct.unpack(order + "h", data[70:72])[0], int(struct.unpack(order + "f", data[108:112])[0])
     slope, shift = struct.unpack(order + "2f", data[112:120])
     shape = dim[1 : 1 + max(3, dim[0])]
-    values = np.frombuffer(data, np.dtype(_DTYPES[code]).newbyteorder(order), int(np.prod(shape)), offset).reshape(shape, order="F").astype(np.float32)
-    if slope not in (0, 1) or shift:
-        values = values * np.float32(slope or 1) + np.float32(shift)
-    affine = np.eye(4)
-    affine[:3] = np.array(struct.unpack(order + "12f", data[280:328])).reshape(3, 4)
-    return values, affine
+    values = np.frombuffer(data, np.dtype(_DTYPES[code]).newbyteorder(order), int(np.prod(shape)), offset).reshape(shape, order="F")
+    known = np.isfinite(slope) and slope != 0  # else the values are not scaled
+    return Opened(values, _affine_of(data, order, shape), _attributes_of(data, order, offset), slope if known else 1.0, shift if known and np.isfinite(shift) else 0.0)
+
+
+def read_nifti(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A NIfTI-1 file's values as float32 (z, y, x), scaled, and its affine."""
+    found = open_nifti(data)
+    return found.scaled(found.raw), found.affine
 
 
-def write_nifti(values: np.ndarray, affine: np.ndarray, compress: bool = True) -> bytes:
+def write_nifti(values: np.ndarray, affine: np.ndarray, compress: bool = True, attributes: dict[str, str] | None = None) -> bytes:
+    """A NIfTI-1 file of up to seven axes; attributes go to a text extension of its header, as JSON."""
+    affine = np.asarray(affine, float)
+    text = json.dumps(attributes, sort_keys=True).encode() if attributes else b""
+    extension = struct.pack("<2i", -(-(len(text) + 8) // 16) * 16, _COMMENT) + text if text else b""
+    extension += b"\0" * (-len(extension) % 16)
     head = bytearray(352)
     struct.pack_into("<i", head, 0, 348)
     struct.pack_into("<8h", head, 40, values.ndim, *values.shape, *[1] * (7 - values.ndim))
     struct.pack_into("<2h", head, 70, 16, 32)
-    struct.pack_into("<3f", head, 108, 352, 1, 0)
+    struct.pack_into("<4f", head, 76, 1, *np.linalg.norm(affine[:3, :3], axis=0))
+    struct.pack_into("<3f", head, 108, 352 + len(extension), 1, 0)
     struct.pack_into("<2h", head, 252, 0, 1)
-    struct.pack_into("<12f", head, 280, *np.asarray(affine, float)[:3].ravel())
+    struct.pack_into("<12f", head, 280, *affine[:3].ravel())
     head[344:348] = b"n+1\0"
-    out = bytes(head) + values.astype("<f4").tobytes(order="F")
+    head[348] = 1 if extension else 0
+    out = bytes(head) + extension + values.astype("<f4").tobytes(order="F")
     return gzip.compress(out, mtime=0) if compress else out
 
 
-def decode(path: str, data: bytes) -> np.ndarray:
-    """The array in a .nii, .nii.gz, .npy or .npz file (arr, or else the first)."""
+def open_array(path: str, data: bytes) -> Opened:
+    """The array in a .nii, .nii.gz, .npy or .npz file (arr, or else the first); without geometry the affine is the identity."""
     if path.endswith((".nii", ".nii.gz")):
-        return read_nifti(data)[0]
+        return open_nifti(data)
     if path.endswith(".npy"):
-        return np.load(io.BytesIO(data))
+        return Opened(np.load(io.BytesIO(data)), np.eye(4), {})
     if path.endswith(".npz"):
         found = np.load(io.BytesIO(data))
-        return found["arr"] if "arr" in found else found[found.files[0]]
+        affine = np.asarray(found["affine"], float).reshape(4, 4) if "affine" in found else np.eye(4)
+        return Opened(found["arr"] if "arr" in found else found[found.files[0]], affine, {})
     raise ValueError(f"unknown format of {path}")
 
 
-def read_arrays(spark: SparkSession, path: str | list[str], pattern: str = r"([^/]+?)-([^/.]+)\.(?:nii|nii\.gz|npy|npz)$") -> DataFrame:
-    """patient_id, pulse, z, y, x, value and error of each file under path whose name matches; a file that can't be read gives one row with its error."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, patient, pulse, data in batch.itertuples(index=False):
-                try:
-                    v = decode(name, bytes(data))
-                    z, y, x = np.indices(v.shape).reshape(3, -1)
-                    out = pd.DataFrame({"z": z, "y": y, "x": x, "value": v.ravel().astype(float), "error": None})
-                except Exception as e:  # noqa: BLE001  a broken file is a row of the result, not the end of the job
-                    out = pd.DataFrame({"z": [None], "y": [None], "x": [None], "value": [None], "error": [f"{type(e).__name__}: {e}"]})
-                yield out.assign(patient_id=patient, pulse=pulse, path=name)[["path", "patient_id", "pulse", "z", "y", "x", "value", "error"]]
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(pattern))
-    keyed = files.select("path", F.regexp_extract("path", pattern, 1).alias("patient_id"), F.regexp_extract("path", pattern, 2).alias("pulse"), "content")
-    return keyed.mapInPandas(run, "path string, patient_id string, pulse string, z int, y int, x int, value double, error string")
-
-
-def ingest(spark: SparkSession, path: str, store: str, kind: str, model: str | None = None, spacing: str = "3mm", pattern: str = r"([^/]+?)-([^/.]+)\.(?:nii|nii\.gz|npy|npz)$", wanted: DataFrame | None = None) -> DataFrame:
-    """Adds to the store the files' volumes that it lacks; returns (patient_id, pulse, state): stored, skipped, missing (of wanted(patient_id, pulse)) or the error.
-
-    Files of volumes that are stored already are not opened.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").where(F.col("path").rlike(pattern))
-    listed = files.select("path", F.regexp_extract("path", pattern, 1).alias("patient_id"), F.regexp_extract("path", pattern, 2).alias("pulse"))
-    known = exists(spark, store)
-    there = read_volumes(spark, store, kind=kind, spacing=spacing).select("patient_id", "pulse").distinct() if known else spark.createDataFrame([], "patient_id string, pulse string")
-    new = listed.join(there, ["patient_id", "pulse"], "left_anti")
-    skipped = listed.join(there, ["patient_id", "pulse"], "left_semi").select("patient_id", "pulse", F.lit("skipped").alias("state"))
-    paths = [r.path for r in new.select("path").collect()]  # the paths of the files of one call
-    report = skipped
-    if paths:
-        voxels = read_arrays(spark, paths, pattern).persist()
-        rows = voxels.where("error IS NULL").select("patient_id", "z", "y", "x", "value", F.lit(kind).alias("kind"), F.lit(model).cast("string").alias("model"), F.lit(spacing).alias("spacing"), "pulse")
-        rows = rows.select([F.col(f.name).cast(f.dataType) for f in SCHEMA])
-        rows.repartition(*KEY, "patient_id").write.partitionBy(*KEY).mode("append").option("compression", "zstd").parquet(store)
-        report = report.union(voxels.groupBy("patient_id", "pulse").agg(F.coalesce(F.max("error"), F.lit("stored")).alias("state")))
-    if wanted is not None:
-        report = report.union(wanted.join(listed, ["patient_id", "pulse"], "left_anti").join(there, ["patient_id", "pulse"], "left_anti").select("patient_id", "pulse", F.lit("missing").alias("state")))
-    return report
+def decode(path: str, data: bytes) -> np.ndarray:
+    """The values in a .nii, .nii.gz, .npy or .npz file, NIfTI's scaled."""
+    found = open_array(path, data)
+    return found.scaled(found.raw) if path.endswith((".nii", ".nii.gz")) else found.raw
+
+
+def read_arrays(spark: SparkSession, path: str | list[str], pattern: str = r"([^/]+)-([^/.-]+)\.(?:nii|nii\.gz|npy|npz)$") -> DataFrame:
+    """path, patient_id, pulse, t, z, y, x, value and error: a row for each voxel of each file whose name matches; a file that can't be read gives one row with its error."""
+    from voxloom.sources.volume_lines import read_files
+
+    lines = read_files(spark, path, pattern)
+    return lines.select("path", "patient_id", "pulse", "t", "z", "y", F.posexplode_outer("values").alias("x", "value"), "error").withColumn("value", F.col("value").cast("double"))
 
 
 def export_plan(volumes: DataFrame, folds: DataFrame) -> DataFrame:
@@ -148,34 +182,6 @@ def export_plan(volumes: DataFrame, folds: DataFrame) -> DataFrame:
     return keys.where(blend).drop("fold")
 
 
-def export_nifti(volumes: DataFrame, folder: str, affine: np.ndarray | None = None, overwrite: bool = False) -> DataFrame:
-    """Writes each volume as folder/kind/model/spacing/patient-pulse.nii.gz, a task for each; returns (path, state): written or skipped.
-
-    folder is one that executors share. A file appears under its name only when it is whole.
-    """
-    matrix = np.eye(4) if affine is None else np.asarray(affine, float)
-
-    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        import os
-        import uuid
-
-        kind, model, spacing, pulse, patient = key
-        parts = [p for p in (kind, model, spacing) if p not in (None, "__HIVE_DEFAULT_PARTITION__")]
-        path = "/".join([folder.removeprefix("file://"), *parts, f"{patient}-{pulse}.nii.gz"])
-        if os.path.exists(path) and not overwrite:
-            return pd.DataFrame([(path, "skipped")], columns=["path", "state"])
-        values = np.zeros(tuple(int(pdf[a].max()) + 1 for a in "zyx"), np.float32)
-        values[pdf.z, pdf.y, pdf.x] = pdf.value
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        part = f"{path}.{uuid.uuid4().hex}.part"
-        with open(part, "wb") as f:
-            f.write(write_nifti(values, matrix))
-        os.replace(part, path)
-        return pd.DataFrame([(path, "written")], columns=["path", "state"])
-
-    return volumes.groupBy(*KEY, "patient_id").applyInPandas(write, "path string, state string")
-
-
 def load_oriented(values: np.ndarray, affine: np.ndarray, wanted: str = "LPS", like: tuple[np.ndarray, tuple[int, int, int]] | None = None, order: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """A volume with its axes along the wanted directions, resampled to another's grid (affine, shape) if given, and its affine."""
     from voxloom.operators import geometry

@@ -9,10 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.operators import aggregate, coverage, ensemble, stats
-from voxloom.sources import results
+from voxloom.operators import aggregate, coverage, ensemble, quality, stats, tiling
+from voxloom.sources import results, volume_lines
 from voxloom.sources.config import Config, manifest_problems, to_json
-from voxloom.sources.tables import COLUMNS, DEPTH, ROWS, lines, metrics
+from voxloom.sources.tables import COLUMNS, DEPTH, ROWS, lines, metrics, points
 
 SHAPE = (DEPTH, ROWS, COLUMNS)
 
@@ -29,6 +29,16 @@ class Run:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def lines(self) -> DataFrame:
+        """The volumes' lines, of the store or of the tables."""
+        c = self.config
+        if not c.store:
+            return lines(self.spark, c.data)
+        return volume_lines.bound(volume_lines.read(self.spark, c.store), c.fit.experts, spacing=c.spacings[0], pulse=c.pulses[0], labels=c.labels)
+
+    def shape(self) -> tuple[int, int, int]:
+        return tiling.shape_of_lines(self.lines(), "hr") if self.config.store else SHAPE
+
 
 @dataclass(frozen=True)
 class Stage:
@@ -40,7 +50,7 @@ class Stage:
 
 
 def manifest(run: Run, task: str) -> DataFrame:
-    units = lines(run.spark, run.config.data).select("patient").distinct()
+    units = run.lines().select("patient").distinct()
     made = coverage.manifest(coverage.kfold(units, "patient", run.config.folds, F.xxhash64("patient")), "patient")
     if found := manifest_problems(made, "patient"):
         raise ValueError("; ".join(found))
@@ -50,24 +60,51 @@ def manifest(run: Run, task: str) -> DataFrame:
 def fit(run: Run, task: str) -> DataFrame:
     c, fold = run.config.fit, int(task.removeprefix("fold"))
     train = run.read("manifest").where(f"fold = {fold} AND split = 'train'").select("patient")
-    rows = lines(run.spark, run.config.data).join(train, "patient", "left_semi")
-    return ensemble.fit(rows, c.grid(SHAPE), list(c.experts), ridge=c.ridge, tau=c.tau, edge=c.edge, gradient=c.gradient).withColumn("fold", F.lit(fold))
+    rows = run.lines().join(train, "patient", "left_semi")
+    return ensemble.fit(rows, c.grid(run.shape()), list(c.experts), ridge=c.ridge, tau=c.tau, edge=c.edge, gradient=c.gradient).withColumn("fold", F.lit(fold))
 
 
 def evaluate(run: Run, task: str) -> DataFrame:
     c, fold = run.config.fit, int(task.removeprefix("fold"))
     test = run.read("manifest").where(f"fold = {fold} AND split = 'test'").select("patient")
-    rows = lines(run.spark, run.config.data).join(test, "patient", "left_semi")
+    rows, shape = run.lines().join(test, "patient", "left_semi"), run.shape()
     weights = run.read("fit").where(F.col("fold") == fold)
-    made = ensemble.blend_entry(rows, weights, c.grid(SHAPE), list(c.experts), c.taper)
-    return ensemble.evaluate(made, "hr", "blend", SHAPE).withColumn("fold", F.lit(fold))
+    made = ensemble.blend_entry(rows, weights, c.grid(shape), list(c.experts), c.taper)
+    return ensemble.evaluate(made, "hr", "blend", shape).withColumn("fold", F.lit(fold))
+
+
+def predict(run: Run, fold: int, everyone: bool = False) -> None:
+    """Blends the store's experts by the fold's weights and puts the blends into the store, as kind blend, model fold<n>, with the truth's geometry."""
+    c, rows = run.config, run.lines()
+    if not everyone:
+        rows = rows.join(run.read("manifest").where(f"fold = {fold} AND split = 'test'").select("patient"), "patient", "left_semi")
+    made = ensemble.blend_entry(rows, run.read("fit").where(F.col("fold") == fold), c.fit.grid(run.shape()), list(c.fit.experts), c.fit.taper)
+    like = volume_lines.volumes(volume_lines.read(run.spark, c.store, kind="hr", pulse=c.pulses[0]))
+    volume_lines.put(volume_lines.unbound(made, "blend", like, "blend", f"fold{fold}", c.spacings[0], c.pulses[0]), c.store)
+
+
+def compared(m: DataFrame, metric: str, baseline: str) -> DataFrame:
+    """pulse, spacing, model: the paired Wilcoxon test of each model's metric against the baseline's, adjusted by Holm's method within pulse and spacing."""
+    pairs = stats.paired(m, metric, "case_id", "model", baseline, ["pulse", "spacing"])
+    return stats.adjust(stats.wilcoxon(pairs, ["pulse", "spacing", "model"], with_p=True), "p", "holm", ["pulse", "spacing"], ["model"])
+
+
+def store_metrics(run: Run) -> DataFrame:
+    """case_id, model, pulse, spacing and psnr of the experts over all patients, and of the blends as evaluated."""
+    c, each = run.config, points(run.lines(), ["hr", *run.config.fit.experts])
+    parts = [quality.errors(each, "hr", e, ["patient"]).select("patient", F.lit(e).alias("model"), "psnr") for e in c.fit.experts]
+    rows = run.read("evaluate").select("patient", F.lit("blend").alias("model"), "psnr")
+    for p in parts:
+        rows = rows.union(p)
+    return rows.select(F.col("patient").alias("case_id"), "model", F.lit(c.pulses[0]).alias("pulse"), F.lit(c.spacings[0]).alias("spacing"), "psnr")
 
 
 def analyse(run: Run, task: str) -> DataFrame:
+    if run.config.store:
+        return compared(store_metrics(run), "psnr", run.config.baseline or run.config.fit.experts[0])
     m = metrics(run.spark, run.config.data).where(F.col("spacing").isin(*run.config.spacings) & F.col("pulse").isin(*run.config.pulses))
     base = run.config.baseline or m.agg(F.min("model")).first()[0]
-    pairs = stats.paired(m, "psnr", "case_id", "model", base, ["pulse", "spacing"])
-    return stats.adjust(stats.wilcoxon(pairs, ["pulse", "spacing", "model"], with_p=True), "p", "holm", ["pulse", "spacing"], ["model"])
+    return compared(m, "psnr", base)
 
 
 def summarise(run: Run, task: str) -> DataFrame:
