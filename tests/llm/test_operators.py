@@ -680,6 +680,46 @@ def test_packing_by_brute_force(spark):
     assert packing.best_fit(empty(spark), TOKENIZER).count() == 0
 
 
+def test_sequences_are_those_of_a_plain_best_fit(spark):
+    """Whole documents through best_fit in one shard: every piece, in order, went to a bin that was then the tightest compatible one."""
+    from tokenizers import Tokenizer
+
+    t, r = Tokenizer.from_file(TOKENIZER), np.random.default_rng(8)
+    words = ["stone", "river", "of", "lantern", "green", "a", "metropolitan"]
+    texts = [" ".join(r.choice(words, r.integers(1, 60))) for _ in range(150)]
+    texts[40:50] = [texts[40]] * 10
+    docs = [(i, str(r.choice(["a", "a", "b", "c"])) if i % 7 else None, x) for i, x in enumerate(texts)]
+    bins = packing.best_fit(spark.createDataFrame(docs, "doc_id long, source string, text string"), TOKENIZER, capacity=64, shard=10**6).collect()
+    size, of = {}, {}
+    for b in bins:
+        for p in b.pieces:
+            size[(p.doc_id, p.piece)], of[(p.doc_id, p.piece)] = p.n_tokens, b.bin_id
+    ids = {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, _, x in docs}
+    assert size == {(i, k): min(64, n - 64 * k) for i, n in ids.items() for k in range(-(-n // 64))}
+    held: dict[int, list] = {}
+    for key in sorted(size, key=lambda k: (-size[k], k)):
+        _, source, text = docs[key[0]]
+        left = {b: 64 - sum(size[k] for k in held[b]) - size[key] for b in held}
+        fits = {b: n for b, n in left.items() if n >= 0 and not any(docs[k[0]][2] == text or (source and docs[k[0]][1] == source) for k in held[b])}
+        assert (of[key] in fits and fits[of[key]] == min(fits.values())) if fits else of[key] not in held
+        held.setdefault(of[key], []).append(key)
+
+
+def test_equal_rows_are_dealt_out(spark):
+    """Thousands of rows equal in every column, null ids among them, meet in no shard, and none is lost; shards share partitions."""
+    docs = spark.range(12_000).selectExpr("CASE WHEN id % 2 = 0 THEN 7L END AS doc_id", "'s' AS source", "CASE WHEN id % 4 < 2 THEN 'one and the same text' END AS text").repartition(3)
+    bins = packing.best_fit(docs, TOKENIZER, capacity=64, shard=100)
+    rows = bins.select(F.col("bin_id").alias("b"), F.explode("pieces").alias("p")).select("p.doc_id", "p.n_tokens", F.expr("b >> 24").alias("shard"))
+    got = rows.groupBy("doc_id", "n_tokens").count().collect()
+    assert len(got) == 4 and {r["count"] for r in got} == {3_000}
+    per = [r["count"] for r in rows.groupBy("shard", "doc_id", "n_tokens").count().collect()]
+    shards = rows.select("shard").distinct().count()
+    assert shards > 100 and max(per) < 100
+    assert bins.rdd.getNumPartitions() < shards
+    again = packing.best_fit(docs, TOKENIZER, capacity=64, shard=100)
+    assert bins.exceptAll(again).count() == 0
+
+
 # ---- 10 mixing
 
 

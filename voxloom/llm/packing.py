@@ -2,7 +2,9 @@
 
 Documents longer than a bin are cut into full pieces and a rest. Pieces are dealt by a
 hash of their document into shards of about SHARD pieces, as many as the table asks for,
-so that no shard and no task grows with the table. Within a shard the pieces come in
+so that no shard and no task grows with the table. Rows that are equal in all that is packed are numbered
+where they are read, and the number is part of the hash, so that no shard holds many of them; a partition
+holds a few shards, sorted, and a task holds one of them at a time. Within a shard the pieces come in
 descending size. Open bins are ordered by residual; each carries a bitmap of its sources
 and one of its duplicate clusters. The search starts at the least residual that takes the
 piece and goes on to the next until a bin has neither the piece's source nor its cluster:
@@ -12,12 +14,15 @@ pieces' ids one after another, so pieces carry their ids through the one shuffle
 
 from __future__ import annotations
 
+import hashlib
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +31,10 @@ from voxloom.llm.token_planes import END_ID, words_of
 
 CAPACITY = 2048
 SHARD = 4096
+#: Up to so many partitions have one shard each; more shards share partitions, at most so many each.
+PARTITIONS, SHARDS_EACH = 64, 16
+#: First copies of equal rows are dealt together by so many partitions of the input, all others one by one.
+TOGETHER = 1024
 PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("position", pa.int64())])
 
 
@@ -89,25 +98,36 @@ def pack_shard(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None) -> DataFrame:
-    """doc_id, source, cluster, piece, start, n_tokens and ids of each piece of docs(doc_id, source, cluster, text)."""
+    """doc_id, source, cluster, piece, start, n_tokens, ids and deal of each piece of docs(doc_id, source, cluster, text).
+
+    deal tells equal rows apart: it goes by the input's partition and the row's number among the equal ones of it. Equal rows
+    are interchangeable, so a task that runs again gives the same pieces, in whatever order it reads its rows. Null and empty texts
+    give their end id alone, or no piece without one; an empty table gives no pieces; further columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = b"" if end_id is None else struct.pack("<I", end_id)
+        place, copies = TaskContext.get().partitionId(), Counter()  # of the rows of one partition of the input
         for batch in batches:
             words = words_of(tokenizer)
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
                 ids = [x + tail for x in words.encode(part.column(3).to_pylist())]
-                row, piece, cut = [], [], []
-                for r, x in enumerate(ids):
+                row, piece, cut, deal = [], [], [], []
+                for r, (x, *key) in enumerate(zip(ids, *(part.column(c).to_pylist() for c in range(3)), strict=True)):
+                    k = hashlib.blake2b(x, digest_size=8, key=repr(key).encode()[:64]).digest()
+                    n = copies[k]
+                    copies[k] = n + 1
+                    own = (place << 32) + n if n else place // TOGETHER
                     for k in range(-(-len(x) // (4 * capacity))):
                         row.append(r)
+                        deal.append(own)
                         piece.append(k)
                         cut.append(x[4 * k * capacity : 4 * (k + 1) * capacity])
                 head = part.select([0, 1, 2]).take(pa.array(row, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*head.columns, pa.array(piece, pa.int32()), pa.array([k * capacity for k in piece], pa.int64()), pa.array([len(x) // 4 for x in cut], pa.int64()), pa.array(cut, pa.binary())], names=["doc_id", "source", "cluster", "piece", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([*head.columns, pa.array(piece, pa.int32()), pa.array([k * capacity for k in piece], pa.int64()), pa.array([len(x) // 4 for x in cut], pa.int64()), pa.array(cut, pa.binary()), pa.array(deal, pa.int64())], names=["doc_id", "source", "cluster", "piece", "start", "n_tokens", "ids", "deal"])
 
-    return docs.select("doc_id", "source", "cluster", "text").mapInArrow(run, "doc_id long, source string, cluster long, piece int, start long, n_tokens long, ids binary")
+    return docs.select("doc_id", "source", "cluster", "text").mapInArrow(run, "doc_id long, source string, cluster long, piece int, start long, n_tokens long, ids binary, deal long")
 
 
 def best_fit(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard: int = SHARD, cluster: Column | None = None, end_id: int | None = END_ID) -> DataFrame:
@@ -123,15 +143,25 @@ def best_fit(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard: i
     named like the added ones are ignored; an empty table gives no rows.
     """
     text = text_or_empty("text")
-    # an upper bound of the pieces: no tokenizer gives more ids than bytes, and four bytes an id are usual
+    # an estimate of the pieces, by four bytes an id; texts of more ids make fuller shards
     n = docs.agg(F.sum(F.ceil((F.octet_length(text) + 4) / (4 * capacity)))).first()[0] or 0
     shards = max(1, -(-int(n) // shard))
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(normalised("text") if cluster is None else cluster).alias("cluster"), text.alias("text"))
-    pieces = pieces_of(known, tokenizer, capacity, end_id).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)).cast("long"))
+    pieces = pieces_of(known, tokenizer, capacity, end_id).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "deal"), F.lit(shards)).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)  # one shard
-        if sum(b.num_rows for b in held):
+        held: list[pa.RecordBatch] = []  # of one shard
+        for batch in batches:
+            shard = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if held and held[0].column(0)[0].as_py() != shard[i]:
+                    yield from packed(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(i, j - i))
+        if held:
             yield from packed(pa.Table.from_batches(held))
 
     def packed(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -148,7 +178,9 @@ def best_fit(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard: i
                 some = slice(i, i + 256)
                 yield pa.RecordBatch.from_arrays([pa.array(out.shard.iloc[first[some]] * (1 << 24) + out.bin.iloc[first[some]], pa.int64()), pa.array(out.bin_tokens.iloc[first[some]], pa.int64()), pa.array([b"".join(ids[a:b]) for a, b in zip(first[some], ends[some], strict=True)], pa.binary()), pieces.slice(i, 256)], names=["bin_id", "bin_tokens", "ids", "pieces"])
 
-    dealt = pieces.select("shard", "doc_id", "source", "cluster", "piece", "start", "n_tokens", "ids").repartitionById(shards, F.col("shard").cast("int"))  # a shard is a partition
+    dealt = pieces.select("shard", "doc_id", "source", "cluster", "piece", "start", "n_tokens", "ids")
+    parts = max(min(shards, PARTITIONS), -(-shards // SHARDS_EACH))
+    dealt = dealt.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard")
     return dealt.mapInArrow(run, "bin_id long, bin_tokens long, ids binary, pieces array<struct<doc_id: long, piece: int, start: long, n_tokens: long, position: long>>")
 
 
