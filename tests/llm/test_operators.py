@@ -549,6 +549,37 @@ def test_toxicity_without_labels(spark):
     assert toxicity.drop_toxic(awkward(spark), labels).columns == awkward(spark).columns
 
 
+def _plain_sums(text: str, weights: dict, exceptions: tuple) -> tuple[float, int]:
+    """Every start of a word, every entry and every phrase, one by one."""
+    starts = [i for i in range(len(text)) if i == 0 or not text[i - 1].isalnum()]
+    covered = {k for i in starts for e in exceptions if text.startswith(e, i) for k in range(i, i + len(e))}
+    found = []
+    for i in starts:
+        fitting = [w for e, w in weights.items() if text.startswith(e[1:], i) and (e[0] == "^" or not text[i + len(e) - 1 : i + len(e)].isalnum())]
+        if fitting and i not in covered:
+            found.append(max(fitting))
+    return sum(found), len(found)
+
+
+def test_matcher_against_a_plain_one():
+    r = random.Random(4)
+    pool = ["loser", "lose", "trash", "can", "bin", "idiot", "proof", "id", "clown", "fish", "losers", "sore", "trashcan", "a", "x"]
+    for _ in range(300):
+        weights = {r.choice("=^") + r.choice(pool): r.randint(1, 9) / 4 for _ in range(r.randint(0, 7))}
+        text = "".join(r.choice(pool) + r.choice([" ", " ", ", ", "", "-", "\n"]) for _ in range(r.randint(0, 25)))
+        total, hits, _ = toxicity.Lexicon(weights).sums(text)
+        assert (total, hits) == pytest.approx(_plain_sums(text, weights, toxicity.EXCEPTIONS))
+
+
+def test_folding_sees_through_marks_and_hidden_characters():
+    lexicon = toxicity.Lexicon({"=loser": 2.0})
+    for seen in ("loser", "lo\u200bser", "l\u00f3ser", "l\u00f6ser", "lo\u0308s\u0301er", "\uff4c\uff4f\uff53\uff45\uff52", "l0ser", "LO\u00adSER", "l\u043es\u0435r", "\ufefflo\u2060ser", "l\u00d3ser"):
+        assert lexicon.sums(f"you {seen}!")[:2] == (2.0, 1), seen
+    for other in ("losers", "closer", "lo ser", "l\u00f8ser2x", ""):
+        assert lexicon.sums(other)[:2] == (0.0, 0), other
+    assert toxicity.fold("na\u00efve caf\u00e9") == "naive cafe" and toxicity.fold("\u0939\u093f\u0902") == "\u0939\u093f\u0902"
+
+
 # ---- 8 WARC
 
 

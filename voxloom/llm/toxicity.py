@@ -1,6 +1,7 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
-Folding lower-cases, replaces homoglyphs by the Latin letters they look like, and in words
+Folding lower-cases, takes letters apart from their accents and drops those together with characters
+of no width, replaces homoglyphs by the Latin letters they look like, and in words
 that mix letters with digits or signs undoes the substitution (l0ser, 1diot, tr@sh). The
 lexicon holds whole words and word beginnings with the log odds that labelled rows give
 them. A word counts once, with its heaviest entry, unless an exception phrase covers it.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,25 +41,27 @@ SUBSTITUTES = str.maketrans("013457@$!|+", "oieastasiit")
 MIXED = re.compile(r"[a-z][013457@$!|+]+[a-z]|\b[013457@$][a-z]|[a-z][013457$@]\b")
 MIXED_WORD = re.compile(r"[^\s.,;:?\"'()]*[a-z][^\s.,;:?\"'()]*")
 WORD = re.compile(r"[^\W_]+")
+#: Accents and other marks put over Latin, Greek and Cyrillic letters, then characters that show nothing.
+UNSEEN = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff]+")
 
 
 def fold(text: str) -> str:
+    """The text as entries are matched in; empty stays empty, and plain lower-case text without digits or signs in words stays as it is."""
     text = text.lower()
     if not text.isascii():
-        text = "".join(chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else c for c in text) if re.search("[！-～]", text) else text
-        text = text.lower().translate(HOMOGLYPHS)
+        text = UNSEEN.sub("", unicodedata.normalize("NFKD", text)).lower().translate(HOMOGLYPHS)
     if MIXED.search(text):
         text = MIXED_WORD.sub(_undo, text)
     return text
 
 
 def _undo(m: re.Match) -> str:
-    """The word with its substitutes undone; a 1 may stand for i or l, so both readings are kept, as two words."""
-    word = m[0]
+    """The word with its substitutes undone; a 1 may stand for i or l, so both readings are kept, as two words. Signs at its end that close a sentence stay."""
+    word = m[0].rstrip("!|+")
     if not MIXED.search(word) or sum(c.isdigit() for c in word) * 2 > len(word):
-        return word
-    first = word.translate(SUBSTITUTES)
-    return f"{first} {word.replace('1', 'l').translate(SUBSTITUTES)}" if "1" in word else first
+        return m[0]
+    first, end = word.translate(SUBSTITUTES), m[0][len(word) :]
+    return f"{first} {word.replace('1', 'l').translate(SUBSTITUTES)}{end}" if "1" in word else first + end
 
 
 def entries_of(text: str) -> set[str]:
