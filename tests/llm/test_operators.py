@@ -270,6 +270,50 @@ def test_minhash_of_many_near_but_unlinked(spark):
     assert out.pop(5000) == 7 and out == {i: i for i in range(3000)}
 
 
+def test_minhash_sketches_never_part_what_is_near():
+    r = np.random.default_rng(3)
+    for own in (0, 1, 20, 400):
+        x = r.integers(0, 2**63, 600 + 2 * own, np.uint64)
+        a, b = (np.frombuffer(minhash.sketch(y), np.uint64) for y in (x[: 600 + own], np.r_[x[:600], x[600 + own :]]))
+        bits = int(np.bitwise_count(a ^ b).sum())
+        assert bits <= 2 * own and bits % 2 == 0
+        if own == 20:
+            assert bits >= 30
+
+
+def code_words(n, linked=()):
+    """n texts of 300 words that agree in 3 of 12 marked places at most (values of polynomials of degree 3 over 13 numbers), and near copies of some."""
+    base, data = [f"b{i}" for i in range(300)], []
+    for i in range(n):
+        w, c = list(base), [i * 17 // 13**e % 13 for e in range(4)]
+        for x in range(12):
+            w[x * 25 + 5] = f"p{x}v{sum(c[e] * x**e for e in range(4)) % 13}"
+        data.append((i, " ".join(w)))
+    return data + [(10_000 + i, data[i][1].replace("b3 ", "other ", 1)) for i in linked]
+
+
+def test_minhash_of_code_words_writes_few_candidates(spark, monkeypatch):
+    """Texts that share marks by threes, 54 shingles apart where 48 would link.
+
+    The sketches let about one such pair in 190 pass; the rows written for them stay under one for each 100 pairs and one for each text and block."""
+    rows, plain = {}, minhash.written
+
+    def counted(df, name, *by):
+        out = plain(df, name, *by)
+        if name == "candidates":
+            rows[len(data)] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    for n in (600, 1200):
+        linked = range(0, n, 50)
+        data = code_words(n, linked)
+        df = spark.createDataFrame(data, "doc_id long, text string")
+        out = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 3, 85).collect()}
+        assert out == {i: i for i in range(n)} | {10_000 + i: i for i in linked}
+    assert len(rows) == 2 and all(0 < r < min(n * (n - 1) / 200, n * -(-n // minhash.BLOCK)) for n, r in rows.items()), rows
+
+
 def test_near_and_exact_stages_tell_repeated_ids_apart(spark):
     one, two = (" ".join(f"{c}{i}" for i in range(50)) for c in "wv")
     data = [(3, one), (5, one), (5, two), (7, two + " x"), (9, None), (9, None), (None, one), (None, None)]

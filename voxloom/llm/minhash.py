@@ -13,10 +13,16 @@
    compared in full; that joins the copies of one text. Whoever is still apart meets
    by an index of rare shingles: two sets that are linked share one of their first ones,
    rarest first, and at a place that leaves both enough of them (a prefix and a place that
-   rule no link out). Only pairs that are apart and pass are compared.
-
-No step holds a key or a family in one task, and texts are sent a fixed number of times, not once for
-each block of a family. A task returns a spanning forest of its pairs, never the pairs themselves.
+   rule no link out). Each entry of the index carries a sketch of its set, SKETCH parity bits: two
+   sets differ in at least as many shingles as their sketches do in bits, which rules out
+   whatever is not within a few shingles of the threshold, and never a link. Pairs that are apart and pass
+   name two blocks of the family; each two blocks are compared in full, but only among the
+   documents that are in such a pair there.
+
+No step holds a key or a family in one task, and none writes or sends a row for each pair. Texts are sent a fixed number of times, and those of 4.
+that still have a candidate once to each two blocks in which they have one: at most a family's size / BLOCK times, where
+many pairs lie just above the threshold. Links are returned as spanning forests. A sketch saturates where a set has more than some 6,000
+shingles, so that it rules out less there.
 """
 
 from __future__ import annotations
@@ -35,6 +41,8 @@ from voxloom.llm.shared import connected_components, documents, text_or_empty, w
 
 SYMBOLS = 64
 BLOCK = 256
+#: Parity bits of a set's sketch.
+SKETCH = 2048
 #: Standard deviations between the expected distance at the threshold and T.
 MARGIN = 3.8
 #: Words whose hashes a worker remembers at once.
@@ -86,6 +94,11 @@ def signature(x: np.ndarray) -> bytes:
     return (mix(least) >> np.uint64(48)).astype("<u2").tobytes()
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """SKETCH bits, each the parity of the number of the set's values that fall on it; two sets' sketches differ in no more bits than the sets in values."""
+    return np.packbits((np.bincount((x % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
 def distance_bound(num: int, den: int = 100) -> int:
     """T: the signature distance that a pair of similarity num/den hardly ever passes."""
     p = 1 - num / den
@@ -265,40 +278,41 @@ def _in_order(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([*map(pa.array, wide), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], names=["root", "node", "comp", "h", "n", "s"])
 
 
+def _sketched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(root, node, h, m, text) -> root, node, h, m and the sketch of the text's set."""
+    hashes = WordHashes()
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1000):
+            part = batch.slice(i, 1000)
+            found = [sketch(shingles(t, k, hashes)) for t in part.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(found, pa.binary())], names=["root", "node", "h", "m", "sketch"])
+
+
 def _passing(num: int, den: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of each group (root, s, bi, bj) that are apart and whose places leave enough to share."""
+        """Places (root, bi, bj, node) to compare the pairs of each group (root, s, bi, bj) that are apart, leave enough to share and have near enough sketches."""
         for table in _groups(batches, 4, SEGMENT):
             heads = [table.column(i).to_numpy() for i in range(4)]
-            node, comp, n, place = (table.column(i).to_numpy() for i in range(4, 8))
+            node, comp, n, place, m = (table.column(i).to_numpy() for i in range(4, 9))
+            bits = np.frombuffer(b"".join(table.column(9).to_pylist()), np.uint64).reshape(len(node), -1)
             new = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in heads])]
             starts = np.flatnonzero(new)
             for lo, hi in zip(starts, [*starts[1:], len(new)], strict=True):
-                c, size, left, ids = comp[lo:hi], n[lo:hi], n[lo:hi] - place[lo:hi], node[lo:hi]
-                found = []
+                c, size, left, own = comp[lo:hi], n[lo:hi], n[lo:hi] - place[lo:hi], bits[lo:hi]
+                block = (mix(node[lo:hi].view(np.uint64)) % np.uint64(-(-m[lo] // BLOCK))).astype(np.int64)
+                found = []  # position, block of its partner
                 for x in range(hi - lo - 1):
                     common = np.minimum(left[x], left[x + 1 :])
                     ok = (c[x + 1 :] != c[x]) & (den * common >= num * (size[x] + size[x + 1 :] - common))
                     y = np.flatnonzero(ok) + x + 1
-                    found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]))
+                    total, apart = size[x] + size[y], np.bitwise_count(own[y] ^ own[x]).sum(axis=1, dtype=np.int64)
+                    y = y[den * (total - apart) >= num * (total + apart)]
+                    if len(y):
+                        found += [np.stack([np.full(len(y), x), block[y]]), np.stack([y, np.full(len(y), block[x])])]
                 if found:
-                    a, b = np.concatenate(found, axis=1)
-                    yield pa.RecordBatch.from_pydict({"a": a, "b": b})
-
-    return run
-
-
-def _confirmed(k: int, num: int, den: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for i in range(0, batch.num_rows, 100):
-                part, keep = batch.slice(i, 100), []
-                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    p, q = shingles(x, k, hashes), shingles(y, k, hashes)
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(den * both >= num * (len(p) + len(q) - both))
-                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                    at, other = np.unique(np.concatenate(found, axis=1), axis=1)
+                    low, high = np.minimum(block[at], other), np.maximum(block[at], other)
+                    yield pa.RecordBatch.from_pydict({"root": np.full(len(at), heads[0][lo]), "bi": low.astype(np.int32), "bj": high.astype(np.int32), "node": node[lo:hi][at]})
 
     return run
 
@@ -312,29 +326,33 @@ def _links_of_large(large: DataFrame, k: int, num: int, den: int) -> DataFrame:
     links = tagged.select("a", "b")
     # a node's root in each of its two blocks; blocks that share a node are brought to one label, there and back
     own = tagged.groupBy(F.col("a").alias("node")).agg(*[F.min(F.when(F.col("deal") == d, F.col("b"))).alias(f"l{d}") for d in (0, 1)])
-    labels = written(large.select("root", "node", "text").join(own.hint("merge"), "node", "left").withColumns({f"l{d}": F.coalesce(f"l{d}", "node") for d in (0, 1)}), "labels")
+    labels = written(large.select("root", "node", F.col("n").alias("m"), "text").join(own.hint("merge"), "node", "left").withColumns({f"l{d}": F.coalesce(f"l{d}", "node") for d in (0, 1)}), "labels")
     step = labels.select("l0", "l1", "node").join(labels.groupBy("l0").agg(F.min("l1").alias("m")), "l0")
     step = written(step.select("node", "l1", "m"), "labels")  # labels have a block's nodes at most
     comp = step.join(step.groupBy("l1").agg(F.min("m").alias("comp")), "l1").groupBy("node").agg(F.min("comp").alias("comp"))
-    labelled = written(labels.select("root", "node", "text").join(comp.hint("merge"), "node"), "labelled")
+    labelled = written(labels.select("root", "node", "m", "text").join(comp.hint("merge"), "node"), "labelled")
     open_ = written(labelled.groupBy("root").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("root"), "apart")
     if open_.isEmpty():
         return links
-    apart = labelled.join(open_.hint("merge"), "root", "left_semi").select("root", "node", "comp", F.xxhash64("text").alias("h"), "text")
-    each = written(apart.mapInArrow(lambda b: _in_order(b, k), "root long, node long, comp long, h long, n long, s long"), "apart-shingles")
+    apart = labelled.join(open_.hint("merge"), "root", "left_semi").select("root", "node", "comp", F.xxhash64("text").alias("h"), "m", "text")
+    each = written(apart.drop("m").mapInArrow(lambda b: _in_order(b, k), "root long, node long, comp long, h long, n long, s long"), "apart-shingles")
     df = written(each.groupBy("root", "s").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
     # shingles of one document alone come first and are shared with none: how many there are is all that is needed of them
     shared = each.join(df.hint("merge"), ["root", "s"])
     order = F.row_number().over(Window.partitionBy("root", "node", "h").orderBy("df", "s"))  # a document at a time
     known = F.count("*").over(Window.partitionBy("root", "node", "h"))
     placed = shared.withColumns({"_k": known, "_o": order}).withColumn("place", F.col("n") - F.col("_k") + F.col("_o") - 1)
-    prefix = written(placed.where(f"place <= n - ceil(n * {num} / {den})").select("root", "s", "node", "comp", "n", "place"), "prefixes")
-    several = prefix.groupBy("root", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("root", "s", "m")
-    met = in_blocks(prefix.join(several.hint("merge"), ["root", "s"]), "m", ["root", "s"], "node", 4 * BLOCK)
-    pairs = written(met.select("root", "s", "bi", "bj", "node", "comp", "n", "place").mapInArrow(_passing(num, den), "a long, b long").distinct(), "pairs")
-    side = lambda c: labelled.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
-    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "ta", "tb")
-    return links.union(both.mapInArrow(_confirmed(k, num, den), "a long, b long"))
+    sketches = apart.drop("comp").select("root", "node", "h", "m", "text").mapInArrow(lambda b: _sketched(b, k), "root long, node long, h long, m long, sketch binary")
+    sketches = sketches.groupBy("root", "node", "h").agg(F.first("m").alias("m"), F.first("sketch").alias("sketch"))  # rows that are equal have one
+    first = placed.where(f"place <= n - ceil(n * {num} / {den})").select("root", "s", "node", "h", "comp", "n", "place")
+    prefix = written(first.join(sketches.hint("merge"), ["root", "node", "h"]), "prefixes")
+    several = prefix.groupBy("root", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("several")).where("lo <> hi").select("root", "s", "several")
+    met = in_blocks(prefix.join(several.hint("merge"), ["root", "s"]), "several", ["root", "s"], "node", 4 * BLOCK)
+    met = met.select("root", "s", "bi", "bj", "node", "comp", "n", "place", "m", "sketch")
+    named = written(met.mapInArrow(_passing(num, den), "root long, bi int, bj int, node long").distinct(), "candidates")
+    sent = named.join(labelled.select("node", "text").hint("merge"), "node").select("root", "bi", "bj", "node", "text")
+    sent = sent.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
+    return links.union(sent.mapInArrow(_linked(k, num, den), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
