@@ -85,3 +85,33 @@ def test_brain_mask_by_numpy(spark):
     for p, x in data.items():
         got = as_volume([r for r in rows if r.patient == p], "mask", x.shape)
         assert (got == kernels.brain_mask(x)).all(), p
+
+
+def test_brain_mask_of_missing_lines(spark):
+    """A volume that lacks lines: what they hide is no path out of a hole and no part of the mask before closing, which may reach into them."""
+    rng = np.random.default_rng(8)
+    shape = (8, 9, 10)
+    ball = np.linalg.norm(np.indices(shape) - np.array([3.5, 4.0, 4.5])[:, None, None, None], axis=0)
+    x = np.where(ball < 4, 1.0, -0.01) + 0.005 * rng.random(shape)
+    x[3:6, 3, 3:6] = -1.0  # a hole that ends where lines are missing
+    there = np.ones(shape[:2], bool)
+    there[5, 4:] = there[6:] = False
+    lines = lines_of(spark, {0: x, 1: x}).where("patient = 1 OR z < 5 OR (z = 5 AND y < 4)")
+    rows = components.brain_mask(lines, "mask", KEYS, shape=shape).collect()
+    known = np.broadcast_to(there[:, :, None], shape)
+    cut = np.percentile(x[known & (x > 0)], 5)
+    back = known & ~(x > cut)
+    seen = np.zeros(shape, bool)
+    seen[[0, -1]] = seen[:, [0, -1]] = seen[:, :, [0, -1]] = True
+    seen &= back
+    while (grown := kernels._grown(seen, 1) & back).sum() > seen.sum():
+        seen = grown
+    filled = known & ~seen
+    assert filled[3:6, 3, 3:6].all()
+    opened = kernels._grown(~kernels._grown(~np.pad(filled, 2), 2)[2:-2, 2:-2, 2:-2], 2)
+    best = np.pad(kernels.largest_component(opened, 6), 2)
+    want = {0: (~kernels._grown(~kernels._grown(best, 2), 2))[2:-2, 2:-2, 2:-2], 1: kernels.brain_mask(x)}
+    for p, w in want.items():
+        got = as_volume([r for r in rows if r.patient == p], "mask", shape)
+        assert (got == w).all(), p
+    assert want[0].any()

@@ -134,8 +134,16 @@ def padded(lines: DataFrame, mask: str, keys: list[str], width: int) -> DataFram
     return wide.unionByName(around)
 
 
+def whole_grid(lines: DataFrame, array: str, keys: list[str], shape: tuple[int, int, int]) -> DataFrame:
+    """keys..., z, y and the array of every line of volumes of that shape: null where `lines` lacks it."""
+    every = lines.select(*keys).distinct()
+    for axis, n in zip(("z", "y"), shape[:2], strict=True):
+        every = every.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return every.join(lines.select(*keys, "z", "y", array), [*keys, "z", "y"], "left")
+
+
 def holes_filled(lines: DataFrame, mask: str, keys: list[str]) -> DataFrame:
-    """The mask with all of its background that no path of faces joins to the volume's border."""
+    """The mask with all of its background that no path of faces joins to the volume's border. Null voxels stay null, and no path leads through them."""
     back = lines.withColumn(mask, F.transform(mask, lambda v: F.when(~v, 0)))
     parts = written(components(back, mask, keys, 6), "background")
     ends = lines.groupBy(*keys).agg(F.max("z").alias("_z"), F.max("y").alias("_y"), F.max(F.size(mask)).alias("_n"))
@@ -144,15 +152,23 @@ def holes_filled(lines: DataFrame, mask: str, keys: list[str]) -> DataFrame:
     return filled_in(lines, parts.join(inner, "root").select(*keys, "z", "y", "x0", "x1"), mask, keys)
 
 
-def brain_mask(lines: DataFrame, value: str, keys: list[str], share: float = 0.05) -> DataFrame:
+def brain_mask(lines: DataFrame, value: str, keys: list[str], share: float = 0.05, shape: tuple[int, int, int] | None = None) -> DataFrame:
     """keys..., z, y and the array mask: values over a quantile of the positive ones, holes filled, opened twice, the largest part, closed twice.
 
-    Lines are whole grids (keys..., z, y, array); a volume without a positive value, or of which opening leaves nothing, has a mask without a true voxel.
+    Lines are whole grids (keys..., z, y, array), or else `shape` is that of every volume: lines that are missing are then neither inside nor background until
+    holes are filled, and outside afterwards; the mask has a row for each of them too, as closing may reach into them.
+    A volume without a positive value, or of which opening leaves nothing, has a mask without a true voxel.
     """
+    if shape:
+        lines = whole_grid(lines, value, keys, shape)
     positive = lines.select(*keys, F.explode(value).alias("_v")).where("_v > 0")
     cut = order.quantiles(positive, "_v", keys, [share], ["_cut"])
-    mask = lines.join(cut, keys, "left").select(*keys, "z", "y", F.transform(value, lambda v: F.coalesce(v > F.col("_cut"), F.lit(False))).alias("mask"))
-    mask = written(holes_filled(written(mask, "mask"), "mask", keys), "mask")
+    over = F.transform(value, lambda v: F.coalesce(v > F.col("_cut"), F.lit(False)))
+    if shape:
+        over = F.coalesce(over, F.array_repeat(F.lit(None).cast("boolean"), shape[2]))
+    mask = lines.join(cut, keys, "left").select(*keys, "z", "y", over.alias("mask"))
+    filled = holes_filled(written(mask, "mask"), "mask", keys)
+    mask = written(filled.withColumn("mask", F.transform("mask", lambda v: F.coalesce(v, F.lit(False)))), "mask")
     opened = written(dilated(eroded(mask, "mask", keys, 2), "mask", keys, 2), "opened")
     none = opened.withColumn("mask", F.transform("mask", lambda v: F.lit(False)))
     best = filled_in(none, largest(opened, "mask", keys, 6), "mask", keys)
