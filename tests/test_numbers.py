@@ -562,3 +562,24 @@ def test_command_line(capsys):
     assert main(["list"]) == 0 and "simplex_weights_m2" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["run", "no_query", "--data", "x", "--out", "y"])
+
+
+@pytest.fixture(scope="module")
+def with_gaps(spark, tmp_path_factory):
+    """Embeddings of which the last volume ends in its third slice, and one volume has its last slice but for two lines."""
+    sf = str(tmp_path_factory.mktemp("gaps"))
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("vec_id < 326 AND (vec_id < 192 OR vec_id >= 200 OR vec_id IN (192, 193))")
+    rows.write.parquet(f"{sf}/embeddings.parquet")
+    return sf
+
+
+@pytest.mark.parametrize("name", ["resampled_grid", "linear_zoom", "variance_peaks", "roi_metric_cube", "ssim_slicewise", "ssim_gaussian_slices"])
+def test_volumes_that_lack_lines(spark, with_gaps, name):
+    import duckdb
+    from oracle import assert_same
+
+    from voxloom.plans import volumes
+
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{with_gaps}/embeddings.parquet/*.parquet'")
+        assert_same(volumes.QUERIES[name](spark, with_gaps), c.sql(volumes.SQL[name]).df())

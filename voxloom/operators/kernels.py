@@ -101,11 +101,19 @@ def volumes_of(pdf: pd.DataFrame, columns: list[str], shape: tuple[int, ...], at
     return out
 
 
-def by_volume(lines: DataFrame, run, schema: str, columns: list[str], shape: tuple[int, int, int], keys: tuple[str, ...] = ("patient",)) -> DataFrame:
-    """run(volumes of the columns) -> pandas rows, for each volume. Volumes have a fixed shape: a task holds one at a time, sent as lines."""
+def by_volume(lines: DataFrame, run, schema: str, columns: list[str], shape: tuple[int, int, int], keys: tuple[str, ...] = ("patient",), there: bool = False) -> DataFrame:
+    """run(volumes of the columns) -> pandas rows, for each volume. Volumes have a fixed shape: a task holds one at a time, sent as lines.
+
+    With `there`, run gets one array more: which lines (z, y) the volume has.
+    """
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = run(*volumes_of(pdf, columns, shape, ["z", "y"]))
+        volumes = volumes_of(pdf, columns, shape, ["z", "y"])
+        if there:
+            known = np.zeros(shape[:2], bool)
+            known[pdf["z"].to_numpy(), pdf["y"].to_numpy()] = True
+            volumes.append(known)
+        out = run(*volumes)
         for name, k in zip(keys, key, strict=True):
             out[name] = k
         return out
