@@ -80,6 +80,19 @@ def local_variance(lines: DataFrame, value: str = "hr", radius: int = 2, keys: t
     return lines.withColumn("lvar", F.zip_with("_q", "_m", lambda q, m: F.greatest(F.lit(0.0), q - m * m))).drop("_m", "_q")
 
 
+def halved(column: str) -> Column:
+    """An array column with half as many values, read between neighbours with both ends kept."""
+    n = F.size(column)
+    m = F.floor(n / 2).cast("int")
+
+    def at(i: Column) -> Column:
+        u = F.when(m > 1, F.try_divide(i * (n - 1).cast("double"), m - 1)).otherwise(0.0)
+        low = F.floor(u).cast("int")
+        return (1 - (u - low)) * F.get(F.col(column), low) + (u - low) * F.get(F.col(column), F.least(low + 1, n - 1))
+
+    return F.when(m > 0, F.transform(F.sequence(F.lit(0), m - 1), at)).otherwise(F.array().cast("array<double>"))
+
+
 def turned(lines: DataFrame, columns: list[str], keys: tuple[str, ...] = ("patient",)) -> DataFrame:
     """The volumes as lines along y: y of each row is the old x, and its arrays run along the old y."""
     each = lines.select(*keys, "z", F.col("y").alias("_y"), F.posexplode(F.arrays_zip(*columns)).alias("y", "_v"))
