@@ -209,11 +209,16 @@ def largest_component(mask: np.ndarray, connectivity: int = 18) -> np.ndarray:
     return label == roots[counts.argmax()]
 
 
-def variance_peak(x: np.ndarray, size: int = 15) -> tuple[int, int, float]:
-    """Where an image's variance over size x size squares (edges mirrored) is largest, the first of equal ones, and how large."""
+def variance_peak(x: np.ndarray, size: int = 15, there: np.ndarray | None = None) -> tuple[int, int, float]:
+    """Where an image's variance over size x size squares (edges mirrored) is largest, the first of equal ones, and how large.
+
+    there: which of the image's rows are known; what is not is 0, and squares without a known row don't count.
+    """
     mean = np.full(size, 1.0 / size)
     smooth = lambda v: _correlate(_correlate(v, mean, 0), mean, 1)
     var = np.round(np.maximum(0.0, smooth(x * x) - smooth(x) ** 2), 9)
+    if there is not None:
+        var = np.where(_correlate(there.astype(float), mean, 0)[:, None] > 0, var, -1.0)
     at = np.unravel_index(var.argmax(), var.shape)
     return int(at[0]), int(at[1]), float(var[at])
 
