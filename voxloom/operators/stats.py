@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.special import normal_sf2, p_chi2, p_normal, p_student, shapiro_wilk
 from voxloom.operators import order
+from voxloom.sources.scratch import written
 
 
 def average_rank(value: str, keys: list[str]) -> Column:
@@ -141,6 +142,10 @@ PRIME = 2**31 - 1
 DRAWN = [int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12)]
 
 
+#: How many conditions' sums a task of bootstrap_mean holds, and how many rows (sums of a unit in a condition) it reads, both about.
+CONDITIONS, UNIT_ROWS = 256, 100_000
+
+
 def draws(unit: np.ndarray, resample: np.ndarray, seed: int) -> np.ndarray:
     """How often each unit (whole numbers) is in each resample, 1 on average: a row for each unit."""
     fifth = lambda x: x * x % PRIME * (x * x % PRIME) % PRIME * x % PRIME  # a bijection below the prime
@@ -153,36 +158,49 @@ def bootstrap_mean(pairs: DataFrame, keys: list[str], unit: Column | str, resamp
     """keys..., mean_d, low, high: percentile interval of the mean difference over resampled units.
 
     Each resample draws each unit a Poisson number of times, by a hash of unit, resample and seed; a unit's rows are drawn together.
-    unit: a column of whole numbers, or one of another kind, which is hashed. A task adds up its rows' share
-    of every resample's sums, one condition at a time; no group of rows is held. Null differences are left out; an empty table gives no rows.
+    unit: a column of whole numbers, or one of another kind, which is hashed. A task draws each of its units once for a block of about
+    CONDITIONS conditions and adds up its share of their resamples' sums; no group of rows is held, and tasks have UNIT_ROWS rows or so. Null differences are left out; an empty table gives no rows.
     """
     unit = F.col(unit) if isinstance(unit, str) else unit
     whole = pairs.select(unit.alias("u")).dtypes[0][1] in ("tinyint", "smallint", "int", "bigint")
     number = F.pmod(unit.cast("long") if whole else F.xxhash64(unit), F.lit(PRIME))
     key = F.to_json(F.struct(*keys))
     rows = pairs.where("d IS NOT NULL").groupBy(key.alias("_key"), F.coalesce(number, F.lit(0)).alias("_u")).agg(F.sum("d").alias("_s"), F.count("d").cast("double").alias("_c"))
-    each, block = np.arange(resamples), max(1, 4_000_000 // resamples)
+    rows = written(rows, "units")
+    size = rows.agg(F.count("*").alias("rows"), F.countDistinct("_key").alias("keys")).first()
+    blocks, tasks = max(1, -(-size["keys"] // CONDITIONS)), max(1, -(-size["rows"] // UNIT_ROWS))
+    each, chunk = np.arange(resamples), max(1, 4_000_000 // resamples)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, sums = None, np.zeros((2, resamples))
+        now, place, sums = None, {}, []
 
-        def done() -> pd.DataFrame:
-            return pd.DataFrame({"_key": [now], "s": [sums[0]], "c": [sums[1]]})
+        def done() -> Iterator[pd.DataFrame]:
+            for k, i in place.items():
+                yield pd.DataFrame({"_key": [k], "s": [sums[i][0]], "c": [sums[i][1]]})
 
         for pdf in frames:
-            for k, part in pdf.groupby("_key", sort=False):
-                if k != now:
-                    if now is not None:
-                        yield done()
-                    now, sums = k, np.zeros((2, resamples))
-                values = part[["_s", "_c"]].to_numpy(float).T
-                u = part["_u"].to_numpy(np.int64)
-                for i in range(0, len(u), block):
-                    sums += values[:, i : i + block] @ draws(u[i : i + block], each, seed)
-        if now is not None:
-            yield done()
-
-    shares = rows.sortWithinPartitions("_key").mapInPandas(run, "_key string, s array<double>, c array<double>")
+            for block, part in pdf.groupby("_block", sort=False):
+                if block != now:
+                    yield from done()
+                    now, place, sums = block, {}, []
+                codes, names = pd.factorize(part["_key"])
+                for k in names:
+                    if k not in place:
+                        place[k] = len(place)
+                        sums.append(np.zeros((2, resamples)))
+                at, units = pd.factorize(part["_u"].to_numpy(np.int64))
+                for i in range(0, len(units), chunk):
+                    here = (at >= i) & (at < i + chunk)
+                    few = units[i : i + chunk]
+                    values = np.zeros((2, len(names), len(few)))  # a unit's draws are the same in all conditions
+                    np.add.at(values, (slice(None), codes[here], at[here] - i), part.loc[here, ["_s", "_c"]].to_numpy(float).T)
+                    added = values @ draws(few, each, seed).astype(float)
+                    for j, k in enumerate(names):
+                        sums[place[k]] += added[:, j]
+        yield from done()
+
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks))).repartition(tasks, "_block", "_u").sortWithinPartitions("_block", "_u")
+    shares = dealt.mapInPandas(run, "_key string, s array<double>, c array<double>")
     summed = shares.select("_key", F.posexplode(F.arrays_zip("s", "c")).alias("r", "v")).groupBy("_key", "r").agg(F.sum("v.s").alias("s"), F.sum("v.c").alias("c"))
     low, high = (1 - level) / 2, (1 + level) / 2
     ends = summed.select("_key", F.try_divide("s", "c").alias("m")).groupBy("_key").agg(F.percentile("m", F.array(F.lit(low), F.lit(high))).alias("q"))  # `resamples` values
