@@ -128,7 +128,7 @@ def patient_by_pulse_pivot(spark, sf_dir):
 
 @query(f"{BASE} SELECT case_id FROM m GROUP BY 1 HAVING count(DISTINCT (model, pulse, spacing)) = (SELECT count(DISTINCT (model, pulse, spacing)) FROM m)")
 def complete_panels(spark, sf_dir):
-    return coverage.complete(metrics(spark, sf_dir), "case_id", ["model", "pulse", "spacing"])
+    return coverage.complete(metrics(spark, sf_dir, ()), "case_id", ["model", "pulse", "spacing"])
 
 
 @query(f"{BASE}, q AS (SELECT model, quantile_cont(psnr, 0.25) AS q1, quantile_cont(psnr, 0.5) AS q2, quantile_cont(psnr, 0.75) AS q3 FROM m GROUP BY 1) SELECT model, round(q1, 5) AS q1, round(q2, 5) AS q2, round(q3, 5) AS q3, round(min(psnr) FILTER (psnr >= q1 - 1.5*(q3 - q1)), 5) AS low, round(max(psnr) FILTER (psnr <= q3 + 1.5*(q3 - q1)), 5) AS high FROM m JOIN q USING (model) GROUP BY model, q.q1, q.q2, q.q3")
@@ -384,7 +384,7 @@ def median_icc(spark, sf_dir):
 @query(f"{BASE}, o AS (SELECT * FROM m WHERE case_id % 7 <> 0 OR spacing <> 'P'), e AS (SELECT DISTINCT model, pulse, spacing FROM o), h AS (SELECT case_id, count(*) AS have FROM o GROUP BY 1) SELECT case_id, have, (SELECT count(*) FROM e) - have AS missing FROM h WHERE have < (SELECT count(*) FROM e)")
 def incomplete_panels(spark, sf_dir):
     """Cases that lack conditions that others have, and how many."""
-    return coverage.incomplete(metrics(spark, sf_dir).where("case_id % 7 <> 0 OR spacing <> 'P'"), "case_id", ["model", "pulse", "spacing"])
+    return coverage.incomplete(metrics(spark, sf_dir, ()).where("case_id % 7 <> 0 OR spacing <> 'P'"), "case_id", ["model", "pulse", "spacing"])
 
 
 @query("SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'PLAIN' WHEN 'STANDARD' THEN 'PLAIN' ELSE p_type END AS method, p_size AS spacing FROM part")
