@@ -133,3 +133,40 @@ def test_linear_weights_by_numpy(spark):
     assert np.allclose(got[0].w, np.linalg.solve([[4, 1], [1, 3]], [5, 2])) and got[0].message == "direct"
     assert np.allclose(got[1].w, [1, 1]) and got[1].message == "pseudo-inverse"
     assert got[1].objective == pytest.approx(4 - 8)
+
+
+def test_bootstrap_draws_a_unit_once(spark, monkeypatch):
+    """Units are drawn for a block of conditions at a time, not again for each, and the intervals don't depend on blocks and tasks."""
+    from voxloom.operators import stats
+
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(g, k, rnd.gauss(g, 1.0)) for g in range(30) for k in range(40)], "g int, unit long, d double")
+    of = lambda: {r.g: (r.mean_d, r.low, r.high) for r in stats.bootstrap_mean(df, ["g"], "unit", 300).collect()}
+    drawn = spark.sparkContext.accumulator(0)
+    plain = stats.draws
+
+    def counted(unit, resample, seed):
+        drawn.add(len(unit))
+        return plain(unit, resample, seed)
+
+    monkeypatch.setattr(stats, "draws", counted)
+    whole = of()
+    assert 40 <= drawn.value < 120  # 30 times 40 if each condition drew its own
+    monkeypatch.setattr(stats, "CONDITIONS", 4)
+    monkeypatch.setattr(stats, "UNIT_ROWS", 150)
+    cut = of()
+    assert whole.keys() == cut.keys() and all(cut[g] == pytest.approx(whole[g], abs=1e-12) for g in whole)
+
+
+def test_metrics_are_dealt_by_their_lines(spark, monkeypatch):
+    """However many tasks join and sum the lines, and on either way to the parts, the rows are the same, and readers get a table that is written once."""
+    from voxloom.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, tables.metrics(spark, sf).collect()))
+    monkeypatch.setattr(tables, "TASK_ROWS", 150)
+    dealt = tables.metrics(spark, sf)
+    assert "Exchange" not in dealt._jdf.queryExecution().toString()
+    assert sorted(map(tuple, dealt.collect())) == whole
+    conditions = tables.metrics(spark, sf, ())
+    assert conditions.columns == ["case_id", "model", "pulse", "spacing"] and sorted(map(tuple, conditions.collect())) == [r[:4] for r in whole]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxloom.operators import aggregate, coverage, stats
 from voxloom.plans.volumes import r6
-from voxloom.sources.tables import METRICS_SQL, metrics, table
+from voxloom.sources.tables import METRICS_SQL, measured, metrics, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -310,9 +310,7 @@ def lmm_contrasts(spark, sf_dir):
 
 def region_metrics(spark, sf_dir):
     """case_id, model, pulse, spacing, roi, psnr: as metrics, by the line's number as its region."""
-    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    keys = [F.col("l_suppkey").alias("case_id"), F.col("p_type").alias("model"), F.col("l_returnflag").alias("pulse"), F.col("o_orderstatus").alias("spacing"), F.concat(F.lit("roi"), (F.col("l_linenumber") % 3).cast("string")).alias("roi")]
-    return joined.groupBy(*keys).agg(F.round(F.avg(F.try_divide("l_extendedprice", "l_quantity")), 6).alias("psnr"))
+    return measured(spark, sf_dir, {"roi": F.concat(F.lit("roi"), (F.col("l_linenumber") % 3).cast("string"))}, ("psnr",))
 
 
 @query()

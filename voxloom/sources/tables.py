@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.sources.scratch import written
+
 EXPERTS = ("e1", "e2", "e3", "e4")
 #: A volume has DEPTH slices of ROWS lines of COLUMNS voxels; more lines are more volumes, never larger ones.
 DEPTH, ROWS, COLUMNS = 10, 10, 64
@@ -63,14 +65,37 @@ VOXELS_SQL = f"""
         FROM point WINDOW l AS (PARTITION BY patient, z, y ORDER BY x))"""
 
 
-def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """case_id, model, pulse, spacing, psnr, ssim: one row for each case and condition."""
-    joined = (
-        table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    )
-    keys = [F.col("l_suppkey").alias("case_id"), F.col("p_type").alias("model"), F.col("l_returnflag").alias("pulse"), F.col("o_orderstatus").alias("spacing")]
-    return joined.groupBy(*keys).agg(F.round(F.avg(F.try_divide("l_extendedprice", "l_quantity")), 6).alias("psnr"), F.round(F.avg("l_discount"), 6).alias("ssim"))
+#: A task joins and sums about so many lines of an experiment, whatever their number.
+TASK_ROWS = 500_000
+
+
+def measured(spark: SparkSession, sf_dir: str, by: dict[str, Column] | None = None, values: tuple[str, ...] = ("psnr", "ssim")) -> DataFrame:
+    """case_id, model, pulse, spacing, the columns of `by` and the means asked for, as a table in the shared folder: a row for each case and condition.
+
+    It is written because its readers read it more than once, and its joins are most of their work. Both joins and the sums are
+    dealt over as many tasks as the lines ask for, and lines, not partial sums of conditions of few lines, are sent to the sums.
+    """
+    by = by or {}
+    items, orders, part = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
+    n = max(1, -(-items.count() // TASK_ROWS))
+    means = {"psnr": F.try_divide("l_extendedprice", "l_quantity"), "ssim": F.col("l_discount")}
+    named = {"case_id": F.col("l_suppkey"), "pulse": F.col("l_returnflag"), **by}
+    each = items.select("l_orderkey", "l_partkey", *[c.alias(k) for k, c in named.items()], *[means[v].alias(v) for v in values]).repartition(n, "l_orderkey")
+    at = orders.select("o_orderkey", F.col("o_orderstatus").alias("spacing")).repartition(n, "o_orderkey")
+    each = each.join(at.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey", "o_orderkey")
+    models = part.select("p_partkey", F.col("p_type").alias("model"))
+    if part.count() > TASK_ROWS:
+        each, models = each.repartition(n, "l_partkey"), models.repartition(n, "p_partkey").hint("merge")
+    each = each.join(models, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
+    keys = ["case_id", "model", "pulse", "spacing", *by]
+    each = each.repartition(n, *keys)
+    found = each.groupBy(*keys).agg(*[F.round(F.avg(v), 6).alias(v) for v in values]) if values else each.distinct()
+    return written(found.select(*keys, *values), "metrics")
+
+
+def metrics(spark: SparkSession, sf_dir: str, values: tuple[str, ...] = ("psnr", "ssim")) -> DataFrame:
+    """case_id, model, pulse, spacing, psnr, ssim: one row for each case and condition, written once for all that read it."""
+    return measured(spark, sf_dir, values=values)
 
 
 METRICS_SQL = """
