@@ -835,3 +835,23 @@ def test_mixing_awkward(spark):
     assert {r.topic for r in given.select("topic").distinct().collect()} == {"even", ""} and given.count() == df.count()
     even = mixing.mixed(df, alpha=1.0)
     assert even.agg(F.min("p")).first()[0] > 0.999
+
+
+def test_ids_travel_in_16_bits_where_they_fit(spark):
+    """Pieces carry half the bytes of their ids through the shuffle; sequences have ids of 32 bits, and an id that doesn't fit keeps its piece as it is."""
+    import numpy as np
+    import public_tokenizers
+
+    from voxloom.llm import packing
+
+    docs = spark.createDataFrame([(1, "a", 1, "plain words of a text"), (2, "a", 2, ""), (3, "b", 3, "more of them, and marks!")], "doc_id long, source string, cluster long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    short = packing.pieces_of(docs, path, 4, 2).collect()
+    assert short and all(len(r.ids) == 2 * r.n_tokens for r in short)
+    long = packing.pieces_of(docs, path, 4, 1 << 16).collect()
+    assert {len(r.ids) // r.n_tokens for r in long} == {2, 4} and len(long) == len(short)
+    for r in [*short, *long]:
+        assert len(packing.widened(bytes(r.ids), r.n_tokens)) == 4 * r.n_tokens
+    for ids in ([], [0], [65535, 1], [65536, 1], [2**32 - 1]):
+        raw = np.array(ids, "<u4").tobytes()
+        assert packing.widened(packing.shortened(raw), len(ids)) == raw

@@ -97,10 +97,21 @@ def pack_shard(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return p
 
 
+def shortened(ids: bytes) -> bytes:
+    """Little-endian ids of 32 bits in 16 bits each, if all of them fit."""
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if wide.max(initial=0) < 1 << 16 else ids
+
+
+def widened(ids: bytes, n: int) -> bytes:
+    """What was shortened, by the number of ids, in 32 bits each."""
+    return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if len(ids) == 2 * n else ids
+
+
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None) -> DataFrame:
     """doc_id, source, cluster, piece, start, n_tokens, ids and deal of each piece of docs(doc_id, source, cluster, text).
 
-    deal tells equal rows apart: it goes by the input's partition and the row's number among the equal ones of it. Equal rows
+    A piece's ids have 16 bits each where all of them fit, else 32, as its length tells. deal tells equal rows apart: it goes by the input's partition and the row's number among the equal ones of it. Equal rows
     are interchangeable, so a task that runs again gives the same pieces, in whatever order it reads its rows. Null and empty texts
     give their end id alone, or no piece without one; an empty table gives no pieces; further columns are ignored.
     """
@@ -124,8 +135,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None
                         deal.append(own)
                         piece.append(k)
                         cut.append(x[4 * k * capacity : 4 * (k + 1) * capacity])
+                n_tokens = [len(x) // 4 for x in cut]
                 head = part.select([0, 1, 2]).take(pa.array(row, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*head.columns, pa.array(piece, pa.int32()), pa.array([k * capacity for k in piece], pa.int64()), pa.array([len(x) // 4 for x in cut], pa.int64()), pa.array(cut, pa.binary()), pa.array(deal, pa.int64())], names=["doc_id", "source", "cluster", "piece", "start", "n_tokens", "ids", "deal"])
+                yield pa.RecordBatch.from_arrays([*head.columns, pa.array(piece, pa.int32()), pa.array([k * capacity for k in piece], pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(map(shortened, cut), pa.binary()), pa.array(deal, pa.int64())], names=["doc_id", "source", "cluster", "piece", "start", "n_tokens", "ids", "deal"])
 
     return docs.select("doc_id", "source", "cluster", "text").mapInArrow(run, "doc_id long, source string, cluster long, piece int, start long, n_tokens long, ids binary, deal long")
 
@@ -168,7 +180,7 @@ def best_fit(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard: i
         p = table.drop_columns(["ids"]).to_pandas().assign(row=range(table.num_rows))
         for _, g in p.groupby("shard", sort=False):
             out = pack_shard(g, capacity).sort_values(["bin", "position"], kind="stable")
-            ids = table.column("ids").take(pa.array(out.row)).to_pylist()
+            ids = list(map(widened, table.column("ids").take(pa.array(out.row)).to_pylist(), out.n_tokens))
             first = np.flatnonzero(np.r_[True, np.diff(out.bin) > 0])
             ends = [*first[1:], len(out)]
             fields = ["doc_id", "piece", "start", "n_tokens", "position"]
