@@ -197,6 +197,25 @@ def test_token_planes_awkward(spark):
     assert token_planes.read_planes(token_planes.write_planes(empty(spark), TOKENIZER)).count() == 0
 
 
+def test_words_with_marks_and_capitals_are_encoded_by_their_parts(monkeypatch):
+    """Only a word's letters in lower case and its marks go through the library, each once; ids are those of whole texts."""
+    from tokenizers import Tokenizer
+
+    words, sent = token_planes.Words(TOKENIZER), []
+    plain = words._encode
+    monkeypatch.setattr(words, "_encode", lambda x: sent.extend(x) or plain(x))
+    pa = token_planes.pa
+    texts = ["Stone stone, STONE!!! stone$$$ River. éCOLE;", "", " \n", "ÉCOLE! stone... don't don' 'tis (stone) 12.5, ΟΔΟΣ, İ, a\x1cb,\x85c ½. e\u0301, x\u0301! ß, ª! STRAẞE. <|endoftext|>, stone<|endoftext|>! ﬁ, _stone_"] * 3
+    for at_once in (1, 100, 1 << 22):
+        monkeypatch.setattr(token_planes, "AT_ONCE", at_once)
+        column = pa.array(["left out", *texts]).slice(1)
+        got = [x for i, n in token_planes.together(column) for x in words.encode(column.slice(i, n))]
+        t = Tokenizer.from_file(TOKENIZER)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert {"stone", "!!!", "$$$", ",", "école", "river"} <= set(sent) and not {"Stone", "STONE!!!", "stone$$$", "River", "ÉCOLE!", "stone,"} & set(sent)
+    assert max(Counter(sent).values()) == 1
+
+
 # ---- 3 MinHash
 
 

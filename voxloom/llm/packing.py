@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm.shared import documents, normalised, text_or_empty
-from voxloom.llm.token_planes import END_ID, words_of
+from voxloom.llm.token_planes import END_ID, together, words_of
 
 CAPACITY = 2048
 SHARD = 4096
@@ -121,9 +121,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None
         place, copies = TaskContext.get().partitionId(), Counter()  # of the rows of one partition of the input
         for batch in batches:
             words = words_of(tokenizer)
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                ids = [x + tail for x in words.encode(part.column(3).to_pylist())]
+            for i, n_rows in together(batch.column(3)):
+                part = batch.slice(i, n_rows)
+                ids = [x + tail for x in words.encode(part.column(3))]
                 row, piece, cut, deal = [], [], [], []
                 for r, (x, *key) in enumerate(zip(ids, *(part.column(c).to_pylist() for c in range(3)), strict=True)):
                     k = hashlib.blake2b(x, digest_size=8, key=repr(key).encode()[:64]).digest()

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -21,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -148,9 +150,10 @@ class PlaneReader:
 
 # ---- tokenizing
 
-#: Python splits at these, the tokenizer doesn't: they are ordinary characters there.
-NO_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
-
+#: Bytes of text that are encoded together, or one text.
+AT_ONCE = 1 << 22
+#: Letters that are one letter in both cases and in any normal form, then ASCII marks: two pieces, the first of which may be in lower case.
+MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
 
 #: The steps of a tokenizer file under which a text's ids are its white-space words' ids: fixed values of the file format.
 WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -166,7 +169,15 @@ def goes_by_words(path: str) -> bool:
     plain = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in split[1:])
     known = steps(spec.get("normalizer"), "normalizers") == WORD_NORMALIZER and split[:1] == [WORD_SPLIT]
     free = not any(c.isspace() for t in spec.get("added_tokens", []) for c in t["content"]) and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", []))
-    return known and plain and free and not spec["model"].get("dropout")
+    apart = not any(MARKED(t["content"]) for t in spec.get("added_tokens", []))
+    return known and plain and free and apart and not spec["model"].get("dropout")
+
+
+def together(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of each stretch of about AT_ONCE bytes."""
+    past = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(past)) + 1).tolist(), len(texts)]
+    yield from ((a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
 
 
 class Texts:
@@ -178,8 +189,9 @@ class Texts:
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        some = (texts[i : i + 200].to_pylist() for i in range(0, len(texts), 200))
+        return [np.array(e.ids, "<u4").tobytes() for x in some for e in self.tokenizer.encode_batch_fast(x, add_special_tokens=False)]
 
 
 class Words:
@@ -187,6 +199,7 @@ class Words:
 
     The tokenizer drops white space and never joins characters across it, so a text's ids
     are its words' ids one after another; each new word goes through the tokenizers library.
+    Arrow splits texts at ASCII white space and numbers the words of many texts, so that Python sees each of those once.
     """
 
     def __init__(self, path: str):
@@ -220,23 +233,35 @@ class Words:
             found[w] = np.array(e.ids, "<u4").tobytes()
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() if not any(c in t for c in NO_SPACE) else t.split(" ") for t in texts]
-        get, known = self.known.get, self.known
-        found = [list(map(get, words)) for words in split]
-        new = {w for words, ids in zip(split, found, strict=True) for w, x in zip(words, ids, strict=True) if x is None}
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each of a list of distinct words."""
+        known = self.known
+        ids = list(map(known.get, words))
+        new = [w for w, x in zip(words, ids, strict=True) if x is None]
         if not new:
-            return list(map(b"".join, found))
-        # a word of letters with one mark after it is the two one after another
-        marked = {w for w in new if w[-1:] in ",." and w[:-1].isalpha() and w[:-1].isascii()}
-        plain = (new - marked) | {w[:-1] for w in marked if w[:-1] not in known} | {",", "."}
-        ids = self._encode(list(plain))
-        for w in marked:
-            stem = w[:-1]
-            ids[w] = (ids[stem] if stem in ids else known[stem]) + ids[w[-1]]
+            return ids
+        parts = {w: (m[1].lower(), m[2]) for w in new if not (w.isalpha() and w.islower()) and (m := MARKED(w))}
+        plain = {w for w in new if w not in parts}
+        plain.update(x for part in parts.values() for x in part if x and x not in known)
+        found = self._encode(list(plain))
+        found[""] = b""
+        for w, (letters, marks) in parts.items():
+            found[w] = (found[letters] if letters in found else known[letters]) + (found[marks] if marks in found else known[marks])
         if len(known) < REMEMBERED:
-            known.update(ids)
-        return [b"".join([x if x is not None else ids[w] for w, x in zip(words, row, strict=True)]) for words, row in zip(split, found, strict=True)]
+            known.update(found)
+        return [found[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        ids = self._ids(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, starts, word = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes, words.indices.to_numpy()
+        n = sizes[word]
+        ends = np.r_[0, np.cumsum(n)]
+        raw = pool[np.arange(ends[-1]) + np.repeat(starts[word] - ends[:-1], n)].tobytes()
+        cuts = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -263,8 +288,8 @@ def write_planes(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, b
                 words = words_of(tokenizer)
                 writer = writer or PlaneWriter(out, bits)
                 ids, texts = batch.column(0).to_pylist(), batch.column(1)
-                for i in range(0, len(ids), 200):
-                    for doc_id, got in zip(ids[i : i + 200], words.encode(texts[i : i + 200].to_pylist()), strict=True):
+                for i, n in together(texts):
+                    for doc_id, got in zip(ids[i : i + n], words.encode(texts.slice(i, n)), strict=True):
                         writer.add(doc_id, np.frombuffer(got + tail, "<u4"))
             if writer:
                 writer.close()
