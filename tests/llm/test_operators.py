@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import itertools
+import math
 import random
 import re
 import struct
@@ -131,6 +132,21 @@ def test_spotsigs_links_by_brute_force(spark, monkeypatch, threshold, slices, de
     assert spotsigs.near_links(empty(spark)).count() == 0
 
 
+def test_signatures_of_one_set_alone_are_not_sent_back(spark):
+    """Prefixes have only signatures that another set has too, at the places that they have among all, rarest first."""
+    data = [(1, [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]), (2, [1, 2, 3, 4, 5, 6, 7, 8, 9, 11]), (3, [20, 21, 22, 23, 24, 25, 26, 27, 1, 2]), (4, [30]), (5, [])]
+    sets = spark.createDataFrame(data, "id long, sigs array<long>").withColumn("n", F.size("sigs"))
+    got = {}
+    for r in spotsigs.prefixes(sets, 0.6).collect():
+        got.setdefault(r.id, []).append((r.place, r.sig))
+    df = Counter(x for _, sigs in data for x in sigs)
+    want = {}
+    for i, sigs in data:
+        first = sorted(sigs, key=lambda x: (df[x], x))[: len(sigs) - math.ceil(0.6 * len(sigs)) + 1] if sigs else []
+        want[i] = [(k, x) for k, x in enumerate(first) if df[x] > 1]
+    assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in want.items() if x} and sorted(got) == [1, 2]
+
+
 # ---- 2 token planes
 
 

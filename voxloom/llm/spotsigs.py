@@ -110,6 +110,24 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """id, n, place, sig and zone: the first signatures, rarest first, of sets(id, sigs, n), as many as a similar set can't all lack.
+
+    A signature of one set alone finds no partner: such ones come first in their set's order, so they are only counted, by what the set has
+    besides, and neither joined nor sent back to it. place counts them.
+    """
+    each = sets.where("n > 0").select("id", F.explode("sigs").alias("sig"))
+    common = each.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
+    # rows, not partial lists of one entry, are sent to their set
+    rarest = each.join(common.hint("merge"), "sig").repartition("id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("s"))
+    alone = F.col("n") - F.size("s")
+    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
+    kept = F.slice("s", 1, F.greatest(first - alone, F.lit(0)).cast("int"))
+    zone = F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0) / F.log(F.lit(threshold)) + 1e-9).cast("int")
+    of_set = rarest.join(sets.select("id", "n"), "id").select("id", "n", alone.alias("alone"), F.posexplode(kept).alias("at", "s"))
+    return of_set.select("id", "n", (F.col("alone") + F.col("at")).alias("place"), "s.sig", zone.alias("zone"))
+
+
 def near_links(docs: DataFrame, threshold: float = 0.8, slices: int = 64) -> DataFrame:
     """doc_id, class_id and links of every row of docs(doc_id, text) with a doc_id.
 
@@ -124,23 +142,19 @@ def near_links(docs: DataFrame, threshold: float = 0.8, slices: int = 64) -> Dat
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).where("doc_id IS NOT NULL")
     signed = written(with_signatures(known, "text", "sigs").select("doc_id", "sigs", F.sha2(as_text(F.col("sigs")), 256).alias("print")), "signed")
-    sets = written(signed.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs")).withColumn("n", F.size("sigs")), "sets")
-    each = sets.where("n > 0").select("print", "n", F.explode("sigs").alias("sig"))
-    counted = each.join(each.groupBy("sig").agg(F.count("*").alias("df")).hint("merge"), "sig")
-    rarest = counted.groupBy("print", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("s"))  # a set at a time
-    kept = F.slice("s", 1, (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int"))
-    prefix = rarest.select("print", "n", F.posexplode(kept).alias("place", "s")).select("print", "n", "place", "s.sig")
-    prefix = written(prefix.withColumn("zone", F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0) / F.log(F.lit(threshold)) + 1e-9).cast("int")), "prefixes")
+    sets = signed.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs")).withColumn("n", F.size("sigs"))
+    sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    prefix = written(prefixes(sets, threshold), "prefixes")
     several = prefix.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig", F.least(F.lit(slices), F.ceil(F.col("k") / DEAL)).cast("int").alias("deal"))
     prefix = written(prefix.join(several.hint("merge"), "sig"), "shared")
-    a = prefix.select(F.col("print").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), "sig", F.explode(F.array(F.col("zone") - 1, F.col("zone"), F.col("zone") + 1)).alias("zone"), F.pmod(F.xxhash64("print"), F.col("deal")).cast("int").alias("slice"))
-    b = prefix.select(F.col("print").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), "sig", "zone", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("slice"))
+    a = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), "sig", F.explode(F.array(F.col("zone") - 1, F.col("zone"), F.col("zone") + 1)).alias("zone"), F.pmod(F.xxhash64("id"), F.col("deal")).cast("int").alias("slice"))
+    b = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), "sig", "zone", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("slice"))
     enough = f"ceil({threshold} / (1 + {threshold}) * (na + nb) - 1e-9)"
     pairs = a.join(b, ["sig", "zone", "slice"]).where(f"a < b AND least(na, nb) + 1e-9 >= {threshold} * greatest(na, nb) AND least(na - pa, nb - pb) >= {enough}").select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("print").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("print").alias("b"), F.col("sigs").alias("sb")), "b")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sigs").alias("sb")), "b")
     linked = both.where(likeness(F.col("sa"), F.col("sb")) >= threshold)
-    links = linked.select(F.explode(F.array("a", "b")).alias("print")).groupBy("print").agg(F.count("*").alias("links"))
-    counts = sets.select("print", "class_id").join(links, "print", "left").select("print", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    links = linked.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    counts = sets.select("id", "print", "class_id").join(links, "id", "left").select("print", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     return signed.select("doc_id", "print").join(counts, "print").select("doc_id", "class_id", "links")
 
 
