@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from test_numbers import as_volume
+from test_numbers import as_lines, as_volume
 
 from voxloom.operators import components, kernels
 
@@ -115,3 +115,27 @@ def test_brain_mask_of_missing_lines(spark):
         got = as_volume([r for r in rows if r.patient == p], "mask", shape)
         assert (got == w).all(), p
     assert want[0].any()
+
+
+@pytest.mark.parametrize(("at_once", "slab"), [(1 << 20, 32), (7, 32), (1 << 20, 2), (1, 1)])
+def test_most_parts_are_contracted_in_tasks(spark, monkeypatch, at_once, slab):
+    """Whatever tasks hold together, parts are the same; where they hold a part whole, it comes to the rounds as one star."""
+    monkeypatch.setattr(components, "EDGES_AT_ONCE", at_once)
+    monkeypatch.setattr(components, "SLAB", slab)
+    come, rounds = [], components.contracted
+    monkeypatch.setattr(components, "contracted", lambda edges: come.append(edges.collect()) or rounds(edges))
+    x = np.random.default_rng(4).integers(1, 4, (5, 6, 7))
+    lines = as_lines(spark, 0, g=x.astype(float)).selectExpr("patient", "z", "y", "transform(g, v -> cast(v as int)) AS g")
+    parts = components.components(lines, "g", ["patient"], 26)
+    got = sorted((r.label, r.voxels) for r in components.sizes(parts, ["patient"]).collect())
+    want = []
+    for g in range(1, 4):
+        left = x == g
+        while left.any():
+            one = kernels.largest_component(left, 26)
+            left &= ~one
+            want.append((g, int(one.sum())))
+    assert got == sorted(want)
+    if slab > 5 and at_once > 7:
+        nodes = {r.a for r in come[0]}
+        assert len(nodes) == len(come[0]) and not nodes & {r.b for r in come[0]} and all(r.b < r.a for r in come[0])

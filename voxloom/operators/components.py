@@ -1,12 +1,16 @@
 """Connected components, holes and morphology of volumes kept as lines, whatever a volume's size.
 
 Voxels are not rows: a line's true voxels are intervals, intervals of neighbouring lines that touch are edges, and
-edges are contracted to stars in rounds over all volumes at once. Erosion and dilation are minima and maxima of a
+edges are contracted to stars: first in tasks, so many at a time, then what is left in rounds over all volumes at once. Erosion and dilation are minima and maxima of a
 line, its shifted self and its neighbours. No task holds a volume.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ NEIGHBOURS = {
     18: ((0, 1, 1), (1, 0, 1), (1, 1, 0), (1, -1, 0)),
     26: ((0, 1, 1), (1, 0, 1), (1, 1, 1), (1, -1, 1)),
 }
+#: Edges that a task contracts together, and slices of a volume whose edges go to one task.
+EDGES_AT_ONCE, SLAB = 1 << 20, 32
 
 
 def runs(lines: DataFrame, labels: str, keys: list[str]) -> DataFrame:
@@ -30,14 +36,59 @@ def runs(lines: DataFrame, labels: str, keys: list[str]) -> DataFrame:
     return each.select(*keys, "z", "y", F.col("_r.a").alias("x0"), F.col("_r.b").alias("x1"), F.get(F.col(labels), F.col("_r.a")).alias("label"))
 
 
+def least_nodes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes that edges a-b join to a smaller one, and the smallest that each can reach by them."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    i, j, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, root[i], low)
+        np.minimum.at(root, root[j], low)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[moved], nodes[root[moved]]
+
+
+def joined_in_tasks(edges: DataFrame, by: list[str]) -> DataFrame:
+    """(a, b): fewer edges that join the same nodes as edges(by..., a, b), as stars.
+
+    Edges that are equal in `by` go to one task and follow one another there. A task contracts about EDGES_AT_ONCE of them together,
+    and parts only those of more edges than that; all other parts are one star afterwards.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def star(edges: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in least_nodes(edges[1], edges[2])], names=["a", "b"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
+            n += batch.num_rows
+            if n >= EDGES_AT_ONCE:
+                every = np.concatenate(held, axis=1)
+                starts = np.flatnonzero(np.diff(every[0])) + 1
+                cut = starts[-1] if len(starts) else n
+                yield star(every[:, :cut])
+                held, n = [every[:, cut:]], n - cut
+        if n:
+            yield star(np.concatenate(held, axis=1))
+
+    dealt = edges.select(F.xxhash64(*by).alias("deal"), F.col("a").cast("long"), F.col("b").cast("long"))
+    return dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "a long, b long")
+
+
 def contracted(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of the nodes in edges(a, b), whole numbers; root is the smallest node that can be reached.
 
     Rounds link each node and its larger neighbours to the smallest one known, then its smaller ones, until nothing
     changes. Minima are summed before they are shuffled and joined back, so a node may have any number of neighbours.
     """
+    state_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     e = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    before = None
+    before = state_of(e)  # stars that have come as such need one round
     for _ in range(max_rounds):
         near = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -46,7 +97,7 @@ def contracted(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = low.join(low.groupBy("a").agg(F.min("b").alias("m")), "a")
         links = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")
         e = written(low.select(links).select("x.a", "x.b").where("a <> b").distinct(), "edges")
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = state_of(e)
         if state == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
         before = state
@@ -66,8 +117,8 @@ def components(lines: DataFrame, labels: str, keys: list[str], connectivity: int
     a = found.select(*keys, "label", steps.alias("o"), "z", "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("id").alias("a"))
     a = a.select(*keys, "label", (F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), F.col("o.dx").alias("dx"), "a0", "a1", "a")
     b = found.withColumnRenamed("id", "b")
-    edges = a.join(b, [*keys, "label", "z", "y"]).where("x0 <= a1 + dx AND a0 <= x1 + dx").select("a", "b")
-    roots = contracted(edges)
+    edges = a.join(b, [*keys, "label", "z", "y"]).where("x0 <= a1 + dx AND a0 <= x1 + dx").select(*keys, "label", F.floor(F.col("z") / SLAB).alias("slab"), "a", "b")
+    roots = contracted(joined_in_tasks(edges, [*keys, "label", "slab"]))
     return found.join(roots, F.col("id") == F.col("node"), "left").select(*keys, "z", "y", "x0", "x1", "label", F.coalesce("root", "id").alias("root"))
 
 
